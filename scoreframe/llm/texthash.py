@@ -22,7 +22,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_ODD, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([[1], np.full(n, p, np.uint64)]).astype(np.uint64)) for p in (_ODD, inverse))
+        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, p, np.uint64)])) for p in (_ODD, inverse))
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
