@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from scoreframe.llm import mixing, quality_model, quality_rules, url_filter
+from scoreframe.llm import mixing, quality_model, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_model": quality_model.op6_quality_model,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLES = {"op8_quality_rules": quality_rules.oracle()}
