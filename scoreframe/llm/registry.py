@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from scoreframe.llm import mixing, quality_model, quality_rules, toxicity, url_filter
+from scoreframe.llm import mixing, near_dedup, quality_model, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,5 +8,6 @@ QUERIES = {
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
-ORACLES = {"op8_quality_rules": quality_rules.oracle()}
+ORACLES = {"op8_quality_rules": quality_rules.oracle(), "op9_near_dedup": near_dedup.ORACLE}
