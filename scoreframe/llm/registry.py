@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from scoreframe.llm import mixing, near_dedup, quality_model, quality_rules, toxicity, url_filter
+from scoreframe.llm import media, mixing, near_dedup, quality_model, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,5 +9,6 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_media": media.op10_media,
 }
 ORACLES = {"op8_quality_rules": quality_rules.oracle(), "op9_near_dedup": near_dedup.ORACLE}
