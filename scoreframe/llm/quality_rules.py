@@ -58,10 +58,11 @@ def repeated_words(w: Column) -> Column:
     """How many of the words lie in a 5-word window that occurs twice or more in the same text.
 
     Windows are compared by 64-bit hash. Texts without any repeated window, most of them, are told by a distinct
-    count; only the rest sort their windows.
+    count; only the rest sort their windows. ``w`` is computed once even where Spark moves this expression.
     """
-    n = F.size(w)
-    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+
+    def hashes(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(v) - WINDOW), lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(WINDOW)]))
 
     def covered(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
@@ -70,8 +71,8 @@ def repeated_words(w: Column) -> Column:
         step = lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(WINDOW), p - a["last"])).alias("total"))
         return F.aggregate(F.sort_array(again), start, step)["total"]
 
-    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
-    return F.when(n < WINDOW, F.lit(0)).otherwise(found).cast("long")
+    found = lambda v: let(hashes(v), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+    return let(w, lambda v: F.when(F.size(v) < WINDOW, F.lit(0)).otherwise(found(v))).cast("long")
 
 
 def line_first(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
