@@ -1,23 +1,502 @@
-"""The registered queries of the scorers and their SQL."""
+"""The registered queries of the scorers, and DuckDB SQL that each must agree with.
+
+Model responses in these queries are fixtures: they are built from the tables by rule and replayed through the judges'
+own plans, so they test rendering, keys, parsing and scoring, and say nothing about any model.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from scoreframe.functions import jsons, scalar, thread
+from scoreframe.operators.scorers import JUDGES, EmbeddingSimilarity, ExactJSON, JSONDiff, Levenshtein, ListContains, Moderation, NumericDiff, ValidJSON, judge
+from scoreframe.plans import evaluate, rag
+from scoreframe.plans.judge import TOOL, judged, with_requests
+from scoreframe.sources import cases
+from scoreframe.streaming import windowed_scores
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def rounded(value: Column) -> Column:
+    return F.round(value.cast("double"), 6)
+
+
+def neighbours(df: DataFrame, key: str, column: str) -> DataFrame:
+    """Each row with the next key's value as ``expected``, joined on the key."""
+    following = df.select((F.col(key) - 1).alias("_next"), F.col(column).alias("expected"))
+    return df.select(key, F.col(column).alias("output")).join(following, F.col(key) == F.col("_next")).drop("_next")
+
+
+# --- texts, numbers, vectors
 
 
-def levenshtein_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average Levenshtein score of neighbouring part names, by brand."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    nxt = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("expected"))
-    size = F.greatest(F.length("p_name"), F.length("expected"))
-    score = F.when(size == 0, 1.0).otherwise(1 - F.levenshtein("p_name", "expected") / size)
-    return part.join(nxt, "p_partkey").groupBy("p_brand").agg(F.round(F.avg(score), 6).alias("score"), F.count("*").alias("n"))
+@query("""
+SELECT a.p_partkey, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS score
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def levenshtein_part(spark, sf_dir):
+    """Edit similarity of neighbouring part names."""
+    scored = Levenshtein().transform(neighbours(table(spark, sf_dir, "part"), "p_partkey", "p_name"))
+    return scored.select("p_partkey", rounded(F.col("Levenshtein.score")).alias("score"))
 
 
-QUERIES = {"levenshtein_by_brand": levenshtein_by_brand}
-ORACLES = {
-    "levenshtein_by_brand": """
+@query("""
 SELECT a.p_brand, round(avg(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))), 6) AS score, count(*) AS n
-FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 GROUP BY 1"""
-}
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 GROUP BY 1""")
+def levenshtein_by_brand(spark, sf_dir):
+    """Average edit similarity of neighbouring part names, by brand."""
+    part = table(spark, sf_dir, "part")
+    scored = Levenshtein().transform(neighbours(part, "p_partkey", "p_name").join(part.select("p_partkey", "p_brand"), "p_partkey"))
+    return scored.groupBy("p_brand").agg(rounded(F.avg("Levenshtein.score")).alias("score"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(CASE WHEN o = 0 AND e = 0 THEN 1 ELSE 1 - abs(e - o) / nullif(abs(e) + abs(o), 0) END, 6) AS score
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS o, CAST(l_quantity AS DOUBLE) * p_retailprice AS e
+      FROM lineitem JOIN part ON p_partkey = l_partkey)""")
+def numeric_diff_lineitem(spark, sf_dir):
+    """How close a line's price comes to quantity times retail price."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.col("l_extendedprice").cast("double").alias("output"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    pairs = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("expected", F.col("l_quantity").cast("double") * F.col("p_retailprice"))
+    return NumericDiff().transform(pairs).select("l_orderkey", "l_linenumber", rounded(F.col("NumericDiff.score")).alias("score"))
+
+
+@query("""
+SELECT a.event_id, CASE WHEN a.event_type = b.event_type THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM events a JOIN events b ON b.event_id = a.event_id + 1""")
+def exact_match_scalar(spark, sf_dir):
+    """Whether neighbouring events are of one type."""
+    pairs = neighbours(table(spark, sf_dir, "events"), "event_id", "event_type")
+    return pairs.select("event_id", scalar.exact_score(F.col("output"), F.col("expected")).alias("score"))
+
+
+@query("""
+SELECT a.event_id, CASE WHEN CAST(json(a.props) AS VARCHAR) = CAST(json(b.props) AS VARCHAR) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM events a JOIN events b ON b.event_id = a.event_id + 1""")
+def exact_match_json(spark, sf_dir):
+    """Whether neighbouring events have the same properties, white space aside."""
+    scored = ExactJSON().transform(neighbours(table(spark, sf_dir, "events"), "event_id", "props"))
+    return scored.select("event_id", F.col("ExactMatch.score").alias("score"))
+
+
+@query("""
+SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def embedding_cosine(spark, sf_dir):
+    """Cosine of neighbouring vectors."""
+    pairs = neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return pairs.select("vec_id", rounded(scalar.cosine(F.col("output"), F.col("expected"))).alias("score"))
+
+
+@query("""
+SELECT a.vec_id, round(greatest(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 6) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def embedding_similarity(spark, sf_dir):
+    """Scaled similarity of neighbouring vectors; with the default minimum all would be 0 here, so it is set to 0."""
+    scored = EmbeddingSimilarity(expected_min=0.0).transform(neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    return scored.select("vec_id", rounded(F.col("EmbeddingSimilarity.score")).alias("score"))
+
+
+@query("""
+SELECT a.label = b.label AS same_label, round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS score, count(*) AS n
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY 1""")
+def embedding_same_label_report(spark, sf_dir):
+    """Mean cosine of neighbouring vectors, by whether they have one label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    following = vectors.select((F.col("vec_id") - 1).alias("_next"), F.col("embedding").alias("e"), F.col("label").alias("l"))
+    pairs = vectors.join(following, F.col("vec_id") == F.col("_next")).withColumn("same_label", F.col("label") == F.col("l"))
+    return pairs.groupBy("same_label").agg(rounded(F.avg(scalar.cosine(F.col("embedding"), F.col("e")))).alias("score"), F.count("*").alias("n"))
+
+
+# --- JSON and lists
+
+
+@query("""
+SELECT event_id, cut, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t) IN ('OBJECT', 'ARRAY') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END AS score
+FROM (SELECT event_id, FALSE AS cut, props AS t FROM events UNION ALL SELECT event_id, TRUE, substr(props, 1, length(props) - 1) FROM events)""")
+def valid_json_events(spark, sf_dir):
+    """Validity of all properties, whole and without their last character."""
+    events = table(spark, sf_dir, "events")
+    whole = events.select("event_id", F.lit(False).alias("cut"), F.col("props").alias("output"))
+    cut = events.select("event_id", F.lit(True).alias("cut"), F.col("props").substr(F.lit(1), F.length("props") - 1).alias("output"))
+    return ValidJSON().transform(whole.unionByName(cut)).select("event_id", "cut", F.col("ValidJSON.score").alias("score"))
+
+
+@query("SELECT event_id, CASE WHEN CAST(props->>'k' AS DOUBLE) >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM events")
+def valid_json_schema(spark, sf_dir):
+    """Whether an event's properties fit a schema."""
+    schema = {"type": "object", "properties": {"k": {"type": "number", "minimum": 50}}, "required": ["k"]}
+    return table(spark, sf_dir, "events").select("event_id", jsons.valid_json(F.col("props"), schema).alias("score"))
+
+
+_JSON_DIFF = """
+SELECT event_id, round(CASE WHEN o = 0 AND e = 0 THEN 1 ELSE 1 - abs(e - o) / nullif(abs(e) + abs(o), 0) END, 6) AS score
+FROM (SELECT a.event_id, CAST(a.props->>'k' AS DOUBLE) AS o, CAST(b.props->>'k' AS DOUBLE) AS e FROM events a JOIN events b ON b.event_id = a.event_id + 1)"""
+
+
+@query(_JSON_DIFF)
+def json_diff_props(spark, sf_dir):
+    """Structural similarity of neighbouring events' properties, from text."""
+    scored = JSONDiff().transform(neighbours(table(spark, sf_dir, "events"), "event_id", "props"))
+    return scored.select("event_id", rounded(F.col("JSONDiff.score")).alias("score"))
+
+
+@query(_JSON_DIFF)
+def json_diff_typed(spark, sf_dir):
+    """The same from typed structs, as a native expression."""
+    kind = T.StructType([T.StructField("k", T.DoubleType())])
+    events = table(spark, sf_dir, "events").withColumn("typed", F.from_json("props", kind))
+    scored = JSONDiff().transform(neighbours(events, "event_id", "typed"))
+    return scored.select("event_id", rounded(F.col("JSONDiff.score")).alias("score"))
+
+
+_LEV = "(1 - levenshtein(o[{0}], e[{1}]) / greatest(length(o[{0}]), length(e[{1}])))"
+
+
+@query(f"""
+SELECT p_partkey, round(greatest({_LEV.format(1, 1)} + {_LEV.format(2, 2)}, {_LEV.format(1, 2)} + {_LEV.format(2, 1)}) / 2, 6) AS score
+FROM (SELECT a.p_partkey, string_split(a.p_name, ' ') AS o, string_split(b.p_name, ' ') AS e FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)""")
+def list_contains_names(spark, sf_dir):
+    """Overlap of the words of neighbouring part names; every name has two."""
+    part = table(spark, sf_dir, "part").withColumn("words", F.split("p_name", " "))
+    scored = ListContains().transform(neighbours(part, "p_partkey", "words"))
+    return scored.select("p_partkey", rounded(F.col("ListContains.score")).alias("score"))
+
+
+# --- threads
+
+
+@query("""
+WITH t AS (SELECT conv_id, count(*) FILTER (WHERE role <> 'system') AS thread_count, count(*) FILTER (WHERE role = 'user') AS users,
+             count(*) FILTER (WHERE role = 'assistant') AS assistants, count(*) AS messages,
+             arg_min(text, turn) FILTER (WHERE role <> 'system') AS first_text, arg_max(text, turn) FILTER (WHERE role <> 'system') AS last_text
+           FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(thread_count AS INTEGER) AS thread_count, CAST(users AS INTEGER) AS users, CAST(assistants AS INTEGER) AS assistants, CAST(messages AS INTEGER) AS messages, first_text, last_text FROM t""")
+def thread_vars(spark, sf_dir):
+    """The thread variables of every conversation."""
+    df = thread.add_variables(thread.collect_threads(table(spark, sf_dir, "conversations")))
+    sizes = [F.size("user_messages").alias("users"), F.size("assistant_messages").alias("assistants"), F.size("thread_with_system").alias("messages")]
+    return df.select("conv_id", "thread_count", *sizes, F.col("first_message.content").alias("first_text"), F.col("last_message.content").alias("last_text"))
+
+
+@query("""
+SELECT conv_id, coalesce(string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ':' || chr(10) || '  ' || replace(text, chr(10), chr(10) || '  '), chr(10) || chr(10) ORDER BY turn)
+       FILTER (WHERE trim(text) <> ''), '') AS text
+FROM conversations GROUP BY conv_id""")
+def thread_text(spark, sf_dir):
+    """Every conversation as text."""
+    df = thread.collect_threads(table(spark, sf_dir, "conversations"))
+    return df.select("conv_id", thread.thread_text(F.col("all_messages")).alias("text"))
+
+
+@query("""
+WITH n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i FROM conversations)
+SELECT u.conv_id, CAST(u.i - 1 AS INTEGER) AS pair, u.text AS human, a.text AS assistant
+FROM n u JOIN n a ON a.conv_id = u.conv_id AND a.i = u.i AND u.role = 'user' AND a.role = 'assistant'""")
+def human_ai_pairs(spark, sf_dir):
+    """The i-th user message with the i-th assistant message of every conversation."""
+    df = thread.collect_threads(table(spark, sf_dir, "conversations"))
+    pairs = df.select("conv_id", F.posexplode(thread.human_ai_pairs(thread.without_system(F.col("all_messages")))).alias("pair", "p"))
+    return pairs.select("conv_id", "pair", F.col("p.human.content").alias("human"), F.col("p.assistant.content").alias("assistant"))
+
+
+# --- judges
+
+
+def judge_rows(spark, sf_dir) -> DataFrame:
+    """One row per conversation: input, output and expected from its messages, and the judges' other inputs."""
+    of = lambda f, role: f(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(of(F.min_by, "user").alias("input"), of(F.min_by, "assistant").alias("output"), of(F.max_by, "assistant").alias("expected"))
+    return rows.withColumns({"instructions": F.col("input"), "criteria": F.lit("It is polite."), "language": F.lit("French")})
+
+
+_ROWS = """r AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), '') AS input,
+  coalesce(arg_min(text, turn) FILTER (WHERE role = 'assistant'), '') AS output, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS expected
+  FROM conversations GROUP BY conv_id)"""
+_INPUTS = {"input": "input", "output": "output", "expected": "expected", "instructions": "input", "criteria": "'It is polite.'", "language": "'French'"}
+
+
+def call_response(arguments: Column, tool: str) -> Column:
+    """A stored response that calls a tool; the arguments are JSON text."""
+    function = F.struct(F.lit(tool).alias("name"), arguments.alias("arguments"))
+    message = F.struct(F.array(F.struct(function.alias("function"))).alias("tool_calls"))
+    return F.to_json(F.struct(F.array(F.struct(message.alias("message"))).alias("choices")))
+
+
+def _add_judge(name: str) -> None:
+    spec = judge(name)
+    key = name.lower()
+    sql = "'" + spec.template.replace("'", "''") + "'"
+    for column, value in _INPUTS.items():
+        sql = f"replace(replace({sql}, '{{{{{{{column}}}}}}}', {value}), '{{{{{column}}}}}', {value})"
+    choices = list(spec.choice_scores)
+    cases_sql = " ".join(f"WHEN {i} THEN {spec.choice_scores[c]}::DOUBLE" for i, c in enumerate(choices))
+
+    def prompt(spark, sf_dir):
+        return with_requests(judge_rows(spark, sf_dir), spec).select("conv_id", "prompt")
+
+    def score(spark, sf_dir):
+        asked = with_requests(judge_rows(spark, sf_dir), spec)
+        pick = F.get(F.array(*[F.lit(c) for c in choices]), (F.length(F.coalesce("output", F.lit(""))) % len(choices)).cast("int"))
+        replayed = asked.groupBy("request_key").agg(F.first("output").alias("output"))
+        replayed = replayed.select("request_key", call_response(F.to_json(F.struct(pick.alias("choice"), F.lit("by rule").alias("reasons"))), TOOL).alias("response"))
+        return judged(asked, replayed, spec).select("conv_id", F.col(f"{spec.name}.score").alias("score"))
+
+    prompt.__doc__, score.__doc__ = f"The prompts of {name}.", f"The scores of {name} for replayed choices."
+    QUERIES[f"judge_prompt_{key}"], ORACLES[f"judge_prompt_{key}"] = prompt, f"WITH {_ROWS} SELECT conv_id, {sql} AS prompt FROM r"
+    QUERIES[f"judge_score_{key}"], ORACLES[f"judge_score_{key}"] = score, f"WITH {_ROWS} SELECT conv_id, CASE length(output) % {len(choices)} {cases_sql} END AS score FROM r"
+
+
+for _name in JUDGES:
+    _add_judge(_name)
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM labels")
+def moderation_flagged(spark, sf_dir):
+    """Moderation without a threshold; labels stand for verdicts."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("flagged"), F.create_map(F.lit("toxic"), F.col("toxic").cast("double")).alias("category_scores"))
+    return Moderation().transform(rows).select("doc_id", F.col("Moderation.score").alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN (doc_id % 100) / 100.0 > 0.25 OR toxic > 0.25 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM labels")
+def moderation_threshold(spark, sf_dir):
+    """Moderation with a threshold over two categories."""
+    scores = F.create_map(F.lit("toxic"), F.col("toxic").cast("double"), F.lit("other"), (F.col("doc_id") % 100) / 100.0)
+    rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("flagged"), scores.alias("category_scores"))
+    return Moderation(threshold=0.25).transform(rows).select("doc_id", F.col("Moderation.score").alias("score"))
+
+
+# --- retrieval metrics, from replayed payloads
+
+
+def _replayed(arguments: Column, step: str) -> Column:
+    """A payload column, sent through a stored response."""
+    return rag.payload(call_response(arguments, rag.QUESTIONS[step].tool), step)
+
+
+_LINES = "SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents"
+
+
+def lines_of(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.withColumn("lines", F.split("text", "\n"))
+
+
+@query(f"""
+SELECT doc_id, round(least(1, greatest(0, coalesce(list_sum(list_transform(list_filter(l, lambda x: length(x) % 2 = 0), lambda x: length(x))), 0) / nullif(length(text), 0))), 6) AS score
+FROM ({_LINES})""")
+def rag_context_relevancy(spark, sf_dir):
+    """Each document as a context, its lines of even length as the needed sentences."""
+    even = F.transform(F.filter("lines", lambda x: F.length(x) % 2 == 0), lambda x: F.struct(x.alias("sentence"), F.array(F.lit("even")).alias("reasons")))
+    rows = lines_of(spark, sf_dir).withColumn("p", _replayed(F.to_json(F.struct(even.alias("sentences"))), "ContextRelevancy"))
+    return rows.select("doc_id", rounded(rag.context_relevancy(F.col("p.sentences"), F.col("text"))).alias("score"))
+
+
+_SHARE = f"""
+SELECT doc_id, round(list_sum(list_transform(l, lambda x: length(x) % 2)) / len(l), 6) AS score FROM ({_LINES})"""
+
+
+@query(_SHARE)
+def rag_context_recall(spark, sf_dir):
+    """Each document's lines as statements, those of odd length as supported."""
+    each = F.transform("lines", lambda x: F.struct(x.alias("statement"), (F.length(x) % 2).alias("attributed"), F.lit("by rule").alias("reason")))
+    rows = lines_of(spark, sf_dir).withColumn("p", _replayed(F.to_json(F.struct(each.alias("statements"))), "ContextRecall"))
+    return rows.select("doc_id", rounded(rag.context_recall(F.col("p.statements"))).alias("score"))
+
+
+@query(_SHARE)
+def rag_faithfulness(spark, sf_dir):
+    """Each document's lines as statements of an answer, first extracted and then judged, those of odd length as true."""
+    first = _replayed(F.to_json(F.struct(F.col("lines").alias("statements"))), "Faithfulness.statements")
+    rows = lines_of(spark, sf_dir).withColumn("statements", first["statements"])
+    each = F.transform("statements", lambda x: F.struct(x.alias("statement"), (F.length(x) % 2).alias("verdict"), F.lit("by rule").alias("reason")))
+    rows = rows.withColumn("p", _replayed(F.to_json(F.struct(each.alias("faithfulness"))), "Faithfulness.verdicts"))
+    return rows.select("doc_id", rounded(rag.faithfulness(F.col("p.faithfulness"))).alias("score"))
+
+
+@query("SELECT doc_id, CAST(quality AS DOUBLE) AS score FROM labels")
+def rag_context_precision(spark, sf_dir):
+    """Quality labels as verdicts."""
+    rows = table(spark, sf_dir, "labels").withColumn("p", _replayed(F.to_json(F.struct(F.lit("by rule").alias("reason"), F.col("quality").alias("verdict"))), "ContextPrecision"))
+    return rows.select("doc_id", F.col("p.verdict").cast("double").alias("score"))
+
+
+@query("""
+SELECT a.vec_id, round(CASE WHEN max(CASE WHEN b.label = 0 THEN 1 ELSE 0 END) > 0 THEN 0
+  ELSE avg(greatest(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0)) END, 6) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id - a.vec_id BETWEEN 1 AND 3 GROUP BY a.vec_id""")
+def rag_answer_relevancy(spark, sf_dir):
+    """Three following vectors as generated questions; label 0 marks an evasive answer."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.select("vec_id", F.col("embedding").alias("input"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 3)).alias("q"))
+    questions = vectors.select(F.col("vec_id").alias("_q"), F.col("embedding").alias("question"), (F.col("label") == 0).cast("int").alias("noncommittal"))
+    scored = rag.answer_relevancy(asked.join(questions, F.col("q") == F.col("_q")), ["vec_id"], "question", "input", "noncommittal", expected_min=0.0)
+    return scored.select("vec_id", rounded(F.col("AnswerRelevancy.score")).alias("score"))
+
+
+@query(ORACLES["embedding_similarity"])
+def rag_answer_similarity(spark, sf_dir):
+    """Neighbouring vectors as two answers' embeddings."""
+    pairs = neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return pairs.select("vec_id", rounded(rag.answer_similarity(F.col("output"), F.col("expected"), 0.0)["score"]).alias("score"))
+
+
+@query("""
+WITH c AS (SELECT a.vec_id, greatest(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0) AS s,
+             1 + a.vec_id % 4 AS tp, a.vec_id % 3 AS fp, a.vec_id % 5 AS fn FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(0.75 * (tp / (tp + 0.5 * (fp + fn))) + 0.25 * s, 6) AS score FROM c""")
+def rag_answer_correctness(spark, sf_dir):
+    """Statement counts by rule, similarity of neighbouring vectors."""
+    pairs = neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    some = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
+    i = F.col("vec_id")
+    arguments = F.to_json(F.struct(some(1 + i % 4).alias("TP"), some(i % 3).alias("FP"), some(i % 5).alias("FN")))
+    rows = pairs.withColumn("p", _replayed(arguments, "AnswerCorrectness"))
+    similarity = scalar.embedding_score(F.col("output"), F.col("expected"), 0.0)
+    return rows.select("vec_id", rounded(rag.answer_correctness(F.col("p"), similarity)).alias("score"))
+
+
+_COS = "greatest(list_cosine_similarity(CAST({0}.embedding AS DOUBLE[]), CAST({1}.embedding AS DOUBLE[])), 0)"
+
+
+@query(f"""
+SELECT a.vec_id, round(least(1, greatest({_COS.format("a", "c")} + {_COS.format("b", "d")}, {_COS.format("a", "d")} + {_COS.format("b", "c")}) / 2), 6) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2 JOIN embeddings d ON d.vec_id = a.vec_id + 3""")
+def rag_entity_recall(spark, sf_dir):
+    """Two vectors as a context's entities, the two after them as the expected ones."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    placed = vectors.select(F.explode(F.array(*[F.struct((F.col("vec_id") - k).alias("start"), F.lit(k).alias("k")) for k in range(4)])).alias("s"), "embedding")
+    four = placed.groupBy("s.start").agg(F.array_sort(F.collect_list(F.struct("s.k", "embedding"))).alias("v")).where("size(v) = 4")
+    entity = lambda k: F.get("v", F.lit(k))["embedding"]
+    scored = rag.entity_recall(four, F.array(entity(0), entity(1)), F.array(entity(2), entity(3)), expected_min=0.0)
+    return scored.select(F.col("start").alias("vec_id"), rounded(F.col("ContextEntityRecall.score")).alias("score"))
+
+
+# --- evaluation
+
+
+def qa_corpus(spark, sf_dir) -> DataFrame:
+    """Documents as stories whose first two lines are answers with their places."""
+    rows = lines_of(spark, sf_dir)
+    one, two = F.get("lines", F.lit(0)), F.coalesce(F.get("lines", F.lit(1)), F.lit(""))
+    after = F.length(one) + 1
+    answers = F.struct(F.array(one, two).alias("input_text"), F.array(F.lit(0).cast("bigint"), after.cast("bigint")).alias("answer_start"), F.array(F.length(one).cast("bigint"), (after + F.length(two)).cast("bigint")).alias("answer_end"))
+    return rows.select("doc_id", F.lit("lines").alias("source"), F.col("text").alias("story"), F.array(F.lit("What is first?"), F.lit("What is second?")).alias("questions"), answers.alias("answers"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, l[1] AS a, coalesce(l[2], '') AS b FROM ({_LINES})),
+c AS (SELECT doc_id, 'factuality' AS tag, a AS given, 1.0 AS expected FROM d UNION ALL SELECT doc_id, 'factuality', b, 0.0 FROM d
+  UNION ALL SELECT doc_id, 'factuality', a || ' ' || b, 0.6 FROM d
+  UNION ALL SELECT doc_id, 'context relevancy', a, 1.0 FROM d UNION ALL SELECT doc_id, 'context relevancy', b, 0.0 FROM d
+  UNION ALL SELECT doc_id, 'context relevancy', a || chr(10) || b, length(a) / (length(a) + length(b) + 1) FROM d
+  UNION ALL SELECT doc_id, 'closed q a', a, 1.0 FROM d UNION ALL SELECT doc_id, 'closed q a', b, 0.0 FROM d)
+SELECT doc_id, tag, given, round(CAST(expected AS DOUBLE), 6) AS expected FROM c""")
+def eval_case_generators(spark, sf_dir):
+    """All three generators over all documents."""
+    corpus = qa_corpus(spark, sf_dir)
+    slim = lambda df, field: df.select("doc_id", F.get("tags", F.lit(0)).alias("tag"), F.col(f"input.{field}").alias("given"), rounded(F.col("expected")).alias("expected"))
+    parts = [slim(cases.factuality_cases(corpus), "output"), slim(cases.relevancy_cases(corpus), "context"), slim(cases.closed_qa_cases(corpus), "output")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""
+SELECT d.doc_id, round(CASE WHEN s = 0 AND q = 0 THEN 1 ELSE 1 - abs(q - s) / nullif(abs(q) + abs(s), 0) END, 6) AS score
+FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE (doc_id % 11) / 10.0 END::DOUBLE AS s, quality::DOUBLE AS q FROM labels) d""")
+def eval_meta_score(spark, sf_dir):
+    """Judged scores, some failed, against quality labels."""
+    rows = table(spark, sf_dir, "labels").withColumn("judged", F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 11) / 10.0))
+    return rows.select("doc_id", rounded(evaluate.meta_score(F.col("judged"), F.col("quality").cast("double"))).alias("score"))
+
+
+@query("""
+SELECT p_brand, p_type, round(avg(s), 6) AS mean, count(s) AS scored, CAST(sum(CASE WHEN s IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped
+FROM (SELECT a.p_brand, a.p_type, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) AS s FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1)
+GROUP BY ROLLUP (p_brand, p_type)""")
+def score_report_rollup(spark, sf_dir):
+    """Mean name similarity with subtotals; the last part has no neighbour and is skipped."""
+    part = table(spark, sf_dir, "part")
+    following = part.select((F.col("p_partkey") - 1).alias("_next"), F.col("p_name").alias("expected"))
+    scored = Levenshtein(output="p_name").transform(part.join(following, F.col("p_partkey") == F.col("_next"), "left"))
+    out = evaluate.report(scored.withColumn("score", F.col("Levenshtein.score")), ["p_brand", "p_type"])
+    return out.withColumn("mean", rounded(F.col("mean")))
+
+
+@query("""
+SELECT p_brand, p_partkey, place, round(s, 6) AS score FROM (
+  SELECT p_brand, p_partkey, s, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY round(s, 9), p_partkey) AS INTEGER) AS place FROM (
+    SELECT a.p_brand, a.p_partkey, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) AS s FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1))
+WHERE place <= 3""")
+def score_top_k(spark, sf_dir):
+    """The three least similar neighbours of each brand."""
+    part = table(spark, sf_dir, "part")
+    pairs = neighbours(part, "p_partkey", "p_name").join(part.select("p_partkey", "p_brand"), "p_partkey")
+    scored = Levenshtein().transform(pairs).withColumn("score", F.round("Levenshtein.score", 9))
+    return evaluate.lowest(scored, ["p_brand"], ["p_partkey"], 3).select("p_brand", "p_partkey", "place", rounded(F.col("score")).alias("score"))
+
+
+@query("""
+SELECT 'Levenshtein' AS name, a.p_partkey, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS score FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1
+UNION ALL
+SELECT 'ExactMatch', a.p_partkey, CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE 0.0 END FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def evaluate_many(spark, sf_dir):
+    """Two scorers in one pass, in long form."""
+    from scoreframe.operators.scorers import ExactMatch
+
+    scored = evaluate.evaluate(neighbours(table(spark, sf_dir, "part"), "p_partkey", "p_name"), [Levenshtein(), ExactMatch()])
+    long = evaluate.long_form(scored, ["Levenshtein", "ExactMatch"], ["p_partkey"])
+    return long.select("name", "p_partkey", rounded(F.col("score")).alias("score"))
+
+
+_WINDOWS = """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, round(avg(CASE WHEN value = 0 THEN 0 ELSE 1 - abs(50 - value) / (50 + abs(value)) END), 6) AS score, count(*) AS n
+FROM events GROUP BY 1"""
+
+
+@query(_WINDOWS)
+def score_batch_window(spark, sf_dir):
+    """Daily mean closeness of event values to 50."""
+    scored = table(spark, sf_dir, "events").withColumn("s", scalar.numeric_score(F.col("value"), F.lit(50.0)))
+    return windowed_scores(scored, "s").select(F.col("start").cast("timestamp_ntz").alias("start"), rounded(F.col("score")).alias("score"), "n")
+
+
+@query(_WINDOWS)
+def score_stream_window(spark, sf_dir):
+    """The same over a stream of the events' files, run until all that is there is read."""
+    path = f"{sf_dir}/events.parquet"
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
+    out = f"{base}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    scored = windowed_scores(stream.withColumn("s", scalar.numeric_score(F.col("value"), F.lit(50.0))), "s")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/result")
+
+    run = scored.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    done = spark.read.parquet(f"{out}/result")
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), rounded(F.col("score")).alias("score"), "n")
+
