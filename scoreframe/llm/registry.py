@@ -1,10 +1,12 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from scoreframe.llm import media, mixing, near_dedup, packing, quality_model, quality_rules, toxicity, url_filter
+from scoreframe.llm import chat, media, mixing, near_dedup, packing, quality_model, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_chat_format": chat.op4_chat_format,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_toxicity": toxicity.op7_toxicity,
