@@ -199,6 +199,17 @@ class CustomScorer(Scorer):
         return self.function(F.col(self.output), F.col(self.expected))
 
 
+def python_scorer(name: str, function: Callable[[object, object], float | None], **options) -> CustomScorer:
+    """A scorer from a Python function of two values, sent in Arrow batches; for what no expression can say."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def run(output: pd.Series, expected: pd.Series) -> pd.Series:
+        return pd.Series([function(o, e) for o, e in zip(output, expected, strict=True)], dtype="float64")
+
+    return CustomScorer(function=run, label=name, **options)
+
+
 def judge(name: str, **options) -> JudgeSpec:
     """One of the judges that come with a template file."""
     return JudgeSpec.from_file(name, TEMPLATES / f"{_file_of(name)}.yaml", **options)
