@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 
-#: Letters and the marks after them never join in one piece, so such places may be cut.
-_CUT = re.compile(rb"(?<=[a-z])(?=[.,])")
+#: The string of a special token that parts pieces which are encoded together, and its id.
+_PART, _PART_ID = "<|endoftext|>", 49407
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,7 +21,8 @@ class WordTokenizer:
     """Encodes texts piece by piece between ASCII white space, which the tokenizer drops, so pieces don't depend on each other.
 
     The tokenizer lower-cases, so A-Z are lower-cased first, which leaves fewer pieces to remember; texts that might hold
-    the string of a special token are left as they are. ``special``: whether the strings of special tokens in a text stand for those tokens. Ids are 16-bit.
+    the string of a special token are left as they are. ``special``: whether the strings of special tokens in a text stand
+    for those tokens. Ids are 16-bit.
     """
 
     MOST = 1_000_000
@@ -33,22 +33,41 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.parting = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.seen: dict[bytes, bytes] = {}
 
+    def _encode_pieces(self, pieces: list[bytes]) -> None:
+        """Remember the ids of pieces. Those without a special token's string are encoded many at a time."""
+        plain = [p for p in pieces if b"<|" not in p]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self.parting.encode(_PART.join(p.decode() for p in part), add_special_tokens=False).ids, "<u2")
+            ends = np.append(np.flatnonzero(ids == _PART_ID), len(ids)).tolist()
+            begin = 0
+            for p, end in zip(part, ends, strict=True):
+                self.seen[p] = ids[begin:end].tobytes()
+                begin = end + 1
+        for p in pieces:
+            if b"<|" in p:
+                self.seen[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 16-bit numbers."""
         data = (text or "").encode("utf-8", "replace")
-        pieces = data.split() if b"<|" in data else _CUT.sub(b" ", data.lower()).split()
+        pieces = (data if b"<|" in data else data.lower()).split()
         seen = self.seen
         if new := [p for p in pieces if p not in seen]:
-            new = list(set(new))
             if len(seen) + len(new) > self.MOST:
                 seen.clear()
-                new = list(set(pieces))
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            seen.update((p, np.array(c.ids, "<u2").tobytes()) for p, c in zip(new, coded, strict=True))
+                new = pieces
+            # a letter and a mark after it are never one token, so a word with a mark needs the word alone
+            new = set(new)
+            marked = {p for p in new if p[-1:] in (b".", b",") and 97 <= p[-2:][0] <= 122}
+            words = {p[:-1] for p in marked} | (new - marked) | {b".", b","}
+            self._encode_pieces([p for p in words if p not in seen])
+            for p in marked:
+                seen[p] = seen[p[:-1]] + seen[p[-1:]]
         return b"".join([seen[p] for p in pieces])
 
 
