@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,8 +202,6 @@ class CustomScorer(Scorer):
 
 def python_scorer(name: str, function: Callable[[object, object], float | None], **options) -> CustomScorer:
     """A scorer from a Python function of two values, sent in Arrow batches; for what no expression can say."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(output: pd.Series, expected: pd.Series) -> pd.Series:
         return pd.Series([function(o, e) for o, e in zip(output, expected, strict=True)], dtype="float64")

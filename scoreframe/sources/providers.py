@@ -1,7 +1,7 @@
 """Providers answer requests: from stored responses, or over HTTP in bounded batches inside tasks.
 
-Responses are kept in a table by request key and are written before anything joins them, so a retried task or a rerun
-doesn't send a request again.
+Responses are kept in a table by request key and are written before anything joins them, so later plans and reruns send
+only what isn't stored; a task that is retried while its batch is written sends its own requests again.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import os
 import time
 import urllib.error
 import urllib.request
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -120,15 +121,20 @@ def fetch(requests: DataFrame, provider, partitions: int = 32) -> DataFrame:
 
 
 def answer_all(requests: DataFrame, provider, table: str, partitions: int = 32) -> DataFrame:
-    """Answer the distinct requests that the response table (a Parquet path) lacks, append them, and read the table."""
+    """Answer the distinct requests that the response table lacks, append them, and read the table.
+
+    The table is a folder of batches. Every call adds one, so that reads before and after it name different paths: Spark takes
+    two reads of one path for the same data, and would reuse the older one in a plan that holds both.
+    """
     spark: SparkSession = requests.sparkSession
     todo = requests.select("request_key", "request").dropDuplicates(["request_key"])
+    batches = f"{table}/batch-*"
     try:
-        known = spark.read.schema(RESPONSES).parquet(table)
+        known = spark.read.schema(RESPONSES).parquet(batches)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     else:
         todo = todo.join(known, "request_key", "left_anti")
-    fetch(todo, provider, partitions).write.mode("append").parquet(table)
-    return spark.read.schema(RESPONSES).parquet(table).groupBy("request_key").agg(F.first("response").alias("response"))
+    fetch(todo, provider, partitions).write.parquet(f"{table}/batch-{uuid.uuid4().hex}")
+    return spark.read.schema(RESPONSES).parquet(batches).groupBy("request_key").agg(F.first("response").alias("response"))
