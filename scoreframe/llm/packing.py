@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreframe.llm.common import materialize, table
-from scoreframe.llm.texthash import mix64
+from scoreframe.llm.texthash import batches, mix64
 from scoreframe.llm.tokenize import tokenizer_path, word_tokenizer
 
 WINDOW, END = 4096, 2
@@ -47,8 +47,9 @@ def tails_and_windows(docs: DataFrame, path: str, window: int = WINDOW, end: int
         mark = np.array([end], "<u2").tobytes()
         for pdf in frames:
             rows = []
-            for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
-                ids = np.frombuffer(encoder.encode(text) + mark, "<u2")
+            coded = [c for part in batches([len(t or "") for t in pdf.text]) for c in encoder.encode_many(list(pdf.text.iloc[part]))]
+            for doc_id, code in zip(pdf.doc_id, coded, strict=True):
+                ids = np.frombuffer(code + mark, "<u2")
                 whole = len(ids) // window * window
                 for at in range(0, whole, window):
                     rows.append((doc_id, at, window, crc_of(ids[at : at + window]), len(ids), None, 0))

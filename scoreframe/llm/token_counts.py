@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreframe.llm.common import materialize, table
+from scoreframe.llm.texthash import batches
 from scoreframe.llm.tokenize import tokenizer_path, word_tokenizer
 
 #: The identifier at a document's end, and tokens in a block.
@@ -46,8 +47,9 @@ def token_files(docs: DataFrame, path: str | None = None, end: int = END, block:
 
         for pdf in frames:
             rows = []
-            for null, doc_id, text in zip(pdf.doc_id.isna(), pdf.doc_id, pdf.text, strict=True):
-                held += encoder.encode(text) + mark
+            coded = (c for part in batches([len(t or "") for t in pdf.text]) for c in encoder.encode_many(list(pdf.text.iloc[part])))
+            for null, doc_id, code in zip(pdf.doc_id.isna(), pdf.doc_id, coded, strict=True):
+                held += code + mark
                 ended.append((len(held), None if null else int(doc_id)))
                 while len(held) >= size:
                     rows.append(cut(size))

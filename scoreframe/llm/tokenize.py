@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 
 import numpy as np
 
@@ -17,6 +18,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _only_letters(text: str) -> bool:
+    """Whether a text is one run of letters for the tokenizer, also after it is normalised; in doubt, no."""
+    return text.isalpha() and (text.isascii() or (max(text) < "\u0530" and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()))
+
+
 class WordTokenizer:
     """Encodes texts piece by piece between ASCII white space, which the tokenizer drops, so pieces don't depend on each other.
 
@@ -36,39 +42,59 @@ class WordTokenizer:
         self.tokenizer, self.parting = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.seen: dict[bytes, bytes] = {}
+        #: Whether a token ends a run of letters.
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def _encode_pieces(self, pieces: list[bytes]) -> None:
-        """Remember the ids of pieces. Those without a special token's string are encoded many at a time."""
-        plain = [p for p in pieces if b"<|" not in p]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.parting.encode(_PART.join(p.decode() for p in part), add_special_tokens=False).ids, "<u2")
-            ends = np.append(np.flatnonzero(ids == _PART_ID), len(ids)).tolist()
-            begin = 0
-            for p, end in zip(part, ends, strict=True):
-                self.seen[p] = ids[begin:end].tobytes()
-                begin = end + 1
+        """Remember the ids of pieces, many of which are encoded as one text and then told apart: runs of letters by the
+        tokens that end them, others by a special token between them. Pieces that may hold one go alone."""
+        words, others, alone = [], [], []
         for p in pieces:
-            if b"<|" in p:
-                self.seen[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+            text = p.decode()
+            (words if _only_letters(text) else alone if b"<|" in p else others).append(text)
+        for part, ids in self._joined(words, " "):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            self._remember(part, ids, [0, *stops[:-1].tolist()], stops.tolist())
+        for part, ids in self._joined(others, _PART):
+            stops = np.append(np.flatnonzero(ids == _PART_ID), len(ids)).tolist()
+            self._remember(part, ids, [0, *[s + 1 for s in stops[:-1]]], stops)
+        for text in alone:
+            self.seen[text.encode()] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _joined(self, texts: list[str], between: str):
+        parts = [texts[i : i + 500] for i in range(0, len(texts), 500)]
+        coded = self.parting.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)
+        return [(p, np.array(c.ids, "<u2")) for p, c in zip(parts, coded, strict=True)]
+
+    def _remember(self, texts: list[str], ids: np.ndarray, starts: list[int], stops: list[int]) -> None:
+        data = ids.tobytes()
+        self.seen.update((t.encode(), data[2 * a : 2 * b]) for t, a, b in zip(texts, starts, stops, strict=True))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 16-bit numbers."""
-        data = (text or "").encode("utf-8", "replace")
-        pieces = (data if b"<|" in data else data.lower()).split()
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The same for many texts, whose unseen pieces are encoded together."""
+        data = [(t or "").encode("utf-8", "replace") for t in texts]
+        split = [(d if b"<|" in d else d.lower()).split() for d in data]
         seen = self.seen
-        if new := [p for p in pieces if p not in seen]:
+        found = [list(map(seen.get, pieces)) for pieces in split]
+        gaps = [(pieces, ids) for pieces, ids in zip(split, found, strict=True) if None in ids]
+        new = {p for pieces, ids in gaps for p, i in zip(pieces, ids, strict=True) if i is None}
+        if new:
             if len(seen) + len(new) > self.MOST:
                 seen.clear()
-                new = pieces
             # a letter and a mark after it are never one token, so a word with a mark needs the word alone
-            new = set(new)
             marked = {p for p in new if p[-1:] in (b".", b",") and 97 <= p[-2:][0] <= 122}
             words = {p[:-1] for p in marked} | (new - marked) | {b".", b","}
             self._encode_pieces([p for p in words if p not in seen])
             for p in marked:
                 seen[p] = seen[p[:-1]] + seen[p[-1:]]
-        return b"".join([seen[p] for p in pieces])
+            for pieces, ids in gaps:
+                ids[:] = [seen[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 @functools.lru_cache(4)
