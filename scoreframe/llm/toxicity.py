@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import table
+from scoreframe.llm.common import materialize, table
 from scoreframe.llm.labelled import held_out, training_rows
 
 #: Bound of the training sample, half of it for each label.
@@ -136,7 +136,7 @@ def _candidates(rows: DataFrame) -> dict[str, float]:
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Lexicon:
     """The lexicon and coefficients learned from labels.toxic; the given entries alone where there are no labels."""
     rows = training_rows(docs, labels, "toxic", most, per_class=True)
-    rows = rows.select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = materialize(rows.select("doc_id", "text", F.col("label").cast("int").alias("label")), "training")  # read four times
     known = _candidates(rows)
     spelled = set(known)
 
