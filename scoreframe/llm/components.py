@@ -12,16 +12,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of the edges (a, b); the component is its smallest vertex.
 
     Each step replaces edges by edges to smaller vertices until every vertex points at its component's smallest. A
-    vertex with very many neighbours only passes through aggregations and joins that Spark splits, never through a list.
+    vertex with very many neighbours only passes through aggregations and joins that Spark splits, never through a list:
+    the minima are written first, so that both sides of each join are plain shuffles.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _fingerprint(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "low")
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "low")
         small = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = materialize(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         after = _fingerprint(now)
