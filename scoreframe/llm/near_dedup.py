@@ -116,7 +116,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(frames):
         for pdf in frames:
             raw = [b"" if t is None else t.encode("utf-8", "replace") for t in pdf.text]
-            for part in batches([len(t) + 4000 for t in raw]):
+            for part in batches([len(t) + 4000 for t in raw], 2_000_000):
                 texts = raw[part]
                 doc, values = shingles(texts)
                 size = np.bincount(doc, minlength=len(texts))
@@ -139,7 +139,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for pdf in frames:
             good = []
             sizes = [len(x) + len(y) for x, y in zip(pdf.ta, pdf.tb, strict=True)]
-            for part in batches(sizes, 8_000_000):
+            for part in batches(sizes, 3_000_000):
                 place: dict[str, int] = {}
                 at = [(place.setdefault(x, len(place)), place.setdefault(y, len(place))) for x, y in zip(pdf.ta.iloc[part], pdf.tb.iloc[part], strict=True)]
                 doc, values = shingles([t.encode("utf-8", "replace") for t in place])

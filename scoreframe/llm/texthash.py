@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 _ODD = 0x9E3779B97F4A7C15
@@ -18,16 +16,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_ODD, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, p, np.uint64)])) for p in (_ODD, inverse))
+_powers_made = [np.zeros(0, np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the odd number and of its inverse, n at least; the longest made so far are kept."""
+    if len(_powers_made[0]) < n:
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+                made = np.full(1 << max(21, (n - 1).bit_length()), base, np.uint64)
+                made[0] = 1
+                _powers_made[k] = np.cumprod(made, out=made)
+    return _powers_made
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte runs data[start:end], from running sums of bytes times powers of an odd number."""
-    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
+    up, down = _powers(len(data))
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
         return mix64((sums[ends] - sums[starts]) * down[starts])
