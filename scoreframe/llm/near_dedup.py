@@ -153,30 +153,31 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def compare_rest(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components whose signatures agree, of members (key, band, id, n, component, small) of buckets.
+    """Pairs (a, b) of different components whose signatures agree, of members (key, band, id, n, component, small, keys) of buckets.
 
     A bucket is cut into blocks of BLOCK by a hash of the id, and every pair of blocks is one group of at most about
-    2 * BLOCK rows; a bucket of up to BLOCK members is sent once. A pair goes on from the first band that it shares only:
-    in that band's bucket either one of the two was the hub, and the pair is tested, or both are here.
+    2 * BLOCK rows; a bucket of up to BLOCK members is sent once. A pair goes on from the first bucket that it shares only:
+    there either one of the two was the hub, and the pair is tested, or both are here. Which bucket is the first is told by
+    the bucket keys themselves, since bins of a signature can agree where those differ.
     """
     size = members.groupBy("key").agg(F.count("*").alias("m")).select(F.col("key").alias("k"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(size, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "band", "id", "n", "component", "small")
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "band", "id", "n", "component", "small", "keys")
     dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "p", "q")
 
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, p, q = group
         ids, n, component = pdf.id.to_numpy(), pdf.n.to_numpy(), pdf.component.to_numpy()
         grid, band = np.frombuffer(b"".join(pdf.small), np.uint8).reshape(-1, BINS), pdf.band.iloc[0]
+        keys = np.stack(pdf["keys"].to_list())
         left, right = np.flatnonzero(pdf.block.to_numpy() == p), np.flatnonzero(pdf.block.to_numpy() == q)
         a, b = [], []
         for i in left:
             fits = right[(component[right] != component[i]) & (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i]))]
             fits = fits[ids[fits] > ids[i]] if p == q else fits
-            same = grid[fits] == grid[i]
-            good = np.count_nonzero(same, axis=1) >= AGREE * BINS
-            fits = fits[good][same[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            fits = fits[np.count_nonzero(grid[fits] == grid[i], axis=1) >= AGREE * BINS]
+            fits = fits[(keys[fits] == keys[i]).argmax(axis=1) == band]
             a.append(np.minimum(ids[fits], ids[i]))
             b.append(np.maximum(ids[fits], ids[i]))
         return pd.DataFrame({"a": np.concatenate([*a, ids[:0]]), "b": np.concatenate([*b, ids[:0]])})
@@ -208,7 +209,7 @@ def link(docs: DataFrame) -> DataFrame:
     rest = members.join(labels.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
     rest = materialize(rest.join(hubs.select(F.col("k").alias("key"), F.col("hub").alias("id")), ["key", "id"], "left_anti"), "rest")
     split = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = rest.join(split, "key", "left_semi").join(classes.select(F.col("id").alias("i"), "small"), F.col("id") == F.col("i")).drop("i")
+    rest = rest.join(split, "key", "left_semi").join(classes.select(F.col("id").alias("i"), "small", "keys"), F.col("id") == F.col("i")).drop("i")
     more = materialize(compare_rest(rest), "pairs")
     more = materialize(confirm(more, texts), "links")
     if not more.isEmpty():

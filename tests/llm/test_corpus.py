@@ -276,6 +276,16 @@ def test_blocks_find_what_the_hub_misses(spark, monkeypatch):
     assert got == by_force(rows)
 
 
+def test_first_shared_bucket_is_told_by_its_key(spark):
+    """Bins that agree by chance in a band before the first shared bucket don't lose the pair; it leaves from one bucket only."""
+    keys = [list(range(near_dedup.BANDS)), [-1, -1, -1, *range(3, near_dedup.BANDS)]]
+    small = bytearray(bytes(near_dedup.BINS))
+    schema = "key long, band int, id long, n int, component long, small binary, keys array<long>"
+    for band, found in ((3, [(1, 2)]), (7, [])):
+        rows = [(band, band, i, 100, i, small, k) for i, k in zip((1, 2), keys, strict=True)]
+        assert [tuple(r) for r in near_dedup.compare_rest(spark.createDataFrame(rows, schema)).collect()] == found
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = near_dedup.link(odd).collect()
     assert len(rows) == len(ODD)
