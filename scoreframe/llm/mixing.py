@@ -3,8 +3,8 @@
 Every source has a target (words it gives to the mix) and a weight schedule over training time u in [0, 1], given as
 knots joined by straight lines. The integral of the schedule up to u, scaled to the target, is the demand that the
 source has met by u. A source's documents are laid end to end in hash order, epoch after epoch; a document's training
-position is the time at which cumulative demand reaches its offset, found by inverting the integral. Documents are then
-range-sorted by position.
+position in an epoch is the time at which cumulative demand reaches its offset there, found by inverting the integral.
+Documents are then range-sorted by position, once for each epoch that takes them.
 
 Words are counted per document (null text: 0). A null source is a source of its own, after all others. Sources without
 words have target 0 and give nothing; documents without words take nothing and get the position of their offset. Rows
@@ -64,11 +64,11 @@ def when_met(share: Column, knots) -> Column:
 
 
 def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, schedules=SCHEDULES) -> DataFrame:
-    """doc_id, source, size, source_size, target, offset, taken, copies and position of every document.
+    """doc_id, source, size, source_size, target, offset, taken, copies, position and positions of every document.
 
     ``taken`` is exact: the words of the document that lie below the source's rounded target, over all epochs, so only
-    one document of a source is taken in part. ``copies`` rounds that to whole documents. ``position`` is the time of
-    the document's middle in the first epoch, null where nothing is taken.
+    one document of a source is taken in part. ``copies`` rounds that to whole documents. ``positions`` holds the time of
+    the document's middle in each epoch that takes words of it, ``position`` the first of them; null where nothing is taken.
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     sized = materialize(sized.withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id"))), "sized")
@@ -77,15 +77,20 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, c
     right = targets.withColumnRenamed("source", "_source")
     df = laid.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_order")
     due = F.round("target").cast("long")
-    taken = F.lit(0).cast("long")
+    taken, places = F.lit(0).cast("long"), []
     for epoch in range(int(-(-cap // 1))):
-        taken = taken + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), due - F.col("offset") - epoch * F.col("source_size")))
-    middle = F.try_divide(F.col("offset") + F.col("size") / 2, F.col("target"))
-    at = F.lit(None).cast("double")
-    for place, knots in enumerate(schedules):
-        at = F.when(F.col("place") == place, when_met(F.least(F.lit(1.0), middle), knots)).otherwise(at)
+        offset = F.col("offset") + epoch * F.col("source_size")
+        part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), due - offset))
+        taken = taken + part
+        middle = F.try_divide(offset + F.col("size") / 2, F.col("target"))
+        at = F.lit(None).cast("double")
+        for place, knots in enumerate(schedules):
+            at = F.when(F.col("place") == place, when_met(F.least(F.lit(1.0), middle), knots)).otherwise(at)
+        places.append(F.when(part > 0, at))
+    df = df.withColumn("positions", F.array_compact(F.array(*places)))
     df = df.withColumn("taken", taken).withColumn("copies", F.coalesce(F.round(F.try_divide("taken", "size")), F.lit(0)).cast("int"))
-    return df.withColumn("position", F.when(F.col("taken") > 0, at)).select("doc_id", "source", "size", "source_size", "target", "offset", "taken", "copies", "position")
+    df = df.withColumn("positions", F.when(F.col("taken") > 0, F.col("positions"))).withColumn("position", F.get("positions", F.lit(0)))
+    return df.select("doc_id", "source", "size", "source_size", "target", "offset", "taken", "copies", "position", "positions")
 
 
 def sort_by_position(mixed: DataFrame) -> DataFrame:
@@ -97,17 +102,18 @@ def take(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each as often as its copies say, in training order, with docs' own columns.
 
     Rows that share a doc_id are mixed as the sum of their copies over the distinct ids, so every row of such an id is
-    repeated as often as the first is.
+    repeated as often as the first is, and at its places.
     """
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"), F.min("position").alias("_position"))
-    right = copies.where("_copies > 0").withColumnRenamed("doc_id", "_id")
+    most = F.min(F.struct((-F.col("copies")).alias("minus"), "positions"))
+    copies = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(most.alias("_most"))
+    right = copies.select(F.col("doc_id").alias("_id"), F.slice("_most.positions", F.lit(1), -F.col("_most.minus")).alias("_positions"))
     taken = docs.join(right, F.col("doc_id").eqNullSafe(F.col("_id")))
-    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    order = [F.col("_copy"), F.col("_position"), F.col("_id")]
+    taken = taken.withColumn("_position", F.explode("_positions"))
+    order = [F.col("_position"), F.col("_id")]
     return taken.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir) -> DataFrame:
-    """Every document with its source's target and the words that the mix takes of it."""
+    """Every document with its source's target, the words that the mix takes of it and its places in training, one for each epoch."""
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return sort_by_position(mixed).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return sort_by_position(mixed).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")

@@ -95,6 +95,22 @@ def test_take_repeats_documents(spark):
     assert got == {d: c for d, c in copies.items() if c}
 
 
+def test_every_epoch_has_its_position(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j", "s" if i < 40 else "t") for i in range(400)], DOCS.replace(", size string", ""))
+    mixed = {r.doc_id: r.asDict() for r in mixing.mix(docs).collect()}
+    grid = np.linspace(0, 1, 100_001)
+    area = {"s": 1.5 * grid - grid**2 / 2, "t": np.where(grid <= 0.5, 0.2 * grid + 0.8 * grid**2, 0.3 + (grid - 0.5) + 0.8 * (grid - 0.5) ** 2)}
+    want = []
+    for d, r in mixed.items():
+        for copy in range(r["copies"]):
+            middle = min(1, (r["offset"] + copy * r["source_size"] + r["size"] / 2) / r["target"])
+            want.append((np.interp(middle, area[r["source"]] / area[r["source"]][-1], grid), d))
+    got = [r.doc_id for r in mixing.take(docs).collect()]
+    assert {r["copies"] for r in mixed.values() if r["source"] == "s"} == {2} and len(got) == len(want)
+    assert got == [d for _, d in sorted(want)]
+    assert sum(d < 40 for d in got[: len(got) // 2]) > 40  # the repeated source that fades out gives most of its words early
+
+
 # --- packing and token counts
 
 
