@@ -3,9 +3,9 @@
 Documents are cut at multiples of the window; whole windows need no neighbours, the tails do. Tails are range-partitioned
 by a min-hash of their token ids, ties by id, so that alike tails stand together and a group of copies of any size spreads
 over partitions. Each partition is worked off in shards of at most SHARD tokens. A shard has a BM25 inverted index of
-its tails: the longest unused tail seeds a window, its unused neighbours by BM25 fill it while they fit whole, then the
-longest unused tail that fits; a gap of more than GAP tokens is closed by cutting the next neighbour, whose rest
-stays unused. Only the last window of a shard can be left with more padding.
+its tails: the longest unused tail seeds a window, all unused tails that share an id with it are taken in BM25 order where
+they fit whole, then the longest unused tail that fits; a gap of more than GAP tokens is closed by cutting the next
+neighbour, whose rest stays unused. Only the last window of a shard can be left with more padding.
 
 A null or empty text is the end token alone. Rows are packed one by one, also where ids repeat or are null. An empty table
 gives no pieces.
@@ -27,8 +27,8 @@ from scoreframe.llm.texthash import batches, mix64
 from scoreframe.llm.tokenize import tokenizer_path, word_tokenizer
 
 WINDOW, END = 4096, 2
-#: Most tokens in a shard, the largest gap that is padded, the query's terms and the BM25 parameters.
-SHARD, GAP, TERMS = 1_500_000, 48, 24
+#: Most tokens in a shard, the largest gap that is padded and the BM25 parameters.
+SHARD, GAP = 1_500_000, 48
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -65,39 +65,50 @@ def tails_and_windows(docs: DataFrame, path: str, window: int = WINDOW, end: int
 
 
 class Index:
-    """A BM25 inverted index over the tails of one shard."""
+    """A BM25 inverted index over the tails of one shard; ids of one tail alone lead nowhere and aren't held."""
 
     def __init__(self, tails: list[np.ndarray]):
         lengths = np.array([len(t) for t in tails])
         doc = np.repeat(np.arange(len(tails)), lengths)
         key, count = np.unique(np.concatenate(tails).astype(np.int64) * len(tails) + doc, return_counts=True)
-        self.term, self.doc = key // len(tails), key % len(tails)
-        self.terms, self.first = np.unique(self.term, return_index=True)
-        self.last = np.append(self.first[1:], len(key))
-        df = self.last - self.first
-        self.idf = np.log1p((len(tails) - df + 0.5) / (df + 0.5))
+        term, self.doc = key // len(tails), key % len(tails)
+        self.terms, df = np.unique(term, return_counts=True)
         norm = K1 * (1 - B + B * lengths / lengths.mean())
-        self.weight = np.repeat(self.idf, df) * count * (K1 + 1) / (count + norm[self.doc])
-        self.size = len(tails)
-
-    def neighbours(self, tail: np.ndarray, most: int = 64) -> np.ndarray:
-        """The best-scoring documents for a tail's rarest terms, best first."""
+        idf = np.log1p((len(tails) - df + 0.5) / (df + 0.5))
+        self.weight = np.repeat(idf, df) * count * (K1 + 1) / (count + norm[self.doc])
+        self.ends = np.append(0, np.cumsum(df))
+        self.unused = np.ones(len(tails), bool)
+        self.held = self.left = len(tails)
+        self._keep(np.repeat(df > 1, df))
+
+    def _keep(self, keep: np.ndarray) -> None:
+        self.ends = np.append(0, np.cumsum(keep))[self.ends]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
+    def drop(self, i: int) -> None:
+        """Tail i is used up; once half of the tails held are, their places are cleared."""
+        self.unused[i] = False
+        self.left -= 1
+        if 2 * self.left < self.held:
+            self.held = self.left
+            self._keep(self.unused[self.doc])
+
+    def neighbours(self, tail: np.ndarray) -> np.ndarray:
+        """All unused tails that share an id with a tail, best first."""
         at = np.searchsorted(self.terms, np.unique(tail))
-        if len(at) > TERMS:
-            at = at[np.argpartition(-self.idf[at], TERMS)[:TERMS]]
-        hits = np.concatenate([np.arange(a, b) for a, b in zip(self.first[at], self.last[at], strict=True)])
-        score = np.bincount(self.doc[hits], self.weight[hits], self.size)
-        found = np.flatnonzero(score)
-        if len(found) > most:
-            found = found[np.argpartition(-score[found], most)[:most]]
-        return found[np.lexsort((found, -score[found]))]
+        runs = [slice(a, b) for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True) if a < b]
+        if not runs:
+            return np.zeros(0, np.int64)
+        score = np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), len(self.unused))
+        found = np.flatnonzero((score > 0) & self.unused)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack_shard(tails: list[np.ndarray], window: int = WINDOW, gap: int = GAP) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (tail, from, to): every position of every tail lies in one of them."""
     index = Index(tails)
     begun = [0] * len(tails)  # where the unused rest of a tail begins
-    unused = set(range(len(tails)))
+    left = np.array([len(t) for t in tails])
     by_length = sorted((len(t), i) for i, t in enumerate(tails))  # of unused rests
     windows = []
 
@@ -108,27 +119,32 @@ def pack_shard(tails: list[np.ndarray], window: int = WINDOW, gap: int = GAP) ->
         by_length.pop(bisect.bisect_left(by_length, (rest(i), i)))
         into.append((i, begun[i], begun[i] + n))
         begun[i] += n
+        left[i] -= n
         if rest(i):
             bisect.insort(by_length, (rest(i), i))
         else:
-            unused.discard(i)
+            index.drop(i)
 
     while by_length:
         seed, filled = by_length[-1][1], []
         room = window - rest(seed)
         use(seed, rest(seed), filled)
-        near = [int(i) for i in index.neighbours(tails[seed]) if int(i) in unused] if room > gap and unused else []
-        for i in near:
-            if rest(i) <= room:
+        near = index.neighbours(tails[seed]) if by_length and (room > gap or by_length[0][0] <= room) else np.zeros(0, np.int64)
+        fits = near[left[near] <= room]
+        while len(fits):  # the run that fits as it stands, then on behind the first that doesn't
+            n = int(np.searchsorted(np.cumsum(left[fits]), room, "right"))
+            for i in fits[:n].tolist():
                 room -= rest(i)
                 use(i, rest(i), filled)
+            fits = fits[n + 1 :]
+            fits = fits[left[fits] <= room]
         while room and by_length and by_length[0][0] <= room:
             i = by_length[bisect.bisect_right(by_length, (room, len(tails))) - 1][1]
             room -= rest(i)
             use(i, rest(i), filled)
         if room > gap and by_length:
-            i = next((i for i in near if i in unused), by_length[-1][1])
-            use(i, room, filled)
+            more = near[index.unused[near]]
+            use(int(more[0]) if len(more) else by_length[-1][1], room, filled)
         windows.append(filled)
     return windows
 

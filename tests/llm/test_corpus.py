@@ -172,6 +172,16 @@ def test_neighbours_share_windows():
     assert min(mixed) <= 2
 
 
+def test_every_unused_neighbour_is_found():
+    """Groups of far more than a window's tails, each tail with many ids of its own."""
+    r = np.random.default_rng(1)
+    own = iter(range(10_000, 60_000))
+    tails = [np.array([*r.choice(np.arange(t * 100, t * 100 + 60), 50), *itertools.islice(own, 30)], "<u2") for t in [0, 1, 2, 3] * 120]
+    windows = packing.pack_shard(tails, window=800)
+    assert sorted((i, p) for w in windows for i, a, b in w for p in range(a, b)) == [(i, p) for i in range(480) for p in range(80)]
+    assert sum(len({i % 4 for i, _, _ in w}) > 1 for w in windows) <= 3
+
+
 def test_token_counts(spark, odd):
     tokenizer = whole_tokenizer()
     tokenizer.encode_special_tokens = True
