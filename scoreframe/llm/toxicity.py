@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick after folding, normalised by length, with exception phrases.
 
 ``fold`` lower-cases, strips accents, maps homoglyphs (Cyrillic and Greek look-alikes) and digits or signs standing for
-letters, and turns all else into spaces. Lexicon entries are beginnings of words; a hit inside an exception phrase does
+letters, and turns all but letters, digits and other scripts' spacing vowel signs into spaces. Lexicon entries are beginnings of words; a hit inside an exception phrase does
 not count. A text's features are the logarithms of the summed weight of its hits and of that sum per 100 words, and the
 score is their logistic.
 
@@ -55,6 +55,18 @@ _FOLD = {ord(k): v for k, v in (_LOOKALIKE | _DIGITS).items()} | {i: None for i
 _FOLD |= {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) not in "@$"}
 
 
+class _Folding(dict):
+    """Adds what a character is read as when it is first met: accents as nothing, all but letters and digits as a space."""
+
+    def __missing__(self, code: int) -> str | None:
+        kind = unicodedata.category(chr(code))
+        self[code] = None if kind in ("Mn", "Me") else chr(code) if kind[0] in "LN" or kind == "Mc" else " "
+        return self[code]
+
+
+_FOLD = _Folding(_FOLD)
+
+
 def fold(text: str) -> str:
     """The text as the lexicon reads it."""
     text = text.lower()

@@ -112,6 +112,15 @@ def test_folding_and_exceptions():
     assert hits("unidiotic") == 0.0
 
 
+@pytest.mark.parametrize("mark", [chr(c) for c in (0x201C, 0x201E, 0xAB, 0x2014, 0xA1, 0xBF, 0x2018, 0x3010, 0x20AC, 0x2764)] + ["\u2764\ufe0f"])
+def test_words_after_marks_beyond_ascii(mark):
+    automaton = toxicity.Lexicon({"idiot": 2.0, "trash": 1.0}).automaton()
+    hits = lambda t: toxicity.hits(automaton, toxicity.fold(t))
+    assert hits(f"such {mark}Idiot{mark}") == hits(f"{mark}idiot") == hits(f"x{mark}idiot") == 2.0
+    assert hits(f"the {mark}trash can{mark}") == hits(f"the trash{mark}can") == 0.0
+    assert hits("\u00e9idiot") == hits("\u65e5idiot") == 0.0
+
+
 @pytest.mark.parametrize(
     ("url", "expected"),
     [
