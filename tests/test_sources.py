@@ -35,6 +35,14 @@ def test_cases(spark, tmp_path):
     assert [(r.input.output, r.expected, r.tags) for r in closed] == [("cat", 1.0, ["closed q a"]), ("dog", 0.0, ["closed q a"])]
 
 
+def test_cases_hold_the_story_and_three_answers(spark):
+    answers = {"input_text": ["cat", "dog", "sun"], "answer_start": [0, 13, 0], "answer_end": [12, 25, 3]}
+    corpus = spark.createDataFrame([DOC | {"answers": answers}], files.QA_CORPUS)
+    assert cases.factuality_cases(corpus).collect()[2].input.output == "dog cat sun"
+    asked = "Given the following context: The cat sat. The dog ran., \n\n Answer the question: Who sat?"
+    assert [r.input.input for r in cases.closed_qa_cases(corpus).collect()] == [asked] * 2
+
+
 def test_dispatch_and_report(spark):
     df = spark.createDataFrame([("lev", "ab", "ac"), ("json", '{"a":1}', '{"a":2}'), ("num", "1", "2")], "scorer string, output string, expected string")
     scored = evaluate.dispatch(df, {"lev": Levenshtein(), "json": JSONDiff(), "num": NumericDiff()}, "scorer")
