@@ -44,22 +44,24 @@ def tails_and_windows(docs: DataFrame, path: str, window: int = WINDOW, end: int
 
     def run(frames):
         encoder = word_tokenizer(path)
-        mark = np.array([end], "<u2").tobytes()
+        mixed = (mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1 << 20)) >> np.uint64(1)).astype(np.int64)
         for pdf in frames:
-            rows = []
-            coded = [c for part in batches([len(t or "") for t in pdf.text]) for c in encoder.encode_many(list(pdf.text.iloc[part]))]
-            for doc_id, code in zip(pdf.doc_id, coded, strict=True):
-                ids = np.frombuffer(code + mark, "<u2")
-                whole = len(ids) // window * window
-                for at in range(0, whole, window):
-                    rows.append((doc_id, at, window, crc_of(ids[at : at + window]), len(ids), None, 0))
-                if whole < len(ids):
-                    tail = ids[whole:]
-                    low = int(mix64(tail.astype(np.uint64) + np.uint64(1 << 20)).min() >> np.uint64(1))
-                    rows.append((doc_id, whole, len(tail), None, len(ids), tail.tobytes(), low))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "low"])
-            out["doc_id"], out["ids_crc32"] = out.doc_id.astype("Int64"), out.ids_crc32.astype("Int64")
-            yield out
+            for part in batches([len(t or "") for t in pdf.text]):
+                coded, ends = encoder.encode_flat(list(pdf.text.iloc[part]))
+                ids, ends = np.insert(coded, ends, end), ends + np.arange(1, len(ends) + 1)
+                sizes = np.diff(ends, prepend=0)
+                tails = sizes // window * window
+                low = np.minimum.reduceat(np.append(mixed[ids], 0), np.column_stack([ends - sizes + tails, ends]).reshape(-1))[::2]
+                rows = []
+                for doc_id, stop, size, tail, least in zip(pdf.doc_id.iloc[part], ends.tolist(), sizes.tolist(), tails.tolist(), low.tolist(), strict=True):
+                    begin = stop - size
+                    for at in range(0, tail, window):
+                        rows.append((doc_id, at, window, crc_of(ids[begin + at : begin + at + window]), size, None, 0))
+                    if tail < size:
+                        rows.append((doc_id, tail, size - tail, None, size, ids[begin + tail : stop].tobytes(), least))
+                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "low"])
+                out["doc_id"], out["ids_crc32"] = out.doc_id.astype("Int64"), out.ids_crc32.astype("Int64")
+                yield out
 
     return docs.select("doc_id", "text").mapInPandas(run, PIECES + ", ids binary, low long")
 
