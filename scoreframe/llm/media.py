@@ -1,9 +1,9 @@
 """Media columns: texts stored as lossless WebP images, read back and described.
 
-A text's payload is its UTF-8 bytes, padded with bytes 255 to a positive multiple of 576, and becomes a picture of 576
-columns (more where there would be too many rows) whose samples are the payload's bytes. A payload beyond the largest
-picture becomes several, one file after the other. Null and empty texts have a payload of padding alone. Equal texts give
-equal bytes. Rows are stored one by one, whatever their ids.
+A text's payload is its UTF-8 bytes, padded with bytes 255 to a positive multiple of 576, and becomes a picture of 192
+columns whose pixels are three bytes each (red, green, blue). A payload of more than ``ROWS`` rows becomes several pictures,
+one file after the other. Null and empty texts have a payload of padding alone. Equal texts give equal bytes. Rows are
+stored one by one, whatever their ids.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from scoreframe.llm.common import table
-from scoreframe.llm.webp import SIDE, decode, encode
+from scoreframe.llm.webp import decode, encode
 
-UNIT = 576
+UNIT, COLUMNS, ROWS = 576, 192, 4096
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -30,40 +30,34 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 def store(payload: bytes) -> bytes:
     """The payload as one or more WebP files."""
-    units = len(payload) // UNIT
-    columns = UNIT * min(SIDE // UNIT, -(-units // SIDE))
-    most = SIDE * columns
-    files = []
-    for at in range(0, len(payload), most):
-        part = np.frombuffer(payload[at : at + most], np.uint8)
-        columns = columns if len(part) % columns == 0 else UNIT * max(k for k in range(1, SIDE // UNIT + 1) if len(part) % (UNIT * k) == 0)
-        rows = len(part) // columns
-        for top in range(0, rows, SIDE):
-            files.append(encode(part.reshape(rows, columns)[top : top + SIDE]))
-    return b"".join(files)
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS, 3)
+    return b"".join(encode(rows[at : at + ROWS]) for at in range(0, len(rows), ROWS))
 
 
 def load(stored: bytes) -> list[np.ndarray]:
-    """The pictures' samples, read back from the stored bytes."""
+    """The pictures' samples (height, width, 3), read back from the stored bytes."""
     out, at = [], 0
     while at < len(stored):
         size = 8 + struct.unpack("<I", stored[at + 4 : at + 8])[0]
-        out.append(decode(stored[at : at + size])[..., 2])
+        out.append(decode(stored[at : at + size])[..., 1:])
         at += size
     return out
 
 
 def describe(pictures: list[np.ndarray]) -> str:
-    """Size, mean, deviation and an 8 by 8 difference hash of the first picture's brightness grid."""
-    first = pictures[0]
-    rows = np.linspace(0, first.shape[0], 9).astype(int)[:-1]
-    grid = np.add.reduceat(np.add.reduceat(first.astype(np.int64), np.unique(rows), axis=0), np.arange(0, first.shape[1], first.shape[1] // 9)[:9], axis=1)
-    bits = (np.diff(grid, axis=1) > 0).reshape(-1)[:64]
+    """Sizes, mean and deviation of all samples, and an 8 by 8 difference hash of each picture's brightness grid."""
+    hashes, total, square, count = [], 0, 0, 0
+    for picture in pictures:
+        grey = picture.sum(axis=2, dtype=np.int64)
+        edges = np.unique(np.arange(8) * len(grey) // 8)
+        grid = np.add.reduceat(np.add.reduceat(grey, edges, axis=0), np.arange(9) * COLUMNS // 9, axis=1)
+        hashes.append(f"{int.from_bytes(np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes(), 'big'):x}")
+        total += int(grey.sum())
+        square += int((np.bincount(picture.reshape(-1), minlength=256) * np.arange(256) ** 2).sum())
+        count += picture.size
+    mean = total / count
     shapes = "+".join(f"{p.shape[1]}x{p.shape[0]}" for p in pictures)
-    total = sum(p.size for p in pictures)
-    mean = sum(int(p.sum(dtype=np.int64)) for p in pictures) / total
-    square = sum(int((p.astype(np.int64) ** 2).sum()) for p in pictures) / total
-    return f"{shapes} mean={mean:.4f} sd={max(0.0, square - mean * mean) ** 0.5:.4f} dhash={int.from_bytes(np.packbits(bits).tobytes(), 'big'):x}"
+    return f"{shapes} mean={mean:.4f} sd={max(0.0, square / count - mean * mean) ** 0.5:.4f} dhash={'+'.join(hashes)}"
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -80,7 +74,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                     payload, size = payload_of(text)
                     stored = store(payload)
                     pictures = load(stored)
-                    back = b"".join(p.tobytes() for p in pictures)
+                    back = b"".join([p.tobytes() for p in pictures])
                     rows.append((doc_id, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(pictures), stored))
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")] + ["media"])
                 out["doc_id"] = out.doc_id.astype("Int64")

@@ -1,12 +1,14 @@
-"""Lossless WebP: a decoder of the whole VP8L format and an encoder for one channel of 8-bit samples.
+"""Lossless WebP: a decoder of the whole VP8L format and an encoder of RGB pictures.
 
-The decoder reads simple and normal prefix codes, meta prefix codes, back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms (with bundled pixels). Where every code of an image has one
-width, as in what ``encode`` writes, all pixels are decoded at once; otherwise pixel by pixel.
+The decoder reads simple and normal prefix codes by tables, meta prefix codes, back-references and the colour cache, and
+inverts the predictor, cross-colour, subtract-green and palette transforms (with bundled pixels). The encoder estimates what
+each transform would save and takes the best one, finds back-references, tries colour caches, and writes prefix codes of
+the symbols that occur. Equal pictures, equal bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 
 import numpy as np
@@ -16,85 +18,105 @@ _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 1
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Short distance codes: offsets (left, up) in order of distance.
 _NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda v: (v[0] ** 2 + v[1] ** 2, abs(v[0]), -v[0]))
-SIDE = 16384
+SIDE, LONGEST_COPY, OPAQUE = 16384, 4096, 255 << 24
+_CACHE = 0x1E35A7BD
+_SPREAD = 0x9E3779B97F4A7C15
+#: What the encoder tries and keeps to: colour cache bits, widest code, shortest copy.
+CACHES, WIDEST, SHORTEST_COPY = (7,), 11, 3
+_PLACES = np.array([0, 256, 512], np.int16)
+
+
+@functools.lru_cache(16)
+def _reversed_bits(n: int) -> np.ndarray:
+    """The numbers of n bits, read backwards."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
 
 
 class Bits:
     """Reads bits, the least significant of each byte first."""
 
     def __init__(self, data: bytes):
-        self.bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-        self.at = 0
+        d = np.frombuffer(data + b"\0" * 16, np.uint8)
+        whole = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(d, 8)).view("<u8").reshape(-1)
+        #: The 56 bits from each byte on, so that 49 are there from each bit on.
+        self.words = (whole & np.uint64((1 << 56) - 1)).tolist()
+        self.at, self.size = 0, 8 * len(data)
 
     def read(self, n: int) -> int:
-        if self.at + n > len(self.bits):
+        at = self.at
+        self.at = at + n
+        if self.at > self.size:
             raise ValueError("the stream ends early")
-        value = 0
-        for i in range(n):
-            value |= int(self.bits[self.at + i]) << i
-        self.at += n
-        return value
+        return self.words[at >> 3] >> (at & 7) & ((1 << n) - 1)
 
 
 class Code:
-    """A canonical prefix code given by its lengths."""
+    """A canonical prefix code given by its lengths, as a table by the next ``width`` bits of symbol << 4 | length."""
 
-    def __init__(self, lengths):
-        lengths = np.asarray(lengths)
+    def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
-        if not len(used):
-            used = np.array([0])
-        self.symbols = used[np.argsort(lengths[used], kind="stable")]
-        width = lengths[self.symbols]
-        #: The one width of all symbols, 0 where there is a single symbol, None where widths differ.
-        self.width = 0 if len(used) == 1 else int(width[0]) if width[0] == width[-1] and len(used) == 1 << int(width[0]) else None
-        self.table: dict[tuple[int, int], int] = {}
-        code = last = 0
-        if len(used) > 1:
-            for symbol, n in zip(self.symbols.tolist(), width.tolist(), strict=True):
-                code <<= n - last
-                self.table[n, code] = symbol
-                code, last = code + 1, n
-            if code != 1 << last:
+        if len(used) < 2:
+            self.table, self.width = [int(used[0]) << 4 if len(used) else 0], 0
+        else:
+            n = lengths[used]
+            order = np.argsort(n, kind="stable")
+            used, n = used[order], n[order]
+            self.width = int(n[-1])
+            spread = 1 << (self.width - n)
+            if spread.sum() != 1 << self.width:
                 raise ValueError("an incomplete prefix code")
+            self.table = np.repeat(used << 4 | n, spread)[_reversed_bits(self.width)].tolist()
+        self.mask = len(self.table) - 1
 
     def read(self, bits: Bits) -> int:
-        if self.width == 0:
-            return int(self.symbols[0])
-        code = n = 0
-        while True:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (n, code) in self.table:
-                return self.table[n, code]
-            if n > 15:
-                raise ValueError("no such code")
+        at = bits.at
+        entry = self.table[bits.words[at >> 3] >> (at & 7) & self.mask]
+        bits.at = at + (entry & 15)
+        if bits.at > bits.size:
+            raise ValueError("the stream ends early")
+        return entry >> 4
 
 
 def _read_code(bits: Bits, size: int) -> Code:
-    lengths = np.zeros(size, int)
+    lengths = np.zeros(size, np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
         return Code(lengths)
-    of_lengths = np.zeros(19, int)
+    of_lengths = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
         of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
     code = Code(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, previous = 0, 8
-    while at < size and left:
+    out: list[int] = []
+    previous, words, at, table, mask = 8, bits.words, bits.at, code.table, code.mask
+    while len(out) < size and left and at <= bits.size:
         left -= 1
-        n = code.read(bits)
+        now = words[at >> 3] >> (at & 7)
+        entry = table[now & mask]
+        n, used = entry >> 4, entry & 15
         if n < 16:
-            lengths[at] = n
-            at, previous = at + 1, n or previous
+            out.append(n)
+            previous = n or previous
+        elif n == 16:
+            out += [previous] * (3 + (now >> used & 3))
+            used += 2
+        elif n == 17:
+            out += [0] * (3 + (now >> used & 7))
+            used += 3
         else:
-            extra, least = {16: (2, 3), 17: (3, 3), 18: (7, 11)}[n]
-            times = least + bits.read(extra)
-            lengths[at : at + times] = previous if n == 16 else 0
-            at += times
+            out += [0] * (11 + (now >> used & 127))
+            used += 7
+        at += used
+    bits.at = at
+    if len(out) > size or at > bits.size:
+        raise ValueError("the code lengths don't fit")
+    lengths[: len(out)] = out
     return Code(lengths)
 
 
@@ -109,71 +131,69 @@ def _extended(bits: Bits, prefix: int) -> int:
 def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """ARGB values, one row after the other, before transforms are inverted."""
     cache_bits = bits.read(4) if bits.read(1) else 0
-    meta, meta_bits, groups = None, 0, 1
+    meta, meta_bits, groups, across = None, 0, 1, 0
     if top and bits.read(1):
         meta_bits = bits.read(3) + 2
         across = -(-width >> meta_bits)
-        meta = _read_image(bits, across, -(-height >> meta_bits), False) >> 8 & 0xFFFF
-        groups = int(meta.max()) + 1
+        meta = (_read_image(bits, across, -(-height >> meta_bits), False) >> 8 & 0xFFFF).tolist()
+        groups = max(meta) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
-    total = width * height
-    if groups == 1 and not cache_bits and all(c.width is not None for c in codes[0][:4]) and codes[0][0].symbols.max() < 256:
-        return _read_even(bits, codes[0], total)
-    out, cache = np.zeros(total, np.int64), [0] * (1 << cache_bits)
-    i = 0
-
-    def keep(pixel: int) -> None:
-        if cache_bits:
-            cache[(0x1E35A7BD * pixel & 0xFFFFFFFF) >> (32 - cache_bits)] = pixel
-
-    while i < total:
-        group = codes[int(meta[(i // width >> meta_bits) * across + (i % width >> meta_bits)])] if meta is not None else codes[0]
-        green = group[0].read(bits)
-        if green < 256:
-            red, blue, alpha = (c.read(bits) for c in group[1:4])
-            out[i] = alpha << 24 | red << 16 | green << 8 | blue
-            keep(int(out[i]))
-            i += 1
-        elif green < 256 + 24:
-            length, near = _extended(bits, green - 256), _extended(bits, group[4].read(bits))
-            if near > len(_NEAR):
-                back = near - len(_NEAR)
-            else:
-                x, y = _NEAR[near - 1]
-                back = max(1, x + y * width)
-            if back > i or i + length > total:
-                raise ValueError("a back-reference leaves the image")
-            for _ in range(length):
-                out[i] = out[i - back]
-                keep(int(out[i]))
+    total, words, at = width * height, bits.words, bits.at
+    out, cache, cached, shift = [0] * total, [0] * (1 << cache_bits), 0, 32 - cache_bits
+    i, stop = 0, 0
+    try:
+        while i < total:
+            if i >= stop:  # the group of codes changes
+                green, red, blue, alpha, distance = codes[meta[(i // width >> meta_bits) * across + (i % width >> meta_bits)] if meta else 0]
+                column = i % width
+                stop = i - column + min(width, (column >> meta_bits) + 1 << meta_bits) if meta else total
+                g, g_mask, r, r_mask, b, b_mask, a, a_mask = green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask
+                opaque = a[0] >> 4 << 24
+            now = words[at >> 3] >> (at & 7)
+            entry = g[now & g_mask]
+            symbol, n = entry >> 4, entry & 15
+            if symbol < 256:
+                e1 = r[now >> n & r_mask]
+                n += e1 & 15
+                e2 = b[now >> n & b_mask]
+                at += n + (e2 & 15)
+                if a_mask:
+                    e3 = a[words[at >> 3] >> (at & 7) & a_mask]
+                    at += e3 & 15
+                    opaque = e3 >> 4 << 24
+                out[i] = opaque | e1 >> 4 << 16 | symbol << 8 | e2 >> 4
                 i += 1
-        else:
-            out[i] = cache[green - 280]
-            keep(int(out[i]))
-            i += 1
-    return out
-
-
-def _read_even(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
-    """All pixels at once: each channel's code has one width, so pixels stand at equal steps."""
-    widths = [c.width for c in codes[:4]]
-    step = sum(widths)
-    if bits.at + step * total > len(bits.bits):
+            elif symbol >= 280:
+                at += n
+                while cached < i:  # entries are made when they are next needed
+                    p = out[cached]
+                    cache[(_CACHE * p & 0xFFFFFFFF) >> shift] = p
+                    cached += 1
+                out[i] = cache[symbol - 280]
+                i += 1
+            else:
+                bits.at = at + n
+                length, near = _extended(bits, symbol - 256), _extended(bits, distance.read(bits))
+                at = bits.at
+                if near > len(_NEAR):
+                    back = near - len(_NEAR)
+                else:
+                    x, y = _NEAR[near - 1]
+                    back = max(1, x + y * width)
+                if back > i or i + length > total:
+                    raise ValueError("a back-reference leaves the image")
+                if back >= length:
+                    out[i : i + length] = out[i - back : i - back + length]
+                else:
+                    out[i : i + length] = (out[i - back : i] * (length // back + 1))[:length]
+                i += length
+    except IndexError:
+        raise ValueError("the stream ends early") from None
+    bits.at = at
+    if at > bits.size:
         raise ValueError("the stream ends early")
-    grid = bits.bits[bits.at : bits.at + step * total].reshape(total, step)
-    bits.at += step * total
-    out, at = np.zeros(total, np.int64), 0
-    for code, width, shift in zip(codes, widths, (8, 16, 0, 24), strict=False):
-        if width == 0:
-            out |= int(code.symbols[0]) << shift
-        else:
-            value = np.zeros(total, np.uint16)
-            for k in range(width):
-                value = value << 1 | grid[:, at + k]
-            out |= code.symbols[value].astype(np.int64) << shift
-        at += width
-    return out
+    return np.array(out, np.int64)
 
 
 def _channels(pixels: np.ndarray) -> np.ndarray:
@@ -185,58 +205,94 @@ def _joined(channels: np.ndarray) -> np.ndarray:
     return a << 24 | r << 16 | g << 8 | b
 
 
-def _clamp(v):
-    return np.minimum(np.maximum(v, 0), 255)
+def _clamp(v: int) -> int:
+    return 0 if v < 0 else 255 if v > 255 else v
+
+
+def _half(v: int) -> int:
+    """Half of v, towards zero."""
+    return v // 2 if v >= 0 else -(-v // 2)
 
 
-def predict(mode: int, left, up, corner, right) -> np.ndarray:
+def predict(mode: int, left, up, corner, right) -> list[int]:
     """The predicted channels from the left, upper, upper left and upper right pixels' channels."""
-    mean = lambda x, y: (x + y) >> 1
     if mode == 11:
-        to_left, to_up = np.abs(up - corner).sum(), np.abs(left - corner).sum()
+        to_left, to_up = sum(abs(u - c) for u, c in zip(up, corner, strict=True)), sum(abs(v - c) for v, c in zip(left, corner, strict=True))
         return left if to_left < to_up else up
-    return {
-        0: lambda: np.array([255, 0, 0, 0]), 1: lambda: left, 2: lambda: up, 3: lambda: right, 4: lambda: corner,
-        5: lambda: mean(mean(left, right), up), 6: lambda: mean(left, corner), 7: lambda: mean(left, up), 8: lambda: mean(corner, up),
-        9: lambda: mean(up, right), 10: lambda: mean(mean(left, corner), mean(up, right)), 12: lambda: _clamp(left + up - corner),
-        13: lambda: _clamp(mean(left, up) + np.trunc((mean(left, up) - corner) / 2).astype(int)),
-    }.get(mode, lambda: np.array([255, 0, 0, 0]))()
-
-
-def around(image: np.ndarray, y: int, x: int, mode: int) -> np.ndarray:
-    """The prediction for one pixel; the first pixel, row and column have fixed ones."""
-    if y == 0:
-        return np.array([255, 0, 0, 0]) if x == 0 else image[0, x - 1]
-    if x == 0:
-        return image[y - 1, 0]
-    right = image[y - 1, x + 1] if x + 1 < image.shape[1] else image[y, 0]
-    return predict(mode, image[y, x - 1], image[y - 1, x], image[y - 1, x - 1], right)
+    one = {
+        1: lambda v, u, c, r: v, 2: lambda v, u, c, r: u, 3: lambda v, u, c, r: r, 4: lambda v, u, c, r: c,
+        5: lambda v, u, c, r: ((v + r) // 2 + u) // 2, 6: lambda v, u, c, r: (v + c) // 2, 7: lambda v, u, c, r: (v + u) // 2,
+        8: lambda v, u, c, r: (c + u) // 2, 9: lambda v, u, c, r: (u + r) // 2, 10: lambda v, u, c, r: ((v + c) // 2 + (u + r) // 2) // 2,
+        12: lambda v, u, c, r: _clamp(v + u - c), 13: lambda v, u, c, r: _clamp((v + u) // 2 + _half((v + u) // 2 - c)),
+    }.get(mode)
+    return [one(*n) for n in zip(left, up, corner, right, strict=True)] if one else [255, 0, 0, 0]
 
 
 def _undo_predictor(pixels: np.ndarray, width: int, height: int, bits: int, data: np.ndarray) -> np.ndarray:
-    rest, image = _channels(pixels).reshape(height, width, 4), np.zeros((height, width, 4), np.int64)
+    """Row by row. Modes that look at the row above, or only at the left pixel, take a tile's stretch of a row at once."""
+    image = _channels(pixels).reshape(height, width, 4)
     modes = (data >> 8 & 15).reshape(-(-height >> bits), -1)
-    for y in range(height):
-        for x in range(width):
-            image[y, x] = (rest[y, x] + around(image, y, x, int(modes[y >> bits, x >> bits]))) & 255
+    image[0, 0, 0] += 255
+    image[0] = np.cumsum(image[0], axis=0) & 255
+    for y in range(1, height):
+        row, above = image[y], image[y - 1]
+        row[0] = (row[0] + above[0]) & 255
+        further = np.concatenate([above[1:], row[:1]])  # upper right; the row's own first pixel at its end
+        for tile, mode in enumerate(modes[y >> bits].tolist()):
+            x0, x1 = max(1, tile << bits), min(width, (tile + 1) << bits)
+            if x0 >= x1:
+                continue
+            u, c, r = above[x0:x1], above[x0 - 1 : x1 - 1], further[x0:x1]
+            if mode == 1:
+                row[x0:x1] = (row[x0 - 1] + np.cumsum(row[x0:x1], axis=0)) & 255
+            elif mode in (0, 2, 3, 4, 8, 9, 14, 15):
+                guess = {2: u, 3: r, 4: c, 8: (c + u) >> 1, 9: (u + r) >> 1}.get(mode, np.array([255, 0, 0, 0]))
+                row[x0:x1] = (row[x0:x1] + guess) & 255
+            else:
+                left, done = row[x0 - 1].tolist(), []
+                for rest, up, corner, right in zip(row[x0:x1].tolist(), u.tolist(), c.tolist(), r.tolist(), strict=True):
+                    left = [(v + p) & 255 for v, p in zip(rest, predict(mode, left, up, corner, right), strict=True)]
+                    done.append(left)
+                row[x0:x1] = done
     return _joined(image).reshape(-1)
 
 
+def _signed(v):
+    return v - ((v & 128) << 1)
+
+
+def _cross(pixels: np.ndarray, to_red, to_blue, red_to_blue, sign: int) -> np.ndarray:
+    """Red and blue with the shares of green (and of red) added, or taken away where sign is -1."""
+    a, red, green, blue = (pixels >> s & 255 for s in (24, 16, 8, 0))
+    other = (red + sign * (_signed(to_red) * _signed(green) >> 5)) & 255
+    whole = other if sign > 0 else red
+    blue = (blue + sign * ((_signed(to_blue) * _signed(green) >> 5) + (_signed(red_to_blue) * _signed(whole) >> 5))) & 255
+    return a << 24 | other << 16 | green << 8 | blue
+
+
 def _undo_cross_colour(pixels: np.ndarray, width: int, height: int, bits: int, data: np.ndarray) -> np.ndarray:
-    signed = lambda v: v - ((v & 128) << 1)
-    a, red, green, blue = _channels(pixels).reshape(height, width, 4).transpose(2, 0, 1)
-    tile = _channels(data).reshape(-(-height >> bits), -1, 4)[np.arange(height)[:, None] >> bits, np.arange(width)[None, :] >> bits]
-    green_to_red, green_to_blue, red_to_blue = signed(tile[..., 3]), signed(tile[..., 2]), signed(tile[..., 1])
-    red = (red + (green_to_red * signed(green) >> 5)) & 255
-    blue = (blue + (green_to_blue * signed(green) >> 5) + (red_to_blue * signed(red) >> 5)) & 255
-    return _joined(np.stack([a, red, green, blue], axis=-1)).reshape(-1)
+    tile = data.reshape(-(-height >> bits), -1)[np.arange(height)[:, None] >> bits, np.arange(width)[None, :] >> bits].reshape(-1)
+    return _cross(pixels, tile & 255, tile >> 8 & 255, tile >> 16 & 255, 1)
+
+
+def _stream_of(stored: bytes) -> bytes:
+    """The VP8L stream of a simple or extended file."""
+    if stored[:4] != b"RIFF" or stored[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    at = 12
+    while at + 8 <= len(stored):
+        size = struct.unpack("<I", stored[at + 4 : at + 8])[0]
+        if stored[at : at + 4] == b"VP8L":
+            if size < 5 or stored[at + 8] != 0x2F:
+                break
+            return stored[at + 9 : at + 8 + size]
+        at += 8 + size + (size & 1)
+    raise ValueError("not a lossless WebP file")
 
 
 def decode(stored: bytes) -> np.ndarray:
     """The image as an array of height, width and ARGB channels."""
-    if stored[:4] != b"RIFF" or stored[8:16] != b"WEBPVP8L" or len(stored) < 25 or stored[20] != 0x2F:
-        raise ValueError("not a lossless WebP file")
-    bits = Bits(stored[21 : 20 + struct.unpack("<I", stored[16:20])[0]])
+    bits = Bits(_stream_of(stored))
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
     if bits.read(3):
@@ -276,21 +332,11 @@ def decode(stored: bytes) -> np.ndarray:
     return _channels(pixels).reshape(height, width, 4).astype(np.uint8)
 
 
-def _bits_of(value: int, n: int) -> list[int]:
-    return [value >> i & 1 for i in range(n)]
+# --- encoding
 
 
-def even_code(width: int) -> list[int]:
-    """The bits of a code in which the first 2**width symbols have that width."""
-    if width == 0:
-        return [1, 0, 0, 0]  # a single symbol, 0
-    lengths = [0] * 19
-    lengths[_LENGTH_ORDER.index(0)] = lengths[_LENGTH_ORDER.index(width)] = 1
-    many = max(4, 1 + max(i for i, n in enumerate(lengths) if n))
-    out = [0, *_bits_of(many - 4, 4)]
-    for n in lengths[:many]:
-        out += _bits_of(n, 3)
-    return [*out, 1, *_bits_of(3, 3), *_bits_of((1 << width) - 2, 8), *[1] * (1 << width)]
+def _bits_of(value: int, n: int) -> list[int]:
+    return [value >> i & 1 for i in range(n)]
 
 
 def wrap(stream: bytes) -> bytes:
@@ -300,24 +346,342 @@ def wrap(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
-def encode(samples: np.ndarray) -> bytes:
-    """An image of height by width 8-bit samples, as the green channel of a palette of the values that occur.
+class Writer:
+    """Collects numbers and how many bits each takes."""
+
+    def __init__(self):
+        self.values: list[np.ndarray] = []
+        self.widths: list[np.ndarray] = []
+        self.held: list[tuple[int, int]] = []
+
+    def put(self, value: int, width: int) -> None:
+        self.held.append((value, width))
+
+    def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
+        if self.held:
+            one = np.array(self.held, np.int64)
+            self.values.append(one[:, 0])
+            self.widths.append(one[:, 1])
+            self.held = []
+        self.values.append(values)
+        self.widths.append(widths)
+
+    def bytes(self) -> bytes:
+        self.put_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        values, widths = np.concatenate(self.values), np.concatenate(self.widths)
+        begin = np.cumsum(widths) - widths
+        bits = np.repeat(values, widths) >> (np.arange(int(widths.sum())) - np.repeat(begin, widths)) & 1
+        return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _depths(counts: list[int]) -> list[int]:
+    """The depths of a Huffman tree's leaves, for two or more counts in ascending order."""
+    n = len(counts)
+    weight, parent = list(counts), [0] * (2 * n - 1)
+    leaf, node = 0, n
+    for k in range(n, 2 * n - 1):
+        total = 0
+        for _ in (0, 1):
+            if node >= k or (leaf < n and weight[leaf] <= weight[node]):
+                at, leaf = leaf, leaf + 1
+            else:
+                at, node = node, node + 1
+            total += weight[at]
+            parent[at] = k
+        weight.append(total)
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    return depth[:n]
+
+
+def code_lengths(counts: np.ndarray, widest: int = WIDEST) -> np.ndarray:
+    """The lengths of a prefix code for the symbols that occur, none over ``widest``: rare ones are taken as more frequent."""
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
+    order = used[np.argsort(counts[used], kind="stable")]
+    now, least = counts[order].tolist(), 1
+    while max(depths := _depths(now)) > widest:
+        least *= 2
+        now = [max(least, c) for c in now]
+    lengths[order] = depths
+    return lengths
+
+
+def _code_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code as it is written, width) of every symbol; a single symbol takes no bits."""
+    codes = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) < 2:
+        return codes, np.zeros(len(lengths), np.int64)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    widest = int(lengths[used[-1]])
+    spread = 1 << (widest - lengths[used])
+    codes[used] = _reversed_bits(widest)[np.cumsum(spread) - spread]
+    return codes, lengths
+
+
+def _put_code(out: Writer, lengths: np.ndarray) -> None:
+    """Write a code's lengths: simple where one or two symbols below 256 occur, as runs of lengths otherwise."""
+    used = np.flatnonzero(lengths)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        symbols = used.tolist() or [0]
+        out.put(1, 1)
+        out.put(len(symbols) - 1, 1)
+        wide = symbols[0] > 1
+        out.put(int(wide), 1)
+        out.put(symbols[0], 8 if wide else 1)
+        if len(symbols) == 2:
+            out.put(symbols[1], 8)
+        return
+    trimmed = lengths[: used[-1] + 1]
+    edge = np.append(np.flatnonzero(np.diff(trimmed, prepend=-1)), len(trimmed))
+    tokens: list[tuple[int, int, int]] = []  # symbol, extra, width of extra
+    for value, times in zip(trimmed[edge[:-1]].tolist(), np.diff(edge).tolist(), strict=True):
+        if value:
+            tokens.append((value, 0, 0))
+            times -= 1
+            while times >= 3:
+                step = min(6, times)
+                tokens.append((16, step - 3, 2))
+                times -= step
+        else:
+            while times >= 11:
+                step = min(138, times)
+                tokens.append((18, step - 11, 7))
+                times -= step
+            if times >= 3:
+                tokens.append((17, times - 3, 3))
+                times = 0
+        tokens += [(value, 0, 0)] * times
+    if len(tokens) < 2:
+        tokens.append((0, 0, 0))
+    told = np.array(tokens, np.int64)
+    of = code_lengths(np.bincount(told[:, 0], minlength=19), 7)
+    codes, widths = _code_of(of)
+    shown = of[list(_LENGTH_ORDER)]
+    many = max(4, 1 + int(np.flatnonzero(shown)[-1]))
+    out.put(0, 1)
+    out.put(many - 4, 4)
+    for n in shown[:many].tolist():
+        out.put(n, 3)
+    wide = max(0, ((len(tokens) - 2).bit_length() - 1) // 2)
+    out.put(1, 1)
+    out.put(wide, 3)
+    out.put(len(tokens) - 2, 2 + 2 * wide)
+    out.put_all(np.column_stack([codes[told[:, 0]], told[:, 1]]).reshape(-1), np.column_stack([widths[told[:, 0]], told[:, 2]]).reshape(-1))
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, extra, width of extra) of lengths or distances."""
+    v = values - 1
+    high = np.maximum(1, np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1)
+    width = np.where(v < 4, 0, high - 1)
+    prefix = np.where(v < 4, v, 2 * high + (v >> np.maximum(0, high - 1) & 1))
+    return prefix, v & ((1 << width) - 1), width
+
+
+@functools.lru_cache(64)
+def _near_codes(width: int) -> np.ndarray:
+    """The short code of every distance below eight rows, 0 where there is none."""
+    out = np.zeros(8 * width + 16, np.int64)
+    for k in range(len(_NEAR), 0, -1):
+        x, y = _NEAR[k - 1]
+        out[max(1, x + y * width)] = k
+    return out
 
-    Indices into the sorted palette are written with as many bits as the largest needs. Equal samples, equal bytes.
-    """
-    height, width = samples.shape
+
+def _copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of the stretches that are copied from the last place with the same few pixels."""
+    none = np.zeros(0, np.int64)
+    n = len(pixels) - SHORTEST_COPY + 1
+    if n < 2:
+        return none, none, none
+    mixed = pixels.astype(np.uint64) * np.uint64(_SPREAD)
+    key = mixed[:n].copy()
+    for k in range(1, SHORTEST_COPY):
+        key = (key >> np.uint64(29) ^ key) * np.uint64(_SPREAD) + mixed[k : n + k]
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(again):
+        return none, none, none
+    back = np.zeros(n, np.int64)
+    back[order[again + 1]] = order[again + 1] - order[again]
+    edge = np.append(np.flatnonzero(np.diff(back, prepend=-1)), n)
+    until = np.repeat(edge[1:], np.diff(edge)) + SHORTEST_COPY - 1  # all of a stretch with one distance is copied together
+    starts, stop = [], 0
+    found = np.flatnonzero(back)
+    for at, end in zip(found.tolist(), until[found].tolist(), strict=True):
+        while at >= stop and end - at >= SHORTEST_COPY:
+            starts.append(at)  # more than the longest copy goes on at the same distance
+            at = stop = min(end, at + LONGEST_COPY)
+    start = np.array(starts, np.int64)
+    length, distance = np.minimum(until[start] - start, LONGEST_COPY), back[start]
+    at = np.arange(int(length.sum())) + np.repeat(start - np.cumsum(length) + length, length)
+    if (pixels[at] != pixels[at - np.repeat(distance, length)]).any():  # two stretches of one hash that differ
+        return none, none, none
+    return start, length, distance
+
+
+@functools.lru_cache(1)
+def _times_log() -> np.ndarray:
+    n = np.arange(1 << 16, dtype=np.float64)
+    return n * np.log2(np.maximum(n, 1))
+
+
+def _entropy(counts: np.ndarray, total: int, alphabets: int = 1) -> float:
+    """The bits that symbols with these counts take together, in alphabets of ``total`` occurrences each."""
+    c = counts[counts > 1]
+    own = _times_log()[c].sum() if not len(c) or c.max() < 1 << 16 else (c * np.log2(c)).sum()
+    return float(alphabets * total * np.log2(max(total, 1)) - own)
+
+
+def _put_image(out: Writer, pixels: np.ndarray, width: int, top: bool) -> None:
+    """Write an image's colour cache bits, codes and pixels."""
+    start, length, distance = _copies(pixels)
+    copied = np.zeros(len(pixels) + 1, np.int8)
+    copied[start] += 1
+    copied[start + length] -= 1
+    literal = np.cumsum(copied[:-1]) == 0
+    channel = [pixels >> s & 255 for s in (8, 16, 0, 24)]
+    second = np.concatenate([channel[1], channel[2] + 256])
+    near = _near_codes(width)
+    code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
+    l_prefix, l_extra, l_width = _prefixes(length)
+    d_prefix, d_extra, d_width = _prefixes(np.where(code > 0, code, distance + len(_NEAR)))
+
+    def counted(hit: np.ndarray | None, slot: np.ndarray | None, cache: int):
+        plain = literal if hit is None else literal & ~hit
+        green = np.concatenate([channel[0][plain], 256 + l_prefix, *([] if hit is None else [280 + slot[literal & hit]])])
+        first = np.bincount(green, minlength=280 + (1 << cache if cache else 0))
+        rest = np.bincount(second[np.concatenate([plain, plain])], minlength=512)
+        bits = _entropy(first, len(green)) + _entropy(rest, len(green) - len(l_prefix), 2) + 6 * (np.count_nonzero(first) + np.count_nonzero(rest))
+        return bits, plain, first, rest
+
+    best, cache, hit, slot = counted(None, None, 0), 0, None, None
+    if len(pixels) >= 64:
+        hashed = _CACHE * pixels & 0xFFFFFFFF
+        for bits in CACHES:
+            at = hashed >> (32 - bits)
+            order = np.argsort(at, kind="stable")
+            now = np.zeros(len(pixels), bool)
+            now[order[1:]] = (at[order[1:]] == at[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+            other = counted(now, at, bits)
+            if other[0] < best[0]:
+                best, cache, hit, slot = other, bits, now, at
+    _, plain, first, rest = best
+    counts = [first, rest[:256], rest[256:], np.bincount(channel[3][plain], minlength=256)]
+    out.put(int(cache > 0), 1)
+    if cache:
+        out.put(cache, 4)
+    if top:
+        out.put(0, 1)
+    lengths = [code_lengths(c) for c in [*counts, np.bincount(d_prefix, minlength=40)]]
+    for n in lengths:
+        _put_code(out, n)
+    codes = [_code_of(n) for n in lengths]
+    kind = np.zeros(len(pixels), np.int8)  # 1: a pixel of its own, 2: from the cache, 3: a copy begins
+    kind[plain] = 1
+    if hit is not None:
+        kind[literal & hit] = 2
+    kind[start] = 3
+    order = np.flatnonzero(kind)
+    what = kind[order]
+    values, widths = np.zeros((len(order), 4), np.int64), np.zeros((len(order), 4), np.int64)
+    rows = what == 1
+    for k in range(4):
+        symbol = channel[k][order[rows]]
+        values[rows, k], widths[rows, k] = codes[k][0][symbol], codes[k][1][symbol]
+    if hit is not None:
+        rows = what == 2
+        symbol = 280 + slot[order[rows]]
+        values[rows, 0], widths[rows, 0] = codes[0][0][symbol], codes[0][1][symbol]
+    rows = what == 3
+    values[rows] = np.column_stack([codes[0][0][256 + l_prefix], l_extra, codes[4][0][d_prefix], d_extra])
+    widths[rows] = np.column_stack([codes[0][1][256 + l_prefix], l_width, codes[4][1][d_prefix], d_width])
+    out.put_all(values.reshape(-1), widths.reshape(-1))
+
+
+def _share(of: np.ndarray, by: np.ndarray) -> int:
+    """The multiplier, in 32nds, that takes most of one signed channel out of another."""
+    x, y = by - by.mean(), of - of.mean()
+    power = x @ x
+    return int(np.clip(np.rint(32 * (x @ y) / power), -128, 127)) if power else 0
+
+
+def _cost(samples: np.ndarray) -> float:
+    """The bits that the three channels of an image (n by 3) take, each on its own."""
+    return _entropy(np.bincount((samples + _PLACES).reshape(-1), minlength=768), len(samples), 3)
+
+
+def _guessed(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """What the predictor of mode 1 (left) or 2 (up) leaves of an image."""
+    image = _channels(pixels).reshape(-1, width, 4)
+    rest = image.copy()
+    rest[0, 0, 0] -= 255
+    rest[0, 1:] -= image[0, :-1]
+    rest[1:, 0] -= image[:-1, 0]
+    rest[1:, 1:] -= image[1:, :-1] if mode == 1 else image[:-1, 1:]
+    return _joined(rest).reshape(-1)
+
+
+def encode(samples: np.ndarray) -> bytes:
+    """An image of height by width by 3 samples of 8 bits. Of a palette, the cross-colour transform, the predictors of the
+    left and the upper pixel, and none, the one that is estimated to take the fewest bits is used."""
+    height, width, _ = samples.shape
     if height > SIDE or width > SIDE:
         raise ValueError(f"an image of more than {SIDE} rows or columns")
-    values, index = np.unique(samples, return_inverse=True)
-    table = np.concatenate([values, np.zeros(max(0, 17 - len(values)), values.dtype)])  # 17 at least: pixels aren't bundled
-    bits = _bits_of(width - 1, 14) + _bits_of(height - 1, 14) + [0, 0, 0, 0]
-    bits += [1, *_bits_of(PALETTE, 2), *_bits_of(len(table) - 1, 8)]
-    bits += [0, *even_code(8), *even_code(0), *even_code(0)]
-    bits += [1, 1, 1, *_bits_of(0, 8), *_bits_of(255, 8), *even_code(0)]  # alpha: symbols 0 and 255
-    steps = np.diff(table.astype(int), prepend=0) & 255
-    for i, step in enumerate(steps.tolist()):
-        bits += [*_bits_of(step, 8)[::-1], int(i == 0)]
-    wide = max(0, int(len(values) - 1).bit_length())
-    bits += [0, 0, 0, *even_code(wide), *even_code(0) * 4]
-    body = np.unpackbits(index.astype(np.uint8).reshape(-1, 1), axis=1)[:, 8 - wide :].reshape(-1)
-    return wrap(np.packbits(np.concatenate([np.array(bits, np.uint8), body]), bitorder="little").tobytes())
+    flat = np.ascontiguousarray(samples, np.uint8).reshape(-1, 3)
+    s = flat.astype(np.int64)
+    pixels = OPAQUE | s[:, 0] << 16 | s[:, 1] << 8 | s[:, 2]
+    out = Writer()
+    out.put(width - 1, 14)
+    out.put(height - 1, 14)
+    out.put(0, 4)  # no alpha, version 0
+    best, name = _cost(flat), None
+    colours, index = np.unique(pixels, return_inverse=True)
+    few = len(colours) <= 256 and _entropy(np.bincount(index), len(index)) + 20 * len(colours)
+    if few and few < best + 64:
+        name = PALETTE
+    else:
+        signed = flat.view(np.int8).astype(np.int16)
+        to_red, to_blue = _share(signed[:, 0], signed[:, 1]), _share(signed[:, 2], signed[:, 1])
+        tries = [(None, best)]
+        for mode, back in ((1, 1), (2, width)):
+            rest = flat.copy()
+            rest[back:] -= flat[:-back]
+            tries.append(((PREDICTOR, mode), _cost(rest) + 80))
+        if to_red or to_blue:
+            rest = flat.copy()
+            rest[:, 0] -= (to_red * signed[:, 1] >> 5).astype(np.uint8)
+            rest[:, 2] -= (to_blue * signed[:, 1] >> 5).astype(np.uint8)
+            tries.append(((CROSS_COLOUR, 0), _cost(rest) + 80))
+        name = min(tries, key=lambda t: t[1])[0]
+    if name == PALETTE:
+        out.put(1, 1)
+        out.put(PALETTE, 2)
+        out.put(len(colours) - 1, 8)
+        steps = _channels(colours)
+        steps[1:] = steps[1:] - steps[:-1]
+        _put_image(out, _joined(steps), len(colours), False)
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        across = -(-width >> packed)
+        grid = np.zeros((height, across << packed), np.int64)
+        grid[:, :width] = index.reshape(height, width)
+        pixels = OPAQUE | (grid.reshape(height, across, -1) << np.arange(0, 8, 8 >> packed)).sum(axis=2).reshape(-1) << 8
+        width = across
+    elif name:
+        kind, mode = name
+        tiles = -(-width >> 9) * -(-height >> 9)
+        out.put(1, 1)
+        out.put(kind, 2)
+        out.put(7, 3)  # tiles of 512
+        element = mode << 8 if kind == PREDICTOR else (to_blue & 255) << 8 | to_red & 255
+        _put_image(out, np.full(tiles, OPAQUE | element, np.int64), -(-width >> 9), False)
+        pixels = _guessed(pixels, width, mode) if kind == PREDICTOR else _cross(pixels, np.int64(to_red & 255), np.int64(to_blue & 255), np.int64(0), -1)
+    out.put(0, 1)
+    _put_image(out, pixels, width, True)
+    return wrap(out.bytes())

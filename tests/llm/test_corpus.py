@@ -337,39 +337,69 @@ def test_components(spark, seed):
 # --- media
 
 
-def mirror(*parts):
-    return [b for p in parts for b in p]
+def put(*numbers):
+    """A stream of (value, width) pairs."""
+    out = webp.Writer()
+    for value, width in numbers:
+        out.put(value, width)
+    return out
 
 
-def literal_codes(channels=4, cache=0):
-    """Even codes of 8 bits for the channels, and one for a distance symbol."""
-    return mirror(*[webp.even_code(8)] * channels, webp.even_code(0))
+def file_of(out):
+    return webp.wrap(out.bytes())
 
 
-def pixel_bits(pixels):
-    out = []
-    for a, r, g, b in pixels:
-        for v in (g, r, b, a):
-            out += webp._bits_of(int(v), 8)[::-1]
-    return out
+def begun(width, height):
+    return put((width - 1, 14), (height - 1, 14), (1, 1), (0, 3))
 
 
-def file_of(width, height, *parts):
-    bits = mirror(webp._bits_of(width - 1, 14), webp._bits_of(height - 1, 14), [1, 0, 0, 0], *parts)
-    return webp.wrap(np.packbits(np.array(bits, np.uint8), bitorder="little").tobytes())
+def plain_image(out, pixels, top):
+    """An image of ARGB pixels without a cache: codes of the values that occur, pixels one by one."""
+    out.put(0, 1 + top)
+    channels = [pixels >> s & 255 for s in (8, 16, 0, 24)]
+    lengths = [webp.code_lengths(np.bincount(c, minlength=280 if k == 0 else 256)) for k, c in enumerate(channels)]
+    for n in [*lengths, np.zeros(40, np.int64)]:
+        webp._put_code(out, n)
+    codes = [webp._code_of(n) for n in lengths]
+    for row in zip(*channels, strict=True):
+        for v, (code, width) in zip(row, codes, strict=True):
+            out.put(int(code[v]), int(width[v]))
 
 
 def picture(height=6, width=7, seed=0):
     return np.random.default_rng(seed).integers(0, 256, (height, width, 4)).astype(np.int64)
 
 
+def guess_of(image, y, x, mode):
+    """The published prediction for one pixel, channel by channel."""
+    if y == 0:
+        return [255, 0, 0, 0] if x == 0 else image[0, x - 1]
+    if x == 0:
+        return image[y - 1, 0]
+    left, up, corner = (image[y, x - 1].astype(int), image[y - 1, x].astype(int), image[y - 1, x - 1].astype(int))
+    right = (image[y - 1, x + 1] if x + 1 < image.shape[1] else image[y, 0]).astype(int)
+    mean = lambda a, b: (a + b) // 2
+    if mode == 11:
+        p = left + up - corner
+        return left if abs(p - left).sum() < abs(p - up).sum() else up
+    half = lambda v: np.trunc(v / 2).astype(int)
+    return [
+        np.array([255, 0, 0, 0]), left, up, right, corner, mean(mean(left, right), up), mean(left, corner), mean(left, up), mean(corner, up), mean(up, right),
+        mean(mean(left, corner), mean(up, right)), None, np.clip(left + up - corner, 0, 255), np.clip(mean(left, up) + half(mean(left, up) - corner), 0, 255),
+    ][mode]
+
+
 @pytest.mark.parametrize("mode", range(14))
 def test_webp_predictors(mode):
     image = picture()
-    rest = np.stack([[(image[y, x] - webp.around(image, y, x, mode)) & 255 for x in range(7)] for y in range(6)])
-    data = mirror([0], literal_codes(), pixel_bits([(255, 0, mode, 0)] * 4))
-    stored = file_of(7, 6, [1, *webp._bits_of(webp.PREDICTOR, 2), *webp._bits_of(0, 3)], data, [0, 0, 0], literal_codes(), pixel_bits(rest.reshape(-1, 4)))
-    assert (webp.decode(stored) == image).all()
+    rest = np.stack([[(image[y, x] - guess_of(image, y, x, mode)) & 255 for x in range(7)] for y in range(6)])
+    out = begun(7, 6)
+    for value, width in ((1, 1), (webp.PREDICTOR, 2), (0, 3)):
+        out.put(value, width)
+    plain_image(out, np.full(4, 255 << 24 | mode << 8), False)
+    out.put(0, 1)
+    plain_image(out, webp._joined(rest).reshape(-1), True)
+    assert (webp.decode(file_of(out)) == image).all()
 
 
 def test_webp_colour_transforms():
@@ -379,65 +409,103 @@ def test_webp_colour_transforms():
     gr, gb, rb = 33, 200, 77
     crossed = np.stack([a, (r - (signed(gr) * signed(g) >> 5)) & 255, g, (b - (signed(gb) * signed(g) >> 5) - (signed(rb) * signed(r) >> 5)) & 255], axis=-1)
     lessened = crossed - crossed[..., 2:3] * np.array([0, 1, 0, 1]) & 255
-    data = mirror([0], literal_codes(), pixel_bits([(255, rb, gb, gr)] * 4))
-    stored = file_of(7, 6, [1, *webp._bits_of(webp.CROSS_COLOUR, 2), *webp._bits_of(0, 3)], data, [1, *webp._bits_of(webp.SUBTRACT_GREEN, 2), 0, 0, 0], literal_codes(), pixel_bits(lessened.reshape(-1, 4)))
-    assert (webp.decode(stored) == image).all()
+    out = begun(7, 6)
+    for value, width in ((1, 1), (webp.CROSS_COLOUR, 2), (0, 3)):
+        out.put(value, width)
+    plain_image(out, np.full(4, 255 << 24 | rb << 16 | gb << 8 | gr), False)
+    for value, width in ((1, 1), (webp.SUBTRACT_GREEN, 2), (0, 1)):
+        out.put(value, width)
+    plain_image(out, webp._joined(lessened).reshape(-1), True)
+    assert (webp.decode(file_of(out)) == image).all()
 
 
 def simple(*symbols):
-    return [1, int(len(symbols) == 2), 1, *[b for s in symbols for b in webp._bits_of(s, 8)]]
-
-
-def normal_code(lengths):
-    """Bits of a code with these lengths (symbol: length), written symbol by symbol with five bits a length."""
-    size = max(lengths) + 1
-    used = sorted({0, *lengths.values()})
-    width = max(1, (len(used) - 1).bit_length())
-    of = [0] * 19
-    pad = [u for u in range(16) if u not in used][: (1 << width) - len(used)]
-    for u in used + pad:
-        of[webp._LENGTH_ORDER.index(u)] = width
-    order = sorted(used + pad)
-    out = [0, *webp._bits_of(15, 4), *[b for n in of for b in webp._bits_of(n, 3)], 1, *webp._bits_of(4, 3), *webp._bits_of(size - 2, 10)]
-    for s in range(size):
-        out += webp._bits_of(order.index(lengths.get(s, 0)), width)[::-1]
-    return out
-
-
-def canonical(lengths):
-    code, last, out = 0, 0, {}
-    for n, s in sorted((n, s) for s, n in lengths.items()):
-        code <<= n - last
-        out[s], last = webp._bits_of(code, n)[::-1], n
-        code += 1
-    return out
+    """A simple code's bits."""
+    return [(1, 1), (len(symbols) - 1, 1), (1, 1), *[(s, 8) for s in symbols]]
 
 
 def test_webp_back_references_and_cache():
     red, blue = (255, 10, 3, 20), (255, 30, 3, 20)
-    green = {3: 1, 256 + 4: 2, 280: 3, 281: 3}  # literal, length 5 or 6, two cache entries
     value = lambda p: p[0] << 24 | p[1] << 16 | p[2] << 8 | p[3]
     slot = lambda p: (0x1E35A7BD * value(p) & 0xFFFFFFFF) >> 31
-    codes, steps = canonical(green), []
-    want = [red, blue]
-    steps += codes[3] + [0] + codes[3] + [1]  # red channel: 10 or 30
+    lengths = np.zeros(282, np.int64)
+    lengths[[3, 256 + 4, 280, 281]] = 1, 2, 3, 3  # literal, length 5 or 6, two cache entries
+    code, wide = webp._code_of(lengths)
+    sent = lambda s: (int(code[s]), int(wide[s]))
+    out = begun(4, 2)
+    for pair in ((0, 1), (1, 1), (1, 4), (0, 1)):
+        out.put(*pair)
+    webp._put_code(out, lengths)
     last = {slot(red): red} | {slot(blue): blue}
-    steps += codes[280 + slot(red)]
-    want.append(last[slot(red)])
-    steps += codes[256 + 4] + [0]  # length 5; the distance code's single symbol 1: the pixel before
-    want += [want[-1]] * 5
-    stored = file_of(4, 2, [0, 1, *webp._bits_of(1, 4), 0], normal_code(green), simple(10, 30), simple(20), simple(255), simple(1), steps)
-    assert [tuple(p) for p in webp.decode(stored).reshape(-1, 4).tolist()] == want
+    for pair in [*simple(10, 30), *simple(20), *simple(255), *simple(1), sent(3), (0, 1), sent(3), (1, 1), sent(280 + slot(red)), sent(256 + 4), (0, 1)]:
+        out.put(*pair)
+    assert [tuple(p) for p in webp.decode(file_of(out)).reshape(-1, 4).tolist()] == [red, blue, last[slot(red)], *[last[slot(red)]] * 5]
 
 
 def test_webp_meta_codes_and_bundles():
-    groups = mirror([1, *webp._bits_of(0, 3)], [0], *[webp.even_code(0), webp.even_code(0), webp.even_code(0), simple(255), webp.even_code(0)])
-    whole = mirror(*[simple(7), simple(8), simple(9), simple(255), simple(0)])
-    stored = file_of(5, 3, [0, 0], groups, whole)
-    assert (webp.decode(stored) == [255, 8, 7, 9]).all()
-    table = mirror([0], simple(0, 5), simple(0), simple(0), simple(0, 255), simple(0), [0, 1], [1, 0])  # greens 0 and 5
-    stored = file_of(9, 1, [1, *webp._bits_of(webp.PALETTE, 2), *webp._bits_of(1, 8)], table, [0, 0, 0], simple(0b10110010, 1), simple(0), simple(0), simple(255), simple(0), [1, 0])
-    assert webp.decode(stored)[0, :, 2].tolist() == [0, 5, 0, 0, 5, 5, 0, 5, 5]
+    out = begun(5, 3)
+    groups = [(1, 1), (0, 3), (0, 1), *simple(0), *simple(0), *simple(0), *simple(255), *simple(0)]
+    for pair in [(0, 1), (0, 1), *groups, *simple(7), *simple(8), *simple(9), *simple(255), *simple(0)]:
+        out.put(*pair)
+    assert (webp.decode(file_of(out)) == [255, 8, 7, 9]).all()
+    # two groups by column: the left tile's pixels are 7, the right one's 9
+    out = begun(8, 2)
+    both = [*simple(0), *simple(0), *simple(255), *simple(0)]
+    for pair in [(0, 1), (0, 1), (1, 1), (0, 3), (0, 1), *simple(0, 1), *both, (0, 1), (1, 1), *simple(7), *both, *simple(9), *both]:
+        out.put(*pair)
+    assert webp.decode(file_of(out))[..., 2].tolist() == [[7] * 4 + [9] * 4] * 2
+    out = begun(9, 1)
+    table = [(0, 1), *simple(0, 5), *simple(0), *simple(0), *simple(0, 255), *simple(0), (0, 1), (1, 1), (1, 1), (0, 1)]  # greens 0 and 5
+    for pair in [(1, 1), (webp.PALETTE, 2), (1, 8), *table, (0, 1), (0, 2), *simple(0b10110010, 1), *simple(0), *simple(0), *simple(255), *simple(0), (1, 1), (0, 1)]:
+        out.put(*pair)
+    assert webp.decode(file_of(out))[0, :, 2].tolist() == [0, 5, 0, 0, 5, 5, 0, 5, 5]
+
+
+def test_webp_of_another_encoder():
+    """A published one-pixel file, as it is and in the extended container."""
+    one = bytes.fromhex("524946461a000000574542505650384c0d0000002f00000010071011118888fe0700")
+    assert webp.decode(one).tolist() == [[[0, 0, 0, 0]]]
+    extended = b"WEBPVP8X" + (10).to_bytes(4, "little") + bytes(10) + one[12:]
+    assert webp.decode(b"RIFF" + len(extended).to_bytes(4, "little") + extended).tolist() == [[[0, 0, 0, 0]]]
+
+
+@pytest.mark.parametrize("broken", [b"", b"RIFFxxxxWEBPVP8 abcd", bytes.fromhex("524946461a000000574542505650384c0d0000002f000000100710111188"), bytes.fromhex("524946461a000000574542505650384c050000002fffffff0f")])
+def test_broken_files_are_refused(broken):
+    with pytest.raises(ValueError):
+        webp.decode(broken)
+
+
+def kinds_of(stored):
+    """The transforms that a file's stream names first."""
+    bits = webp.Bits(stored[21:])
+    bits.read(32)
+    return bits.read(2) if bits.read(1) else None
+
+
+def test_encoder_uses_what_helps():
+    r = np.random.default_rng(3)
+    noise = r.integers(0, 256, (30, 192, 3)).astype(np.uint8)
+    slope = np.cumsum(r.integers(0, 3, (30, 192, 3)), axis=1).astype(np.uint8)
+    grey = noise[..., :1] + r.integers(0, 4, (30, 192, 3)).astype(np.uint8)
+    few = noise[:1, :, :1] // 64 * np.ones((20, 1, 3), np.uint8)
+    words = np.frombuffer(" ".join(r.choice(["some", "words", "that", "come", "again"], 2000)).encode()[: 576 * 12], np.uint8).reshape(12, 192, 3)
+    for image, want in ((noise, None), (slope, webp.PREDICTOR), (grey, webp.CROSS_COLOUR), (few, webp.PALETTE), (words, None)):
+        stored = webp.encode(image)
+        assert (webp.decode(stored)[..., 1:] == image).all() and stored == webp.encode(image.copy())
+        assert want is None or kinds_of(stored) == want
+    assert len(webp.encode(words)) < words.size // 3  # copies and the cache, not codes alone
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 40), st.sampled_from([1, 2, 3, 17, 256]), st.sampled_from([0.0, 0.5, 0.98]))
+def test_webp_round_trip(seed, height, values, again):
+    r = np.random.default_rng(seed)
+    flat = r.integers(0, values, height * 192 * 3).astype(np.uint8)
+    for at in np.flatnonzero(r.random(len(flat)) < again / 50):
+        back, n = int(r.integers(1, at + 2)), int(r.integers(1, 400))
+        flat[at : at + n] = np.resize(flat[max(0, at - back) : at + 1], len(flat[at : at + n]))
+    image = flat.reshape(height, 192, 3)
+    assert (webp.decode(webp.encode(image))[..., 1:] == image).all()
 
 
 @settings(max_examples=40, deadline=None)
@@ -449,8 +517,10 @@ def test_media_round_trip(text):
 
 
 def test_large_payloads():
-    payload = bytes(range(256)) * (576 * 16384 // 256) + b"\xff" * 576
-    assert b"".join(p.tobytes() for p in media.load(media.store(payload))) == payload
+    payload = bytes(range(256)) * (576 * 4096 // 256) + b"\xff" * 576
+    pictures = media.load(media.store(payload))
+    assert b"".join(p.tobytes() for p in pictures) == payload and len(pictures) == 2
+    assert media.describe(pictures) != media.describe([pictures[0], pictures[1] - 1])
 
 
 def test_media_query(spark, odd):
