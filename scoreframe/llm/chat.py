@@ -4,7 +4,8 @@ A template is any function from turns (role, text) to one string. Successive pre
 a prefix adds to the one before is the newest turn's span, and rendering that turn with two different probe texts tells
 header, content and trailer apart by the probes' common beginning and end. A prefix that doesn't begin with the one before
 shows a template that rewrites history; its turns are then found by probing each in the whole conversation. Beyond
-``CONTEXT`` turns a prefix is rendered from its last turns, and taken only where the whole output agrees with it.
+``CONTEXT`` turns a prefix is first rendered from its last turns alone, which is taken where the whole output agrees with
+it; where it doesn't, and from there on, true prefixes are rendered, at a cost that grows with the square of the turns.
 
 Texts and roles are escaped reversibly before rendering, so that no control string occurs inside them. The loss mask holds
 the contents of assistant turns.
@@ -100,20 +101,23 @@ def locate(template: Template, turns: Turns) -> tuple[str, list[Span | None], bo
     """The output, each turn's span (None where the template leaves it out), and whether the template rewrites history."""
     render, out = template.render, template.render(turns)
     spans: list[Span | None] = []
-    at = len(render([]))
-    before = render([])
+    before, at, short = render([]), len(render([])), True
     for k, (role, _) in enumerate(turns):
-        first = max(0, k - CONTEXT)
-        earlier = turns[first:k]
-        before = before if first == 0 else render(earlier)
-        now = render(turns[first : k + 1])
-        if not now.startswith(before) or not out.startswith(now[len(before) :], at):
-            return out, _probe_whole(template, turns, out), True
+        while True:
+            first = max(0, k - CONTEXT) if short else 0
+            earlier = turns[first:k]
+            start = before if first == 0 and before is not None else render(earlier)
+            now = render(turns[first : k + 1])
+            if now.startswith(start) and out.startswith(now[len(start) :], at):
+                break
+            if not first:
+                return out, _probe_whole(template, turns, out), True
+            short, before = False, None  # the last turns alone don't tell
         head, tail = _edges(render([*earlier, (role, "A")]), render([*earlier, (role, "B")]))
-        add = len(now) - len(before)
-        spans.append(Span(at, at + head - len(before), at + add - tail, at + add))
+        add = len(now) - len(start)
+        spans.append(Span(at, at + head - len(start), at + add - tail, at + add))
         at += add
-        before = now
+        before = now if first == 0 else None
     return out, spans, at != len(out)
 
 
