@@ -1,15 +1,15 @@
 """URL filter: rules by host and path prefix, and logistic regression on hashed character n-grams for the rest.
 
-The classifier is trained on a small labelled table of URLs, which is a parameter (``labelled_urls`` builds the default
-from word lists), and scores host and path. Rules win over it. Null urls and urls without ``://`` have empty host and
-path, fit no rule, score 0 and are allowed. Judging is row by row, so ties, repeated
-rows and empty tables need no care, and other columns pass through.
+The classifier is trained on a small labelled table of URLs, which is a parameter (``url_table`` has the default), and
+scores host and path. Rules win over it; they are a list of at most ``MOST_RULES`` that is written into the plan. Null urls
+and urls without ``://`` have empty host and path, fit no rule, score 0 and are allowed. Judging is row by row over whole
+urls, so ties, repeated rows and empty tables need no care. Other columns pass through; those with the names of results
+(host, path, rule, score, verdict) are replaced by these.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 
 import numpy as np
 import pandas as pd
@@ -17,35 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreframe.llm.common import ascii_lower, table
-from scoreframe.llm.texthash import mix64
+from scoreframe.llm.texthash import batches, mix64
+from scoreframe.llm.url_table import labelled_urls
 
 #: (host, path prefix, verdict); the rule's text is host followed by path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MOST_RULES = 1000
 SIZES, BITS = (3, 4, 5), 16
 
-UNWANTED = "casino poker bets slots jackpot pills viagra pharmacy cheap replica adult xxx porn sexcam escort spam farm loan payday winner prize lottery ads banner popup tracker crack warez torrent".split()
-PLAIN = "news blog shop wiki docs forum school library museum garden travel recipe science history music sport weather health city river book paper photo video market coffee house green north open".split()
-#: Both classes get the same shapes of hosts and paths, so that only the words tell them apart.
-HOSTS = ("{a}-{b}.example.net", "www.{a}{b}.com", "{a}.example.org", "m.{a}.example.com", "blog.{a}-{b}.net", "{b}.{a}.info")
-PATHS = ("/", "/en/{n}", "/{n}.html", "/de/{n}/", "/fr/{n}", "/es/{n}", "/en/{n}.html")
-
-
-def labelled_urls() -> pd.DataFrame:
-    """The default training table: host, path and label (1: unwanted), made from word lists by a rule.
-
-    Words made of letter pairs stand for hosts that say nothing; they are wanted, so that unknown text is allowed.
-    """
-    pairs = [x + y + z for x, y, z in itertools.product(("th", "er", "in", "on", "es"), ("an", "en", "or", "ti", "re"), ("th", "ing", "ed", "al"))]
-    rows = []
-    for label, stems in ((1, UNWANTED), (0, PLAIN), (0, pairs)):
-        for i, a in enumerate(stems):
-            b = stems[(7 * i + 3) % len(stems)]
-            for j, host in enumerate(HOSTS):
-                path = PATHS[(i + j) % len(PATHS)].format(n=(37 * i + 11 * j) % 1000)
-                rows.append((host.format(a=a, b=b), path, label))
-    return pd.DataFrame(rows, columns=["host", "path", "label"])
-
 
 def ngrams(urls: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every character n-gram; each url stands between bytes 1 and 2 and no n-gram crosses urls."""
@@ -78,23 +57,32 @@ def _raw(urls: list[bytes], weights: np.ndarray) -> np.ndarray:
     return np.bincount(row, weights[bucket], len(urls)) / np.sqrt(count)
 
 
-def train(labelled: pd.DataFrame, bits: int = BITS, rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent; the table is small by contract."""
+def train(labelled: pd.DataFrame, bits: int = BITS, rounds: int = 1000, rate: float = 2.0, decay: float = 1e-4, prior: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights by full-batch gradient descent, and the bias, which is that of ``prior``: a url of which nothing is known is
+    unwanted with that probability, whatever the share of such urls in the table. The table is small by contract."""
     urls, y = _texts(labelled.host, labelled.path), labelled.label.to_numpy(float)
     row, bucket = ngrams(urls, bits)
     value = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(urls))))[row]
-    w, bias = np.zeros(1 << bits), 0.0
+    w, bias = np.zeros(1 << bits), float(np.log(prior / (1 - prior)))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(np.bincount(row, w[bucket] * value, len(urls)) + bias)))
-        gap = (p - y) / len(y)
-        w -= rate * len(y) / 20 * (np.bincount(bucket, gap[row] * value, 1 << bits) + decay * w)
-        bias -= rate * gap.sum()
-    return w.astype(np.float32), float(bias)
+        w -= rate / 20 * (np.bincount(bucket, (p - y)[row] * value, 1 << bits) + len(y) * decay * w)
+    return w.astype(np.float32), bias
+
+
+def scores(urls: list[bytes], model: tuple[np.ndarray, float]) -> np.ndarray:
+    """How likely each url (host, tab, path) is unwanted."""
+    out = np.zeros(len(urls))
+    for part in batches([len(u) for u in urls], 1_000_000):
+        out[part] = 1 / (1 + np.exp(-(_raw(urls[part], model[0]) + model[1])))
+    return out
 
 
 @functools.lru_cache(1)
 def default_model() -> tuple[np.ndarray, float]:
-    return train(labelled_urls())
+    """The model of the default table's rows outside the held-out part."""
+    table = labelled_urls()
+    return train(table[~table.held_out])
 
 
 def host_of(url: Column) -> Column:
@@ -120,13 +108,13 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def judge_urls(pages: DataFrame, url: str = "url", model: tuple[np.ndarray, float] | None = None, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """Add host, path, rule, score (of the classifier) and verdict."""
-    weights, bias = model or default_model()
+    model = model or default_model()
 
     @F.pandas_udf("double")
     def score(host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series(1 / (1 + np.exp(-(_raw(_texts(host, path), weights) + bias))))
+        return pd.Series(scores(_texts(host, path), model))
 
-    df = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    df = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     df = df.withColumn("score", F.when((F.col("host") == "") & (F.col("path") == ""), F.lit(0.0)).otherwise(score("host", "path")))
     text, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return df.withColumn("rule", text).withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")))
