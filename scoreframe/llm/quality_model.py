@@ -3,11 +3,13 @@
 A text's features are its tokens (runs of word characters, runs of punctuation) and pairs of neighbouring tokens,
 hashed to ``2**bits`` buckets; a token that repeats the one before it makes a pair of its own kind, whatever the token. A
 bucket's value is log(1 + count), scaled so that a text's values have length 1; the score is the logistic of a sparse dot
-product. Training takes at most ``MOST_TRAINING`` labelled documents outside the held-out fold, in ``SHARDS``
-hash shards; each shard runs its own updates over its own rows and the shards' weights are averaged.
+product. Training takes at most ``MOST_TRAINING`` labelled documents outside the held-out fold. Their features are made in
+tasks and dealt by hash to ``SHARDS`` shards, to more where a shard would hold over ``SHARD_VALUES`` values, however long
+the texts are; each shard runs its own updates over its own rows and the shards' weights are averaged.
 
-Null and empty texts have no features and score the logistic of the bias. Scoring is row by row over whole texts; equal
-texts get equal scores. Without any labelled rows all weights are 0 and every score is 0.5.
+Null and empty texts have no features and score the logistic of the bias. Scoring is row by row over whole texts, so repeated
+rows and empty tables need no care; equal texts get equal scores. Without any labelled rows all weights are 0 and every
+score is 0.5. Other columns pass through, but one with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import table
+from scoreframe.llm.common import materialize, table
 from scoreframe.llm.labelled import held_out, training_rows
 from scoreframe.llm.texthash import CLASSES, batches, mix64, run_hashes, tokens
 
 BITS = 18
 #: Bound of the training sample.
 MOST_TRAINING = 16_000
-SHARDS = 4
+SHARDS, SHARD_VALUES = 4, 8_000_000
 #: A shard passes over its rows until it has made about this many updates, 2 to 20 times.
 UPDATES = 8_000
 ALPHA, BETA, L1, L2 = 1.0, 0.5, 2e-3, 1e-4
@@ -47,8 +49,8 @@ def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return doc, (key & np.uint64((1 << bits) - 1)).astype(np.int64), value / length[doc]
 
 
-def ftrl(texts: list[str], labels: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Weights and bias after passes of per-coordinate FTRL-proximal updates, one document at a time.
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
+    """Weights and bias after passes of per-coordinate FTRL-proximal updates, one document (buckets, values) at a time.
 
     The rarer label's updates weigh more, up to 4 times, so that both labels weigh the same together.
     """
@@ -58,11 +60,6 @@ def ftrl(texts: list[str], labels: np.ndarray, bits: int = BITS) -> tuple[np.nda
     def weight(z, n):
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    rows = []
-    for part in batches([len(t) for t in texts]):
-        doc, bucket, value = features(texts[part], bits)
-        cuts = np.searchsorted(doc, np.arange(1, part.stop - part.start))
-        rows += zip(np.split(bucket, cuts), np.split(value, cuts), strict=True)
     share = np.array([np.mean(labels == 0), np.mean(labels == 1)])
     heft = np.clip(0.5 / np.maximum(share, 1e-9), 0, 4)
     for _ in range(int(np.clip(UPDATES // max(1, len(rows)), 2, 20))):
@@ -78,17 +75,28 @@ def ftrl(texts: list[str], labels: np.ndarray, bits: int = BITS) -> tuple[np.nda
     return weight(z, n), -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)
 
 
-def train(rows: DataFrame, bits: int = BITS, shards: int = SHARDS) -> tuple[np.ndarray, float]:
+def train(rows: DataFrame, bits: int = BITS, shards: int = SHARDS, most: int = SHARD_VALUES) -> tuple[np.ndarray, float]:
     """The average of the shards' models. The driver gets at most one row for each bucket, and the bias (bucket -1)."""
 
+    def spread(frames):
+        for pdf in frames:
+            for part in batches([len(t) for t in pdf.text]):
+                some = pdf.iloc[part]
+                doc, bucket, value = features(list(some.text), bits)
+                cuts = np.searchsorted(doc, np.arange(1, len(some)))
+                yield pd.DataFrame({"doc_id": some.doc_id, "label": some.label, "buckets": np.split(bucket, cuts), "values": np.split(value, cuts)})
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", "doc_id"])
-        w, bias = ftrl(list(pdf.text), pdf.label.to_numpy(float), bits)
+        pdf = pdf.sort_values(["order", "doc_id"], kind="stable")
+        w, bias = ftrl(list(zip(pdf["buckets"], pdf["values"], strict=True)), pdf.label.to_numpy(float), bits)
         used = np.flatnonzero(w)
         return pd.DataFrame({"bucket": np.append(used, -1), "w": np.append(w[used], bias)})
 
-    sharded = rows.withColumn("_order", F.xxhash64(F.lit(5), "doc_id")).withColumn("_shard", F.pmod("_order", F.lit(shards)))
-    models = sharded.groupBy("_shard").applyInPandas(fit, "bucket long, w double")
+    made = rows.mapInPandas(spread, "doc_id long, label int, buckets array<int>, values array<double>")
+    made = materialize(made.withColumn("order", F.xxhash64(F.lit(5), "doc_id")), "features")
+    held = made.agg(F.sum(F.size("buckets").cast("long"))).first()[0] or 0
+    shards = max(shards, -(-held // most))
+    models = made.withColumn("shard", F.pmod("order", F.lit(shards))).groupBy("shard").applyInPandas(fit, "bucket long, w double")
     found = models.groupBy("bucket").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toPandas()
     weights = np.zeros(1 << bits, np.float32)
     bias = found[found.bucket == -1]
@@ -98,22 +106,22 @@ def train(rows: DataFrame, bits: int = BITS, shards: int = SHARDS) -> tuple[np.n
     return weights, float(bias.w.sum()) / count
 
 
-def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
-    """Add score: how likely a text is of good quality."""
+def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
+    """Add the column ``out``: how likely a text is of good quality."""
     weights, bias = model
     bits = int(weights.size - 1).bit_length()
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        whole, out = list(texts), np.zeros(len(texts))
+        whole, found = list(texts), np.zeros(len(texts))
         for part in batches([len(t) for t in whole]):
             doc, bucket, value = features(whole[part], bits)
             dot = np.bincount(doc, sent.value[bucket] * value, part.stop - part.start)
-            out[part] = 1 / (1 + np.exp(-np.clip(dot + bias, -30, 30)))
-        return pd.Series(out)
+            found[part] = 1 / (1 + np.exp(-np.clip(dot + bias, -30, 30)))
+        return pd.Series(found)
 
-    return docs.withColumn("score", score(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(out, score(F.coalesce(F.col(text), F.lit(""))))
 
 
 def op6_quality_model(spark, sf_dir) -> DataFrame:
