@@ -7,17 +7,19 @@ position in an epoch is the time at which cumulative demand reaches its offset t
 Documents are then range-sorted by position, once for each epoch that takes them.
 
 Words are counted per document (null text: 0). A null source is a source of its own, after all others. Sources without
-words have target 0 and give nothing; documents without words take nothing and get the position of their offset. Rows
-with equal ids keep their own places (ties are broken by a hash of the whole row, equal rows being interchangeable).
-An empty table gives an empty mix. Extra columns are dropped by the query and kept by ``take``.
+words have target 0 and give nothing; documents without words take nothing and get no position. Rows are documents, also
+where ids repeat or are null; ties are broken by a hash of the whole row, equal rows being interchangeable. An empty table
+gives an empty mix. Sources may be as many as documents: what is computed for each source is spread like the documents.
+Extra columns are dropped by the query and kept by ``take``, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scoreframe.llm.common import materialize, n_words, running_sum, table
+from scoreframe.llm.common import materialize, n_words, running_sum, running_sums, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -29,22 +31,21 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     """One row per source: source_size, docs, place in the cycle of weights and target.
 
     The sources share ``share`` times all words by weight; a target stops at ``cap`` times its source's size and the
-    excess is shared anew. In the order of cap/weight the sources that stop come first, so running sums over the
-    sources tell which do: the windows here see one row for each source, not for each document.
+    excess is shared anew. In the order of limit/weight the sources that stop come first, so running sums over the
+    sources tell which do; only totals over all sources reach the driver.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    per = running_sum(per.withColumn("_one", F.lit(1)), "_one", [], ["source"], "_rank").withColumn("place", (F.col("_rank") % len(weights)).cast("int"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("place", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights))
-    per = per.withColumn("weight", F.get(cycle, F.col("place"))).withColumn("limit", F.lit(cap) * F.col("source_size"))
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    total, weight = F.lit(share) * F.sum("source_size").over(everything), F.sum("weight").over(everything)
-    left = total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    unmet = weight - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("stops", F.col("limit") * unmet <= F.col("weight") * left).withColumn("total", total).withColumn("weights", weight)
-    stopped = lambda c: F.sum(F.when(F.col("stops"), F.col(c)).otherwise(0.0)).over(everything)
-    level = F.try_divide(F.col("total") - stopped("limit"), F.col("weights") - stopped("weight"))
-    target = F.when(F.col("stops"), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("weight") * level))
+    per = per.withColumn("weight", F.get(cycle, F.col("place"))).withColumn("limit", F.lit(float(cap)) * F.col("source_size"))
+    per = running_sums(per.withColumn("_ratio", F.col("limit") / F.col("weight")), {"_limits": "limit", "_weights": "weight"}, [], ["_ratio", "source"])
+    per = materialize(per, "sources")
+    words, weight = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    total = share * words
+    per = per.withColumn("stops", F.col("limit") * (F.lit(weight) - F.col("_weights")) <= F.col("weight") * (F.lit(total) - F.col("_limits")))
+    stopped = per.where("stops").agg(F.coalesce(F.sum("limit"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = (total - stopped[0]) / (weight - stopped[1]) if weight > stopped[1] else 0.0
+    target = F.when(F.col("stops"), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("weight") * F.lit(level)))
     return per.withColumn("target", target).select("source", "source_size", "docs", "place", "target")
 
 
@@ -69,11 +70,13 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, c
     ``taken`` is exact: the words of the document that lie below the source's rounded target, over all epochs, so only
     one document of a source is taken in part. ``copies`` rounds that to whole documents. ``positions`` holds the time of
     the document's middle in each epoch that takes words of it, ``position`` the first of them; null where nothing is taken.
+    A column ``row_key``, if docs has one, tells rows apart that share an id, and is kept.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    key = F.col("row_key") if "row_key" in docs.columns else F.lit(0)
+    sized = docs.select("doc_id", "source", key.alias("row_key"), n_words(F.col("text")).alias("size"))
     sized = materialize(sized.withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id"))), "sized")
     targets = source_targets(sized, weights, share, cap)
-    laid = running_sum(sized, "size", ["source"], ["_order", "doc_id", "size"], "offset")
+    laid = running_sum(sized, "size", ["source"], ["_order", "doc_id", "row_key", "size"], "offset")
     right = targets.withColumnRenamed("source", "_source")
     df = laid.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_order")
     due = F.round("target").cast("long")
@@ -90,7 +93,7 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, c
     df = df.withColumn("positions", F.array_compact(F.array(*places)))
     df = df.withColumn("taken", taken).withColumn("copies", F.coalesce(F.round(F.try_divide("taken", "size")), F.lit(0)).cast("int"))
     df = df.withColumn("positions", F.when(F.col("taken") > 0, F.col("positions"))).withColumn("position", F.get("positions", F.lit(0)))
-    return df.select("doc_id", "source", "size", "source_size", "target", "offset", "taken", "copies", "position", "positions")
+    return df.select("doc_id", "source", "row_key", "size", "source_size", "target", "offset", "taken", "copies", "position", "positions")
 
 
 def sort_by_position(mixed: DataFrame) -> DataFrame:
@@ -101,16 +104,24 @@ def sort_by_position(mixed: DataFrame) -> DataFrame:
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each as often as its copies say, in training order, with docs' own columns.
 
-    Rows that share a doc_id are mixed as the sum of their copies over the distinct ids, so every row of such an id is
-    repeated as often as the first is, and at its places.
+    Rows meet their places by two hashes of all their columns (but maps), so neither null nor repeated ids gather in one
+    place; of equal rows one goes on, which takes the places of all.
     """
-    most = F.min(F.struct((-F.col("copies")).alias("minus"), "positions"))
-    copies = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(most.alias("_most"))
-    right = copies.select(F.col("doc_id").alias("_id"), F.slice("_most.positions", F.lit(1), -F.col("_most.minus")).alias("_positions"))
-    taken = docs.join(right, F.col("doc_id").eqNullSafe(F.col("_id")))
-    taken = taken.withColumn("_position", F.explode("_positions"))
-    order = [F.col("_position"), F.col("_id")]
-    return taken.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    names = docs.columns
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not _holds_map(f.dataType)]
+    key = F.struct(F.xxhash64(*hashed).alias("a"), F.xxhash64(F.lit(1), *hashed).alias("b"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("row_key"))
+    mixed = mix(packed.select("row.doc_id", "row.source", "row.text", "row_key"), **options).where("copies > 0")
+    places = mixed.select(F.col("row_key").alias("key"), "doc_id", F.explode(F.slice("positions", F.lit(1), F.col("copies"))).alias("position"))
+    once = packed.groupBy("row_key").agg(F.first("row").alias("row"))
+    taken = once.join(places, F.col("row_key") == F.col("key"))
+    order = [F.col("position"), F.col("doc_id"), F.col("key")]
+    return taken.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, T.MapType) or any(_holds_map(k) for k in inner)
 
 
 def op1_mixing(spark, sf_dir) -> DataFrame:
