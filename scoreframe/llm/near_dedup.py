@@ -16,8 +16,10 @@ words). Documents with 100 * |intersection| >= 75 * |union| are linked; componen
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75**ROWS)**BANDS, about 2e-7; in step 5, one at
 0.75 stays below AGREE with a probability of about 1e-4 (3.8 standard deviations of BINS trials), one above it with less.
 
-Texts without words (null, empty, blank) are linked with nothing and are their own components. Rows that share an id
-count as one document. Rows without an id have no component and are kept. Other columns don't matter here.
+What is linked are texts. Texts without words (null, empty, blank) are linked with nothing and are their own components.
+Rows that share an id are one document in ``link``, whose components hold all that any of its texts is linked with;
+``keep_one`` decides text by text, so that a text of a repeated id that is like no other stays. Rows without an id have no
+component and are kept. Equal rows get equal results. Other columns don't matter here and may have any names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import materialize, table
+from scoreframe.llm.common import materialize, running_sum, table, unused
 from scoreframe.llm.components import connected_components
 from scoreframe.llm.texthash import SPACED, batches, mix64, run_hashes, tokens
 
@@ -39,7 +41,7 @@ BANDS, ROWS = 80, 6
 BINS = BANDS * ROWS
 ATTEMPTS = 64
 #: The rest of a bucket is compared in blocks of so many members, and its pairs go on if so many bins (of 8 bits) agree.
-BLOCK, AGREE = 4096, 0.675
+BLOCK, AGREE = 512, 0.675
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -111,7 +113,8 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the word sequence, bucket keys and 8-bit signature (all three null without words)."""
+    """doc_id, hash of the text, n_shingles, digest of the word sequence, bucket keys and 8-bit signature (all three null
+    without words)."""
 
     def run(frames):
         for pdf in frames:
@@ -124,9 +127,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 keys, small = bands(signature), (mix64(signature) & np.uint64(255)).astype(np.uint8)
                 pick = lambda rows: [r if n else None for r, n in zip(rows, size, strict=True)]  # noqa: E731, B023
                 digest = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() if n else None for t, n in zip(texts, size, strict=True)]
-                yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[part].array, "n_shingles": size, "digest": digest, "keys": pick(keys), "small": pick([r.tobytes() for r in small])})
+                yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[part].array, "text_hash": pdf.text_hash.iloc[part].array, "n_shingles": size, "digest": digest, "keys": pick(keys), "small": pick([r.tobytes() for r in small])})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, keys array<long>, small binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>, small binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -185,19 +188,29 @@ def compare_rest(members: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "p", "q").applyInPandas(run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+def components_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool, bool]:
+    """(the sketch of docs (doc_id, text); the classes of equal word sequences: digest, rep and text_hash of the row that
+    stands for the class, component (the smallest rep) and whether the class stands for its component; whether ids repeat;
+    whether an id has texts of several classes)."""
     sketched = materialize(sketch(docs), "sketch")
     usable = sketched.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").cast("int").alias("n"), F.first("keys").alias("keys"), F.first("small").alias("small"))
+    per_id = usable.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("mixed"))
+    repeated, mixed = per_id.agg(F.coalesce(F.max("n") > 1, F.lit(False)), F.coalesce(F.max("mixed"), F.lit(False))).first()
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = usable.groupBy("digest").agg(first, F.first("n_shingles").cast("int").alias("n"), F.first("keys").alias("keys"), F.first("small").alias("small"))
+    classes = classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), F.col("first.doc_id").alias("id"), "n", "keys", "small")
     classes = materialize(classes, "classes")
+    if mixed:  # an id may stand for several classes: these are numbered in the order of their ids
+        numbers = running_sum(classes.select("digest", "rep", F.lit(1).alias("one")), "one", [], ["rep", "digest"], "id").select(F.col("digest").alias("d"), "id")
+        classes = materialize(classes.drop("id").join(numbers, F.col("digest") == F.col("d")).drop("d"), "classes")
     rows = classes.select("id", "n", F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "k")
     members = materialize(rows.join(shared, F.col("key") == F.col("k")).select("key", "band", "id", "n", "c"), "members")
     meets = members.groupBy("id").agg(F.sum("c").alias("meets")).withColumnRenamed("id", "m")
     members = materialize(members.join(meets, F.col("id") == F.col("m")).select("key", "band", "id", "n", "meets"), "members")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
-    texts = materialize(texts, "texts")
+    named = classes.select("id", F.col("rep").alias("r"), F.col("text_hash").alias("h")).join(members.select("id").distinct(), "id", "left_semi")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(named, (F.col("doc_id") == F.col("r")) & (F.col("text_hash") == F.col("h"))).select("id", "text")
+    texts = materialize(texts.dropDuplicates(["id"]) if repeated else texts, "texts")
 
     best = members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("minus"), "n")).alias("best"))
     hubs = materialize(best.select(F.col("key").alias("k"), (-F.col("best.minus")).alias("hub"), F.col("best.n").alias("hub_n")), "hubs")
@@ -215,11 +228,46 @@ def link(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
-    reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumnRenamed("digest", "d")
-    reps = reps.join(labels.withColumnRenamed("id", "i"), F.col("rep") == F.col("i"), "left").select("d", F.coalesce("component", "rep").alias("component"))
-    out = sketched.drop("keys", "small").join(reps, F.col("digest") == F.col("d"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    named = classes.select("digest", "rep", "text_hash", "id").join(labels.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
+    found = named.select("digest", "rep", "text_hash", F.coalesce("component", "id").alias("lead"), (F.coalesce("component", "id") == F.col("id")).alias("leads"))
+    if mixed:
+        leads = classes.select(F.col("id").alias("i"), F.col("rep").alias("component"))
+        return sketched, found.join(leads, F.col("lead") == F.col("i")).drop("i", "lead"), repeated, mixed
+    return sketched, found.withColumnRenamed("lead", "component"), repeated, mixed
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    sketched, classes, repeated, mixed = components_of_texts(docs)
+    slim = sketched.select("doc_id", "n_shingles", "digest")
+    usable = slim.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    found = usable.join(classes.select(F.col("digest").alias("d"), "component"), F.col("digest") == F.col("d")).select("doc_id", "n_shingles", "component")
+    alone = slim.where("doc_id IS NULL OR digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    if repeated or mixed:  # all rows of an id get the least of its components, after these are joined where they share an id
+        by_id = materialize(found.groupBy("doc_id", "component").agg(F.count("*").alias("n")), "ids")
+        least = by_id.groupBy("doc_id").agg(F.min("component").alias("low"))
+        edges = by_id.join(least.withColumnRenamed("doc_id", "i"), F.col("doc_id") == F.col("i")).select(F.col("component").alias("a"), F.col("low").alias("b"))
+        merged = connected_components(edges).select(F.col("id").alias("c"), F.col("component").alias("whole"))
+        final = least.join(merged, F.col("low") == F.col("c"), "left").select(F.col("doc_id").alias("i"), F.coalesce("whole", "low").alias("final"))
+        every = found.unionByName(alone)
+        numbered = every.where("doc_id IS NOT NULL").join(final, F.col("doc_id") == F.col("i"), "left").select("doc_id", "n_shingles", F.coalesce("final", "component").alias("component"))
+        found, alone = numbered, every.where("doc_id IS NULL")
+    out = found.unionByName(alone)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs but those whose text is linked with that of a row before them, by id; with all of docs' columns.
+
+    Equal rows (id and text) stay or go together, rows without an id or without words stay.
+    """
+    sketched, classes, _, _ = components_of_texts(docs.select("doc_id", "text"))
+    number, other = unused(docs.columns, "_gone", "_gone_text")
+    usable = sketched.where("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", "text_hash", "digest")
+    stands = classes.select(F.col("digest").alias("d"), F.col("rep"), F.col("text_hash").alias("h"), "leads")
+    stays = F.col("leads") & (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("h"))
+    gone = usable.join(stands, F.col("digest") == F.col("d")).where(~stays).select(F.col("doc_id").alias(number), F.col("text_hash").alias(other)).distinct()
+    return docs.join(materialize(gone, "gone"), (F.col("doc_id") == F.col(number)) & (F.xxhash64("text") == F.col(other)), "left_anti")
 
 
 def op9_near_dedup(spark, sf_dir) -> DataFrame:

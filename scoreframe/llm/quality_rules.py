@@ -6,7 +6,8 @@ words, lacks any sentence punctuation. Separately, the document-level base rule
 words and texts in which more than ``max_repeat_percent`` percent of the words lie in 5-word windows that occur twice.
 
 Null and empty texts have no words, fail the base rule and are rejected. Lines without a word are neither judged nor
-counted. Ties and repeated rows are judged row by row; other columns pass through untouched.
+counted. Rows are judged one by one, so ties, repeated rows and empty tables need no care. Other columns pass through
+untouched; those with the names of results are replaced by these.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import UPPER, let, table, words
+from scoreframe.llm.common import UPPER, let, table, unused, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -79,22 +80,23 @@ def line_first(docs: DataFrame, text: str = "text", rules: LineRules = LineRules
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_words, cleaned and kept."""
     whole = F.coalesce(F.col(text), F.lit(""))
     per_line = F.transform(F.split(whole, "\n"), lambda line: let(F.size(words(line)), lambda n: F.struct(line.alias("line"), n.alias("n"), ((n > 0) & line_fails(line, n, rules)).alias("bad"))))
-    df = docs.withColumn("_w", words(F.col(text))).withColumn("_lines", per_line)
-    full = F.transform(F.filter("_lines", lambda x: x["n"] > 0), lambda x: x["line"])
-    good = F.filter("_lines", lambda x: ~x["bad"])
+    text_words, lines = unused(docs.columns, "_w", "_lines")
+    df = docs.withColumn(text_words, words(F.col(text))).withColumn(lines, per_line)
+    full = F.transform(F.filter(lines, lambda x: x["n"] > 0), lambda x: x["line"])
+    good = F.filter(lines, lambda x: ~x["bad"])
     df = (
-        df.withColumn("n_words", F.size("_w").cast("long"))
+        df.withColumn("n_words", F.size(text_words).cast("long"))
         .withColumn("word_chars", F.length(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "")).cast("long"))
         .withColumn("n_symbols", _count(whole, SYMBOLS).cast("long"))
         .withColumn("n_dup_lines", let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(F.col("_w")))
+        .withColumn("n_repeat_words", repeated_words(F.col(text_words)))
         .withColumn("kept_words", F.aggregate(good, F.lit(0), lambda a, x: a + x["n"]).cast("long"))
         .withColumn("cleaned", F.array_join(F.transform(good, lambda x: x["line"]), "\n"))
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     lost = F.col("n_words") - F.col("kept_words") > rules.max_lost_share * F.col("n_words")
-    return df.withColumn("kept", ~failed & ~lost).drop("_w", "_lines")
+    return df.withColumn("kept", ~failed & ~lost).drop(text_words, lines)
 
 
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -8,10 +8,12 @@ score is their logistic.
 The lexicon is learned from at most ``MOST_TRAINING`` labelled documents outside the held-out fold, on top of a short list
 of given entries: word beginnings that are far more frequent in toxic texts are candidates, and of these the ones that
 cover toxic documents not yet covered ``COVER`` times are taken one by one, so that the chance words of one often-copied
-text don't enter. Candidates and their places are bounded by parameters.
+text don't enter. An entry has at most ``LONGEST`` letters: a longer beginning would match only words that its first
+letters match as well. Nothing else bounds the lexicon: every beginning that is frequent enough is a candidate, and entries
+are taken until none adds enough.
 
-Null and empty texts have no hits and get the lowest score. Scoring is row by row over whole texts; other columns pass
-through.
+Null and empty texts have no hits and get the lowest score. Scoring is row by row over whole texts, so ties, repeated rows
+and empty tables need no care; other columns pass through, but one with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from scoreframe.llm.labelled import held_out, training_rows
 
 #: Bound of the training sample, half of it for each label.
 MOST_TRAINING = 8_000
-MOST_CANDIDATES, MOST_ENTRIES = 2_000, 400
 SHORTEST, LONGEST = 4, 10
 COVER = 5
 #: A candidate's share of toxic documents must be so many times (as a natural logarithm) its share of the others.
@@ -85,10 +86,17 @@ class Lexicon:
 
     def automaton(self):
         found = ahocorasick.Automaton()
+        heaviest: dict[str, float] = {}
         for entry, weight in self.weights.items():
-            found.add_word(" " + entry, (len(entry) + 1, weight))
+            key = " " + fold(entry).strip()
+            heaviest[key] = max(weight, heaviest.get(key, weight))
+        words: dict[str, tuple] = {key: (len(key), weight, False) for key, weight in heaviest.items()}
         for phrase in self.exceptions:
-            found.add_word(" " + fold(phrase), (len(phrase) + 1, None))
+            key = " " + fold(phrase).strip()
+            words[key] = (len(key), heaviest.get(key), True)
+        for key, told in words.items():
+            if key != " ":
+                found.add_word(key, told)
         found.make_automaton()
         return found
 
@@ -97,11 +105,11 @@ def hits(automaton, folded: str) -> float:
     """The summed weight of the hits that begin outside exception phrases; one hit for each word, the heaviest."""
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
-    for end, (size, weight) in automaton.iter(" " + folded):
+    for end, (size, weight, excepted) in automaton.iter(" " + folded):
         start = end - size + 1
-        if weight is None:
+        if excepted:
             spared.append((start, end))
-        else:
+        if weight is not None:
             best[start] = max(weight, best.get(start, 0.0))
     return sum(w for at, w in best.items() if not any(a <= at <= b for a, b in spared)) if spared else sum(best.values())
 
@@ -126,7 +134,8 @@ def _beginnings(folded: str) -> set[str]:
 
 
 def _candidates(rows: DataFrame) -> dict[str, float]:
-    """The candidates with their weights, counted over the sample by Spark; at most MOST_CANDIDATES reach the driver."""
+    """The candidates with their weights, counted over the sample by Spark. Each is found in one of LEAST_SHARE of the toxic
+    documents of the sample at the least, so their number is bounded by the sample's words."""
 
     def spell(frames):
         for pdf in frames:
@@ -141,7 +150,7 @@ def _candidates(rows: DataFrame) -> dict[str, float]:
     counts = rows.mapInPandas(spell, "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
     ratio = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     counts = counts.where(F.col("n1") >= max(3, n1 // LEAST_SHARE)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    top = counts.orderBy((F.col("ratio") * F.log1p("n1")).desc(), "entry").limit(MOST_CANDIDATES).toPandas()
+    top = counts.orderBy("entry").toPandas()
     return dict(zip(top.entry, top.ratio, strict=True))
 
 
@@ -166,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Lexi
                 where.setdefault(entry, set()).add(i)
         covered = np.zeros(len(listed), int)
         least = max(2, len(listed) // LEAST_SHARE)
-        while len(chosen) < MOST_ENTRIES and where:
+        while where:
             gain = {e: sum(covered[i] < COVER for i in docs_of) for e, docs_of in where.items()}
             entry = max(gain, key=lambda e: (gain[e], len(e), e))
             if gain[entry] < least:
@@ -199,8 +208,8 @@ def _fit(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """Add score: how likely a text is toxic."""
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
+    """Add the column ``out``: how likely a text is toxic."""
     bias, by_weight, by_share = lexicon.coefficients
 
     @F.pandas_udf("double")
@@ -210,7 +219,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
             x = measure(automaton, list(texts))
             yield pd.Series(1 / (1 + np.exp(-np.clip(bias + by_weight * x[:, 0] + by_share * x[:, 1], -30, 30))))
 
-    return docs.withColumn("score", score(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(out, score(F.coalesce(F.col(text), F.lit(""))))
 
 
 def op7_toxicity(spark, sf_dir) -> DataFrame:
