@@ -14,7 +14,7 @@ from oracle import assert_agrees
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scoreframe.llm import chat, media, mixing, near_dedup, packing, token_counts, webp
+from scoreframe.llm import chat, media, mixing, near_dedup, packing, token_counts, toxicity, webp
 from scoreframe.llm.components import connected_components
 from scoreframe.llm.tokenize import WordTokenizer, tokenizer_path
 
@@ -95,6 +95,29 @@ def test_take_repeats_documents(spark):
     assert got == {d: c for d, c in copies.items() if c}
 
 
+def test_take_odd_rows(spark):
+    """Null and repeated ids, equal rows, clashing and map columns: each row is taken as often as its own copies say."""
+    rows = [(None, f"text {'w ' * (i % 5)}", "s" if i % 3 else "t", "c") for i in range(40)] + [(7, "a b c", "t", "c"), (7, "a b c", "t", "c"), (7, "x y", "t", None), (8, None, None, "c"), (9, "", "s", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _position string").withColumns({"row_key": F.lit("mine"), "_one": F.create_map(F.lit("k"), F.lit(1))})
+    got = mixing.take(docs)
+    assert got.columns == docs.columns and {r.row_key for r in got.collect()} == {"mine"}
+    words = {}
+    for r in got.collect():
+        words[r.source] = words.get(r.source, 0) + len(WORD.findall(r.text or ""))
+    sizes = {}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(WORD.findall(r.text or ""))
+    want = targets(sizes)
+    assert all(abs(words.get(s, 0) - want[s]) <= 5 for s in sizes)
+    assert mixing.take(docs.limit(0)).count() == 0
+
+
+def test_many_sources_agree(spark):
+    """Targets over several hundred sources, null among them."""
+    rows = [(i, "w " * (1 + i * 7 % 23), f"s{i % 389}" if i % 389 else None) for i in range(1200)]
+    check_mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+
+
 def test_every_epoch_has_its_position(spark):
     docs = spark.createDataFrame([(i, "a b c d e f g h i j", "s" if i < 40 else "t") for i in range(400)], DOCS.replace(", size string", ""))
     mixed = {r.doc_id: r.asDict() for r in mixing.mix(docs).collect()}
@@ -148,6 +171,11 @@ def check_packing(spark, docs):
         texts = [np.array(w[2], "<u4") for w in group]
         got = per.pop(key)
         assert sum(p.length for p in got) == sum(len(t) for t in texts)
+        if len(texts) == 1:  # gapless from the start
+            at = 0
+            for p in sorted(got, key=lambda p: p.start):
+                assert p.start == at
+                at += p.length
         for p in got:
             assert any(len(t) == p.doc_tokens and zlib.crc32(t[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for t in texts)
     assert not per
@@ -162,14 +190,42 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def best_by_force(tails, i, unused):
+    """BM25 of all unused tails for the distinct ids of tail i, term by term."""
+    n, mean = len(tails), sum(map(len, tails)) / len(tails)
+    scores = {}
+    for j in unused:
+        total = 0.0
+        for term in set(tails[i].tolist()):
+            f = int((tails[j] == term).sum())
+            df = sum(bool((t == term).any()) for t in tails)
+            if f and df > 1:
+                total += np.log1p((n - df + 0.5) / (df + 0.5)) * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * len(tails[j]) / mean))
+        if total > 0:
+            scores[j] = total
+    return scores
+
+
+def test_neighbours_by_force():
+    r = np.random.default_rng(0)
+    tails = [r.integers(1, 400, r.integers(3, 60)).astype("<u2") for _ in range(40)]
+    index, unused = packing.Index(tails), set(range(40))
+    for i in r.permutation(40)[:35].tolist():
+        unused.discard(i)
+        index.drop(i)
+        want = best_by_force(tails, i, unused)
+        got = index.neighbours(tails[i]).tolist()
+        assert set(got) == set(want)
+        assert [want[j] for j in got] == pytest.approx(sorted(want.values(), reverse=True))
+
+
 def test_neighbours_share_windows():
     r = np.random.default_rng(0)
     topics = [np.arange(i * 1000, i * 1000 + 200, dtype="<u2") for i in range(4)]
-    tails = [r.choice(topics[i % 4], 500) for i in range(32)]
+    tails = [r.choice(topics[i % 4], 512) for i in range(32)]
     windows = packing.pack_shard(tails, window=4096)
-    assert sum(b - a for w in windows for _, a, b in w) == 32 * 500
-    mixed = [len({i % 4 for i, _, _ in w}) for w in windows]
-    assert min(mixed) <= 2
+    assert sorted((i, p) for w in windows for i, a, b in w for p in range(a, b)) == [(i, p) for i in range(32) for p in range(512)]
+    assert all(len({i % 4 for i, _, _ in w}) == 1 for w in windows)
 
 
 def test_every_unused_neighbour_is_found():
@@ -182,26 +238,50 @@ def test_every_unused_neighbour_is_found():
     assert sum(len({i % 4 for i, _, _ in w}) > 1 for w in windows) <= 3
 
 
-def test_token_counts(spark, odd):
+@pytest.mark.parametrize("block", [257, token_counts.BLOCK])
+def test_token_counts(spark, odd, tmp_path, block):
     tokenizer = whole_tokenizer()
     tokenizer.encode_special_tokens = True
-    for docs in (documents(spark), odd):
-        files = token_counts.materialize(token_counts.token_files(docs, block=257), "tokens")
-        names = files.select("file_id", "block_no", F.posexplode("doc_ids").alias("place", "doc_id"))
-        counted = token_counts.count_tokens(files.select("file_id", "block_no", "tokens"))
-        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in counted.join(names, ["file_id", "block_no", "place"]).collect())
+    for k, docs in enumerate((documents(spark), odd)):
+        folder = f"{tmp_path}/{k}"
+        names = token_counts.write_flat_files(docs, folder).withColumnsRenamed({"file": "name", "doc_no": "no"})
+        counted = token_counts.count_tokens(spark, folder, block=block)
+        joined = names.join(counted, (F.col("name") == F.substring_index("file", "/", -1)) & (F.col("no") == F.col("doc_no")))
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in joined.collect())
         want = sorted((r.doc_id is None, r.doc_id or 0, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.select("doc_id", "text").collect())
         assert got == want
         assert counted.where("complete").count() == counted.count() == docs.count()
-    assert token_counts.count_tokens(token_counts.token_files(odd.limit(0)).select("file_id", "block_no", "tokens")).count() == 0
+
+
+def test_token_counts_of_nothing(spark, odd, tmp_path):
+    assert token_counts.write_flat_files(odd.limit(0), f"{tmp_path}/none").count() == 0
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.bin").write_bytes(b"")
+    assert token_counts.count_tokens(spark, f"{tmp_path}/empty").count() == 0
 
 
 def test_flat_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(np.array([1, 2, 9, 3, 9, 9, 4, 5], "<u2").tobytes())
-    got = token_counts.count_tokens(token_counts.read_flat_files(spark, str(tmp_path), block=2), end=9)
+    got = token_counts.count_tokens(spark, str(tmp_path), end=9, block=2)
     assert sorted((r.doc_no, r.start, r.n_tokens, r.complete) for r in got.collect()) == [(0, 0, 3, True), (1, 3, 2, True), (2, 5, 1, True), (3, 6, 2, False)]
 
 
+def test_flat_files_by_force(spark, tmp_path):
+    """Files of all kinds, 32-bit ids, blocks of odd sizes: identifiers at all places, none for many blocks, none at all."""
+    r = random.Random(4)
+    want = []
+    for name, share in (("a", 0.3), ("b", 0.01), ("c", 0.0), ("d", 1.0)):
+        ids = [9 if r.random() < share else r.randrange(8) for _ in range(500)]
+        (tmp_path / name).write_bytes(np.array(ids, "<u4").tobytes())
+        start = no = 0
+        for i, t in enumerate([*ids, None]):
+            if t == 9 or (t is None and start < i):
+                want.append((name, no, start, i + (t == 9) - start, t == 9))
+                start, no = i + 1, no + 1
+    got = token_counts.count_tokens(spark, str(tmp_path), end=9, width=4, block=7)
+    assert sorted((r.file.rpartition("/")[2], r.doc_no, r.start, r.n_tokens, r.complete) for r in got.collect()) == sorted(want)
+
+
 # --- chat
 
 
@@ -223,6 +303,14 @@ def test_long_chats_and_rewritten_history():
     assert rewrites and [out[s.begin : s.end] for s in spans] == ["q", "one", "r", "<think>y</think>two"]
 
 
+@pytest.mark.parametrize("turns", [1, 17, 18, 200])
+def test_templates_that_number_their_turns(turns):
+    numbered = chat.Template("numbered", lambda t: "".join(f"[{i}] {role}: {text}\n" for i, (role, text) in enumerate(t)), lambda header: header.partition("] ")[2].removesuffix(": "))
+    given = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(turns)]
+    out, spans, rewrites = chat.locate(numbered, given)
+    assert not rewrites and chat.read_back(numbered, out, spans) == given
+
+
 def test_chat_query(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -320,6 +408,17 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert near_dedup.link(odd.limit(0)).count() == 0
 
 
+def test_ids_that_repeat(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(4, x), (7, x), (7, y), (7, y.upper()), (7, y), (9, z), (12, z), (11, y), (11, z), (15, None), (15, "q r"), (None, x), (20, "solo text"), (20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.link(docs).collect())
+    assert {c for d, c, _ in got if d in (4, 7, 9, 11, 12)} == {4} and {d for d, _, k in got if k} == {0, 4, 15, 20} and len(got) == len(rows)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in near_dedup.keep_one(docs.withColumn("_gone", F.lit(1))).collect())
+    one = y.upper() if (7, y.upper()) in kept else y
+    assert kept == sorted([(0, x), (4, x), *[(7, one)] * (2 if one == y else 1), (9, z), (15, ""), (15, "q r"), (20, "solo text"), (20, "")])
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.integers(0, 10**6))
 def test_components(spark, seed):
@@ -538,6 +637,33 @@ def test_media_query(spark, odd):
 # --- pipeline
 
 
+def sizes_and_cleaned(text):
+    """The words of a text's good lines, by the rules as they are stated, and whether the text is kept."""
+    from scoreframe.llm.quality_rules import LineRules
+
+    rules, good, n_good = LineRules(), [], 0
+    for line in (text or "").split("\n"):
+        n = len(WORD.findall(line))
+        bad = n > 0 and (
+            (n <= rules.boilerplate_words and re.search(rules.boilerplate, line.lower()) is not None)
+            or sum(line.count(c) for c in rules.separators) >= rules.max_separators
+            or sum(line.count(c) for c in "#*$%&|<>") > rules.max_symbols_per_word * n
+            or (n >= rules.shout_words and sum("A" <= c <= "Z" for c in line) > rules.max_shout_share * len(line.replace(" ", "")))
+            or (n >= rules.punctuation_words and not any(c in line for c in rules.punctuation))
+        )
+        if not bad:
+            good.append(line)
+            n_good += n
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    times = {}
+    for w in windows:
+        times[w] = times.get(w, 0) + 1
+    repeated = len({p for i, w in enumerate(windows) if times[w] > 1 for p in range(i, i + 5)})
+    kept = len(words) >= rules.min_words and 100 * repeated <= rules.max_repeat_percent * len(words) and not len(words) - n_good > rules.max_lost_share * len(words)
+    return "\n".join(good), kept
+
+
 def test_pipeline(spark):
     docs = documents(spark)
     columns, now = docs.columns, docs
@@ -548,14 +674,47 @@ def test_pipeline(spark):
         seen.append(now)
         if name != "packing":
             assert now.columns == columns
+        if name == "toxicity":
+            scored = toxicity.score_toxicity(before, toxicity.learn(before, spark.read.parquet(f"{SF}/labels.parquet"))).collect()
+            assert sorted(r.doc_id for r in now.collect()) == sorted(r.doc_id for r in scored if r.score < 0.5)
+        if name == "quality rules":
+            told = {r.doc_id: sizes_and_cleaned(r.text) for r in before.collect()}
+            assert {r.doc_id: (r.text, r.n_chars) for r in now.collect()} == {d: (t, len(t)) for d, (t, kept) in told.items() if kept}
         if name == "near duplicates":
             rows = [(r.doc_id, r.text) for r in before.collect()]
             force = by_force(rows)
             assert {r.doc_id for r in now.collect()} == {d for d, c in force.items() if d == c}
-    toxic, rules, unique, mixed, packed = seen
-    assert toxic.count() < docs.count() and rules.count() < toxic.count()
-    assert set(r.doc_id for r in mixed.collect()) <= set(r.doc_id for r in unique.collect())
+        if name == "mixing":
+            copies = {r.doc_id: r.copies for r in mixing.mix(before).collect() if r.copies}
+            got = {}
+            for r in now.collect():
+                got[r.doc_id] = got.get(r.doc_id, 0) + 1
+            assert got == copies
+    mixed, packed = seen[3:]
     tokenizer = whole_tokenizer()
     assert packed.agg(F.sum("length")).first()[0] == sum(len(ids_of(tokenizer, r.text)) for r in mixed.collect())
     key = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(packed)
+
+
+def test_stages_keep_what_is_not_theirs(spark):
+    """Null ids, texts and sources, equal rows, long texts, empty tables and columns of all names that stages use."""
+    good = "This is a plain sentence of quite a few words, and it ends well."
+    rows = [(1, None, "s"), (2, "", None), (3, good, "s"), (3, good, "s"), (None, f"{good} Nobody has an id here.", None), (5, "word " * 20_000, "s"), (6, "x" * 100_000, "t"), (7, good, "t"), (7, f"{good}\nAnother line, which no other text has at all.", "t")]
+    names = ["score", "_toxicity", "kept", "cleaned", "n_words", "_w", "_lines", "_gone", "_gone_text", "_copies", "_position", "_id", "row", "row_key", "key", "position", "digest", "a.b"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0 and none.columns == docs.columns
+        now = corpus_pipeline.materialize(stage(spark, now, SF).toDF(*[c.replace(".", "_") for c in docs.columns]), "stage").toDF(*docs.columns)
+        got = now.collect()
+        assert now.columns == docs.columns and all(r[n] == n for r in got for n in names), name
+        if name == "toxicity":
+            assert len(got) == len(rows)
+        if name == "quality rules":
+            assert sorted(r.doc_id or 0 for r in got) == [0, 3, 3, 7, 7]
+        if name == "near duplicates":
+            assert sorted(r.doc_id or 0 for r in got) == [0, 3, 3, 7]
+    assert corpus_pipeline.pack_windows(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.pack_windows(spark, docs, SF).select("doc_id", "start").distinct().count() >= 6

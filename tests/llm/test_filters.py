@@ -1,18 +1,19 @@
 """Quality rules, classifiers and URL filter: SQL, held-out accuracy, brute force and odd rows."""
 
+import math
 import random
 import re
 
-import pandas as pd
+import numpy as np
 import pytest
 from oracle import assert_agrees
 from pyspark.sql import functions as F
 
-from scoreframe.llm import quality_model, quality_rules, toxicity, url_filter
+from scoreframe.llm import quality_model, quality_rules, toxicity, url_filter, url_table
 from scoreframe.llm.labelled import held_out
 
 SF = "/root/testdata/sf0.01"
-DOCS = "doc_id long, text string, kept string, score string, _w string"
+DOCS = "doc_id long, text string, kept string, score string, _w string"  # columns of the caller that bear names used inside
 ODD = [(1, None, "x", "y", "z"), (2, "", None, None, None), (3, " \n\t ", "x", "y", "z"), (3, " \n\t ", "x", "y", "z"), (None, "A word.", "x", "y", "z"), (5, "word " * 30_000, "x", "y", "z"), (6, "x" * 200_000, "x", "y", "z")]
 
 
@@ -43,12 +44,12 @@ def test_repeated_words_by_force(spark):
 
 
 def test_quality_rules_odd_rows(spark, odd):
-    rows = quality_rules.line_first(slim(odd)).collect()
-    assert len(rows) == len(ODD)
+    rows = quality_rules.line_first(odd).collect()
+    assert len(rows) == len(ODD) and {r.score for r in rows} == {"y", None} and {r["_w"] for r in rows} == {"z", None}
     by_id = {r.doc_id: r for r in rows}
     assert all(by_id[i].n_words == 0 and by_id[i].base_failed and not by_id[i].kept for i in (1, 2, 3))
     assert by_id[5].n_repeat_words == 30_000 and by_id[5].base_failed
-    assert quality_rules.line_first(slim(odd).limit(0)).count() == 0
+    assert quality_rules.line_first(odd.limit(0)).count() == 0
 
 
 def test_lines(spark):
@@ -104,6 +105,64 @@ def test_classifiers_odd_rows(spark, odd):
     assert toxicity.score_toxicity(docs.limit(0), lexicon).count() == 0
 
 
+def test_ftrl_by_force():
+    """The updates coordinate by coordinate, in plain numbers."""
+    r = random.Random(1)
+    texts = [" ".join(r.choice("good fine bad awful plain".split()) for _ in range(12)) for _ in range(60)]
+    labels = [int(t.count("good") + t.count("fine") >= t.count("bad") + t.count("awful")) for t in texts]
+    doc, bucket, value = quality_model.features(texts)
+    rows = [[(int(b), float(v)) for d, b, v in zip(doc, bucket, value, strict=True) if d == i] for i in range(60)]
+    q = quality_model
+    z, n, weight, passes = {}, {}, {}, min(20, max(2, q.UPDATES // 60))
+    share = sum(labels) / 60
+    for _ in range(passes):
+        for row, y in zip(rows, labels, strict=True):
+            every = [*row, (-1, 1.0)]
+            for b, _ in every:
+                zb, nb, first = z.get(b, 0.0), n.get(b, 0.0), 0.0 if b == -1 else q.L1
+                weight[b] = 0.0 if abs(zb) <= first else -(zb - (first if zb > 0 else -first)) / ((q.BETA + nb**0.5) / q.ALPHA + (0.0 if b == -1 else q.L2))
+            p = 1 / (1 + math.exp(-sum(weight[b] * v for b, v in every)))
+            g = (p - y) * min(4.0, 0.5 / (share if y else 1 - share))
+            for b, v in every:
+                step = ((n.get(b, 0.0) + g * g * v * v) ** 0.5 - n.get(b, 0.0) ** 0.5) / q.ALPHA
+                z[b], n[b] = z.get(b, 0.0) + g * v - step * weight[b], n.get(b, 0.0) + g * g * v * v
+    w, bias = q.ftrl([(np.array([b for b, _ in row]), np.array([v for _, v in row])) for row in rows], np.array(labels, float))
+    for b, zb in z.items():
+        first, second = (0.0, 0.0) if b == -1 else (q.L1, q.L2)
+        want = 0.0 if abs(zb) <= first else -(zb - (first if zb > 0 else -first)) / ((q.BETA + n[b] ** 0.5) / q.ALPHA + second)
+        assert (bias if b == -1 else w[b]) == pytest.approx(want, abs=1e-9)
+
+
+def test_shards_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 20, i % 2) for i in range(60)], "doc_id long, text string, label int")
+    model = quality_model.train(docs, most=100)
+    assert model[0].any()
+    scored = quality_model.score_quality(spark.createDataFrame([], DOCS), model)
+    assert scored.count() == 0
+
+
+def test_hits_by_force():
+    """Every word's heaviest entry that it begins with, but for words that begin inside an exception phrase."""
+    r = random.Random(2)
+    entries = {"ab": 1.0, "abc": 3.0, "bca": 2.0, "CAB": 1.5, "\u0430bb": 2.5, "aa b": 0.5}
+    lexicon = toxicity.Lexicon(entries, exceptions=("abc ca", "bca", "aa  b"))
+    automaton = lexicon.automaton()
+    folded = {}
+    for e, w in entries.items():
+        folded[toxicity.fold(e)] = max(w, folded.get(toxicity.fold(e), 0))
+    for _ in range(400):
+        text = toxicity.fold("".join(r.choice("abc ") for _ in range(r.randint(0, 25))))
+        starts = [i for i in range(len(text)) if i == 0 or text[i - 1] == " "]
+        spared = {k for i in starts for p in lexicon.exceptions if text.startswith(toxicity.fold(p), i) for k in range(i, i + len(toxicity.fold(p)))}
+        want = sum(max((w for e, w in folded.items() if text.startswith(e, i)), default=0) for i in starts if i not in spared)
+        assert toxicity.hits(automaton, text) == pytest.approx(want), text
+
+
+def test_scores_may_bear_any_name(spark, odd):
+    got = toxicity.score_toxicity(odd, toxicity.Lexicon(toxicity.GIVEN), out="_t").collect()
+    assert {r.score for r in got} == {"y", None} and all(0 <= r["_t"] < 0.5 for r in got)
+
+
 def test_folding_and_exceptions():
     automaton = toxicity.Lexicon({"idiot": 2.0, "trash": 1.0, "idio": 1.0}).automaton()
     hits = lambda t: toxicity.hits(automaton, toxicity.fold(t))
@@ -152,4 +211,20 @@ def test_urls_by_force(spark):
         assert (r.host, r.path) == (host, path)
         assert (r.rule if isinstance(r.rule, str) else None) == (rule[0] if rule else None)
         assert r.verdict == (rule[1] if rule else "block" if r.score >= 0.5 else "allow")
-    assert isinstance(url_filter.labelled_urls(), pd.DataFrame)
+
+
+def test_urls_held_out():
+    """Of the table's rows outside training, no wanted url is blocked and half of the unwanted ones are."""
+    table = url_table.labelled_urls()
+    rest = table[table.held_out]
+    told = url_filter.scores([f"{h}\t{p}".encode() for h, p in zip(rest.host, rest.path, strict=True)], url_filter.default_model()) >= 0.5
+    assert len(rest) >= 30 and not told[rest.label == 0].any() and told[rest.label == 1].mean() >= 0.5
+
+
+def test_urls_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "http://"), (4, "x://" + "a" * 300_000 + "/" + "b" * 300_000), (5, "http://org/" + "c" * 100_000), (1, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({n: F.lit("mine") for n in ("host", "path", "rule", "score", "verdict", "_host")})
+    got = sorted(url_filter.judge_urls(pages).collect(), key=lambda r: r.page_id)
+    assert [len(r.host) for r in got] == [0, 0, 0, 0, 300_000, 3] and {r["_host"] for r in got} == {"mine"}
+    assert {r.verdict for r in got} <= {"allow", "block"} and got[-1]["rule"] == "org/"
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
