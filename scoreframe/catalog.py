@@ -43,10 +43,10 @@ def rounded(value: Column) -> Column:
     return F.round(value.cast("double"), 6)
 
 
-def neighbours(df: DataFrame, key: str, column: str) -> DataFrame:
+def neighbours(df: DataFrame, key: str, column: str, *kept: str) -> DataFrame:
     """Each row with the next key's value as ``expected``, joined on the key."""
     following = df.select((F.col(key) - 1).alias("_next"), F.col(column).alias("expected"))
-    return df.select(key, F.col(column).alias("output")).join(following, F.col(key) == F.col("_next")).drop("_next")
+    return df.select(key, *kept, F.col(column).alias("output")).join(following, F.col(key) == F.col("_next")).drop("_next")
 
 
 # --- texts, numbers, vectors
@@ -66,8 +66,7 @@ SELECT a.p_brand, round(avg(1 - levenshtein(a.p_name, b.p_name) / greatest(lengt
 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 GROUP BY 1""")
 def levenshtein_by_brand(spark, sf_dir):
     """Average edit similarity of neighbouring part names, by brand."""
-    part = table(spark, sf_dir, "part")
-    scored = Levenshtein().transform(neighbours(part, "p_partkey", "p_name").join(part.select("p_partkey", "p_brand"), "p_partkey"))
+    scored = Levenshtein().transform(neighbours(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_brand"))
     return scored.groupBy("p_brand").agg(rounded(F.avg("Levenshtein.score")).alias("score"), F.count("*").alias("n"))
 
 
@@ -172,6 +171,76 @@ def json_diff_typed(spark, sf_dir):
     return scored.select("event_id", rounded(F.col("JSONDiff.score")).alias("score"))
 
 
+def nested(spark, sf_dir) -> DataFrame:
+    """Events as nested values: a kind, tags of which some rows have one more, numbers inside a struct, a field that may lack."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    tags = F.when(F.col("event_id") % 2 == 0, F.array("event_type", F.lit("x"))).otherwise(F.array("event_type"))
+    inner = F.struct(k.alias("k"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
+    return table(spark, sf_dir, "events").select("event_id", F.struct(F.col("event_type").alias("kind"), tags.alias("tags"), inner.alias("inner")).alias("typed"))
+
+
+_LEV_OF = "(CASE WHEN {0} = {1} THEN 1 ELSE 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})) END)"
+_NUM_OF = "(CASE WHEN {0} = 0 AND {1} = 0 THEN 1 ELSE 1 - abs({1} - {0}) / nullif(abs({1}) + abs({0}), 0) END)"
+_NESTED = """
+n AS (SELECT event_id, event_type AS t, CAST(props->>'k' AS DOUBLE) AS k, CASE WHEN event_id % 3 = 0 THEN CAST(value AS DOUBLE) END AS v, event_id % 2 AS odd FROM events),
+p AS (SELECT a.event_id, a.t AS ta, b.t AS tb, a.k AS ak, b.k AS bk, a.v AS av, b.v AS bv, a.odd AS ao, b.odd AS bo FROM n a JOIN n b ON b.event_id = a.event_id + 1),
+s AS (SELECT event_id, {lev} AS kind, ({lev} + CASE WHEN ao = 0 AND bo = 0 THEN 1 ELSE 0 END) / greatest(2 - ao, 2 - bo) AS tags,
+        CASE WHEN av IS NULL AND bv IS NULL THEN {num_k} WHEN av IS NULL OR bv IS NULL THEN {num_k} / 2 ELSE ({num_k} + {num_v}) / 2 END AS inner_ FROM p)
+""".format(lev=_LEV_OF.format("ta", "tb"), num_k=_NUM_OF.format("ak", "bk"), num_v=_NUM_OF.format("av", "bv"))
+
+
+@query(f"WITH {_NESTED} SELECT event_id, round((kind + tags + inner_) / 3, 6) AS score FROM s")
+def json_diff_nested(spark, sf_dir):
+    """Structural similarity of neighbouring events as nested values, natively."""
+    scored = JSONDiff().transform(neighbours(nested(spark, sf_dir), "event_id", "typed"))
+    return scored.select("event_id", rounded(F.col("JSONDiff.score")).alias("score"))
+
+
+@query(f"WITH {_NESTED} SELECT event_id, round((kind + tags + inner_) / 3, 6) AS score FROM s")
+def json_diff_unequal_types(spark, sf_dir):
+    """The same with one side as JSON text, in which one field more is null, so that both go through text."""
+    pairs = neighbours(nested(spark, sf_dir), "event_id", "typed").withColumn("expected", F.to_json("expected"))
+    scored = JSONDiff().transform(pairs)
+    return scored.select("event_id", rounded(F.col("JSONDiff.score")).alias("score"))
+
+
+@query(f"WITH {_NESTED} SELECT event_id, round((0.5 * CASE WHEN ta = tb THEN 2 ELSE 1 END + CASE WHEN ta = tb THEN 1 ELSE 0.5 END) / 2, 6) AS score FROM p")
+def json_diff_maps_custom(spark, sf_dir):
+    """Maps, and a scorer of texts that tells equal (1) from unequal (0.5) alone."""
+    events = table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("kind"), F.array("event_type"), F.lit("again"), F.array("event_type")).alias("typed"))
+    scored = JSONDiff(string_scorer=lambda a, b: 1.0 if a == b else 0.5).transform(neighbours(events, "event_id", "typed"))
+    return scored.select("event_id", rounded(F.col("JSONDiff.score")).alias("score"))
+
+
+@query("""
+SELECT a.event_id, CASE WHEN a.props::JSON->>'k' IS NULL THEN NULL
+  ELSE round(CASE WHEN o = 0 AND e = 0 THEN 1 ELSE 1 - abs(e - o) / nullif(abs(e) + abs(o), 0) END, 6) END AS score
+FROM (SELECT x.event_id, x.props, CAST(x.props->>'k' AS DOUBLE) AS o, CAST(y.props->>'k' AS DOUBLE) AS e FROM events x JOIN events y ON y.event_id = x.event_id + 1) a""")
+def json_diff_text_in_struct(spark, sf_dir):
+    """JSON texts inside structs are opened."""
+    events = table(spark, sf_dir, "events").select("event_id", F.struct(F.col("props").alias("inside")).alias("typed"))
+    scored = JSONDiff().transform(neighbours(events, "event_id", "typed"))
+    return scored.select("event_id", rounded(F.col("JSONDiff.score")).alias("score"))
+
+
+@query("SELECT event_id, 1.0::DOUBLE AS score, CASE WHEN event_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fits FROM events")
+def valid_json_parsed(spark, sf_dir):
+    """Values that are structs already, without and with a schema that asks for a field which may lack."""
+    rows = nested(spark, sf_dir).select("event_id", F.col("typed.inner").alias("output"))
+    schema = {"type": "object", "properties": {"v": {"type": "number"}}, "required": ["v"]}
+    scored = ValidJSON(schema=schema).transform(rows).withColumn("fits", F.col("ValidJSON.score"))
+    return ValidJSON().transform(scored).select("event_id", F.col("ValidJSON.score").alias("score"), "fits")
+
+
+@query(f"WITH {_NESTED} SELECT event_id, CASE WHEN ak = bk AND av IS NOT DISTINCT FROM bv THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM p")
+def exact_match_typed(spark, sf_dir):
+    """Equality of structs, in which a field may lack its value."""
+    from scoreframe.operators.scorers import ExactMatch
+
+    rows = nested(spark, sf_dir).select("event_id", F.col("typed.inner").alias("inner"))
+    return ExactMatch().transform(neighbours(rows, "event_id", "inner")).select("event_id", F.col("ExactMatch.score").alias("score"))
+
+
 _LEV = "(1 - levenshtein(o[{0}], e[{1}]) / greatest(length(o[{0}]), length(e[{1}])))"
 
 
@@ -222,6 +291,40 @@ def human_ai_pairs(spark, sf_dir):
     return pairs.select("conv_id", "pair", F.col("p.human.content").alias("human"), F.col("p.assistant.content").alias("assistant"))
 
 
+def typed_parts(spark, sf_dir) -> DataFrame:
+    """Conversations as typed parts: each message's text; in users' messages reasoning after it; an assistant's message also calls
+    a tool, and a tool's message follows with the result, whose form goes by conversation."""
+    said = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").withColumn("turn", F.col("turn").cast("long") * 2)
+    none = F.lit(None).cast("string")
+    part = lambda place, kind, text=none, id_=none, name=none, arguments=none, output=none: F.struct(F.lit(place).alias("place"), F.lit(kind).alias("type"), text.alias("text"), id_.alias("tool_call_id"), name.alias("tool_name"), arguments.alias("arguments"), output.alias("output"))
+    text, i = F.coalesce("text", F.lit("")), F.col("turn").cast("string")
+    given = F.to_json(F.struct(F.when(F.col("conv_id") % 2 == 0, "valid").otherwise("invalid").alias("type"), F.concat(F.lit("n"), i).alias("value")))
+    users, callers = F.array(part(0, "text", text), part(1, "reasoning", text)), F.array(part(0, "text", text), part(1, "tool_call", id_=i, name=F.lit("look"), arguments=given))
+    asked = said.select("conv_id", "turn", "role", F.explode(F.when(F.col("role") == "user", users).otherwise(callers)).alias("p"))
+    form = F.col("conv_id") % 4
+    plain = F.concat(F.lit("found "), i)
+    output = F.when(form == 0, plain).when(form == 1, F.to_json(F.array(F.struct(plain.alias("text")), F.struct(F.lit("more").alias("text"))))).when(form == 2, F.concat(F.lit("error: '"), plain, F.lit("'"))).otherwise(F.concat(F.lit("Error "), F.repeat(plain, 100)))
+    named = F.when(F.col("conv_id") % 3 == 0, F.lit("own"))
+    answered = said.where("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("tool").alias("role"), part(0, "tool_result", id_=i, name=named, output=output).alias("p"))
+    return asked.unionByName(answered).select("conv_id", "turn", "role", "p.*")
+
+
+@query("""
+WITH m AS (SELECT conv_id, 2 * turn AS turn, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant')),
+said AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN text || chr(10) || '[thinking: ' || substr(text, 1, 100) || '...]' ELSE text END AS c FROM m),
+r AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'own' ELSE 'look' END AS name, CASE WHEN conv_id % 2 = 0 THEN '"n' || turn || '"' ELSE 'n' || turn END AS args,
+        CASE conv_id % 4 WHEN 0 THEN 'found ' || turn WHEN 1 THEN 'found ' || turn || chr(10) || 'more' WHEN 2 THEN 'found ' || turn ELSE 'Error ' || repeat('found ' || turn, 100) END AS res FROM m WHERE role = 'assistant'),
+cut AS (SELECT *, length(res) - 500 + 30 AS out_, ' [...' || (length(res) - 470) || ' chars truncated...] ' AS note FROM r),
+z AS (SELECT conv_id, turn, name, args, res, CASE WHEN length(res) <= 500 THEN res
+        ELSE substr(res, 1, (500 - length(note)) // 2) || note || substr(res, length(res) - (500 - length(note) - (500 - length(note)) // 2) + 1) END AS shown FROM cut),
+every AS (SELECT conv_id, turn, upper(substr(role, 1, 1)) || substr(role, 2) || ':' || chr(10) || '  ' || replace(c, chr(10), chr(10) || '  ') AS piece FROM said WHERE c <> ''
+  UNION ALL SELECT conv_id, turn + 1, 'Tool (' || name || '):' || chr(10) || '  Args:' || chr(10) || '    ' || args || chr(10) || CASE WHEN lower(res) LIKE 'error%' THEN '  Error:' ELSE '  Result:' END || chr(10) || '    ' || shown FROM z)
+SELECT conv_id, string_agg(piece, chr(10) || chr(10) ORDER BY turn) AS text FROM every GROUP BY conv_id""")
+def thread_text_typed(spark, sf_dir):
+    """Conversations with reasoning, tool calls and results as text."""
+    return thread.typed_thread_text(typed_parts(spark, sf_dir))
+
+
 # --- judges
 
 
@@ -273,6 +376,43 @@ for _name in JUDGES:
     _add_judge(_name)
 
 
+@query("""
+SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN 1.0::DOUBLE END AS score,
+  CASE conv_id % 6 WHEN 1 THEN 'empty response' WHEN 2 THEN 'no tool call in the response' WHEN 3 THEN 'another tool called: other' WHEN 4 THEN 'no choice in the call' END AS error
+FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def judge_response_errors(spark, sf_dir):
+    """What becomes of responses of all forms: a choice, none at all, no call, a call of another tool, no choice, no response."""
+    spec = judge("Humor")
+    best = max(spec.choice_scores, key=spec.choice_scores.get)
+    rows = judge_rows(spark, sf_dir).withColumn("request_key", F.col("conv_id").cast("string"))
+    form = F.col("conv_id") % 6
+    text = lambda value: F.lit(value)
+    response = (
+        F.when(form == 0, call_response(F.to_json(F.struct(F.lit(f" {best} ").alias("choice"))), TOOL))
+        .when(form == 1, text('{"choices": []}'))
+        .when(form == 2, text('{"choices": [{"message": {"content": "no"}}]}'))
+        .when(form == 3, call_response(F.to_json(F.struct(F.lit(best).alias("choice"))), "other"))
+        .when(form == 4, call_response(text("{}"), TOOL))
+    )
+    responses = rows.where(form < 5).select("request_key", response.alias("response"))
+    scored = judged(rows, responses, spec)
+    return scored.select("conv_id", F.col(f"{spec.name}.score").alias("score"), F.get_json_object(f"{spec.name}.metadata", "$.error").alias("error"))
+
+
+@query("""
+SELECT conv_id, 'Asked: ' || string_agg(CASE WHEN role = 'user' THEN '(' || text || ')' END, '' ORDER BY turn) || CASE WHEN count(*) FILTER (WHERE role = 'system') = 0 THEN ' no system' ELSE '' END
+  || ' first: ' || arg_min(text, turn) FILTER (WHERE role = 'user') AS text
+FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations) GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0""")
+def template_sections(spark, sf_dir):
+    """A template with sections, an inverted section and a path, over every conversation that a user speaks in."""
+    from scoreframe.functions.template import render
+
+    df = thread.add_variables(thread.collect_threads(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))))
+    df = df.where(F.size("user_messages") > 0).withColumn("system_messages", thread.of_role(F.col("all_messages"), "system"))
+    template = "Asked: {{#user_messages}}({{content}}){{/user_messages}}{{^system_messages}} no system{{/system_messages}} first: {{user_messages.0.content}}"
+    return df.select("conv_id", render(df, template).alias("text"))
+
+
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM labels")
 def moderation_flagged(spark, sf_dir):
     """Moderation without a threshold; labels stand for verdicts."""
@@ -398,30 +538,50 @@ def rag_entity_recall(spark, sf_dir):
 
 
 def qa_corpus(spark, sf_dir) -> DataFrame:
-    """Documents as stories whose first two lines are answers with their places."""
+    """Documents as stories with three questions, whose answers are the first, the last and the middle line with their places."""
     rows = lines_of(spark, sf_dir)
-    one, two = F.get("lines", F.lit(0)), F.coalesce(F.get("lines", F.lit(1)), F.lit(""))
-    after = F.length(one) + 1
-    answers = F.struct(F.array(one, two).alias("input_text"), F.array(F.lit(0).cast("bigint"), after.cast("bigint")).alias("answer_start"), F.array(F.length(one).cast("bigint"), (after + F.length(two)).cast("bigint")).alias("answer_end"))
-    return rows.select("doc_id", F.lit("lines").alias("source"), F.col("text").alias("story"), F.array(F.lit("What is first?"), F.lit("What is second?")).alias("questions"), answers.alias("answers"))
+    at = F.floor(F.size("lines") / 2).cast("int")
+    first, last, middle = F.get("lines", F.lit(0)), F.try_element_at("lines", F.lit(-1)), F.get("lines", at)
+    before = F.aggregate(F.slice("lines", F.lit(1), at), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    starts = [F.lit(0), F.length("text") - F.length(last), before]
+    texts = [first, last, middle]
+    places = lambda values: F.array(*[v.cast("bigint") for v in values])
+    answers = F.struct(F.array(*texts).alias("input_text"), places(starts).alias("answer_start"), places([s + F.length(t) for s, t in zip(starts, texts, strict=True)]).alias("answer_end"))
+    questions = F.array(*[F.lit(f"What is {x}?") for x in ("first", "last", "in the middle")])
+    return rows.select("doc_id", F.lit("lines").alias("source"), F.col("text").alias("story"), questions.alias("questions"), answers.alias("answers"))
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, l[1] AS a, coalesce(l[2], '') AS b FROM ({_LINES})),
-c AS (SELECT doc_id, 'factuality' AS tag, a AS given, 1.0 AS expected FROM d UNION ALL SELECT doc_id, 'factuality', b, 0.0 FROM d
-  UNION ALL SELECT doc_id, 'factuality', a || ' ' || b, 0.6 FROM d
-  UNION ALL SELECT doc_id, 'context relevancy', a, 1.0 FROM d UNION ALL SELECT doc_id, 'context relevancy', b, 0.0 FROM d
-  UNION ALL SELECT doc_id, 'context relevancy', a || chr(10) || b, length(a) / (length(a) + length(b) + 1) FROM d
-  UNION ALL SELECT doc_id, 'closed q a', a, 1.0 FROM d UNION ALL SELECT doc_id, 'closed q a', b, 0.0 FROM d)
-SELECT doc_id, tag, given, round(CAST(expected AS DOUBLE), 6) AS expected FROM c""")
+WITH d AS (SELECT doc_id, text, l[1] AS a, l[len(l)] AS b, l[len(l) // 2 + 1] AS c FROM ({_LINES})),
+c AS (SELECT doc_id, 'factuality' AS tag, 'What is first?' AS asked, a AS given, 1.0 AS expected FROM d UNION ALL SELECT doc_id, 'factuality', 'What is first?', b, 0.0 FROM d
+  UNION ALL SELECT doc_id, 'factuality', 'What is first?', b || ' ' || a || ' ' || coalesce(c, b), 0.6 FROM d WHERE c IS NOT NULL
+  UNION ALL SELECT doc_id, 'factuality', 'What is first?', a || ' ' || b, 0.6 FROM d WHERE c IS NULL
+  UNION ALL SELECT doc_id, 'context relevancy', 'What is first?', a, 1.0 FROM d UNION ALL SELECT doc_id, 'context relevancy', 'What is first?', b, 0.0 FROM d
+  UNION ALL SELECT doc_id, 'context relevancy', 'What is first?', a || chr(10) || b, length(a) / (length(a) + length(b) + 1) FROM d
+  UNION ALL SELECT doc_id, 'closed q a', 'Given the following context: ' || text || ', ' || chr(10) || chr(10) || ' Answer the question: What is first?', a, 1.0 FROM d
+  UNION ALL SELECT doc_id, 'closed q a', 'Given the following context: ' || text || ', ' || chr(10) || chr(10) || ' Answer the question: What is first?', b, 0.0 FROM d)
+SELECT doc_id, tag, asked, given, round(CAST(expected AS DOUBLE), 6) AS expected FROM c""")
 def eval_case_generators(spark, sf_dir):
     """All three generators over all documents."""
     corpus = qa_corpus(spark, sf_dir)
-    slim = lambda df, field: df.select("doc_id", F.get("tags", F.lit(0)).alias("tag"), F.col(f"input.{field}").alias("given"), rounded(F.col("expected")).alias("expected"))
+    slim = lambda df, field: df.select("doc_id", F.get("tags", F.lit(0)).alias("tag"), F.col("input.input").alias("asked"), F.col(f"input.{field}").alias("given"), rounded(F.col("expected")).alias("expected"))
     parts = [slim(cases.factuality_cases(corpus), "output"), slim(cases.relevancy_cases(corpus), "context"), slim(cases.closed_qa_cases(corpus), "output")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("""
+SELECT p_partkey, CASE WHEN a.p_partkey % 2 = 0 THEN 'near' ELSE 'same' END AS how,
+  round(CASE WHEN a.p_partkey % 2 = 0 THEN 1 - levenshtein(a.p_name, b.n) / greatest(length(a.p_name), length(b.n)) WHEN a.p_name = b.n THEN 1 ELSE 0 END, 6) AS score
+FROM part a JOIN (SELECT p_partkey - 1 AS k, p_name AS n FROM part) b ON b.k = a.p_partkey""")
+def eval_dispatch(spark, sf_dir):
+    """Each row scored by the scorer that it names."""
+    from scoreframe.operators.scorers import ExactMatch
+
+    pairs = neighbours(table(spark, sf_dir, "part"), "p_partkey", "p_name").withColumn("how", F.when(F.col("p_partkey") % 2 == 0, "near").otherwise("same"))
+    scored = evaluate.dispatch(pairs, {"near": Levenshtein(), "same": ExactMatch()}, "how")
+    return scored.select("p_partkey", "how", rounded(F.col("score")).alias("score"))
+
+
 @query("""
 SELECT d.doc_id, round(CASE WHEN s = 0 AND q = 0 THEN 1 ELSE 1 - abs(q - s) / nullif(abs(q) + abs(s), 0) END, 6) AS score
 FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE (doc_id % 11) / 10.0 END::DOUBLE AS s, quality::DOUBLE AS q FROM labels) d""")
@@ -451,9 +611,7 @@ SELECT p_brand, p_partkey, place, round(s, 6) AS score FROM (
 WHERE place <= 3""")
 def score_top_k(spark, sf_dir):
     """The three least similar neighbours of each brand."""
-    part = table(spark, sf_dir, "part")
-    pairs = neighbours(part, "p_partkey", "p_name").join(part.select("p_partkey", "p_brand"), "p_partkey")
-    scored = Levenshtein().transform(pairs).withColumn("score", F.round("Levenshtein.score", 9))
+    scored = Levenshtein().transform(neighbours(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_brand")).withColumn("score", F.round("Levenshtein.score", 9))
     return evaluate.lowest(scored, ["p_brand"], ["p_partkey"], 3).select("p_brand", "p_partkey", "place", rounded(F.col("score")).alias("score"))
 
 

@@ -1,8 +1,9 @@
 """Scores of JSON: strict parsing, structural difference and validation.
 
-Typed structs, maps of a known schema and arrays are compared by native expressions (``typed_difference``). Free JSON text is
-recursive, which no built-in function expresses, so it goes through small Arrow-batched helpers. Spark's own parsers
-accept text after the value, so validity is told by a strict parser.
+Structs, arrays and numbers of one type are compared by native expressions (``typed_difference``). Free JSON text is recursive,
+which no built-in function expresses, so it goes through small Arrow-batched helpers, as do typed values of two types, maps,
+and rows in which a text holds JSON itself. Spark's own parsers accept text after the value, so validity is told by a strict
+parser. A field of a struct that has no value isn't there.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,17 +26,20 @@ CONTAINERS = (T.StructType, T.MapType, T.ArrayType)
 
 
 def edit_similarity(output: str, expected: str) -> float:
-    """The Levenshtein score of two texts, for leaves inside JSON."""
-    if not output and not expected:
+    """The Levenshtein score of two texts, for leaves inside JSON, row by row of the table of distances."""
+    if output == expected:
         return 1.0
-    row = range(len(expected) + 1)
+    if len(output) < len(expected):
+        output, expected = expected, output
+    if not expected:
+        return 0.0
+    short = np.frombuffer(expected.encode("utf-32-le", "surrogatepass"), np.uint32)
+    steps = np.arange(len(short) + 1)
+    row = steps
     for i, a in enumerate(output, 1):
-        last, new = i, [i]
-        for j, b in enumerate(expected, 1):
-            last = min(row[j] + 1, last + 1, row[j - 1] + (a != b))
-            new.append(last)
-        row = new
-    return 1 - row[-1] / max(len(output), len(expected))
+        best = np.minimum(row[1:] + 1, row[:-1] + (short != ord(a)))
+        row = np.minimum.accumulate(np.append(i, best) - steps) + steps  # from the left: one more for each step
+    return 1 - float(row[-1]) / len(output)
 
 
 def number_similarity(output: float, expected: float) -> float:
@@ -116,6 +121,47 @@ def typed_difference(output: Column, expected: Column, kind: T.DataType, string=
     return F.when(output.isNull() & expected.isNull(), F.lit(1.0)).when(output.isNull() | expected.isNull(), F.lit(0.0)).otherwise(inner)
 
 
+def is_native(kind: T.DataType) -> bool:
+    """Whether ``typed_difference`` compares values of a type as their JSON text would be."""
+    if isinstance(kind, T.StructType):
+        return all(is_native(f.dataType) for f in kind.fields)
+    return is_native(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.StringType | T.NumericType | T.BooleanType)
+
+
+def holds_json(value: Column, kind: T.DataType) -> Column | None:
+    """Whether a text inside a typed value may be an object or array itself; None where the type has no texts."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(value.rlike(r"^\s*[\[{]"), F.lit(False))
+    if isinstance(kind, T.ArrayType):
+        inner = holds_json(F.lit(""), kind.elementType)
+        return None if inner is None else F.coalesce(F.exists(value, lambda x: holds_json(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.StructType):
+        found = [h for f in kind.fields if (h := holds_json(value[f.name], f.dataType)) is not None]
+        return reduce(lambda a, b: a | b, found) if found else None
+    return None
+
+
+def as_json(value: Column, kind: T.DataType, nulls: bool = False) -> Column:
+    """A value of any type as JSON text; texts are JSON text already. ``nulls``: also fields without a value."""
+    if isinstance(kind, CONTAINERS):
+        return F.to_json(value, {"ignoreNullFields": "false"} if nulls else None)
+    return value.cast("string")
+
+
+def any_difference(output: Column, expected: Column, kinds: tuple[T.DataType, T.DataType], string: Leaf = edit_similarity, number: Leaf = number_similarity, preserve: bool = False) -> Column:
+    """The structural similarity of columns of any types, natively where that says the same."""
+    kind = kinds[0]
+    texts = lambda when: [F.when(when, as_json(c, k)) if when is not None else as_json(c, k) for c, k in zip((output, expected), kinds, strict=True)]
+    usual = string is edit_similarity and number is number_similarity
+    if not usual or kinds[0] != kinds[1] or isinstance(kind, T.StringType) or not is_native(kind):
+        return json_difference(*texts(None), string, number, preserve)
+    native, inside = typed_difference(output, expected, kind), None if preserve else holds_json(output, kind)
+    if inside is None:
+        return native
+    inside = inside | holds_json(expected, kind)
+    return F.when(inside, json_difference(*texts(inside), string, number, preserve)).otherwise(native)
+
+
 def exact_json(output: Column, expected: Column) -> Column:
     """Exact match of JSON text, where at least one side is an object or array: both are read and written anew, in the
     order of their keys, and compared as text; text that can't be read stays as it is."""
@@ -139,7 +185,7 @@ def exact(output: Column, expected: Column, kinds: tuple[T.DataType, T.DataType]
     """Exact match of columns of any types: containers as JSON text, all else as text."""
     if not any(isinstance(k, CONTAINERS) for k in kinds):
         return exact_score(output, expected)
-    sides = [F.to_json(c) if isinstance(k, CONTAINERS) else c.cast("string") for c, k in zip((output, expected), kinds, strict=True)]
+    sides = [as_json(c, k, nulls=True) for c, k in zip((output, expected), kinds, strict=True)]
     return exact_json(*sides)
 
 

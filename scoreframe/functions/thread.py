@@ -1,7 +1,7 @@
 """Conversation threads as array columns, and the variables and text that judges' templates take from them.
 
-A thread is an array of messages (role, content), ordered by turn. Typed messages also have parts: text, reasoning, tool
-calls and tool results; ``typed_text`` joins results to their calls by id.
+A thread is an array of messages (role, content), ordered by turn. Typed messages have parts instead: text, reasoning, tool
+calls and tool results, one row for each; ``typed_thread_text`` joins results to their calls by id.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def thread_text(thread: Column) -> Column:
 
 
 def shortened(text: Column, most: int = MOST) -> Column:
-    """Long texts without their middle: head and tail around a note of how much is left out."""
+    """Long texts without their middle: head and tail around a note of how much is left out (its wording is a fixed value)."""
     left_out = F.length(text) - most + 30
     note = F.concat(F.lit(" [..."), left_out.cast("string"), F.lit(" chars truncated...] "))
     room = F.lit(most) - F.length(note)
@@ -92,69 +92,93 @@ def shortened(text: Column, most: int = MOST) -> Column:
 
 
 def looks_failed(text: Column) -> Column:
-    """Whether a tool's result reads like an error."""
+    """Whether a tool's opened result reads like an error."""
     low = F.lower(text)
-    return low.contains("error:") | low.contains('"error"') | F.startswith(F.ltrim(low), F.lit("error"))
+    return low.contains("error:") | low.contains('"error"') | F.startswith(low, F.lit("error"))
+
+
+def _opened(value: object) -> str:
+    """The text inside a tool's result: JSON texts are read, objects and lists give their texts, a quoted error its message."""
+    if isinstance(value, str):
+        try:
+            return _opened(json.loads(value))
+        except (ValueError, RecursionError):
+            quoted = re.fullmatch(r"error:\s*'(.+)'\n?", value, re.DOTALL)
+            return quoted[1] if quoted else value
+    held = value if isinstance(value, list) else [value] if isinstance(value, dict) else []
+    found = [x.get("text") if isinstance(x, dict) else x for x in held]
+    texts = [_opened(t) for t in found if isinstance(t, str)]
+    return "\n".join(texts) if texts else json.dumps(value)
+
+
+def _arguments(text: str | None) -> str:
+    """A call's arguments as text, from an object with a type and a value; nothing from anything else."""
+    try:
+        given = json.loads(text or "")
+    except (ValueError, RecursionError):
+        return ""
+    if not isinstance(given, dict):
+        return ""
+    value = given.get("value")
+    return value if isinstance(value, str) and given.get("type") != "valid" else json.dumps(value)
+
+
+def _each(column: Column, function) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else function(t) for t in texts], dtype=object)
+
+    return run(column)
 
 
 def unwrapped(content: Column) -> Column:
-    """The innermost text of a tool result: JSON strings, objects with a text or an error, and error quotes are opened."""
-
-    def open_(value: object) -> str:
-        for _ in range(20):
-            if isinstance(value, str):
-                if quoted := re.search(r"error:\s*'(.*)'", value, re.DOTALL | re.IGNORECASE):
-                    return quoted[1]
-                try:
-                    inner = json.loads(value)
-                except ValueError:
-                    return value
-                if not isinstance(inner, str | dict | list):
-                    return value
-                value = inner
-            elif isinstance(value, dict) and "text" in value:
-                value = value["text"]
-            elif isinstance(value, list) and len(value) == 1:
-                value = value[0]
-            else:
-                break
-        return value if isinstance(value, str) else json.dumps(value)
+    """The text inside tool results (JSON or plain text)."""
+    return _each(content, _opened)
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else open_(t) for t in texts], dtype=object)
 
-    return run(content)
+def call_arguments(arguments: Column) -> Column:
+    """The arguments of tool calls (JSON of type and value) as text, empty where there are none."""
+    return _each(arguments, _arguments)
 
 
 def tool_results(parts: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Tool results as text, each with the call that it answers.
+    """Tool results as text (key, turn, place, content), each with the call that it answers.
 
-    parts: key, turn, place, type, text, tool_call_id, tool_name, arguments and output, one row for each typed part. Of calls
-    with the same id the last counts, and only the first result shows it: results are joined to calls by id.
+    parts: key, turn, role, place, type, text, tool_call_id, tool_name, arguments and output, one row for each typed part.
+    Calls stand in assistants' messages, results in tools'. Of calls with the same id the last counts, and only the first
+    result shows it: results are joined to calls by id. A result goes by its own name, else by its call's.
     """
     by_id = Window.partitionBy(key, "tool_call_id")
-    calls = parts.where("type = 'tool_call'").withColumn("_n", F.row_number().over(by_id.orderBy(F.desc("turn"), F.desc("place")))).where("_n = 1")
-    calls = calls.select(F.col(key).alias("_k"), F.col("tool_call_id").alias("_id"), F.coalesce("tool_name", F.lit("unknown")).alias("called"), F.col("arguments").alias("given"))
-    results = parts.where("type = 'tool_result'").withColumn("_n", F.row_number().over(by_id.orderBy("turn", "place")))
+    calls = parts.where("type = 'tool_call' AND role = 'assistant' AND tool_call_id <> ''")
+    calls = calls.withColumn("_n", F.row_number().over(by_id.orderBy(F.desc("turn"), F.desc("place")))).where("_n = 1")
+    calls = calls.select(F.col(key).alias("_k"), F.col("tool_call_id").alias("_id"), F.coalesce("tool_name", F.lit("unknown")).alias("called"), call_arguments(F.col("arguments")).alias("given"))
+    results = parts.where("type = 'tool_result' AND role = 'tool'").withColumn("_n", F.row_number().over(by_id.orderBy("turn", "place")))
+    results = results.select(key, "turn", "place", "tool_call_id", "tool_name", "_n", F.coalesce(unwrapped(F.col("output")), F.lit("null")).alias("result"))
     joined = results.join(calls, (F.col(key) == F.col("_k")) & (F.col("tool_call_id") == F.col("_id")) & (F.col("_n") == 1), "left")
-    result = unwrapped(F.col("output"))
+    name = F.coalesce(F.when(F.col("tool_name") != "", F.col("tool_name")), F.when(F.col("called") != "", F.col("called")), F.when(F.col("called").isNull(), F.lit("tool")), F.lit(""))
     lines = F.array_compact(
         F.array(
-            F.concat(F.lit("Tool ("), F.coalesce("called", "tool_name", F.lit("unknown")), F.lit("):")),
-            F.when(F.col("given").isNotNull(), F.concat(F.lit("  Args:\n"), indented(indented(shortened(F.col("given")))))),
-            F.concat(F.when(looks_failed(F.col("output")), F.lit("  Error:\n")).otherwise(F.lit("  Result:\n")), indented(indented(shortened(result)))),
+            F.concat(F.lit("Tool ("), name, F.lit("):")),
+            F.when(F.col("given") != "", F.concat(F.lit("  Args:\n    "), shortened(F.col("given")))),
+            F.concat(F.when(looks_failed(F.col("result")), F.lit("  Error:\n    ")).otherwise(F.lit("  Result:\n    ")), shortened(F.col("result"))),
         )
     )
     return joined.select(key, "turn", "place", F.array_join(lines, "\n").alias("content"))
 
 
-def typed_text(parts: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Messages (key, turn, role, content) from typed parts: texts as they are, reasoning shortened, results with their calls."""
+def typed_messages(parts: DataFrame, key: str = "conv_id") -> DataFrame:
+    """The texts of messages that aren't tools' (key, turn, role, content): texts as they are, reasoning shortened."""
     thinking = F.concat(F.lit("[thinking: "), F.substring("text", 1, THINKING), F.lit("...]"))
-    plain = parts.where("type IN ('text', 'reasoning')").select(key, "turn", "place", F.when(F.col("type") == "text", F.col("text")).otherwise(thinking).alias("content"))
-    every = plain.unionByName(tool_results(parts, key))
-    roles = parts.groupBy(key, "turn").agg(F.first("role").alias("role"))
+    plain = parts.where("role <> 'tool' AND type IN ('text', 'reasoning') AND text IS NOT NULL")
+    plain = plain.select(key, "turn", "role", "place", F.when(F.col("type") == "text", F.col("text")).otherwise(thinking).alias("content"))
     pieces = F.array_sort(F.collect_list(F.struct("place", "content")))
-    joined = every.groupBy(key, "turn").agg(F.array_join(F.transform(pieces, lambda p: p["content"]), "\n").alias("content"))
-    return joined.join(roles, [key, "turn"]).select(key, "turn", "role", "content")
+    return plain.groupBy(key, "turn").agg(F.first("role").alias("role"), F.array_join(F.transform(pieces, lambda p: p["content"]), "\n").alias("content"))
+
+
+def typed_thread_text(parts: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Typed threads as text (key, text): messages under their roles, tools' results on their own, an empty line between."""
+    said = typed_messages(parts, key).where("content <> ''")
+    said = said.select(key, "turn", F.lit(0).cast("long").alias("place"), F.concat(capitalised(F.col("role")), F.lit(":\n"), indented(F.col("content"))).alias("content"))
+    every = said.unionByName(tool_results(parts, key).withColumn("place", F.col("place").cast("long")))
+    pieces = F.array_sort(F.collect_list(F.struct("turn", "place", "content")))
+    return every.groupBy(key).agg(F.array_join(F.transform(pieces, lambda p: p["content"]), "\n\n").alias("text"))

@@ -106,7 +106,7 @@ class ExactJSON(Scorer):
 
 @dataclass(frozen=True)
 class JSONDiff(Scorer):
-    """Structural similarity: native for columns of one structured type, from text otherwise."""
+    """Structural similarity of JSON texts or of values of any types."""
 
     string_scorer: jsons.Leaf = jsons.edit_similarity
     number_scorer: jsons.Leaf = jsons.number_similarity
@@ -116,16 +116,13 @@ class JSONDiff(Scorer):
         return ()
 
     def value(self, df):
-        kind = _kind(df, self.output)
-        o, e = F.col(self.output), F.col(self.expected)
-        if isinstance(kind, T.StructType | T.ArrayType) and kind == _kind(df, self.expected):
-            return jsons.typed_difference(o, e, kind)
-        return jsons.json_difference(o, e, self.string_scorer, self.number_scorer, self.preserve_strings)
+        kinds = (_kind(df, self.output), _kind(df, self.expected))
+        return jsons.any_difference(F.col(self.output), F.col(self.expected), kinds, self.string_scorer, self.number_scorer, self.preserve_strings)
 
 
 @dataclass(frozen=True)
 class ValidJSON(Scorer):
-    """Whether a text is a JSON object or array, or fits a schema."""
+    """Whether a text, or a value of any other type, is a JSON object or array, or fits a schema."""
 
     schema: str | dict | None = None
     parsed: bool = False
@@ -134,7 +131,7 @@ class ValidJSON(Scorer):
         return ()
 
     def value(self, df):
-        return jsons.valid_json(F.col(self.output), self.schema, self.parsed)
+        return jsons.valid_json(jsons.as_json(F.col(self.output), _kind(df, self.output)), self.schema, self.parsed)
 
 
 @dataclass(frozen=True)
@@ -153,6 +150,8 @@ class ListContains(Scorer):
 
     def transform(self, df, **options):
         scorer = replace(self, **options)
+        if "_matrix" in df.columns:
+            raise ValueError("ListContains works with a column _matrix of its own")
         wide = lists.with_matrix(df, F.col(scorer.output), F.col(scorer.expected), scorer.pairwise)
         return wide.withColumn(scorer.name, scorer.column(wide)).drop("_matrix")
 
@@ -219,7 +218,7 @@ def _file_of(name: str) -> str:
 
 
 JUDGES = ("Battle", "ClosedQA", "Factuality", "Humor", "Possible", "Security", "Sql", "Summary", "Translation")
-#: Group, scorer, columns beside output and expected.
+#: Group, scorer, columns beside output and expected.
 REGISTRY = (
     *[("LLM-as-a-Judge", j, x) for j, x in zip(JUDGES, ("instructions", "input,criteria", "input", "", "input", "", "input", "input", "input,language"), strict=True)],
     ("LLM-as-a-Judge", "Moderation", "flagged,category_scores"),

@@ -109,14 +109,30 @@ def arguments_of(response: Column, tool: str | None = None) -> Column:
     return first["arguments"] if tool is None else F.when(first["name"] == tool, first["arguments"])
 
 
+def problem_of(response: Column, tool: str) -> Column:
+    """What is wrong with a response, null where nothing is or there is none."""
+    choices = F.from_json(response, CALL)["choices"]
+    name = F.try_element_at(F.try_element_at(choices, F.lit(1))["message"]["tool_calls"], F.lit(1))["function"]["name"]
+    empty = F.coalesce(F.size(choices), F.lit(0)) < 1
+    told = F.when(empty, F.lit("empty response")).when(name.isNull(), F.lit("no tool call in the response"))
+    return F.when(response.isNotNull(), told.when(name != tool, F.concat(F.lit("another tool called: "), name)))
+
+
 def judged(df: DataFrame, responses: DataFrame, spec: JudgeSpec, on_error: str = "null") -> DataFrame:
-    """Add the judge's score column, by its name, to rows with request_key; rows without a response are skipped."""
-    right = responses.select(F.col("request_key").alias("_key"), "response")
+    """Add the judge's score column, by its name, to rows with request_key; rows without a response are skipped.
+
+    A response without a call of the judge's tool, or without a choice in it, fails the job with ``on_error="raise"``;
+    otherwise its row is skipped and the metadata say why.
+    """
+    right = responses.select(F.col("request_key").alias("_key"), F.col("response").alias("_response"))
     joined = df.join(right, F.col("request_key") == F.col("_key"), "left")
-    given = arguments_of(F.col("response"), TOOL)
+    given = arguments_of(F.col("_response"), TOOL)
     told = F.from_json(given, "choice string, reasons string")
     listed = F.from_json(given, "reasons array<string>")["reasons"]
     reasons = F.coalesce(F.array_join(listed, "\n"), told["reasons"])
     choice = F.trim(told["choice"])
+    problem = F.coalesce(problem_of(F.col("_response"), TOOL), F.when(F.col("_response").isNotNull() & choice.isNull(), F.lit("no choice in the call")))
     score = choice_score(choice, spec.choice_scores, on_error)
-    return joined.withColumn(spec.name, as_score(spec.name, score, {"choice": choice, "rationale": reasons}, on_error)).drop("_key", "response")
+    if on_error == "raise":
+        score = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit(f"{spec.name}: "), problem)).cast("double")).otherwise(score)
+    return joined.withColumn(spec.name, as_score(spec.name, score, {"choice": choice, "rationale": reasons, "error": problem}, on_error)).drop("_key", "_response")

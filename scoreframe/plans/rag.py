@@ -109,19 +109,29 @@ def answer_correctness(found: Column, similarity: Column | None, factuality_weig
     return (factuality_weight * f1 + similarity_weight * similarity) / (factuality_weight + similarity_weight)
 
 
-def entity_recall(df: DataFrame, context_entities: Column, expected_entities: Column, expected_min: float = 0.7) -> DataFrame:
+def entity_recall(df: DataFrame, context_entities: Column, expected_entities: Column, expected_min: float = 0.7, metadata: dict[str, Column] | None = None) -> DataFrame:
     """Add ContextEntityRecall: how well the context's entities cover the expected ones, both arrays of embeddings; entities
     that weren't expected are free."""
     wide = with_matrix(df, context_entities, expected_entities, embedding_pairwise(expected_min))
     score = list_score(F.size(context_entities), F.size(expected_entities), allow_extra=True)
-    return wide.withColumn("ContextEntityRecall", as_score("ContextEntityRecall", score)).drop("_matrix")
+    return wide.withColumn("ContextEntityRecall", as_score("ContextEntityRecall", score, metadata)).drop("_matrix")
 
 
-def answer_relevancy(rows: DataFrame, key: list[str], question_vector: str, input_vector: str, noncommittal: str, expected_min: float = 0.7) -> DataFrame:
-    """One score per key from one row per generated question: 0 if any is noncommittal, else the mean similarity to the input."""
+def answer_relevancy(rows: DataFrame, key: list[str], question_vector: str, input_vector: str, noncommittal: str, expected_min: float = 0.7, question: str | None = None, temperature: float | None = None) -> DataFrame:
+    """One score per key from one row per generated question: 0 if any is noncommittal, else the mean similarity to the input.
+
+    The metadata hold the questions (where ``question`` names their column), their similarities and the temperature.
+    """
     similarity = embedding_score(F.col(question_vector), F.col(input_vector), expected_min)
     mean = F.when(F.max(noncommittal) > 0, F.lit(0.0)).otherwise(F.avg(similarity))
-    return rows.groupBy(*key).agg(as_score("AnswerRelevancy", mean).alias("AnswerRelevancy"))
+    text = F.col(question) if question else F.lit(None).cast("string")
+    each = F.array_sort(F.collect_list(F.struct(text.alias("question"), F.col(noncommittal).alias("noncommittal"), similarity.alias("similarity"))))
+    kept = {
+        "questions": F.transform(each, lambda q: F.struct(q["question"].alias("question"), q["noncommittal"].alias("noncommittal"))),
+        "similarity": F.transform(each, lambda q: q["similarity"]),
+        "temperature": F.lit(temperature).cast("double"),
+    }
+    return rows.groupBy(*key).agg(as_score("AnswerRelevancy", mean, kept).alias("AnswerRelevancy"))
 
 
 def answer_similarity(a: Column, b: Column, expected_min: float = 0.7) -> Column:

@@ -92,7 +92,11 @@ def answer_correctness(df: DataFrame, provider, table: str, factuality_weight: f
     if similarity_weight:
         told = embedding_similarity(told, provider, table, "_s", expected_min=expected_min)
     score = rag.answer_correctness(F.col("payload"), F.col("_s.score") if similarity_weight else None, factuality_weight, similarity_weight)
-    return told.withColumn("AnswerCorrectness", as_score("AnswerCorrectness", score, {"factuality": F.col("payload")})).drop("payload", "_s")
+    f1 = rag.answer_correctness(F.col("payload"), None, 1.0, 0.0)
+    kept = {"factuality": F.col("payload"), "factuality_score": f1}
+    if similarity_weight:
+        kept |= {"answer_similarity": F.col("_s"), "answer_similarity_score": F.col("_s.score")}
+    return told.withColumn("AnswerCorrectness", as_score("AnswerCorrectness", score, kept)).drop("payload", "_s")
 
 
 def answer_relevancy(df: DataFrame, key: list[str], provider, table: str, strictness: int = 3, temperature: float = 0.5, expected_min: float = EXPECTED_MIN, **options) -> DataFrame:
@@ -100,7 +104,7 @@ def answer_relevancy(df: DataFrame, key: list[str], provider, table: str, strict
     told = ask(df, "AnswerRelevancy", provider, table, temperature=temperature, repeats=strictness, **options)
     told = told.withColumn("_question", F.col("payload.question")).withColumn("_evasive", F.col("payload.noncommittal"))
     told = embed(embed(told, "_question", provider, table, "_q"), "input", provider, table, "_i")
-    return df.join(rag.answer_relevancy(told, key, "_q", "_i", "_evasive", expected_min), key, "left")
+    return df.join(rag.answer_relevancy(told, key, "_q", "_i", "_evasive", expected_min, "_question", temperature), key, "left")
 
 
 def context_entity_recall(df: DataFrame, key: list[str], provider, table: str, expected_min: float = EXPECTED_MIN, **options) -> DataFrame:
@@ -113,5 +117,6 @@ def context_entity_recall(df: DataFrame, key: list[str], provider, table: str, e
         told = told.join(each.groupBy(*key).agg(vectors.alias(f"_{side}_v")), key, "left")
     none = F.array().cast("array<array<double>>")
     filled = lambda side: F.when(F.size(f"_{side}") == 0, none).otherwise(F.col(f"_{side}_v"))
-    scored = rag.entity_recall(told, filled("context"), filled("expected"), expected_min)
+    kept = {"context_entities": F.col("_context"), "expected_entities": F.col("_expected")}
+    scored = rag.entity_recall(told, filled("context"), filled("expected"), expected_min, kept)
     return scored.drop("_context", "_expected", "_context_v", "_expected_v")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RESPONSES = "request_key string, response string"
+RESPONSES = "request_key string, response string, error string"
 #: Fixed values of the retry rule: tries, first pause in seconds, growth.
 TRIES, PAUSE, GROWTH = 100, 0.1, 1.5
 
@@ -46,14 +46,19 @@ def to_responses_request(request: dict) -> dict:
 def from_responses_response(response: dict) -> dict:
     """A responses-interface answer in the shape of a chat completion."""
     calls, text = [], []
-    for item in response.get("output", []):
-        if item.get("type") == "function_call":
-            calls.append({"id": item.get("call_id"), "type": "function", "function": {"name": item.get("name"), "arguments": item.get("arguments")}})
-        elif item.get("type") == "message":
-            content = item.get("content")
+    for item in response.get("output") or []:
+        kind, content = item.get("type"), item.get("content")
+        if kind in ("function_call", "custom_tool_call"):
+            given = item.get("arguments") if item.get("arguments") is not None else item.get("input")
+            calls.append({"id": item.get("call_id"), "type": "function", "function": {"name": item.get("name"), "arguments": given}})
+        elif kind in ("output_text", "text"):
+            text.append(content or item.get("text") or "")
+        elif kind == "message":
             text += [content] if isinstance(content, str) else [c.get("text", "") for c in content or []]
     message = {"role": "assistant", "content": "".join(text) or None} | ({"tool_calls": calls} if calls else {})
-    return {"id": response.get("id"), "model": response.get("model"), "object": "chat.completion", "choices": [{"index": 0, "message": message, "finish_reason": "tool_calls" if calls else "stop"}]}
+    ended = response.get("stop_reason") or ("tool_calls" if calls else "stop")
+    made = response.get("created", response.get("created_at"))
+    return {"id": response.get("id"), "object": "chat.completion", "created": made, "model": response.get("model"), "choices": [{"index": 0, "message": message, "finish_reason": ended}]}
 
 
 @dataclass(frozen=True)
@@ -108,33 +113,49 @@ class FunctionProvider:
         return self.function(request)
 
 
-def fetch(requests: DataFrame, provider, partitions: int = 32) -> DataFrame:
-    """(request_key, response) for requests (request_key, request): ``partitions`` times the provider's parallel calls run
-    at once, whatever the number of rows."""
+def fetch(requests: DataFrame, provider, partitions: int | None = None) -> DataFrame:
+    """(request_key, response, error) for requests (request_key, request): ``partitions`` (the session's shuffle partitions
+    by default) times the provider's parallel calls run at once, whatever the number of rows. A request that fails has an
+    error instead of a response, and the others go on."""
+
+    def tried(request: str) -> tuple[str | None, str | None]:
+        try:
+            return provider.answer(request), None
+        except Exception as e:  # whatever a provider raises is that request's own failure
+            return None, f"{type(e).__name__}: {e}"
 
     def run(frames):
         with ThreadPoolExecutor(provider.parallel) as pool:
             for pdf in frames:
-                yield pd.DataFrame({"request_key": pdf.request_key, "response": list(pool.map(provider.answer, pdf.request))})
+                found = list(pool.map(tried, pdf.request))
+                yield pd.DataFrame({"request_key": pdf.request_key, "response": [r for r, _ in found], "error": [e for _, e in found]}, dtype=object)
 
-    return requests.select("request_key", "request").repartition(partitions, "request_key").mapInPandas(run, RESPONSES)
+    many = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.select("request_key", "request").repartition(many, "request_key").mapInPandas(run, RESPONSES)
 
 
-def answer_all(requests: DataFrame, provider, table: str, partitions: int = 32) -> DataFrame:
+def answer_all(requests: DataFrame, provider, table: str, partitions: int | None = None, on_error: str = "raise") -> DataFrame:
     """Answer the distinct requests that the response table lacks, append them, and read the table.
 
-    The table is a folder of batches. Every call adds one, so that reads before and after it name different paths: Spark takes
-    two reads of one path for the same data, and would reuse the older one in a plan that holds both.
+    Responses are kept also where other requests fail; failed ones are sent again by the next call. With ``on_error="raise"``
+    a failure then fails this call, otherwise its rows have no response. The table is a folder of batches. A call that sends
+    something adds one, so that reads before and after it name different paths: Spark takes two reads of one path for the same
+    data, and would reuse the older one in a plan that holds both. Where a key was answered twice, the lesser text counts.
     """
     spark: SparkSession = requests.sparkSession
     todo = requests.select("request_key", "request").dropDuplicates(["request_key"])
-    batches = f"{table}/batch-*"
+    batches, new = f"{table}/batch-*", f"{table}/batch-{uuid.uuid4().hex}"
     try:
         known = spark.read.schema(RESPONSES).parquet(batches)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     else:
-        todo = todo.join(known, "request_key", "left_anti")
-    fetch(todo, provider, partitions).write.parquet(f"{table}/batch-{uuid.uuid4().hex}")
-    return spark.read.schema(RESPONSES).parquet(batches).groupBy("request_key").agg(F.first("response").alias("response"))
+        todo = todo.join(known.where("response IS NOT NULL"), "request_key", "left_anti")
+    fetch(todo, provider, partitions).write.parquet(new)
+    if on_error == "raise":
+        failed = spark.read.schema(RESPONSES).parquet(new).where("error IS NOT NULL").agg(F.count("*"), F.min("error")).first()
+        if failed[0]:
+            raise RuntimeError(f"{failed[0]} requests failed, among them: {failed[1]}")
+    every = spark.read.schema(RESPONSES).parquet(batches).where("response IS NOT NULL")
+    return every.groupBy("request_key").agg(F.min("response").alias("response"))

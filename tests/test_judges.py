@@ -11,7 +11,7 @@ from scoreframe.plans import config, rag
 from scoreframe.plans.judge import JudgeSpec, judged, with_requests
 from scoreframe.sources import providers
 
-MESSAGES = [(1, 0, "system", "Be brief."), (1, 1, "user", "Hello, how are you?"), (1, 2, "assistant", "Fine."), (1, 3, "user", "Good."), (1, 4, "assistant", "Yes")]
+MESSAGES = [(1, 0, "system", "Be brief."), (1, 1, "user", "Which way is north?"), (1, 2, "assistant", "Fine."), (1, 3, "user", "Good."), (1, 4, "assistant", "Yes")]
 
 
 @pytest.fixture
@@ -23,11 +23,11 @@ def test_thread_templates(spark, threads):
     df = thread.add_variables(threads)
     shown = lambda t: df.select(template.render(df, t)).first()[0]
     assert shown("{{thread_count}}") == "4"
-    assert shown("{{thread.0}}") == "user: Hello, how are you?"
-    assert shown("{{user_messages}}").startswith("User:\n  Hello")
+    assert shown("{{thread.0}}") == "user: Which way is north?"
+    assert shown("{{user_messages}}").startswith("User:\n  Which")
     assert "Be brief" in shown("{{thread_with_system}}") and "Be brief" not in shown("{{thread}}")
-    assert shown("{{#user_messages}}<{{content}}>{{/user_messages}}") == "<Hello, how are you?><Good.>"
-    assert shown("{{first_message}} {{last_message}}") == "user: Hello, how are you? assistant: Yes"
+    assert shown("{{#user_messages}}<{{content}}>{{/user_messages}}") == "<Which way is north?><Good.>"
+    assert shown("{{first_message}} {{last_message}}") == "user: Which way is north? assistant: Yes"
     assert thread.uses_thread("a {{ thread_count }}") and not thread.uses_thread("{{input}} thread")
 
 
@@ -40,15 +40,28 @@ def test_tool_parts(spark):
     rows = [
         (1, 0, 0, "user", "text", "Go", None, None, None, None),
         (1, 1, 0, "assistant", "reasoning", "r" * 200, None, None, None, None),
-        (1, 1, 1, "assistant", "tool_call", None, "id1", "find", '{"q":1}', None),
-        (1, 2, 0, "tool", "tool_result", None, "id1", None, None, '[{"type":"text","text":"{\\"text\\": \\"deep\\"}"}]'),
-        (1, 3, 0, "tool", "tool_result", None, "id2", None, None, "Error: 'bad'"),
+        (1, 1, 1, "assistant", "tool_call", None, "id1", "find", '{"type":"valid","value":{"q":1}}', None),
+        (1, 1, 2, "assistant", "tool_call", None, "id3", "late", '{"type":"invalid","value":"raw args"}', None),
+        (1, 1, 3, "user", "tool_call", None, "id2", "not a caller", "{}", None),
+        (1, 2, 0, "tool", "tool_result", None, "id1", None, None, '[{"type":"text","text":"{\\"text\\": \\"deep\\"}"},"two"]'),
+        (1, 2, 1, "tool", "tool_result", None, "id1", None, None, "again\nand more"),
+        (1, 3, 0, "tool", "tool_result", None, "id2", None, None, "error: 'bad'"),
+        (1, 4, 0, "tool", "tool_result", None, "id3", "own", None, "log: Error: 'x' then more"),
+        (1, 4, 1, "tool", "text", "left out", None, None, None, None),
+        (1, 5, 0, "assistant", "text", "", None, None, None, None),
+        (1, 6, 0, "assistant", "text", "one\ntwo", None, None, None, None),
     ]
     parts = spark.createDataFrame(rows, "conv_id long, turn long, place long, role string, type string, text string, tool_call_id string, tool_name string, arguments string, output string")
-    out = {r.turn: r.content for r in thread.typed_text(parts).collect()}
-    assert out[0] == "Go" and out[1] == "[thinking: " + "r" * 100 + "...]"
-    assert "Tool (find)" in out[2] and '{"q":1}' in out[2] and "Result:\n    deep" in out[2]
-    assert "Tool (unknown)" in out[3] and "Error:\n    bad" in out[3]
+    out = thread.typed_thread_text(parts).first().text.split("\n\n")
+    assert out == [
+        "User:\n  Go",
+        "Assistant:\n  [thinking: " + "r" * 100 + "...]",
+        'Tool (find):\n  Args:\n    {"q": 1}\n  Result:\n    deep\ntwo',
+        "Tool (tool):\n  Result:\n    again\nand more",
+        "Tool (tool):\n  Result:\n    bad",
+        "Tool (own):\n  Args:\n    raw args\n  Error:\n    log: Error: 'x' then more",
+        "Assistant:\n  one\n  two",
+    ]
 
 
 def test_shortened(spark):
@@ -95,11 +108,46 @@ def test_judge_end_to_end(spark, tmp_path):
         judged(asked, responses, spec, on_error="raise").collect()
 
 
+@pytest.mark.parametrize(
+    ("response", "why"),
+    [
+        ('{"choices": []}', "empty response"),
+        ('{"choices": [{"message": {"content": "x"}}]}', "no tool call"),
+        ('{"choices": [{"message": {"tool_calls": [{"function": {"name": "other", "arguments": "{}"}}]}}]}', "another tool called: other"),
+        ('{"choices": [{"message": {"tool_calls": [{"function": {"name": "select_choice", "arguments": "{}"}}]}}]}', "no choice"),
+    ],
+)
+def test_responses_without_a_choice(spark, response, why):
+    spec = judge("Humor")
+    df = spark.createDataFrame([("k", 1), ("none", 2)], "request_key string, response long")
+    given = spark.createDataFrame([("k", response)], "request_key string, response string")
+    got = {r.request_key: r.Humor for r in judged(df, given, spec).collect()}
+    assert got["k"].score is None and why in json.loads(got["k"].metadata)["error"] and json.loads(got["none"].metadata) == {}
+    with pytest.raises(Exception, match=why):
+        judged(df, given, spec, on_error="raise").collect()
+
+
+def test_failed_requests_do_not_lose_the_others(spark, tmp_path):
+    def answer(request):
+        if request == "bad":
+            raise OSError("no route")
+        return request.upper()
+
+    asked = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", "fine")], "request_key string, request string")
+    table = str(tmp_path / "r")
+    with pytest.raises(RuntimeError, match="1 requests failed.*no route"):
+        providers.answer_all(asked, providers.FunctionProvider(answer), table)
+    kept = {r.request_key: r.response for r in providers.answer_all(asked, providers.FunctionProvider(answer), table, on_error="null").collect()}
+    assert kept == {"1": "GOOD", "3": "FINE"}
+    later = providers.answer_all(asked, providers.FunctionProvider(str.title), table)
+    assert {r.request_key: r.response for r in later.collect()} == {"1": "GOOD", "2": "Bad", "3": "FINE"}
+
+
 def test_thread_in_judge(spark, threads):
     spec = JudgeSpec("T", "{{thread}} | {{input}}", {"A": 1.0}, use_cot=False)
     df = spark.createDataFrame([(1, "x")], "conv_id long, input string")
     prompt = with_requests(df, spec, threads=threads).first().prompt
-    assert prompt.startswith("User:\n  Hello, how are you?\n\nAssistant:\n  Fine.") and "| x" in prompt
+    assert prompt.startswith("User:\n  Which way is north?\n\nAssistant:\n  Fine.") and "| x" in prompt
 
 
 def test_responses_interface():
@@ -108,6 +156,10 @@ def test_responses_interface():
     assert sent == {"model": "gpt-5-mini", "input": chat["messages"], "tools": [{"type": "function", "name": "f"}], "tool_choice": "required", "reasoning": {"effort": "low"}}
     back = providers.from_responses_response({"id": "1", "model": "m", "output": [{"type": "function_call", "call_id": "c", "name": "f", "arguments": "{}"}]})
     assert back["choices"][0]["message"]["tool_calls"][0]["function"] == {"name": "f", "arguments": "{}"}
+    mixed = [{"type": "custom_tool_call", "call_id": "d", "name": "g", "input": "raw"}, {"type": "output_text", "text": "a"}, {"type": "message", "content": [{"text": "b"}]}]
+    back = providers.from_responses_response({"id": "1", "model": "m", "created": 7, "stop_reason": "length", "output": mixed})
+    assert (back["created"], back["choices"][0]["finish_reason"], back["choices"][0]["message"]["content"]) == (7, "length", "ab")
+    assert back["choices"][0]["message"]["tool_calls"][0]["function"] == {"name": "g", "arguments": "raw"}
     assert providers.wants_responses_api(chat) and not providers.wants_responses_api({"model": "gpt-4"})
 
 

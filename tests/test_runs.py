@@ -64,6 +64,16 @@ def test_metrics(df, tmp_path, name, run, want):
     assert want == scores(run(df, model(), str(tmp_path / "r")), name)
 
 
+def test_metadata(df, tmp_path):
+    of = lambda scored, name: json.loads(scored.orderBy("id").first()[name].metadata)
+    told = of(runs.answer_correctness(df, model(), str(tmp_path / "c")), "AnswerCorrectness")
+    assert told["factuality"]["TP"] == ["a"] and told["factuality_score"] == pytest.approx(2 / 3) and told["answer_similarity_score"] == 1.0 and told["answer_similarity"]["name"] == "EmbeddingSimilarity"
+    told = of(runs.answer_relevancy(df, ["id"], model(), str(tmp_path / "a"), temperature=0.25), "AnswerRelevancy")
+    assert told == {"questions": [{"question": "q1", "noncommittal": 0}] * 3, "similarity": [1.0] * 3, "temperature": 0.25}
+    told = of(runs.context_entity_recall(df, ["id"], model(), str(tmp_path / "b")), "ContextEntityRecall")
+    assert told == {"context_entities": ["Paris", "Rome"], "expected_entities": ["Paris"]}
+
+
 def test_keyed_metrics(df, tmp_path):
     assert scores(runs.answer_relevancy(df, ["id"], model(), str(tmp_path / "a")), "AnswerRelevancy")[:2] == [1.0, 0.0]
     assert scores(runs.context_entity_recall(df, ["id"], model(), str(tmp_path / "b")), "ContextEntityRecall") == [1.0, 1.0, None]
