@@ -2,8 +2,8 @@
 
 The decoder reads simple and normal prefix codes by tables, meta prefix codes, back-references and the colour cache, and
 inverts the predictor, cross-colour, subtract-green and palette transforms (with bundled pixels). The encoder estimates what
-each transform would save and takes the best one, finds back-references, tries colour caches, and writes prefix codes of
-the symbols that occur. Equal pictures, equal bytes.
+each transform would save and takes the best one, finds back-references, tries a colour cache, and writes prefix codes of
+the symbols that occur. Both work on many pictures together, so that numpy's calls are shared. Equal pictures, equal bytes.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 
 #: Fixed values of the format.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+_LENGTH_PLACES = np.array(_LENGTH_ORDER)
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Short distance codes: offsets (left, up) in order of distance.
 _NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda v: (v[0] ** 2 + v[1] ** 2, abs(v[0]), -v[0]))
@@ -22,8 +23,12 @@ SIDE, LONGEST_COPY, OPAQUE = 16384, 4096, 255 << 24
 _CACHE = 0x1E35A7BD
 _SPREAD = 0x9E3779B97F4A7C15
 #: What the encoder tries and keeps to: colour cache bits, widest code, shortest copy.
-CACHES, WIDEST, SHORTEST_COPY = (7,), 11, 3
-_PLACES = np.array([0, 256, 512], np.int16)
+CACHE_BITS, WIDEST, SHORTEST_COPY = 7, 11, 3
+#: Parts of a bit in estimates; sections of an image in a stream: cache bits, two for each of five codes, pixels.
+BIT, IMAGE_SECTIONS = 1024, 12
+#: Images that are rather read one by one than together.
+FEW = 16
+_PLACES = np.array([0, 256, 512])
 
 
 @functools.lru_cache(16)
@@ -39,65 +44,93 @@ class Bits:
     """Reads bits, the least significant of each byte first."""
 
     def __init__(self, data: bytes):
-        d = np.frombuffer(data + b"\0" * 16, np.uint8)
-        whole = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(d, 8)).view("<u8").reshape(-1)
-        #: The 56 bits from each byte on, so that 49 are there from each bit on.
-        self.words = (whole & np.uint64((1 << 56) - 1)).tolist()
+        self.data = data + b"\0" * 16
         self.at, self.size = 0, 8 * len(data)
 
+    def peek(self, at: int) -> int:
+        """The bits from ``at`` on, 57 or more while the stream lasts."""
+        return int.from_bytes(self.data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+
+    def words(self, first: int, many: int) -> np.ndarray:
+        """The 56 bits from each of some bytes on."""
+        d = np.frombuffer(self.data, np.uint8)[first : first + many + 7]
+        if len(d) < 8:
+            return np.zeros(0, np.int64)
+        whole = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(d, 8)).view("<u8").reshape(-1)
+        return (whole & np.uint64((1 << 56) - 1)).astype(np.int64)
+
     def read(self, n: int) -> int:
         at = self.at
         self.at = at + n
         if self.at > self.size:
             raise ValueError("the stream ends early")
-        return self.words[at >> 3] >> (at & 7) & ((1 << n) - 1)
+        return self.peek(at) & ((1 << n) - 1)
 
 
 class Code:
     """A canonical prefix code given by its lengths, as a table by the next ``width`` bits of symbol << 4 | length."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if len(used) < 2:
-            self.table, self.width = [int(used[0]) << 4 if len(used) else 0], 0
+            self.entries = np.array([used[0] << 4 if len(used) else 0])
         else:
             n = lengths[used]
-            order = np.argsort(n, kind="stable")
+            order = n.argsort(kind="stable")
             used, n = used[order], n[order]
-            self.width = int(n[-1])
-            spread = 1 << (self.width - n)
-            if spread.sum() != 1 << self.width:
+            width = int(n[-1])
+            spread = 1 << (width - n)
+            if int(spread.sum()) != 1 << width:
                 raise ValueError("an incomplete prefix code")
-            self.table = np.repeat(used << 4 | n, spread)[_reversed_bits(self.width)].tolist()
-        self.mask = len(self.table) - 1
+            self.entries = (used << 4 | n).repeat(spread)[_reversed_bits(width)]
+        self.mask = len(self.entries) - 1
+
+    @functools.cached_property
+    def table(self) -> list[int]:
+        return self.entries.tolist()
 
     def read(self, bits: Bits) -> int:
-        at = bits.at
-        entry = self.table[bits.words[at >> 3] >> (at & 7) & self.mask]
-        bits.at = at + (entry & 15)
+        entry = self.table[bits.peek(bits.at) & self.mask]
+        bits.at += entry & 15
         if bits.at > bits.size:
             raise ValueError("the stream ends early")
         return entry >> 4
 
+    def moved(self, by: int) -> list[int]:
+        """The table with symbols further left by some bits."""
+        return (self.entries >> 4 << (4 + by) | self.entries & 15).tolist() if by else self.table
 
-def _read_code(bits: Bits, size: int) -> Code:
+
+@functools.lru_cache(4096)
+def _simple_code(size: int, *symbols: int) -> Code:
     lengths = np.zeros(size, np.int64)
+    lengths[list(symbols)] = 1
+    return Code(lengths)
+
+
+def _read_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
+        symbols = [bits.read(8 if wide else 1)]
         if two:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
+            symbols.append(bits.read(8))
+        if max(symbols) >= size:
+            raise ValueError("the code lengths don't fit")
+        return _simple_code(size, *symbols)
+    many = 4 + bits.read(4)
+    told = bits.peek(bits.at)
+    bits.at += 3 * many
     of_lengths = np.zeros(19, np.int64)
-    for i in range(4 + bits.read(4)):
-        of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
+    of_lengths[_LENGTH_PLACES[:many]] = [told >> 3 * i & 7 for i in range(many)]
     code = Code(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     out: list[int] = []
-    previous, words, at, table, mask = 8, bits.words, bits.at, code.table, code.mask
+    previous, at, table, mask = 8, bits.at, code.table, code.mask
+    now, far = 0, at - 1
     while len(out) < size and left and at <= bits.size:
         left -= 1
-        now = words[at >> 3] >> (at & 7)
+        if at > far:  # a stretch of bits that holds many lengths
+            now, far = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 40], "little") >> (at & 7), at + 296
         entry = table[now & mask]
         n, used = entry >> 4, entry & 15
         if n < 16:
@@ -112,12 +145,12 @@ def _read_code(bits: Bits, size: int) -> Code:
         else:
             out += [0] * (11 + (now >> used & 127))
             used += 7
+        now >>= used
         at += used
     bits.at = at
     if len(out) > size or at > bits.size:
         raise ValueError("the code lengths don't fit")
-    lengths[: len(out)] = out
-    return Code(lengths)
+    return Code(np.array(out, np.int64))
 
 
 def _extended(bits: Bits, prefix: int) -> int:
@@ -128,32 +161,52 @@ def _extended(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
-    """ARGB values, one row after the other, before transforms are inverted."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    meta, meta_bits, groups, across = None, 0, 1, 0
-    if top and bits.read(1):
-        meta_bits = bits.read(3) + 2
-        across = -(-width >> meta_bits)
-        meta = (_read_image(bits, across, -(-height >> meta_bits), False) >> 8 & 0xFFFF).tolist()
-        groups = max(meta) + 1
-    sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
-    total, words, at = width * height, bits.words, bits.at
-    out, cache, cached, shift = [0] * total, [0] * (1 << cache_bits), 0, 32 - cache_bits
-    i, stop = 0, 0
+class Image:
+    """An image whose codes were read and whose pixels, ARGB values one row after the other, are still to be read."""
+
+    def __init__(self, bits: Bits, width: int, height: int, top: bool):
+        self.bits, self.width, self.total = bits, width, width * height
+        self.cache_bits = bits.read(4) if bits.read(1) else 0
+        self.meta, self.meta_bits, groups, self.across = None, 0, 1, 0
+        if top and bits.read(1):
+            self.meta_bits = bits.read(3) + 2
+            self.across = -(-width >> self.meta_bits)
+            self.meta = (_one_by_one(Image(bits, self.across, -(-height >> self.meta_bits), False)) >> 8 & 0xFFFF).tolist()
+            groups = max(self.meta) + 1
+        sizes = (256 + 24 + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, 40)
+        self.codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
+        self.found: list[int] = []
+
+    def read_copy(self, symbol: int, distance: Code) -> tuple[int, int]:
+        """(length, how far back) of a back-reference whose length symbol was read."""
+        length, near = _extended(self.bits, symbol - 256), _extended(self.bits, distance.read(self.bits))
+        if near > len(_NEAR):
+            return length, near - len(_NEAR)
+        x, y = _NEAR[near - 1]
+        return length, max(1, x + y * self.width)
+
+
+def _one_by_one(image: Image) -> np.ndarray:
+    """An image's pixels, after those that were found before."""
+    bits, width, total, meta, codes = image.bits, image.width, image.total, image.meta, image.codes
+    tables = [[c.moved(by) for c, by in zip(group, (8, 16, 0, 24), strict=False)] for group in codes]  # where pixels have them
+    start = bits.at >> 3 << 3
+    words, at = bits.words(start >> 3, len(bits.data)).tolist(), bits.at - start
+    cache, cached, shift = [0] * (1 << image.cache_bits), 0, 32 - image.cache_bits
+    i, stop = len(image.found), 0
+    out = image.found + [0] * (total - i)
     try:
         while i < total:
             if i >= stop:  # the group of codes changes
-                green, red, blue, alpha, distance = codes[meta[(i // width >> meta_bits) * across + (i % width >> meta_bits)] if meta else 0]
+                whose = meta[(i // width >> image.meta_bits) * image.across + (i % width >> image.meta_bits)] if meta else 0
                 column = i % width
-                stop = i - column + min(width, (column >> meta_bits) + 1 << meta_bits) if meta else total
-                g, g_mask, r, r_mask, b, b_mask, a, a_mask = green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask
-                opaque = a[0] >> 4 << 24
+                stop = i - column + min(width, (column >> image.meta_bits) + 1 << image.meta_bits) if meta else total
+                (g, r, b, a), (g_mask, r_mask, b_mask, a_mask) = tables[whose], [c.mask for c in codes[whose][:4]]
+                opaque, distance = a[0] >> 4, codes[whose][4]
             now = words[at >> 3] >> (at & 7)
             entry = g[now & g_mask]
-            symbol, n = entry >> 4, entry & 15
-            if symbol < 256:
+            n = entry & 15
+            if entry < 1 << 20:  # green is a value below 256
                 e1 = r[now >> n & r_mask]
                 n += e1 & 15
                 e2 = b[now >> n & b_mask]
@@ -161,10 +214,12 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
                 if a_mask:
                     e3 = a[words[at >> 3] >> (at & 7) & a_mask]
                     at += e3 & 15
-                    opaque = e3 >> 4 << 24
-                out[i] = opaque | e1 >> 4 << 16 | symbol << 8 | e2 >> 4
+                    opaque = e3 >> 4
+                out[i] = (entry | e1 | e2) >> 4 | opaque
                 i += 1
-            elif symbol >= 280:
+                continue
+            symbol = entry >> 12
+            if symbol >= 280:
                 at += n
                 while cached < i:  # entries are made when they are next needed
                     p = out[cached]
@@ -173,14 +228,9 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
                 out[i] = cache[symbol - 280]
                 i += 1
             else:
-                bits.at = at + n
-                length, near = _extended(bits, symbol - 256), _extended(bits, distance.read(bits))
-                at = bits.at
-                if near > len(_NEAR):
-                    back = near - len(_NEAR)
-                else:
-                    x, y = _NEAR[near - 1]
-                    back = max(1, x + y * width)
+                bits.at = start + at + n
+                length, back = image.read_copy(symbol, distance)
+                at = bits.at - start
                 if back > i or i + length > total:
                     raise ValueError("a back-reference leaves the image")
                 if back >= length:
@@ -190,12 +240,98 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
                 i += length
     except IndexError:
         raise ValueError("the stream ends early") from None
-    bits.at = at
-    if at > bits.size:
+    bits.at = start + at
+    if bits.at > bits.size:
         raise ValueError("the stream ends early")
     return np.array(out, np.int64)
 
 
+def _together(images: list[Image]) -> list[np.ndarray]:
+    """The pixels of many images: one number of each image in turn, while more than ``FEW`` of them go on, so that numpy's
+    calls are shared. Images with several groups of codes or a code of alphas are read one by one."""
+    even = [k for k, image in enumerate(images) if len(image.codes) == 1 and not image.codes[0][3].mask]
+    if len(even) > FEW:
+        ours = [images[k] for k in even]
+        codes = [image.codes[0] for image in ours]
+        tables, begins, masks = [], [], []
+        for k, by in ((0, 8), (1, 16), (2, 0)):
+            entries = [c[k].entries for c in codes]
+            sizes = np.array([len(e) for e in entries])
+            joined = np.concatenate(entries)
+            tables.append(joined >> 4 << (4 + by) | joined & 15)
+            begins.append(np.cumsum(sizes) - sizes)
+            masks.append(sizes - 1)
+        streams = [image.bits.words(0, len(image.bits.data)) for image in ours]
+        sizes = np.array([len(w) for w in streams])
+        words = np.concatenate([*streams, np.zeros(8, np.int64)])
+        stream_at = 8 * (np.cumsum(sizes) - sizes)
+        sizes = np.array([image.total for image in ours])
+        end = np.cumsum(sizes)
+        begin = end - sizes
+        out = np.zeros(int(end[-1]), np.int64)
+        slots = 1 << np.array([image.cache_bits for image in ours])
+        cache = np.zeros(int(slots.sum()), np.int64)
+        shift = 32 - np.array([image.cache_bits for image in ours])
+        opaque = np.array([c[3].entries[0] >> 4 << 24 for c in codes])
+        (g, r, b), lane = tables, np.arange(len(ours))
+        at, pos = stream_at + np.array([image.bits.at for image in ours]), begin.copy()
+        state = [lane, at, pos, end, *begins, *masks, np.cumsum(slots) - slots, shift, opaque]
+        last_at, last_pos = at.copy(), pos.copy()
+        while len(lane) > FEW:
+            lane, at, pos, until, g_at, r_at, b_at, g_mask, r_mask, b_mask, c_at, shift, opaque = state
+            for _ in range(int((until - pos).min())):
+                try:
+                    now = words[at >> 3] >> (at & 7)
+                except IndexError:
+                    raise ValueError("the stream ends early") from None
+                entry = g[g_at + (now & g_mask)]
+                n = entry & 15
+                e1 = r[r_at + (now >> n & r_mask)]
+                n += e1 & 15
+                e2 = b[b_at + (now >> n & b_mask)]
+                n += e2 & 15
+                pixel = (entry | e1 | e2) >> 4 | opaque
+                other = (entry >= 1 << 20).nonzero()[0]
+                copies = other
+                if len(other):
+                    symbol = entry[other] >> 12
+                    hit = symbol >= 280
+                    cached = other[hit]
+                    pixel[cached] = cache[c_at[cached] + symbol[hit] - 280]
+                    n[cached] = entry[cached] & 15
+                    copies = other[~hit]
+                    for k in copies.tolist():
+                        image, mine, p = ours[lane[k]], int(stream_at[lane[k]]), int(pos[k])
+                        image.bits.at = int(at[k]) - mine + int(entry[k] & 15)
+                        length, back = image.read_copy(int(entry[k]) >> 12, codes[lane[k]][4])
+                        if back > p - begin[lane[k]] or p + length > until[k]:
+                            raise ValueError("a back-reference leaves the image")
+                        added = np.resize(out[p - back : p], length) if back < length else out[p - back : p - back + length]
+                        out[p : p + length] = added
+                        cache[c_at[k] + ((_CACHE * added & 0xFFFFFFFF) >> shift[k])] = added  # of one slot the last stays
+                        pixel[k], n[k] = added[-1], image.bits.at + mine - at[k]
+                        pos[k] += length - 1
+                out[pos] = pixel
+                cache[c_at + ((_CACHE * pixel & 0xFFFFFFFF) >> shift)] = pixel
+                pos += 1
+                at += n
+                if len(copies):
+                    break
+            last_at[lane], last_pos[lane] = at, pos
+            going = pos < until
+            if not going.all():
+                state = [v[going] for v in state]
+                lane = state[0]
+        for k, image in enumerate(ours):
+            image.bits.at = int(last_at[k] - stream_at[k])
+            if image.bits.at > image.bits.size:
+                raise ValueError("the stream ends early")
+            image.found = out[begin[k] : last_pos[k]]
+        for k in lane.tolist():
+            ours[k].found = ours[k].found.tolist()
+    return [image.found if len(image.found) == image.total else _one_by_one(image) for image in images]
+
+
 def _channels(pixels: np.ndarray) -> np.ndarray:
     return np.stack([pixels >> s & 255 for s in (24, 16, 8, 0)], axis=-1)
 
@@ -290,8 +426,14 @@ def _stream_of(stored: bytes) -> bytes:
     raise ValueError("not a lossless WebP file")
 
 
-def decode(stored: bytes) -> np.ndarray:
-    """The image as an array of height, width and ARGB channels."""
+def size_of(stored: bytes) -> tuple[int, int]:
+    """A file's width and height."""
+    bits = Bits(_stream_of(stored))
+    return bits.read(14) + 1, bits.read(14) + 1
+
+
+def _begun(stored: bytes) -> tuple[Image, int, int, list[tuple]]:
+    """A file's image before its pixels are read, its width and height, and its transforms."""
     bits = Bits(_stream_of(stored))
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
@@ -302,17 +444,21 @@ def decode(stored: bytes) -> np.ndarray:
         kind = bits.read(2)
         if kind in (PREDICTOR, CROSS_COLOUR):
             size = bits.read(3) + 2
-            data = _read_image(bits, -(-across >> size), -(-height >> size), False)
+            data = _one_by_one(Image(bits, -(-across >> size), -(-height >> size), False))
             undo.append((kind, across, size, data))
         elif kind == SUBTRACT_GREEN:
             undo.append((kind, across, 0, None))
         else:
             size = bits.read(8) + 1
-            table = _joined(np.cumsum(_channels(_read_image(bits, size, 1, False)), axis=0))
+            table = _joined(np.cumsum(_channels(_one_by_one(Image(bits, size, 1, False))), axis=0))
             packed = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             undo.append((kind, across, packed, np.concatenate([table, np.zeros(256 - size, np.int64)])))
             across = -(-across >> packed)
-    pixels = _read_image(bits, across, height, True)
+    return Image(bits, across, height, True), width, height, undo
+
+
+def _undone(pixels: np.ndarray, width: int, height: int, undo: list[tuple]) -> np.ndarray:
+    """The image as an array of height, width and ARGB channels, its transforms inverted."""
     for kind, wide, size, data in reversed(undo):
         if kind == PREDICTOR:
             pixels = _undo_predictor(pixels, wide, height, size, data)
@@ -329,14 +475,22 @@ def decode(stored: bytes) -> np.ndarray:
                 each = 8 >> size
                 index = (index.reshape(height, -1, 1) >> np.arange(0, 8, each) & ((1 << each) - 1)).reshape(height, -1)[:, :wide].reshape(-1)
             pixels = data[index]
-    return _channels(pixels).reshape(height, width, 4).astype(np.uint8)
+    return pixels.astype("<u4").view(np.uint8).reshape(height, width, 4)[..., ::-1]
 
 
-# --- encoding
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """Each file's image as an array of height, width and ARGB channels."""
+    begun = [_begun(f) for f in files]
+    pixels = _together([b[0] for b in begun])
+    return [_undone(p, *b[1:]) for p, b in zip(pixels, begun, strict=True)]
+
+
+def decode(stored: bytes) -> np.ndarray:
+    """One file's image."""
+    return decode_all([stored])[0]
 
 
-def _bits_of(value: int, n: int) -> list[int]:
-    return [value >> i & 1 for i in range(n)]
+# --- encoding
 
 
 def wrap(stream: bytes) -> bytes:
@@ -346,32 +500,53 @@ def wrap(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
+def _packed(values: np.ndarray, widths: np.ndarray, stream: np.ndarray, streams: int) -> list[bytes]:
+    """The bytes of every stream, whose numbers of at most 25 bits stand one after the other, the streams in order."""
+    size = (np.bincount(stream, widths, streams).astype(np.int64) + 7) >> 3
+    end = np.cumsum(size)
+    before = np.cumsum(widths) - widths
+    first = np.searchsorted(stream, np.arange(streams))
+    begin = np.append(before, widths.sum())[first]  # in bits, without what fills the bytes before
+    at = before + (8 * (end - size) - begin)[stream]
+    shifted, byte = values << (at & 7), at >> 3
+    over = (int(widths.max(initial=1)) + 14) >> 3  # bytes that a number lies in
+    out = sum(np.bincount(byte + k, shifted >> 8 * k & 255, int(size.sum()) + over) for k in range(over))
+    whole = out.astype(np.uint8).tobytes()
+    return [whole[e - n : e] for e, n in zip(end.tolist(), size.tolist(), strict=True)]
+
+
+class Streams:
+    """Collects the numbers of many streams, each in numbered sections, and how many bits each number takes."""
+
+    def __init__(self, streams: int, sections: int):
+        self.streams, self.sections = streams, sections
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def put(self, section: int, stream: np.ndarray, values: np.ndarray, widths: np.ndarray) -> None:
+        """A row of numbers for each entry of ``stream``, which ascends."""
+        shape = np.broadcast_shapes(values.shape, widths.shape)
+        where = np.broadcast_to((stream * self.sections + section)[:, None], shape)
+        used = np.broadcast_to(widths, shape) > 0
+        self.parts.append((where[used], np.broadcast_to(values, shape)[used], np.broadcast_to(widths, shape)[used]))
+
+    def bytes(self) -> list[bytes]:
+        where, values, widths = (np.concatenate(p) for p in zip(*self.parts, strict=True))
+        order = np.argsort(where.astype(np.min_scalar_type(self.streams * self.sections)), kind="stable")
+        return _packed(values[order], widths[order], where[order] // self.sections, self.streams)
+
+
 class Writer:
-    """Collects numbers and how many bits each takes."""
+    """Collects the numbers of one stream and how many bits each takes."""
 
     def __init__(self):
-        self.values: list[np.ndarray] = []
-        self.widths: list[np.ndarray] = []
         self.held: list[tuple[int, int]] = []
 
     def put(self, value: int, width: int) -> None:
         self.held.append((value, width))
 
-    def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
-        if self.held:
-            one = np.array(self.held, np.int64)
-            self.values.append(one[:, 0])
-            self.widths.append(one[:, 1])
-            self.held = []
-        self.values.append(values)
-        self.widths.append(widths)
-
     def bytes(self) -> bytes:
-        self.put_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        values, widths = np.concatenate(self.values), np.concatenate(self.widths)
-        begin = np.cumsum(widths) - widths
-        bits = np.repeat(values, widths) >> (np.arange(int(widths.sum())) - np.repeat(begin, widths)) & 1
-        return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+        all_ = np.array(self.held, np.int64).reshape(-1, 2)
+        return _packed(all_[:, 0], all_[:, 1], np.zeros(len(all_), np.int64), 1)[0]
 
 
 def _depths(counts: list[int]) -> list[int]:
@@ -395,84 +570,108 @@ def _depths(counts: list[int]) -> list[int]:
     return depth[:n]
 
 
-def code_lengths(counts: np.ndarray, widest: int = WIDEST) -> np.ndarray:
-    """The lengths of a prefix code for the symbols that occur, none over ``widest``: rare ones are taken as more frequent."""
-    lengths = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts)
-    if len(used) < 2:
-        lengths[used] = 1
-        return lengths
-    order = used[np.argsort(counts[used], kind="stable")]
-    now, least = counts[order].tolist(), 1
-    while max(depths := _depths(now)) > widest:
-        least *= 2
-        now = [max(least, c) for c in now]
-    lengths[order] = depths
+def _lengths_of(counts: np.ndarray, widest: int = WIDEST) -> np.ndarray:
+    """For each row of counts, the lengths of a prefix code for the symbols that occur, none over ``widest``: rare ones are
+    taken as more frequent. A single symbol has length 1."""
+    rows, symbols = np.nonzero(counts)
+    seen = counts[rows, symbols]
+    order = np.lexsort((seen, rows))
+    symbols, seen = symbols[order], seen[order].tolist()
+    depths, at = [], 0
+    for n in np.bincount(rows, minlength=len(counts)).tolist():
+        if n > 1:
+            now, least = seen[at : at + n], 1
+            while (found := _depths(now))[0] > widest:  # the rarest is deepest
+                least *= 2
+                now = [max(least, c) for c in now]
+            depths += found
+        else:
+            depths += [1] * n
+        at += n
+    lengths = np.zeros(counts.shape, np.int64)
+    lengths[rows, symbols] = depths
     return lengths
 
 
+def code_lengths(counts: np.ndarray, widest: int = WIDEST) -> np.ndarray:
+    return _lengths_of(counts[None], widest)[0]
+
+
+def _codes_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes as they are written, widths) of every symbol, by row; a single symbol takes no bits."""
+    rows, symbols = np.nonzero(lengths)
+    long = lengths[rows, symbols]
+    order = np.lexsort((long, rows))
+    rows, symbols, long = rows[order], symbols[order], long[order]
+    spread = 1 << (15 - long)
+    before = np.cumsum(spread) - spread
+    each = np.bincount(rows, minlength=len(lengths))
+    first = (np.cumsum(each) - each)[rows]
+    codes, widths = np.zeros(lengths.shape, np.int64), np.zeros(lengths.shape, np.int64)
+    single = each[rows] < 2
+    codes[rows, symbols] = np.where(single, 0, _reversed_bits(15)[before - before[first]])
+    widths[rows, symbols] = np.where(single, 0, long)
+    return codes, widths
+
+
 def _code_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code as it is written, width) of every symbol; a single symbol takes no bits."""
-    codes = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    if len(used) < 2:
-        return codes, np.zeros(len(lengths), np.int64)
-    used = used[np.argsort(lengths[used], kind="stable")]
-    widest = int(lengths[used[-1]])
-    spread = 1 << (widest - lengths[used])
-    codes[used] = _reversed_bits(widest)[np.cumsum(spread) - spread]
-    return codes, lengths
+    codes, widths = _codes_of(lengths[None])
+    return codes[0], widths[0]
+
+
+def _put_codes(out: Streams, section: int, stream: np.ndarray, lengths: np.ndarray) -> None:
+    """Write each row's lengths: simple where one or two symbols below 256 occur, as runs of lengths otherwise. Takes two
+    sections."""
+    used = lengths > 0
+    many, size = used.sum(axis=1), lengths.shape[1]
+    low, top = used.argmax(axis=1), size - 1 - used[:, ::-1].argmax(axis=1)
+    top = np.where(many > 0, top, 0)
+    simple = (many <= 2) & (top < 256)
+    one, two, wide = low[simple], top[simple], low[simple] > 1
+    pair = many[simple] == 2
+    ones = np.ones(len(one), np.int64)
+    out.put(section, stream[simple], np.column_stack([ones, pair, wide, one, two]), np.column_stack([ones, ones, ones, np.where(wide, 8, 1), 8 * pair]))
+    if simple.all():
+        return
+    lengths, stream, top = lengths[~simple], stream[~simple], top[~simple]
+    code = np.repeat(np.arange(len(top)), top + 1)
+    flat = lengths[np.arange(size) <= top[:, None]]
+    edge = np.flatnonzero((np.diff(flat, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+    value, times, of = flat[edge], np.diff(np.append(edge, len(flat))), code[edge]
+    # a run is the length itself, whole repeats, a last one, and the few that are left; lone codes get a zero more
+    zero = value == 0
+    whole, rest = np.divmod(np.where(zero, times, times - 1), np.where(zero, 138, 6))
+    last = rest >= 3
+    eleven = rest >= 11
+    lone = np.bincount(of, np.where(zero, 0, 1) + whole + np.where(last, 1, rest), len(top))[of] < 2
+    kinds = np.column_stack([value, np.where(zero, 18, 16), np.where(zero, np.where(eleven, 18, 17), 16), value, np.zeros_like(value)])
+    extra = np.column_stack([np.zeros_like(value), np.where(zero, 127, 3), np.where(zero & eleven, rest - 11, rest - 3), *[np.zeros_like(value)] * 2])
+    bits = np.column_stack([np.zeros_like(value), np.where(zero, 7, 2), np.where(zero, np.where(eleven, 7, 3), 2), *[np.zeros_like(value)] * 2])
+    number = np.column_stack([~zero, whole, last, np.where(last, 0, rest), lone]).reshape(-1)
+    kinds, extra, bits = (np.repeat(v.reshape(-1), number) for v in (kinds, extra, bits))
+    of = np.repeat(np.repeat(of, 5), number)
+    short = _lengths_of(np.bincount(of * 19 + kinds, minlength=19 * len(top)).reshape(-1, 19), 7)
+    codes, widths = _codes_of(short)
+    shown = short[:, list(_LENGTH_ORDER)]
+    many = np.maximum(4, 19 - (shown[:, ::-1] > 0).argmax(axis=1))
+    tokens = np.bincount(of, minlength=len(top)) - 2
+    size = np.maximum(0, (np.frexp(tokens.astype(np.float64))[1] - 1) // 2)
+    ones = np.ones(len(top), np.int64)
+    out.put(
+        section,
+        stream,
+        np.column_stack([0 * ones, many - 4, shown, ones, size, tokens]),
+        np.column_stack([ones, 4 * ones, np.where(np.arange(19) < many[:, None], 3, 0), ones, 3 * ones, 2 + 2 * size]),
+    )
+    out.put(section + 1, stream[of], np.column_stack([codes[of, kinds], extra]), np.column_stack([widths[of, kinds], bits]))
 
 
 def _put_code(out: Writer, lengths: np.ndarray) -> None:
-    """Write a code's lengths: simple where one or two symbols below 256 occur, as runs of lengths otherwise."""
-    used = np.flatnonzero(lengths)
-    if len(used) <= 2 and (not len(used) or used[-1] < 256):
-        symbols = used.tolist() or [0]
-        out.put(1, 1)
-        out.put(len(symbols) - 1, 1)
-        wide = symbols[0] > 1
-        out.put(int(wide), 1)
-        out.put(symbols[0], 8 if wide else 1)
-        if len(symbols) == 2:
-            out.put(symbols[1], 8)
-        return
-    trimmed = lengths[: used[-1] + 1]
-    edge = np.append(np.flatnonzero(np.diff(trimmed, prepend=-1)), len(trimmed))
-    tokens: list[tuple[int, int, int]] = []  # symbol, extra, width of extra
-    for value, times in zip(trimmed[edge[:-1]].tolist(), np.diff(edge).tolist(), strict=True):
-        if value:
-            tokens.append((value, 0, 0))
-            times -= 1
-            while times >= 3:
-                step = min(6, times)
-                tokens.append((16, step - 3, 2))
-                times -= step
-        else:
-            while times >= 11:
-                step = min(138, times)
-                tokens.append((18, step - 11, 7))
-                times -= step
-            if times >= 3:
-                tokens.append((17, times - 3, 3))
-                times = 0
-        tokens += [(value, 0, 0)] * times
-    if len(tokens) < 2:
-        tokens.append((0, 0, 0))
-    told = np.array(tokens, np.int64)
-    of = code_lengths(np.bincount(told[:, 0], minlength=19), 7)
-    codes, widths = _code_of(of)
-    shown = of[list(_LENGTH_ORDER)]
-    many = max(4, 1 + int(np.flatnonzero(shown)[-1]))
-    out.put(0, 1)
-    out.put(many - 4, 4)
-    for n in shown[:many].tolist():
-        out.put(n, 3)
-    wide = max(0, ((len(tokens) - 2).bit_length() - 1) // 2)
-    out.put(1, 1)
-    out.put(wide, 3)
-    out.put(len(tokens) - 2, 2 + 2 * wide)
-    out.put_all(np.column_stack([codes[told[:, 0]], told[:, 1]]).reshape(-1), np.column_stack([widths[told[:, 0]], told[:, 2]]).reshape(-1))
+    """One code for one stream."""
+    streams = Streams(1, 2)
+    _put_codes(streams, 0, np.zeros(1, np.int64), lengths[None])
+    for _, values, widths in streams.parts:
+        out.held += zip(values.tolist(), widths.tolist(), strict=True)
 
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -484,7 +683,7 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prefix, v & ((1 << width) - 1), width
 
 
-@functools.lru_cache(64)
+@functools.lru_cache(512)
 def _near_codes(width: int) -> np.ndarray:
     """The short code of every distance below eight rows, 0 where there is none."""
     out = np.zeros(8 * width + 16, np.int64)
@@ -494,8 +693,8 @@ def _near_codes(width: int) -> np.ndarray:
     return out
 
 
-def _copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, distance) of the stretches that are copied from the last place with the same few pixels."""
+def _copies(pixels: np.ndarray, image: np.ndarray, images: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of the stretches that are copied from the last place in their image with the same few pixels."""
     none = np.zeros(0, np.int64)
     n = len(pixels) - SHORTEST_COPY + 1
     if n < 2:
@@ -504,14 +703,18 @@ def _copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = mixed[:n].copy()
     for k in range(1, SHORTEST_COPY):
         key = (key >> np.uint64(29) ^ key) * np.uint64(_SPREAD) + mixed[k : n + k]
+    inside = np.flatnonzero(image[:n] == image[SHORTEST_COPY - 1 :])
+    key = key[inside] >> np.uint64(16) | image[inside].astype(np.uint64) << np.uint64(48)
     order = np.argsort(key, kind="stable")
     again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     if not len(again):
         return none, none, none
     back = np.zeros(n, np.int64)
-    back[order[again + 1]] = order[again + 1] - order[again]
-    edge = np.append(np.flatnonzero(np.diff(back, prepend=-1)), n)
-    until = np.repeat(edge[1:], np.diff(edge)) + SHORTEST_COPY - 1  # all of a stretch with one distance is copied together
+    place = inside[order]
+    back[place[again + 1]] = place[again + 1] - place[again]
+    edge = np.flatnonzero(np.diff(back, prepend=-1))
+    span = np.diff(np.append(edge, n))
+    until = np.repeat(edge + span + SHORTEST_COPY - 1, span)  # all of a stretch with one distance is copied together
     starts, stop = [], 0
     found = np.flatnonzero(back)
     for at, end in zip(found.tolist(), until[found].tolist(), strict=True):
@@ -521,167 +724,211 @@ def _copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.array(starts, np.int64)
     length, distance = np.minimum(until[start] - start, LONGEST_COPY), back[start]
     at = np.arange(int(length.sum())) + np.repeat(start - np.cumsum(length) + length, length)
-    if (pixels[at] != pixels[at - np.repeat(distance, length)]).any():  # two stretches of one hash that differ
-        return none, none, none
+    wrong = pixels[at] != pixels[at - np.repeat(distance, length)]
+    if wrong.any():  # two stretches of one hash that differ: their images get no copies
+        right = ~np.isin(image[start], image[at[wrong]])
+        start, length, distance = start[right], length[right], distance[right]
     return start, length, distance
 
 
 @functools.lru_cache(1)
-def _times_log() -> np.ndarray:
+def _logs() -> np.ndarray:
     n = np.arange(1 << 16, dtype=np.float64)
-    return n * np.log2(np.maximum(n, 1))
+    return np.rint(n * np.log2(np.maximum(n, 1)) * BIT).astype(np.int64)
 
 
-def _entropy(counts: np.ndarray, total: int, alphabets: int = 1) -> float:
-    """The bits that symbols with these counts take together, in alphabets of ``total`` occurrences each."""
-    c = counts[counts > 1]
-    own = _times_log()[c].sum() if not len(c) or c.max() < 1 << 16 else (c * np.log2(c)).sum()
-    return float(alphabets * total * np.log2(max(total, 1)) - own)
+def _times_log(n: np.ndarray) -> np.ndarray:
+    """n times its logarithm in parts of a bit: whole numbers, whose sums don't depend on what stands beside them."""
+    out = _logs()[np.minimum(n, (1 << 16) - 1)]
+    large = n >= 1 << 16
+    if large.any():
+        out[large] = np.rint(n[large] * np.log2(n[large]) * BIT)
+    return out
 
 
-def _put_image(out: Writer, pixels: np.ndarray, width: int, top: bool) -> None:
-    """Write an image's colour cache bits, codes and pixels."""
-    start, length, distance = _copies(pixels)
+def _entropy(counts: np.ndarray, total: np.ndarray, alphabets: int = 1) -> np.ndarray:
+    """The parts of a bit that each row's symbols take together, in alphabets of ``total`` occurrences each."""
+    return alphabets * _times_log(total) - _times_log(counts).sum(axis=1)
+
+
+def _put_images(out: Streams, section: int, stream: np.ndarray, pixels: np.ndarray, sizes: np.ndarray, widths: np.ndarray, top: bool) -> None:
+    """Write each image's colour cache bits, codes and pixels into its stream, in ``IMAGE_SECTIONS`` sections."""
+    m = len(stream)
+    image = np.repeat(np.arange(m), sizes)
+    start, length, distance = _copies(pixels, image, m)
+    of = image[start]
     copied = np.zeros(len(pixels) + 1, np.int8)
     copied[start] += 1
     copied[start + length] -= 1
     literal = np.cumsum(copied[:-1]) == 0
     channel = [pixels >> s & 255 for s in (8, 16, 0, 24)]
-    second = np.concatenate([channel[1], channel[2] + 256])
-    near = _near_codes(width)
-    code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
+    code = np.zeros_like(distance)
+    for width in np.unique(widths[of]).tolist():
+        near = _near_codes(width)
+        rows = (widths[of] == width) & (distance < len(near))
+        code[rows] = near[distance[rows]]
     l_prefix, l_extra, l_width = _prefixes(length)
     d_prefix, d_extra, d_width = _prefixes(np.where(code > 0, code, distance + len(_NEAR)))
 
-    def counted(hit: np.ndarray | None, slot: np.ndarray | None, cache: int):
-        plain = literal if hit is None else literal & ~hit
-        green = np.concatenate([channel[0][plain], 256 + l_prefix, *([] if hit is None else [280 + slot[literal & hit]])])
-        first = np.bincount(green, minlength=280 + (1 << cache if cache else 0))
-        rest = np.bincount(second[np.concatenate([plain, plain])], minlength=512)
-        bits = _entropy(first, len(green)) + _entropy(rest, len(green) - len(l_prefix), 2) + 6 * (np.count_nonzero(first) + np.count_nonzero(rest))
-        return bits, plain, first, rest
-
-    best, cache, hit, slot = counted(None, None, 0), 0, None, None
-    if len(pixels) >= 64:
-        hashed = _CACHE * pixels & 0xFFFFFFFF
-        for bits in CACHES:
-            at = hashed >> (32 - bits)
-            order = np.argsort(at, kind="stable")
-            now = np.zeros(len(pixels), bool)
-            now[order[1:]] = (at[order[1:]] == at[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
-            other = counted(now, at, bits)
-            if other[0] < best[0]:
-                best, cache, hit, slot = other, bits, now, at
-    _, plain, first, rest = best
-    counts = [first, rest[:256], rest[256:], np.bincount(channel[3][plain], minlength=256)]
-    out.put(int(cache > 0), 1)
-    if cache:
-        out.put(cache, 4)
-    if top:
-        out.put(0, 1)
-    lengths = [code_lengths(c) for c in [*counts, np.bincount(d_prefix, minlength=40)]]
-    for n in lengths:
-        _put_code(out, n)
-    codes = [_code_of(n) for n in lengths]
-    kind = np.zeros(len(pixels), np.int8)  # 1: a pixel of its own, 2: from the cache, 3: a copy begins
-    kind[plain] = 1
-    if hit is not None:
-        kind[literal & hit] = 2
+    slot = (_CACHE * pixels & 0xFFFFFFFF) >> (32 - CACHE_BITS)
+    key = image << CACHE_BITS | slot
+    order = np.argsort(key.astype(np.min_scalar_type(m << CACHE_BITS)), kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    hit &= literal & (sizes >= 64)[image]
+    first_size = 280 + (1 << CACHE_BITS)
+    ends = np.bincount(of * first_size + 256 + l_prefix, minlength=m * first_size)
+
+    def counted(plain: np.ndarray, cached: np.ndarray):
+        """(estimate, counts of the first code's symbols, of red's, of blue's) by image."""
+        here = image[plain]
+        first = ends + np.bincount(here * first_size + channel[0][plain], minlength=m * first_size)
+        if len(cached):
+            first += np.bincount(image[cached] * first_size + 280 + slot[cached], minlength=m * first_size)
+        first = first.reshape(m, -1)
+        red, blue = (np.bincount(here * 256 + channel[k][plain], minlength=m * 256).reshape(m, 256) for k in (1, 2))
+        each, symbols = np.bincount(here, minlength=m), sum((c > 0).sum(axis=1) for c in (first, red, blue))
+        return _entropy(first, first.sum(axis=1)) + _entropy(red, each) + _entropy(blue, each) + 6 * BIT * symbols, first, red, blue
+
+    cached = np.flatnonzero(hit)
+    without = counted(np.flatnonzero(literal), cached[:0])
+    cache = np.zeros(m, bool)
+    counts = list(without[1:])
+    if len(cached):
+        with_ = counted(np.flatnonzero(literal & ~hit), cached)
+        cache = with_[0] < without[0]
+        counts = [np.where(cache[:, None], a, b) for a, b in zip(with_[1:], without[1:], strict=True)]
+        cached = cached[cache[image[cached]]]
+    kind = literal.astype(np.int8)  # 1: a pixel of its own, 2: from the cache, 3: a copy begins
+    kind[cached] = 2
     kind[start] = 3
+    plain = kind == 1
+    counts.append(np.bincount(image[plain] * 256 + channel[3][plain], minlength=m * 256).reshape(m, 256))
+    counts.append(np.bincount(of * 40 + d_prefix, minlength=m * 40).reshape(m, 40))
+    flags = np.column_stack([cache, np.full(m, CACHE_BITS), np.zeros(m, np.int64)])
+    out.put(section, stream, flags, np.column_stack([np.ones(m, np.int64), 4 * cache, np.full(m, int(top))]))
+    codes = []
+    for k, c in enumerate(counts):
+        lengths = _lengths_of(c)
+        _put_codes(out, section + 1 + 2 * k, stream, lengths)
+        codes.append(_codes_of(lengths))
     order = np.flatnonzero(kind)
-    what = kind[order]
-    values, widths = np.zeros((len(order), 4), np.int64), np.zeros((len(order), 4), np.int64)
-    rows = what == 1
+    what, whose = kind[order], image[order]
+    values, bits = np.zeros((len(order), 4), np.int64), np.zeros((len(order), 4), np.int64)
+    rows = np.flatnonzero(what == 1)
     for k in range(4):
-        symbol = channel[k][order[rows]]
-        values[rows, k], widths[rows, k] = codes[k][0][symbol], codes[k][1][symbol]
-    if hit is not None:
-        rows = what == 2
-        symbol = 280 + slot[order[rows]]
-        values[rows, 0], widths[rows, 0] = codes[0][0][symbol], codes[0][1][symbol]
-    rows = what == 3
-    values[rows] = np.column_stack([codes[0][0][256 + l_prefix], l_extra, codes[4][0][d_prefix], d_extra])
-    widths[rows] = np.column_stack([codes[0][1][256 + l_prefix], l_width, codes[4][1][d_prefix], d_width])
-    out.put_all(values.reshape(-1), widths.reshape(-1))
-
-
-def _share(of: np.ndarray, by: np.ndarray) -> int:
-    """The multiplier, in 32nds, that takes most of one signed channel out of another."""
-    x, y = by - by.mean(), of - of.mean()
-    power = x @ x
-    return int(np.clip(np.rint(32 * (x @ y) / power), -128, 127)) if power else 0
-
-
-def _cost(samples: np.ndarray) -> float:
-    """The bits that the three channels of an image (n by 3) take, each on its own."""
-    return _entropy(np.bincount((samples + _PLACES).reshape(-1), minlength=768), len(samples), 3)
-
-
-def _guessed(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
-    """What the predictor of mode 1 (left) or 2 (up) leaves of an image."""
-    image = _channels(pixels).reshape(-1, width, 4)
-    rest = image.copy()
-    rest[0, 0, 0] -= 255
-    rest[0, 1:] -= image[0, :-1]
-    rest[1:, 0] -= image[:-1, 0]
-    rest[1:, 1:] -= image[1:, :-1] if mode == 1 else image[:-1, 1:]
-    return _joined(rest).reshape(-1)
+        at = whose[rows], channel[k][order[rows]]
+        values[rows, k], bits[rows, k] = codes[k][0][at], codes[k][1][at]
+    rows = np.flatnonzero(what == 2)
+    at = whose[rows], 280 + slot[order[rows]]
+    values[rows, 0], bits[rows, 0] = codes[0][0][at], codes[0][1][at]
+    rows = np.flatnonzero(what == 3)
+    values[rows] = np.column_stack([codes[0][0][of, 256 + l_prefix], l_extra, codes[4][0][of, d_prefix], d_extra])
+    bits[rows] = np.column_stack([codes[0][1][of, 256 + l_prefix], l_width, codes[4][1][of, d_prefix], d_width])
+    out.put(section + 11, stream[whose], values, bits)
+
+
+def _share(of: np.ndarray, by: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The multiplier, in 32nds, that takes most of one signed channel out of another, by image."""
+
+    begin = np.cumsum(sizes) - sizes
+    x, y, squares, products = np.add.reduceat(np.stack([by, of, by * by, by * of]), begin, axis=1)
+    power, both = sizes * squares - x * x, sizes * products - x * y
+    return np.where(power > 0, np.clip(np.rint(32 * (both / np.maximum(power, 1))), -128, 127), 0).astype(np.int64)
+
+
+def encode_all(pictures: list[np.ndarray]) -> list[bytes]:
+    """Each picture of height by width by 3 samples of 8 bits as a file, made together, as each would be alone. Of a palette,
+    the cross-colour transform, the predictors of the left and the upper pixel, and none, the one that is estimated to take
+    the fewest bits is used."""
+    if not pictures:
+        return []
+    heights, widths = (np.array([p.shape[k] for p in pictures], np.int64) for k in (0, 1))
+    if max(heights.max(), widths.max()) > SIDE:
+        raise ValueError(f"an image of more than {SIDE} rows or columns")
+    m, sizes = len(pictures), heights * widths
+    flat = np.concatenate([np.asarray(p, np.uint8).reshape(-1, 3) for p in pictures])
+    image = np.repeat(np.arange(m), sizes)
+    begin = np.cumsum(sizes) - sizes
+    y, x = np.divmod(np.arange(len(flat)) - begin[image], widths[image])
+    red, green, blue = (flat[:, k].astype(np.int64) for k in range(3))
+    rgb = red << 16 | green << 8 | blue
+
+    def cost(samples):
+        at = (image * 768)[:, None] + _PLACES + samples
+        return _entropy(np.bincount(at.reshape(-1), minlength=768 * m).reshape(m, 768), sizes, 3)
+
+    def rest(mode):
+        """What the predictor of the left (1) or upper (2) pixel leaves; at the edges the format fixes the other."""
+        here = np.arange(len(flat))
+        source = np.where((y == 0) | ((x > 0) & (mode == 1)), here - 1, here - widths[image])
+        guess = flat[np.maximum(source, 0)]
+        guess[begin] = 0
+        return flat - guess
+
+    signed = flat.view(np.int8).astype(np.int64)
+    to_red, to_blue = (_share(signed[:, k], signed[:, 1], sizes) for k in (0, 2))
+    crossed = flat.copy()
+    crossed[:, 0] -= (to_red[image] * signed[:, 1] >> 5).astype(np.uint8)
+    crossed[:, 2] -= (to_blue[image] * signed[:, 1] >> 5).astype(np.uint8)
+    ways = [flat, rest(1), rest(2), crossed]
+    costs = np.stack([cost(w) for w in ways])
+    costs[1:] += 80 * BIT
+    costs[3, (to_red == 0) & (to_blue == 0)] = np.iinfo(np.int64).max
+    way = costs.argmin(axis=0)
+    colours, index, seen = np.unique(image << 24 | rgb, return_inverse=True, return_counts=True)
+    whose = colours >> 24
+    shades = np.bincount(whose, minlength=m)
+    few = _times_log(sizes) - np.bincount(whose, _times_log(seen), m).astype(np.int64) + 20 * BIT * shades
+    way[(shades <= 256) & (few < costs[0] + 64 * BIT)] = 4
+
+    one, all_ = np.ones(m, np.int64), np.arange(m)
+    out = Streams(m, 4 + 2 * IMAGE_SECTIONS)
+    out.put(0, all_, np.column_stack([widths - 1, heights - 1, 0 * one]), np.array([[14, 14, 4]]))  # no alpha, version 0
+    named = np.flatnonzero(way)
+    kinds = np.array([0, PREDICTOR, PREDICTOR, CROSS_COLOUR, PALETTE])[way[named]]
+    listed = kinds == PALETTE
+    out.put(1, named, np.column_stack([one[named], kinds, np.where(listed, shades[named] - 1, 7)]), np.column_stack([one[named], 2 * one[named], np.where(listed, 8, 3)]))
+    table = way == 4
+    tiled = np.flatnonzero((way > 0) & ~table)
+    if len(tiled):  # tiles of 512, all alike
+        element = np.where(way[tiled] == 3, (to_blue[tiled] & 255) << 8 | to_red[tiled] & 255, way[tiled] << 8)
+        across = -(-widths[tiled] >> 9)
+        tiles = across * -(-heights[tiled] >> 9)
+        _put_images(out, 2, tiled, np.repeat(OPAQUE | element, tiles), tiles, across, False)
+    packed = np.where(table, 3 - np.searchsorted([2, 4, 16], shades), 0)  # 3: eight pixels in one, 0: each on its own
+    if table.any():
+        ours = table[whose]
+        step = np.stack([colours[ours] >> s & 255 for s in (16, 8, 0)], axis=-1)
+        later = np.diff(whose[ours], prepend=-1) == 0
+        step[1:] -= np.where(later[1:, None], step[:-1].copy(), 0)
+        step &= 255
+        steps = np.where(later, 0, OPAQUE) | step[:, 0] << 16 | step[:, 1] << 8 | step[:, 2]
+        _put_images(out, 2, np.flatnonzero(table), steps, shades[table], shades[table], False)
+    across = -(-widths >> packed)
+    new_sizes = across * heights
+    new_begin = np.cumsum(new_sizes) - new_sizes
+    at = new_begin[image] + y * across[image] + (x >> packed[image])
+    samples = flat.copy()
+    for k in (1, 2, 3):
+        rows = np.flatnonzero((way == k)[image])
+        samples[rows] = ways[k][rows]
+    alpha = np.where((way == 1) | (way == 2), 0, OPAQUE)[image]
+    whole = alpha | samples[:, 0].astype(np.int64) << 16 | samples[:, 1].astype(np.int64) << 8 | samples[:, 2]
+    pixels = np.zeros(int(new_sizes.sum()), np.int64)
+    plain = ~table[image]
+    pixels[at[plain]] = whole[plain]
+    if table.any():
+        held = packed[image]
+        number = index.reshape(-1) - (np.cumsum(shades) - shades)[image]
+        shifted = number << ((x & ((1 << held) - 1)) * (8 >> held))
+        pixels += np.bincount(at, np.where(plain, 0, shifted << 8), len(pixels)).astype(np.int64)
+        pixels[np.repeat(table, new_sizes)] |= OPAQUE
+    out.put(2 + IMAGE_SECTIONS, all_, np.zeros((m, 1), np.int64), np.ones((m, 1), np.int64))
+    _put_images(out, 3 + IMAGE_SECTIONS, all_, pixels, new_sizes, across, True)
+    return [wrap(s) for s in out.bytes()]
 
 
 def encode(samples: np.ndarray) -> bytes:
-    """An image of height by width by 3 samples of 8 bits. Of a palette, the cross-colour transform, the predictors of the
-    left and the upper pixel, and none, the one that is estimated to take the fewest bits is used."""
-    height, width, _ = samples.shape
-    if height > SIDE or width > SIDE:
-        raise ValueError(f"an image of more than {SIDE} rows or columns")
-    flat = np.ascontiguousarray(samples, np.uint8).reshape(-1, 3)
-    s = flat.astype(np.int64)
-    pixels = OPAQUE | s[:, 0] << 16 | s[:, 1] << 8 | s[:, 2]
-    out = Writer()
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(0, 4)  # no alpha, version 0
-    best, name = _cost(flat), None
-    colours, index = np.unique(pixels, return_inverse=True)
-    few = len(colours) <= 256 and _entropy(np.bincount(index), len(index)) + 20 * len(colours)
-    if few and few < best + 64:
-        name = PALETTE
-    else:
-        signed = flat.view(np.int8).astype(np.int16)
-        to_red, to_blue = _share(signed[:, 0], signed[:, 1]), _share(signed[:, 2], signed[:, 1])
-        tries = [(None, best)]
-        for mode, back in ((1, 1), (2, width)):
-            rest = flat.copy()
-            rest[back:] -= flat[:-back]
-            tries.append(((PREDICTOR, mode), _cost(rest) + 80))
-        if to_red or to_blue:
-            rest = flat.copy()
-            rest[:, 0] -= (to_red * signed[:, 1] >> 5).astype(np.uint8)
-            rest[:, 2] -= (to_blue * signed[:, 1] >> 5).astype(np.uint8)
-            tries.append(((CROSS_COLOUR, 0), _cost(rest) + 80))
-        name = min(tries, key=lambda t: t[1])[0]
-    if name == PALETTE:
-        out.put(1, 1)
-        out.put(PALETTE, 2)
-        out.put(len(colours) - 1, 8)
-        steps = _channels(colours)
-        steps[1:] = steps[1:] - steps[:-1]
-        _put_image(out, _joined(steps), len(colours), False)
-        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
-        across = -(-width >> packed)
-        grid = np.zeros((height, across << packed), np.int64)
-        grid[:, :width] = index.reshape(height, width)
-        pixels = OPAQUE | (grid.reshape(height, across, -1) << np.arange(0, 8, 8 >> packed)).sum(axis=2).reshape(-1) << 8
-        width = across
-    elif name:
-        kind, mode = name
-        tiles = -(-width >> 9) * -(-height >> 9)
-        out.put(1, 1)
-        out.put(kind, 2)
-        out.put(7, 3)  # tiles of 512
-        element = mode << 8 if kind == PREDICTOR else (to_blue & 255) << 8 | to_red & 255
-        _put_image(out, np.full(tiles, OPAQUE | element, np.int64), -(-width >> 9), False)
-        pixels = _guessed(pixels, width, mode) if kind == PREDICTOR else _cross(pixels, np.int64(to_red & 255), np.int64(to_blue & 255), np.int64(0), -1)
-    out.put(0, 1)
-    _put_image(out, pixels, width, True)
-    return wrap(out.bytes())
+    """One picture as a file."""
+    return encode_all([samples])[0]

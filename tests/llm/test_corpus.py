@@ -607,6 +607,31 @@ def test_webp_round_trip(seed, height, values, again):
     assert (webp.decode(webp.encode(image))[..., 1:] == image).all()
 
 
+def varied(many, seed=5):
+    """Payloads of one to thirty rows, of few or many values, with copies, slopes and grey stretches."""
+    r, out = np.random.default_rng(seed), []
+    for k in range(many):
+        flat = r.integers(0, r.choice([1, 2, 4, 17, 60, 256]), int(r.integers(1, 30)) * 576).astype(np.uint8)
+        for at in r.integers(0, len(flat), 6):
+            back, n = int(r.integers(1, at + 2)), int(r.integers(1, 900))
+            flat[at : at + n] = np.resize(flat[max(0, at - back) : at + 1], len(flat[at : at + n]))
+        flat = np.cumsum(flat % 3).astype(np.uint8) if k % 5 == 0 else np.repeat(flat[::3], 3) if k % 7 == 0 else flat
+        out.append(flat.tobytes())
+    return out
+
+
+def test_pictures_together_are_as_alone():
+    payloads = varied(120)
+    together = media.store_all(payloads)
+    assert together == [media.store(p) for p in payloads]
+    assert {kinds_of(s) for s in together} >= {None, webp.PREDICTOR, webp.PALETTE}
+    assert [b"".join(p.tobytes() for p in x) for x in media.load_all(together)] == payloads
+    assert all(b"".join(p.tobytes() for p in media.load(s)) == payload for s, payload in zip(together, payloads, strict=True))
+    with pytest.raises(ValueError):
+        webp.decode_all([s[:-40] for s in together if len(s) > 200])
+    assert media.store_all([]) == [] and media.load_all([]) == []
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(max_size=2000))
 def test_media_round_trip(text):
