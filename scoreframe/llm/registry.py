@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from scoreframe.llm import chat, media, mixing, near_dedup, packing, quality_model, quality_rules, token_counts, toxicity, url_filter
+from scoreframe.llm import chat, decontaminate, media, merkle, mixing, near_dedup, packing, quality_model, quality_rules, token_counts, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,5 +13,11 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_media": media.op10_media,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_whitening": whitening.op13_whitening,
 }
-ORACLES = {"op8_quality_rules": quality_rules.oracle(), "op9_near_dedup": near_dedup.ORACLE}
+ORACLES = {
+    "op8_quality_rules": quality_rules.oracle(), "op9_near_dedup": near_dedup.ORACLE,
+    "op11_decontaminate": decontaminate.ORACLE, "op12_merkle_manifest": merkle.ORACLE,
+}
