@@ -105,6 +105,7 @@ def manifest(leaves: DataFrame, key: str, order: list[str], arity: int = ARITY)
     may tie only between rows that are equal. No rows have no root (null)."""
     named = F.when(F.col(f"`{key}`").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(f"`{key}`")))
     packed = leaves.select(F.struct(*[F.col(f"`{c}`") for c in leaves.columns]).alias("row"), named.alias("key"), *[F.col(f"`{o}`").alias(f"by{i}") for i, o in enumerate(order)], F.lit(1).alias("one"))
+    packed = materialize(packed, "leaves")  # range partitioning samples its input: texts are hashed once only
     numbered = running_sum(packed, "one", ["key"], [f"by{i}" for i in range(len(order))], "idx")
     nodes = materialize(numbered.select("row", "key", F.col("idx").cast("long").alias("idx"), F.unhex("row.leaf").alias("h")), "leaves")
     trees = climb(nodes, arity)
