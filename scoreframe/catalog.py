@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreframe.functions import jsons, scalar, thread
-from scoreframe.operators.scorers import JUDGES, EmbeddingSimilarity, ExactJSON, JSONDiff, Levenshtein, ListContains, Moderation, NumericDiff, ValidJSON, judge
+from scoreframe.functions.template import render
+from scoreframe.operators.scorers import JUDGES, EmbeddingSimilarity, ExactJSON, ExactMatch, JSONDiff, Levenshtein, ListContains, Moderation, NumericDiff, ValidJSON, judge
 from scoreframe.plans import evaluate, rag
+from scoreframe.plans.jsondiff import difference_table
 from scoreframe.plans.judge import TOOL, judged, with_requests
 from scoreframe.sources import cases
+from scoreframe.sources.files import read_json_array, shared_folder, write_json_array
 from scoreframe.streaming import windowed_scores
 
 QUERIES: dict = {}
@@ -61,6 +64,23 @@ def levenshtein_part(spark, sf_dir):
     return scored.select("p_partkey", rounded(F.col("Levenshtein.score")).alias("score"))
 
 
+#: All letters of the documents beyond ASCII; DuckDB's edit distance is that of bytes, so in its SQL each one
+#: becomes a control character that no text holds.
+_LETTERS = "ÉßíçÇÑÈêÍéèäÜñÊÄóÓöüÖ"
+_BYTES = f"translate(coalesce(text, ''), '{_LETTERS}', '{''.join(chr(c) for c in (*range(1, 9), *range(14, 14 + len(_LETTERS) - 8)))}')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_BYTES} AS t FROM documents)
+SELECT a.doc_id, round(CASE WHEN a.t = b.t THEN 1 ELSE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) END, 6) AS score
+FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""")
+def levenshtein_documents(spark, sf_dir):
+    """Edit similarity of neighbouring documents, whole."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    scored = Levenshtein(long_texts=True).transform(neighbours(docs, "doc_id", "text"))
+    return scored.select("doc_id", rounded(F.col("Levenshtein.score")).alias("score"))
+
+
 @query("""
 SELECT a.p_brand, round(avg(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))), 6) AS score, count(*) AS n
 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 GROUP BY 1""")
@@ -91,6 +111,18 @@ def exact_match_scalar(spark, sf_dir):
     return pairs.select("event_id", scalar.exact_score(F.col("output"), F.col("expected")).alias("score"))
 
 
+@query("""
+SELECT a.event_id, CASE WHEN (a.value > 50) = (b.value > 50) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
+  CASE WHEN a.value > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_true
+FROM events a JOIN events b ON b.event_id = a.event_id + 1""")
+def exact_match_boolean(spark, sf_dir):
+    """Booleans with each other, and with the word that stands for true."""
+    high = table(spark, sf_dir, "events").withColumn("high", F.col("value") > 50)
+    scored = ExactMatch().transform(neighbours(high, "event_id", "high")).withColumn("score", F.col("ExactMatch.score"))
+    told = ExactMatch().transform(scored.drop("ExactMatch").withColumn("expected", F.lit("True")))
+    return told.select("event_id", "score", F.col("ExactMatch.score").alias("is_true"))
+
+
 @query("""
 SELECT a.event_id, CASE WHEN CAST(json(a.props) AS VARCHAR) = CAST(json(b.props) AS VARCHAR) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
 FROM events a JOIN events b ON b.event_id = a.event_id + 1""")
@@ -204,6 +236,48 @@ def json_diff_unequal_types(spark, sf_dir):
     return scored.select("event_id", rounded(F.col("JSONDiff.score")).alias("score"))
 
 
+@query(f"WITH {_NESTED} SELECT event_id, round((kind + tags + inner_) / 3, 6) AS score FROM s")
+def json_difference_table(spark, sf_dir):
+    """The same from JSON text on both sides, as tables of values."""
+    pairs = neighbours(nested(spark, sf_dir), "event_id", "typed").withColumns({"output": F.to_json("output"), "expected": F.to_json("expected")})
+    return difference_table(pairs, ["event_id"], "output", "expected").withColumn("score", rounded(F.col("score")))
+
+
+@query(f"WITH {_NESTED} SELECT event_id, round(inner_, 6) AS score FROM s")
+def json_diff_maps(spark, sf_dir):
+    """Maps of numbers, of which some rows have one key more, natively."""
+    inner = nested(spark, sf_dir).select("event_id", "typed.inner.*")
+    every = F.create_map(F.lit("k"), F.col("k"), F.lit("v"), F.col("v").cast("double"))
+    scored = JSONDiff().transform(neighbours(inner.select("event_id", F.map_filter(every, lambda _, x: x.isNotNull()).alias("typed")), "event_id", "typed"))
+    return scored.select("event_id", rounded(F.col("JSONDiff.score")).alias("score"))
+
+
+@query("""
+SELECT event_id, CASE WHEN k < 90 AND (v IS NULL OR k >= 10) AND odd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS typed, CASE WHEN k < 90 AND (v IS NULL OR k >= 10) AND odd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS text
+FROM (SELECT event_id, CAST(props->>'k' AS DOUBLE) AS k, CASE WHEN event_id % 3 = 0 THEN value END AS v, event_id % 2 = 1 AS odd FROM events)""")
+def valid_json_schema_nested(spark, sf_dir):
+    """One rule as a schema that types decide, over structs, and as one with references and what is unevaluated, over text."""
+    rows = nested(spark, sf_dir).select("event_id", F.col("typed").alias("output"))
+    inner = {"required": ["k"], "properties": {"k": {"type": "number", "exclusiveMaximum": 90}, "v": {"type": "number"}}}
+    late = {"properties": {"k": {"minimum": 10}}}
+    whole = {"type": "object", "required": ["kind"], "properties": {"kind": {"type": "string"}, "tags": {"items": {"type": "string"}, "maxItems": 1}, "inner": {**inner, "if": {"required": ["v"]}, "then": late}}, "additionalProperties": False}
+    asked = {"$defs": {"inner": {**inner, "dependentSchemas": {"v": late}}}, "properties": {"inner": {"$ref": "#/$defs/inner", "unevaluatedProperties": False}},
+             "patternProperties": {"^t": {"prefixItems": [{"type": "string"}], "unevaluatedItems": False}}, "allOf": [{"properties": {"kind": {"not": {"const": 1}}}}], "unevaluatedProperties": False}
+    scored = ValidJSON(schema=whole).transform(rows).withColumn("typed", F.col("ValidJSON.score"))
+    return ValidJSON(schema=asked).transform(scored.withColumn("output", F.to_json("output"))).select("event_id", "typed", F.col("ValidJSON.score").alias("text"))
+
+
+@query("SELECT event_id, props, CAST(props->>'k' AS DOUBLE) AS k, event_type AS tag FROM events")
+def json_array_scan(spark, sf_dir):
+    """Events' properties, as text with brackets and quotes and as objects, written as arrays and read again by byte ranges."""
+    path = f"{shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    typed = F.struct(F.from_json("props", "k double").alias("props"), F.array("event_type").alias("tags"))
+    write_json_array(events.select("event_id", F.concat(F.lit('"}, {\\'), F.col("props"), F.lit("[,")).alias("note"), typed.alias("inner")), path)
+    rows = read_json_array(spark, path, "event_id long, note string, inner struct<props: struct<k: double>, tags: array<string>>")
+    return rows.select("event_id", F.expr("substr(note, 7, length(note) - 8)").alias("props"), F.col("inner.props.k").alias("k"), F.get("inner.tags", F.lit(0)).alias("tag"))
+
+
 @query(f"WITH {_NESTED} SELECT event_id, round((0.5 * CASE WHEN ta = tb THEN 2 ELSE 1 END + CASE WHEN ta = tb THEN 1 ELSE 0.5 END) / 2, 6) AS score FROM p")
 def json_diff_maps_custom(spark, sf_dir):
     """Maps, and a scorer of texts that tells equal (1) from unequal (0.5) alone."""
@@ -235,8 +309,6 @@ def valid_json_parsed(spark, sf_dir):
 @query(f"WITH {_NESTED} SELECT event_id, CASE WHEN ak = bk AND av IS NOT DISTINCT FROM bv THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM p")
 def exact_match_typed(spark, sf_dir):
     """Equality of structs, in which a field may lack its value."""
-    from scoreframe.operators.scorers import ExactMatch
-
     rows = nested(spark, sf_dir).select("event_id", F.col("typed.inner").alias("inner"))
     return ExactMatch().transform(neighbours(rows, "event_id", "inner")).select("event_id", F.col("ExactMatch.score").alias("score"))
 
@@ -272,7 +344,7 @@ def thread_vars(spark, sf_dir):
 
 @query("""
 SELECT conv_id, coalesce(string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ':' || chr(10) || '  ' || replace(text, chr(10), chr(10) || '  '), chr(10) || chr(10) ORDER BY turn)
-       FILTER (WHERE trim(text) <> ''), '') AS text
+       FILTER (WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''), '') AS text
 FROM conversations GROUP BY conv_id""")
 def thread_text(spark, sf_dir):
     """Every conversation as text."""
@@ -280,6 +352,20 @@ def thread_text(spark, sf_dir):
     return df.select("conv_id", thread.thread_text(F.col("all_messages")).alias("text"))
 
 
+
+@query(f"""
+SELECT conv_id, coalesce(string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ':' || chr(10) || '  ' || replace(text || chr(10), chr(10), chr(10) || '  '), chr(10) || chr(10) ORDER BY turn)
+       FILTER (WHERE turn % 3 <> 0 AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''), '') AS text,
+  repeat('.', CAST(count(*) FILTER (WHERE role = 'user') AS INTEGER)) AS marks
+FROM conversations GROUP BY conv_id""")
+def thread_text_blanks(spark, sf_dir):
+    """Conversations in which every third message is nothing but white space, inside a template with sections."""
+    said = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, F.lit("\n\t ")).otherwise(F.concat("text", F.lit("\n"))))
+    df = thread.add_variables(thread.collect_threads(said)).withColumn("whole", F.col("all_messages"))
+    made = df.select("conv_id", render(df, "{{#user_messages}}.{{/user_messages}}|{{whole}}").alias("made"))
+    return made.select("conv_id", F.expr("substr(made, instr(made, '|') + 1)").alias("text"), F.substring_index("made", "|", 1).alias("marks"))
+
+
 @query("""
 WITH n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i FROM conversations)
 SELECT u.conv_id, CAST(u.i - 1 AS INTEGER) AS pair, u.text AS human, a.text AS assistant
@@ -399,14 +485,23 @@ def judge_response_errors(spark, sf_dir):
     return scored.select("conv_id", F.col(f"{spec.name}.score").alias("score"), F.get_json_object(f"{spec.name}.metadata", "$.error").alias("error"))
 
 
+@query("SELECT conv_id, CASE WHEN conv_id % 4 = 3 THEN NULL ELSE 1.0::DOUBLE END AS score FROM (SELECT DISTINCT conv_id FROM conversations)")
+def judge_choice_white_space(spark, sf_dir):
+    """Choices with line ends, tabs and spaces around them count as without; with a dot they are unknown."""
+    spec = judge("Humor")
+    best = max(spec.choice_scores, key=spec.choice_scores.get)
+    rows = judge_rows(spark, sf_dir).withColumn("request_key", F.col("conv_id").cast("string"))
+    choice = F.get(F.array(*[F.lit(x) for x in (f"{best}\n", f"\t{best} ", f"\r\n\u00a0{best}", f"{best}.")]), (F.col("conv_id") % 4).cast("int"))
+    responses = rows.select("request_key", call_response(F.to_json(F.struct(choice.alias("choice"))), TOOL).alias("response"))
+    return judged(rows, responses, spec).select("conv_id", F.col(f"{spec.name}.score").alias("score"))
+
+
 @query("""
 SELECT conv_id, 'Asked: ' || string_agg(CASE WHEN role = 'user' THEN '(' || text || ')' END, '' ORDER BY turn) || CASE WHEN count(*) FILTER (WHERE role = 'system') = 0 THEN ' no system' ELSE '' END
   || ' first: ' || arg_min(text, turn) FILTER (WHERE role = 'user') AS text
 FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations) GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0""")
 def template_sections(spark, sf_dir):
     """A template with sections, an inverted section and a path, over every conversation that a user speaks in."""
-    from scoreframe.functions.template import render
-
     df = thread.add_variables(thread.collect_threads(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))))
     df = df.where(F.size("user_messages") > 0).withColumn("system_messages", thread.of_role(F.col("all_messages"), "system"))
     template = "Asked: {{#user_messages}}({{content}}){{/user_messages}}{{^system_messages}} no system{{/system_messages}} first: {{user_messages.0.content}}"
@@ -557,9 +652,9 @@ c AS (SELECT doc_id, 'factuality' AS tag, 'What is first?' AS asked, a AS given,
   UNION ALL SELECT doc_id, 'factuality', 'What is first?', b || ' ' || a || ' ' || coalesce(c, b), 0.6 FROM d WHERE c IS NOT NULL
   UNION ALL SELECT doc_id, 'factuality', 'What is first?', a || ' ' || b, 0.6 FROM d WHERE c IS NULL
   UNION ALL SELECT doc_id, 'context relevancy', 'What is first?', a, 1.0 FROM d UNION ALL SELECT doc_id, 'context relevancy', 'What is first?', b, 0.0 FROM d
-  UNION ALL SELECT doc_id, 'context relevancy', 'What is first?', a || chr(10) || b, length(a) / (length(a) + length(b) + 1) FROM d
-  UNION ALL SELECT doc_id, 'closed q a', 'Given the following context: ' || text || ', ' || chr(10) || chr(10) || ' Answer the question: What is first?', a, 1.0 FROM d
-  UNION ALL SELECT doc_id, 'closed q a', 'Given the following context: ' || text || ', ' || chr(10) || chr(10) || ' Answer the question: What is first?', b, 0.0 FROM d)
+  UNION ALL SELECT doc_id, 'context relevancy', 'What is first?', a || ' ' || b, length(a) / (length(a) + length(b) + 1) FROM d
+  UNION ALL SELECT doc_id, 'closed q a', 'Story:' || chr(10) || text || chr(10) || chr(10) || 'What is asked about it: What is first?', a, 1.0 FROM d
+  UNION ALL SELECT doc_id, 'closed q a', 'Story:' || chr(10) || text || chr(10) || chr(10) || 'What is asked about it: What is first?', b, 0.0 FROM d)
 SELECT doc_id, tag, asked, given, round(CAST(expected AS DOUBLE), 6) AS expected FROM c""")
 def eval_case_generators(spark, sf_dir):
     """All three generators over all documents."""
@@ -575,13 +670,23 @@ SELECT p_partkey, CASE WHEN a.p_partkey % 2 = 0 THEN 'near' ELSE 'same' END AS h
 FROM part a JOIN (SELECT p_partkey - 1 AS k, p_name AS n FROM part) b ON b.k = a.p_partkey""")
 def eval_dispatch(spark, sf_dir):
     """Each row scored by the scorer that it names."""
-    from scoreframe.operators.scorers import ExactMatch
-
     pairs = neighbours(table(spark, sf_dir, "part"), "p_partkey", "p_name").withColumn("how", F.when(F.col("p_partkey") % 2 == 0, "near").otherwise("same"))
     scored = evaluate.dispatch(pairs, {"near": Levenshtein(), "same": ExactMatch()}, "how")
     return scored.select("p_partkey", "how", rounded(F.col("score")).alias("score"))
 
 
+@query("""
+SELECT p_partkey, round(CASE p_partkey % 4 WHEN 0 THEN 1 - levenshtein(o, e) / greatest(length(o), length(e)) WHEN 1 THEN CASE WHEN o = e THEN 1 ELSE 0 END END, 6) AS score,
+  CASE p_partkey % 4 WHEN 2 THEN 'no such scorer: none is named' WHEN 3 THEN 'no such scorer: other' END AS error
+FROM (SELECT a.p_partkey, a.p_name AS o, b.p_name AS e FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)""")
+def eval_dispatch_unknown(spark, sf_dir):
+    """Rows that name no scorer, or one that isn't there, stay and say so."""
+    how = F.get(F.array(F.lit("near"), F.lit("same"), F.lit(None).cast("string"), F.lit("other")), (F.col("p_partkey") % 4).cast("int"))
+    pairs = neighbours(table(spark, sf_dir, "part"), "p_partkey", "p_name").withColumn("how", how)
+    scored = evaluate.dispatch(pairs, {"near": Levenshtein(), "same": ExactMatch()}, "how")
+    return scored.select("p_partkey", rounded(F.col("score")).alias("score"), "error")
+
+
 @query("""
 SELECT d.doc_id, round(CASE WHEN s = 0 AND q = 0 THEN 1 ELSE 1 - abs(q - s) / nullif(abs(q) + abs(s), 0) END, 6) AS score
 FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE (doc_id % 11) / 10.0 END::DOUBLE AS s, quality::DOUBLE AS q FROM labels) d""")
@@ -621,8 +726,6 @@ UNION ALL
 SELECT 'ExactMatch', a.p_partkey, CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE 0.0 END FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def evaluate_many(spark, sf_dir):
     """Two scorers in one pass, in long form."""
-    from scoreframe.operators.scorers import ExactMatch
-
     scored = evaluate.evaluate(neighbours(table(spark, sf_dir, "part"), "p_partkey", "p_name"), [Levenshtein(), ExactMatch()])
     long = evaluate.long_form(scored, ["Levenshtein", "ExactMatch"], ["p_partkey"])
     return long.select("name", "p_partkey", rounded(F.col("score")).alias("score"))

@@ -1,7 +1,7 @@
 """Scores of JSON: strict parsing, structural difference and validation.
 
-Structs, arrays and numbers of one type are compared by native expressions (``typed_difference``). Free JSON text is recursive,
-which no built-in function expresses, so it goes through small Arrow-batched helpers, as do typed values of two types, maps,
+Structs, arrays, maps and numbers of one type are compared by native expressions (``typed_difference``). Free JSON text is
+recursive, which no built-in function expresses, so it goes through small Arrow-batched helpers, as do typed values of two types
 and rows in which a text holds JSON itself. Spark's own parsers accept text after the value, so validity is told by a strict
 parser. A field of a struct that has no value isn't there.
 """
@@ -9,60 +9,48 @@ parser. A field of a struct that has no value isn't there.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreframe.functions.editing import similarity as edit_similarity
 from scoreframe.functions.scalar import exact_score, levenshtein_score, numeric_score
+from scoreframe.functions.schema import compile_schema, native
 
 Leaf = Callable[[object, object], float | None]
 CONTAINERS = (T.StructType, T.MapType, T.ArrayType)
 
 
-def edit_similarity(output: str, expected: str) -> float:
-    """The Levenshtein score of two texts, for leaves inside JSON, row by row of the table of distances."""
-    if output == expected:
-        return 1.0
-    if len(output) < len(expected):
-        output, expected = expected, output
-    if not expected:
-        return 0.0
-    short = np.frombuffer(expected.encode("utf-32-le", "surrogatepass"), np.uint32)
-    steps = np.arange(len(short) + 1)
-    row = steps
-    for i, a in enumerate(output, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (short != ord(a)))
-        row = np.minimum.accumulate(np.append(i, best) - steps) + steps  # from the left: one more for each step
-    return 1 - float(row[-1]) / len(output)
-
-
 def number_similarity(output: float, expected: float) -> float:
     """The numeric score of two numbers, for leaves inside JSON."""
     total = abs(expected) + abs(output)
     return 1.0 if total == 0 else 1 - abs(expected - output) / total
 
 
-def _container(text: object) -> object:
+def parsed_or_text(text: str | None) -> object:
+    """What a JSON text says; one that isn't JSON, or is nested too deeply to be read, is a string, null is JSON null."""
+    if text is None:
+        return None
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return text
+
+
+def opened(text: object) -> object:
     """The object or array that a text is, else the text."""
-    if isinstance(text, str):
-        try:
-            value = json.loads(text)
-        except ValueError:
-            return text
-        return value if isinstance(value, dict | list) else text
-    return text
+    value = parsed_or_text(text) if isinstance(text, str) else text
+    return value if isinstance(value, dict | list) else text
 
 
 def difference(o: object, e: object, string: Leaf, number: Leaf, preserve: bool) -> float | None:
     """The similarity of two JSON values: the mean over the union of keys, or over the longer array's places."""
     if not preserve:
-        o, e = _container(o), _container(e)
+        o, e = opened(o), opened(e)
     if isinstance(o, dict) and isinstance(e, dict):
         parts, count = [difference(o.get(k), e.get(k), string, number, preserve) for k in {**o, **e}], None
     elif isinstance(o, list) and isinstance(e, list):
@@ -85,18 +73,15 @@ def difference(o: object, e: object, string: Leaf, number: Leaf, preserve: bool)
 def json_difference(output: Column, expected: Column, string_scorer: Leaf = edit_similarity, number_scorer: Leaf = number_similarity, preserve_strings: bool = False) -> Column:
     """The structural similarity of two columns of JSON text; text that isn't JSON is a string, null is JSON null."""
 
-    def value(text: str | None, preserve: bool) -> object:
-        if text is None:
-            return None
+    def judge(x: str | None, y: str | None) -> float | None:
         try:
-            return json.loads(text)
-        except ValueError:
-            return text
+            return difference(parsed_or_text(x), parsed_or_text(y), string_scorer, number_scorer, preserve_strings)
+        except RecursionError:  # nested too deeply to be compared part by part
+            return string_scorer(x or "null", y or "null")
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        pairs = ((value(x, preserve_strings), value(y, preserve_strings)) for x, y in zip(a, b, strict=True))
-        return pd.Series([difference(x, y, string_scorer, number_scorer, preserve_strings) for x, y in pairs], dtype="float64")
+        return pd.Series([judge(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return run(output, expected)
 
@@ -114,6 +99,11 @@ def typed_difference(output: Column, expected: Column, kind: T.DataType, string=
         places = F.greatest(F.size(output), F.size(expected))
         both = F.slice(pairs, 1, F.least(F.size(output), F.size(expected)))
         inner = F.when(places == 0, F.lit(1.0)).otherwise(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / places)
+    elif isinstance(kind, T.MapType):
+        each = F.map_values(F.map_zip_with(output, expected, lambda _, a, b: typed_difference(a, b, kind.valueType, string, number)))
+        known = F.filter(each, lambda x: x.isNotNull())
+        none = (F.size(output) == 0) & (F.size(expected) == 0)
+        inner = F.when(none, F.lit(1.0)).otherwise(F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known)))
     elif isinstance(kind, T.NumericType | T.BooleanType):
         inner = number(output.cast("double"), expected.cast("double"))
     else:
@@ -125,6 +115,8 @@ def is_native(kind: T.DataType) -> bool:
     """Whether ``typed_difference`` compares values of a type as their JSON text would be."""
     if isinstance(kind, T.StructType):
         return all(is_native(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.MapType):  # as JSON text, keys of other types could become equal or be written in several ways
+        return isinstance(kind.keyType, T.StringType | T.IntegralType) and is_native(kind.valueType)
     return is_native(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.StringType | T.NumericType | T.BooleanType)
 
 
@@ -135,6 +127,9 @@ def holds_json(value: Column, kind: T.DataType) -> Column | None:
     if isinstance(kind, T.ArrayType):
         inner = holds_json(F.lit(""), kind.elementType)
         return None if inner is None else F.coalesce(F.exists(value, lambda x: holds_json(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.MapType):
+        inner = holds_json(F.lit(""), kind.valueType)
+        return None if inner is None else F.coalesce(F.exists(F.map_values(value), lambda x: holds_json(x, kind.valueType)), F.lit(False))
     if isinstance(kind, T.StructType):
         found = [h for f in kind.fields if (h := holds_json(value[f.name], f.dataType)) is not None]
         return reduce(lambda a, b: a | b, found) if found else None
@@ -171,7 +166,7 @@ def exact_json(output: Column, expected: Column) -> Column:
             return "null"
         try:
             return json.dumps(json.loads(text))
-        except ValueError:
+        except (ValueError, RecursionError):
             return text
 
     @F.pandas_udf("double")
@@ -184,94 +179,40 @@ def exact_json(output: Column, expected: Column) -> Column:
 def exact(output: Column, expected: Column, kinds: tuple[T.DataType, T.DataType] = (T.StringType(), T.StringType())) -> Column:
     """Exact match of columns of any types: containers as JSON text, all else as text."""
     if not any(isinstance(k, CONTAINERS) for k in kinds):
-        return exact_score(output, expected)
+        told = lambda c, k: F.when(c, "True").when(~c, "False") if isinstance(k, T.BooleanType) else c
+        return exact_score(told(output, kinds[0]), told(expected, kinds[1]))
     sides = [as_json(c, k, nulls=True) for c, k in zip((output, expected), kinds, strict=True)]
     return exact_json(*sides)
 
 
-#: JSON Schema: what each type name admits. A bool is no number, and a whole float is an integer.
-_TYPES: dict[str, Callable[[object], bool]] = {
-    "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str),
-    "boolean": lambda v: isinstance(v, bool), "null": lambda v: v is None,
-    "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool),
-    "integer": lambda v: (isinstance(v, int) and not isinstance(v, bool)) or (isinstance(v, float) and v.is_integer()),
-}
-_NOTES = {"$schema", "$id", "$defs", "definitions", "title", "description", "default", "examples", "$comment", "format"}
-
-
-def _same(a: object, b: object) -> bool:
-    return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
-
-
-#: Keyword: (type the keyword is about, test of value against the keyword's argument).
-_PLAIN: dict[str, tuple[str | None, Callable]] = {
-    "enum": (None, lambda v, a: any(_same(v, x) for x in a)), "const": (None, _same),
-    "minimum": ("number", lambda v, a: v >= a), "maximum": ("number", lambda v, a: v <= a),
-    "exclusiveMinimum": ("number", lambda v, a: v > a), "exclusiveMaximum": ("number", lambda v, a: v < a),
-    "multipleOf": ("number", lambda v, a: (v / a).is_integer()),
-    "minLength": ("string", lambda v, a: len(v) >= a), "maxLength": ("string", lambda v, a: len(v) <= a),
-    "pattern": ("string", lambda v, a: re.search(a, v) is not None),
-    "minItems": ("array", lambda v, a: len(v) >= a), "maxItems": ("array", lambda v, a: len(v) <= a),
-    "uniqueItems": ("array", lambda v, a: not a or len({json.dumps(x, sort_keys=True) for x in v}) == len(v)),
-    "required": ("object", lambda v, a: all(k in v for k in a)),
-    "minProperties": ("object", lambda v, a: len(v) >= a), "maxProperties": ("object", lambda v, a: len(v) <= a),
-}
-
-
-def conforms(value: object, schema: object, root: object = None) -> bool:
-    """Whether a JSON value fits a schema; unsupported keywords raise instead of passing."""
-    if isinstance(schema, bool):
-        return schema
-    root = schema if root is None else root
-    sub = lambda v, s: conforms(v, s, root)
-    for key, arg in schema.items():
-        if key in _PLAIN:
-            about, test = _PLAIN[key]
-            ok = (about is not None and not _TYPES[about](value)) or test(value, arg)
-        elif key == "type":
-            ok = any(_TYPES[t](value) for t in ([arg] if isinstance(arg, str) else arg))
-        elif key == "$ref":
-            ok = sub(value, reduce(lambda node, part: node[part], [p for p in arg.lstrip("#").split("/") if p], root))
-        elif key == "properties":
-            ok = not isinstance(value, dict) or all(sub(value[k], s) for k, s in arg.items() if k in value)
-        elif key == "additionalProperties":
-            ok = not isinstance(value, dict) or all(sub(value[k], arg) for k in value if k not in schema.get("properties", {}))
-        elif key == "items":
-            ok = not isinstance(value, list) or all(sub(v, arg) for v in value)
-        elif key in ("allOf", "anyOf", "oneOf"):
-            hits = sum(sub(value, s) for s in arg)
-            ok = {"allOf": hits == len(arg), "anyOf": hits > 0, "oneOf": hits == 1}[key]
-        elif key == "not":
-            ok = not sub(value, arg)
-        elif key in _NOTES:
-            ok = True
-        else:
-            raise ValueError(f"unsupported schema keyword {key}")
-        if not ok:
-            return False
-    return True
-
-
 def valid_json(output: Column, schema: str | dict | None = None, parsed: bool = False) -> Column:
     """1 where a text is a JSON object or array or, given a schema, fits it; else 0, also for scalars and for null.
 
     ``parsed``: the column holds JSON of already parsed values, so that a JSON string is a plain string to be read again.
     """
     rules = json.loads(schema) if isinstance(schema, str) else schema
-    if rules is not None:
-        conforms(None, rules)  # a malformed schema fails here rather than in tasks
+    fits = compile_schema(rules) if rules is not None else None  # a malformed schema fails here rather than in tasks
 
     def judge(text: str | None) -> float:
         try:
             value = json.loads(text) if text is not None else None
             if parsed and isinstance(value, str):
                 value = json.loads(value)
-        except ValueError:
+        except (ValueError, RecursionError):
             return 0.0
-        return float(conforms(value, rules)) if rules is not None else float(isinstance(value, dict | list))
+        return float(fits(value)) if fits is not None else float(isinstance(value, dict | list))
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([judge(t) for t in texts])
 
     return run(output)
+
+
+def valid_value(output: Column, kind: T.DataType, schema: str | dict | None = None, parsed: bool = False) -> Column:
+    """``valid_json`` of a column of any type: by an expression where the types decide it, else of its JSON text."""
+    if schema is not None and (found := native(output, kind, json.loads(schema) if isinstance(schema, str) else schema)) is not None:
+        return found.cast("double")
+    if schema is None and isinstance(kind, CONTAINERS):
+        return output.isNotNull().cast("double")
+    return valid_json(as_json(output, kind), schema, parsed)

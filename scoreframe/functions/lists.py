@@ -67,22 +67,22 @@ def assignment(matrix: Column) -> Column:
     return run(matrix)
 
 
-def with_matrix(df: DataFrame, output: Column, expected: Column, pairwise: Pairwise = levenshtein_score) -> DataFrame:
-    """Add ``_matrix``, for ``list_score``. It is a projection of its own: Spark 4.1 can't plan a Python function directly
+def with_matrix(df: DataFrame, output: Column, expected: Column, pairwise: Pairwise = levenshtein_score, name: str = "_matrix") -> DataFrame:
+    """Add the column ``name``, for ``list_score``. It is a projection of its own: Spark 4.1 can't plan a Python function directly
     over nested lambdas."""
-    return df.withColumn("_matrix", similarities(output, expected, pairwise))
+    return df.withColumn(name, similarities(output, expected, pairwise))
 
 
-def best_pairs() -> Column:
-    """The best assignment of ``_matrix``. Naming the column twice keeps Spark from merging the two projections."""
-    return F.when(F.size("_matrix") >= 0, assignment(F.col("_matrix")))
+def best_pairs(name: str = "_matrix") -> Column:
+    """The best assignment of the matrix in a column. Naming the column twice keeps Spark from merging the two projections."""
+    return F.when(F.size(name) >= 0, assignment(F.col(name)))
 
 
-def list_score(n_output: Column, n_expected: Column, allow_extra: bool = False) -> Column:
-    """How well one list's entries match the other's, from ``_matrix`` and both lengths; entries beyond the expected ones
+def list_score(n_output: Column, n_expected: Column, allow_extra: bool = False, name: str = "_matrix") -> Column:
+    """How well one list's entries match the other's, from their matrix in a column and both lengths; entries beyond the expected ones
     lower it unless allow_extra."""
     whole = n_expected if allow_extra else F.greatest(n_output, n_expected)
-    score = clamp(F.try_divide(best_pairs()["total"], whole))
+    score = clamp(F.try_divide(best_pairs(name)["total"], whole))
     return F.when((n_output == 0) & (n_expected == 0), F.lit(1.0)).when((n_output == 0) | (n_expected == 0), F.lit(0.0)).otherwise(score)
 
 

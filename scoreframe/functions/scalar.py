@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 #: Similarity at and below which two embeddings count as unrelated.
 EXPECTED_MIN = 0.7
+#: All characters that count as white space around a text.
+WHITE = "".join(chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space around it."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def levenshtein_score(output: Column, expected: Column) -> Column:
@@ -60,9 +67,9 @@ def moderation_score(flagged: Column, categories: Column, threshold: float | Non
 
 
 def choice_score(choice: Column, scores: dict[str, float], on_error: str = "null") -> Column:
-    """The score of a judge's choice, blanks around it ignored; an unknown choice is null or fails the job."""
+    """The score of a judge's choice, white space around it ignored; an unknown choice is null or fails the job."""
     table = F.create_map(*[F.lit(x) for pair in scores.items() for x in (pair[0], float(pair[1]))])
-    found = F.element_at(table, F.trim(choice))
+    found = F.element_at(table, stripped(choice))
     if on_error == "raise":
         return F.when(choice.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit("unknown choice "), choice)).cast("double")).otherwise(found)
     return found

@@ -29,6 +29,10 @@ def names(template: str) -> list[str]:
     return list(dict.fromkeys(name.split(".")[0] for kind, name in tags(template) if kind != "/" and name != "."))
 
 
+#: Before the name of a column, that of its text.
+TEXT_OF = "\0"
+
+
 def is_plain(template: str) -> bool:
     return all(not kind and "." not in name for kind, name in tags(template))
 
@@ -62,7 +66,9 @@ def render(df: DataFrame, template: str) -> Column:
             at = m.end()
         return F.concat(*parts, F.lit(template[at:]))
     used = [n for n in names(template) if n in df.columns]
-    packed = F.to_json(F.struct(*[F.col(n) for n in used])) if used else F.lit("{}")
+    # threads and messages come with their text, as they are shown where a template names them outside of sections
+    texts = [_shown(df, n).alias(TEXT_OF + n) for n in used if isinstance(df.schema[n].dataType, T.ArrayType | T.StructType)]
+    packed = F.to_json(F.struct(*[F.col(n) for n in used], *texts)) if used else F.lit("{}")
 
     @F.pandas_udf("string")
     def run(rows: pd.Series) -> pd.Series:
@@ -97,7 +103,9 @@ def render_text(template: str, stack: list) -> str:
         out.append(template[at : m.start()])
         kind, name, at = "" if m[1] else m[2], m[1] or m[3], m.end()
         if kind in ("", "&"):
-            out.append(_as_text(_find(name, stack)))
+            value = _find(name, stack)
+            given = isinstance(stack[0], dict) and TEXT_OF + name in stack[0] and value is stack[0].get(name)
+            out.append(stack[0][TEXT_OF + name] if given else _as_text(value))
         elif kind in ("#", "^"):
             depth, end = 1, at
             while depth:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreframe.functions.scalar import stripped
+
 #: Names that a template may use; a template that uses one needs the conversation.
 VARIABLES = ("thread", "thread_count", "first_message", "last_message", "user_messages", "assistant_messages", "human_ai_pairs", "thread_with_system")
 #: Longest tool text and reasoning that are shown whole.
@@ -76,7 +78,7 @@ def message_text(message: Column) -> Column:
 
 def thread_text(thread: Column) -> Column:
     """The thread as text: role lines with indented contents, an empty line between; blank messages are left out."""
-    shown = F.filter(thread, lambda m: F.trim(F.coalesce(m["content"], F.lit(""))) != "")
+    shown = F.filter(thread, lambda m: stripped(F.coalesce(m["content"], F.lit(""))) != "")
     return F.array_join(F.transform(shown, lambda m: F.concat(capitalised(m["role"]), F.lit(":\n"), indented(m["content"]))), "\n\n")
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreframe.functions import jsons, lists, scalar
+from scoreframe.functions import editing, jsons, lists, scalar
+from scoreframe.functions.names import unused
 from scoreframe.functions.score import as_score, required
 from scoreframe.plans.judge import JudgeSpec
 
@@ -63,10 +64,15 @@ def _kind(df: DataFrame, name: str) -> T.DataType:
     return df.select(name).schema[0].dataType
 
 
+@dataclass(frozen=True)
 class Levenshtein(Scorer):
-    """Edit similarity of two texts."""
+    """Edit similarity of two texts. ``long_texts`` gives the same by a method whose cost grows more slowly with length."""
+
+    long_texts: bool = False
 
     def value(self, df):
+        if self.long_texts:
+            return editing.long_levenshtein_score(F.col(self.output), F.col(self.expected))
         return scalar.levenshtein_score(F.col(self.output), F.col(self.expected))
 
 
@@ -131,7 +137,7 @@ class ValidJSON(Scorer):
         return ()
 
     def value(self, df):
-        return jsons.valid_json(jsons.as_json(F.col(self.output), _kind(df, self.output)), self.schema, self.parsed)
+        return jsons.valid_value(F.col(self.output), _kind(df, self.output), self.schema, self.parsed)
 
 
 @dataclass(frozen=True)
@@ -140,20 +146,20 @@ class ListContains(Scorer):
 
     pairwise: lists.Pairwise = scalar.levenshtein_score
     allow_extra_entities: bool = False
+    matrix: str = "_matrix"
 
     def value(self, df):
-        return lists.list_score(F.size(self.output), F.size(self.expected), self.allow_extra_entities)
+        return lists.list_score(F.size(self.output), F.size(self.expected), self.allow_extra_entities, self.matrix)
 
     def metadata(self, df):
         o, e = F.col(self.output), F.col(self.expected)
-        return {"pairs": F.transform(lists.best_pairs()["pairs"], lambda p: F.struct(F.get(o, p["o"]).alias("output"), F.get(e, p["e"]).alias("expected"), p["score"].alias("score")))}
+        return {"pairs": F.transform(lists.best_pairs(self.matrix)["pairs"], lambda p: F.struct(F.get(o, p["o"]).alias("output"), F.get(e, p["e"]).alias("expected"), p["score"].alias("score")))}
 
     def transform(self, df, **options):
-        scorer = replace(self, **options)
-        if "_matrix" in df.columns:
-            raise ValueError("ListContains works with a column _matrix of its own")
-        wide = lists.with_matrix(df, F.col(scorer.output), F.col(scorer.expected), scorer.pairwise)
-        return wide.withColumn(scorer.name, scorer.column(wide)).drop("_matrix")
+        [matrix] = unused(df.columns, self.matrix)
+        scorer = replace(self, **options, matrix=matrix)
+        wide = lists.with_matrix(df, F.col(scorer.output), F.col(scorer.expected), scorer.pairwise, matrix)
+        return wide.withColumn(scorer.name, scorer.column(wide)).drop(matrix)
 
 
 @dataclass(frozen=True)

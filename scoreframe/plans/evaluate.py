@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreframe.functions.names import unused
 from scoreframe.functions.scalar import numeric_score
 from scoreframe.operators.scorers import Scorer
 
@@ -22,8 +23,9 @@ def evaluate(df: DataFrame, scorers: list[Scorer], tags: dict[str, str] | None =
 
 def long_form(scored: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     """One row per row and scorer: keys, name, score and metadata."""
-    each = scored.select(*keys, F.explode(F.array(*[F.col(n) for n in names])).alias("_s"))
-    return each.select(*keys, "_s.name", "_s.score", "_s.metadata")
+    [one] = unused(keys, "_s")
+    each = scored.select(*keys, F.explode(F.array(*[F.col(n) for n in names])).alias(one))
+    return each.select(*keys, f"{one}.name", f"{one}.score", f"{one}.metadata")
 
 
 def meta_score(score: Column, expected: Column) -> Column:
@@ -32,9 +34,23 @@ def meta_score(score: Column, expected: Column) -> Column:
 
 
 def dispatch(df: DataFrame, scorers: dict[str, Scorer], by: str) -> DataFrame:
-    """Each row scored by the scorer that its column ``by`` names, as column score."""
-    parts = [s.transform(df.where(F.col(by) == name)).withColumn("score", F.col(f"{s.name}.score")).select(*df.columns, "score") for name, s in scorers.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Each row scored by the scorer that its column ``by`` names, as column score, in one pass. A row that names none, or
+    one that isn't there, has no score, and an error that says so."""
+    wide, score = df, F.lit(None).cast("double")
+    for name, s in scorers.items():
+        if type(s).transform is Scorer.transform:
+            value = s.column(df)["score"]
+        else:  # it works with columns of its own
+            own, mine = unused(wide.columns, f"_own_{s.name}", f"_{s.name}")
+            had = s.name in wide.columns
+            made = s.transform(wide.withColumnRenamed(s.name, own) if had else wide).withColumn(mine, F.col(f"{s.name}.score")).drop(s.name)
+            wide = made.withColumnRenamed(own, s.name) if had else made
+            value = F.col(mine)
+        score = F.when(F.col(by) == name, value).otherwise(score)
+    unknown = F.col(by).isNull() | ~F.col(by).isin(*scorers)
+    error = F.when(unknown, F.concat(F.lit("no such scorer: "), F.coalesce(F.col(by), F.lit("none is named"))))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("score", "error")]
+    return wide.select(*kept, score.alias("score"), error.alias("error"))
 
 
 def report(scored: DataFrame, by: list[str], score: str = "score") -> DataFrame:

@@ -12,7 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.functions.scalar import choice_score
+from scoreframe.functions.names import unused
+from scoreframe.functions.scalar import choice_score, stripped
 from scoreframe.functions.score import as_score
 from scoreframe.functions.template import render
 from scoreframe.functions.thread import VARIABLES, add_variables, uses_thread
@@ -92,8 +93,9 @@ def with_requests(df: DataFrame, spec: JudgeSpec, config: EngineConfig | None =
     for name, value in spec.extra.items():
         used = used if name in used.columns else used.withColumn(name, F.lit(value))
     if threads is not None and uses_thread(spec.template):
-        have = add_variables(threads).select(F.col(thread_key).alias("_thread"), *[v for v in VARIABLES if v not in df.columns])
-        used = used.join(have, F.col(thread_key) == F.col("_thread"), "left")
+        [other] = unused([*used.columns, *VARIABLES], "_thread")
+        have = add_variables(threads).select(F.col(thread_key).alias(other), *[v for v in VARIABLES if v not in df.columns])
+        used = used.join(have, F.col(thread_key) == F.col(other), "left")
     options = {k: getattr(spec, k) for k in ("engine", "temperature", "reasoning_effort", "reasoning_enabled", "reasoning_budget", "use_responses_api")}
     options["max_tokens"] = None if spec.max_tokens is None else max(LEAST_TOKENS, spec.max_tokens)
     tools = choice_tools(list(spec.choice_scores), spec.use_cot)
@@ -124,15 +126,16 @@ def judged(df: DataFrame, responses: DataFrame, spec: JudgeSpec, on_error: str =
     A response without a call of the judge's tool, or without a choice in it, fails the job with ``on_error="raise"``;
     otherwise its row is skipped and the metadata say why.
     """
-    right = responses.select(F.col("request_key").alias("_key"), F.col("response").alias("_response"))
-    joined = df.join(right, F.col("request_key") == F.col("_key"), "left")
-    given = arguments_of(F.col("_response"), TOOL)
+    key, response = unused(df.columns, "_key", "_response")
+    right = responses.select(F.col("request_key").alias(key), F.col("response").alias(response))
+    joined = df.join(right, F.col("request_key") == F.col(key), "left")
+    given = arguments_of(F.col(response), TOOL)
     told = F.from_json(given, "choice string, reasons string")
     listed = F.from_json(given, "reasons array<string>")["reasons"]
     reasons = F.coalesce(F.array_join(listed, "\n"), told["reasons"])
-    choice = F.trim(told["choice"])
-    problem = F.coalesce(problem_of(F.col("_response"), TOOL), F.when(F.col("_response").isNotNull() & choice.isNull(), F.lit("no choice in the call")))
+    choice = stripped(told["choice"])
+    problem = F.coalesce(problem_of(F.col(response), TOOL), F.when(F.col(response).isNotNull() & choice.isNull(), F.lit("no choice in the call")))
     score = choice_score(choice, spec.choice_scores, on_error)
     if on_error == "raise":
         score = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit(f"{spec.name}: "), problem)).cast("double")).otherwise(score)
-    return joined.withColumn(spec.name, as_score(spec.name, score, {"choice": choice, "rationale": reasons, "error": problem}, on_error)).drop("_key", "_response")
+    return joined.withColumn(spec.name, as_score(spec.name, score, {"choice": choice, "rationale": reasons, "error": problem}, on_error)).drop(key, response)

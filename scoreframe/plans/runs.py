@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.functions.names import unused
 from scoreframe.functions.scalar import EXPECTED_MIN, embedding_score, moderation_score
 from scoreframe.functions.score import as_score
 from scoreframe.plans import rag
@@ -24,9 +25,10 @@ def run_judge(df: DataFrame, spec: JudgeSpec, provider, table: str, on_error: st
 
 
 def _answered(asked: DataFrame, provider, table: str, value, out: str) -> DataFrame:
-    responses = answer_all(asked.where(F.col("request").isNotNull()), provider, table).withColumnRenamed("request_key", "_key")
-    joined = asked.join(responses, F.col("request_key") == F.col("_key"), "left")
-    return joined.withColumn(out, value(F.col("response"))).drop("request", "request_key", "_key", "response")
+    key, response = unused([*asked.columns, out], "_key", "_response")
+    told = answer_all(asked.where(F.col("request").isNotNull()), provider, table).select(F.col("request_key").alias(key), F.col("response").alias(response))
+    joined = asked.join(told, F.col("request_key") == F.col(key), "left")
+    return joined.withColumn(out, value(F.col(response))).drop("request", "request_key", key, response)
 
 
 def ask(df: DataFrame, step: str, provider, table: str, out: str = "payload", **options) -> DataFrame:
@@ -36,25 +38,28 @@ def ask(df: DataFrame, step: str, provider, table: str, out: str = "payload", **
 
 def embed(df: DataFrame, text: str, provider, table: str, out: str, model: str | None = None, prefix: str = "") -> DataFrame:
     """Add the embedding of a text column; each distinct text is sent once, keyed by model and prefixed text."""
-    asked = rag.embedding_requests(df, text, model, prefix).withColumnRenamed(text, "_text")
+    [other] = unused([*df.columns, out], "_text")
+    asked = rag.embedding_requests(df, text, model, prefix).withColumnRenamed(text, other)
     vectors = _answered(asked, provider, table, rag.vector_of, out)
-    return df.join(vectors, F.col(text) == F.col("_text"), "left").drop("_text")
+    return df.join(vectors, F.col(text) == F.col(other), "left").drop(other)
 
 
 def run_moderation(df: DataFrame, provider, table: str, text: str = "output", threshold: float | None = None, model: str = MODERATION) -> DataFrame:
     """The Moderation score column."""
     body = F.to_json(F.struct(F.lit(model).alias("model"), F.col(text).alias("moderate")))
     asked = df.withColumn("request", F.when(F.col(text).isNotNull(), body)).withColumn("request_key", request_key(F.col("request")))
-    told = _answered(asked, provider, table, rag.moderation_of, "_m")
-    score = moderation_score(F.col("_m.flagged"), F.col("_m.category_scores"), threshold)
-    kept = {"threshold": F.lit(threshold).cast("double"), "category_scores": F.col("_m.category_scores")}
-    return told.withColumn("Moderation", as_score("Moderation", score, kept)).drop("_m")
+    [m] = unused(asked.columns, "_m")
+    told = _answered(asked, provider, table, rag.moderation_of, m)
+    score = moderation_score(F.col(f"{m}.flagged"), F.col(f"{m}.category_scores"), threshold)
+    kept = {"threshold": F.lit(threshold).cast("double"), "category_scores": F.col(f"{m}.category_scores")}
+    return told.withColumn("Moderation", as_score("Moderation", score, kept)).drop(m)
 
 
 def embedding_similarity(df: DataFrame, provider, table: str, name: str = "EmbeddingSimilarity", output: str = "output", expected: str = "expected", model: str | None = None, prefix: str = "", expected_min: float = EXPECTED_MIN) -> DataFrame:
     """The scaled cosine of two texts' embeddings."""
-    both = embed(embed(df, output, provider, table, "_o", model, prefix), expected, provider, table, "_e", model, prefix)
-    return both.withColumn(name, as_score("EmbeddingSimilarity", embedding_score(F.col("_o"), F.col("_e"), expected_min))).drop("_o", "_e")
+    o, e = unused(df.columns, "_o", "_e")
+    both = embed(embed(df, output, provider, table, o, model, prefix), expected, provider, table, e, model, prefix)
+    return both.withColumn(name, as_score("EmbeddingSimilarity", embedding_score(F.col(o), F.col(e), expected_min))).drop(o, e)
 
 
 def _with_text_context(df: DataFrame) -> Column:

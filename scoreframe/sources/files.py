@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+
+from scoreframe.sources.json_array import read_json_array, write_json_array
+
+__all__ = ["CASE_METADATA", "QA_CORPUS", "read_json_array", "read_parquet", "shared_folder", "write_json", "write_json_array"]
 
 QA_CORPUS = "source string, story string, questions array<string>, answers struct<input_text: array<string>, answer_start: array<bigint>, answer_end: array<bigint>>"
 CASE_METADATA = f"struct<{QA_CORPUS.replace(' string', ': string').replace(' array', ': array').replace(' struct', ': struct')}>"
@@ -15,11 +18,12 @@ def read_parquet(spark: SparkSession, path: str, limit: int | None = None) -> Da
     return df if limit is None else df.limit(limit)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Files that hold one JSON array of rows each; a row that doesn't fit the schema fails the job."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
 def write_json(df: DataFrame, path: str) -> None:
     """Rows as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or below the warehouse where that is unset."""
+    context = spark.sparkContext
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"

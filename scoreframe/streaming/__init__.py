@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.functions.names import unused
+
 
 def windowed_scores(scored: DataFrame, score: str, time: str = "ts", window: str = "1 day", late: str = "1 day", by: tuple[str, ...] = ()) -> DataFrame:
     """Mean score and count by time window (and other columns), for batches and streams; rows later than ``late`` are
     dropped from a stream. ``time`` may lack a zone: it is read in the session's."""
-    timed = scored.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
-    grouped = timed.groupBy(F.window("_at", window), *by).agg(F.avg(score).alias("score"), F.count(score).alias("n"))
+    [at] = unused(scored.columns, "_at")
+    timed = scored.withColumn(at, F.col(time).cast("timestamp")).withWatermark(at, late)
+    grouped = timed.groupBy(F.window(at, window), *by).agg(F.avg(score).alias("score"), F.count(score).alias("n"))
     return grouped.select(F.col("window.start").alias("start"), *by, "score", "n")

@@ -29,7 +29,7 @@ def test_cases(spark, tmp_path):
     facts = cases.factuality_cases(corpus).collect()
     assert [(r.input.output, r.expected) for r in facts] == [("cat", 1.0), ("dog", 0.0), ("cat dog", 0.6)]
     spans = cases.relevancy_cases(corpus).collect()
-    assert [r.input.context for r in spans] == ["The cat sat.", "The dog ran.", "The cat sat.\nThe dog ran."]
+    assert [r.input.context for r in spans] == ["The cat sat.", "The dog ran.", "The cat sat. The dog ran."]
     assert [r.expected for r in spans] == [1.0, 0.0, pytest.approx(12 / 25)]
     closed = cases.closed_qa_cases(corpus).collect()
     assert [(r.input.output, r.expected, r.tags) for r in closed] == [("cat", 1.0, ["closed q a"]), ("dog", 0.0, ["closed q a"])]
@@ -39,7 +39,7 @@ def test_cases_hold_the_story_and_three_answers(spark):
     answers = {"input_text": ["cat", "dog", "sun"], "answer_start": [0, 13, 0], "answer_end": [12, 25, 3]}
     corpus = spark.createDataFrame([DOC | {"answers": answers}], files.QA_CORPUS)
     assert cases.factuality_cases(corpus).collect()[2].input.output == "dog cat sun"
-    asked = "Given the following context: The cat sat. The dog ran., \n\n Answer the question: Who sat?"
+    asked = "Story:\nThe cat sat. The dog ran.\n\nWhat is asked about it: Who sat?"
     assert [r.input.input for r in cases.closed_qa_cases(corpus).collect()] == [asked] * 2
 
 
