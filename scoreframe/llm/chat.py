@@ -3,9 +3,8 @@
 A template is any function from turns (role, text) to one string. Successive prefixes of a conversation are rendered; what
 a prefix adds to the one before is the newest turn's span, and rendering that turn with two different probe texts tells
 header, content and trailer apart by the probes' common beginning and end. A prefix that doesn't begin with the one before
-shows a template that rewrites history; its turns are then found by probing each in the whole conversation. Beyond
-``CONTEXT`` turns a prefix is first rendered from its last turns alone, which is taken where the whole output agrees with
-it; where it doesn't, and from there on, true prefixes are rendered, at a cost that grows with the square of the turns.
+shows a template that rewrites history; its turns are then found by probing each in the whole conversation. Every prefix is
+rendered whole, whatever a conversation's length, so that the cost grows with the square of its turns.
 
 Texts and roles are escaped reversibly before rendering, so that no control string occurs inside them. The loss mask holds
 the contents of assistant turns.
@@ -18,7 +17,6 @@ left out.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -29,7 +27,6 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm.common import table
 
-CONTEXT = 16
 LEARNED_ROLE = "assistant"
 Turns = list[tuple[str, str]]
 
@@ -89,36 +86,45 @@ class Span:
     stop: int
 
 
+def _common(one: str, two: str) -> int:
+    """How long the common beginning of two texts is, by halving, so that slices are compared and no characters."""
+    low, high = 0, min(len(one), len(two))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if one[low:middle] == two[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def _edges(one: str, two: str) -> tuple[int, int]:
     """How long the common beginning and the common end of two texts are, not overlapping."""
-    head = len(os.path.commonprefix([one, two]))
+    head = _common(one, two)
     most = min(len(one), len(two)) - head
-    tail = len(os.path.commonprefix([one[::-1][:most], two[::-1][:most]]))
-    return head, tail
+    return head, _common(one[::-1][:most], two[::-1][:most])
 
 
 def locate(template: Template, turns: Turns) -> tuple[str, list[Span | None], bool]:
     """The output, each turn's span (None where the template leaves it out), and whether the template rewrites history."""
-    render, out = template.render, template.render(turns)
+    render = template.render
     spans: list[Span | None] = []
-    before, at, short = render([]), len(render([])), True
+    start = render([])
     for k, (role, _) in enumerate(turns):
-        while True:
-            first = max(0, k - CONTEXT) if short else 0
-            earlier = turns[first:k]
-            start = before if first == 0 and before is not None else render(earlier)
-            now = render(turns[first : k + 1])
-            if now.startswith(start) and out.startswith(now[len(start) :], at):
-                break
-            if not first:
-                return out, _probe_whole(template, turns, out), True
-            short, before = False, None  # the last turns alone don't tell
-        head, tail = _edges(render([*earlier, (role, "A")]), render([*earlier, (role, "B")]))
-        add = len(now) - len(start)
-        spans.append(Span(at, at + head - len(start), at + add - tail, at + add))
-        at += add
-        before = now if first == 0 else None
-    return out, spans, at != len(out)
+        now = render(turns[: k + 1])
+        if not now.startswith(start):
+            out = render(turns)
+            return out, _probe_whole(template, turns, out), True
+        one, two = (render([*turns[:k], (role, probe)]) for probe in "AB")
+        at = len(start)
+        if one.startswith(start) and two.startswith(start):  # as a rule: only what the turn adds is compared
+            head, tail = _edges(one[at:], two[at:])
+        else:
+            head, tail = _edges(one, two)
+            head -= at
+        spans.append(Span(at, at + head, len(now) - tail, len(now)))
+        start = now
+    return start, spans, False
 
 
 def _probe_whole(template: Template, turns: Turns, out: str) -> list[Span | None]:
