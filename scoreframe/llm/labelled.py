@@ -15,7 +15,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, per
     """(doc_id, text, label) of at most ``most`` labelled documents outside the held-out fold, in hash order of their ids.
 
     With ``per_class`` each of the two labels gets half of the bound. Labels given twice count once (the larger), rows
-    without a label or an id are left out. The chosen ids are ``most`` at the most, so they are broadcast.
+    without a label or an id are left out. Where an id repeats, its text with the least hash counts (null as empty), so that
+    there are ``most`` rows at the most. The chosen ids are as many, so they are broadcast.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     known = known.where(~held_out(F.col("doc_id"))).withColumn("_order", F.xxhash64(F.lit(11), "doc_id"))
@@ -25,4 +26,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, per
     else:
         chosen = first(known, most)
     chosen = chosen.withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")

@@ -1,16 +1,17 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick after folding, normalised by length, with exception phrases.
 
 ``fold`` lower-cases, strips accents, maps homoglyphs (Cyrillic and Greek look-alikes) and digits or signs standing for
-letters, and turns all but letters, digits and other scripts' spacing vowel signs into spaces. Lexicon entries are beginnings of words; a hit inside an exception phrase does
-not count. A text's features are the logarithms of the summed weight of its hits and of that sum per 100 words, and the
+letters, and turns all but letters, digits and other scripts' spacing vowel signs into spaces. Lexicon entries are beginnings
+of words or, with a space at their end, whole words; a hit inside an exception phrase does not count. A text's features are the logarithms of the summed weight of its hits and of that sum per 100 words, and the
 score is their logistic.
 
 The lexicon is learned from at most ``MOST_TRAINING`` labelled documents outside the held-out fold, on top of a short list
 of given entries: word beginnings that are far more frequent in toxic texts are candidates, and of these the ones that
 cover toxic documents not yet covered ``COVER`` times are taken one by one, so that the chance words of one often-copied
-text don't enter. An entry has at most ``LONGEST`` letters: a longer beginning would match only words that its first
-letters match as well. Nothing else bounds the lexicon: every beginning that is frequent enough is a candidate, and entries
-are taken until none adds enough.
+text don't enter. Beginnings have SHORTEST to LONGEST letters; besides, every word of three letters or more is a candidate as
+a whole, however long, and then matches no other word that begins like it. Of a beginning and a whole word that add as much,
+the beginning is taken. Nothing bounds the lexicon: every candidate that is frequent enough counts, and entries are taken
+until none adds enough.
 
 Null and empty texts have no hits and get the lowest score. Scoring is row by row over whole texts, so ties, repeated rows
 and empty tables need no care; other columns pass through, but one with the name of the score is replaced.
@@ -78,7 +79,7 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Entries (word beginnings) with weights, exception phrases and the coefficients of the score."""
+    """Entries (word beginnings, or whole words with a space behind them) with weights, exception phrases and the coefficients of the score."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
@@ -88,14 +89,14 @@ class Lexicon:
         found = ahocorasick.Automaton()
         heaviest: dict[str, float] = {}
         for entry, weight in self.weights.items():
-            key = " " + fold(entry).strip()
+            key = " " + fold(entry).strip() + " " * (entry[-1:] == " ")
             heaviest[key] = max(weight, heaviest.get(key, weight))
         words: dict[str, tuple] = {key: (len(key), weight, False) for key, weight in heaviest.items()}
         for phrase in self.exceptions:
             key = " " + fold(phrase).strip()
             words[key] = (len(key), heaviest.get(key), True)
         for key, told in words.items():
-            if key != " ":
+            if key.strip():
                 found.add_word(key, told)
         found.make_automaton()
         return found
@@ -105,7 +106,7 @@ def hits(automaton, folded: str) -> float:
     """The summed weight of the hits that begin outside exception phrases; one hit for each word, the heaviest."""
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
-    for end, (size, weight, excepted) in automaton.iter(" " + folded):
+    for end, (size, weight, excepted) in automaton.iter(f" {folded} "):
         start = end - size + 1
         if excepted:
             spared.append((start, end))
@@ -124,12 +125,14 @@ def measure(automaton, texts) -> np.ndarray:
     return out
 
 
-def _beginnings(folded: str) -> set[str]:
-    """The beginnings of a folded text's words: SHORTEST to LONGEST letters, and whole shorter words of three or more."""
+def _entries(folded: str) -> set[str]:
+    """What could be an entry in a folded text: its words' beginnings of SHORTEST to LONGEST letters, and its words of three
+    letters or more as a whole, with a space behind them."""
     found: set[str] = set()
     for w in set(folded.split()):
         if len(w) >= 3:
-            found.update(w[:k] for k in range(min(SHORTEST, len(w)), min(len(w), LONGEST) + 1))
+            found.add(w + " ")
+            found.update(w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1))
     return found
 
 
@@ -139,7 +142,7 @@ def _candidates(rows: DataFrame) -> dict[str, float]:
 
     def spell(frames):
         for pdf in frames:
-            sets = [_beginnings(fold(t)) for t in pdf.text]
+            sets = [_entries(fold(t)) for t in pdf.text]
             sizes = [len(s) for s in sets]
             yield pd.DataFrame({"entry": list(itertools.chain.from_iterable(sets)), "toxic": np.repeat(pdf.label.to_numpy(), sizes)})
 
@@ -163,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Lexi
 
     def places(frames):
         for pdf in frames:
-            sets = [sorted(_beginnings(fold(t)) & spelled) for t in pdf.text]
+            sets = [sorted(_entries(fold(t)) & spelled) for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "entries": sets})
 
     chosen: dict[str, float] = {}
@@ -177,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Lexi
         least = max(2, len(listed) // LEAST_SHARE)
         while where:
             gain = {e: sum(covered[i] < COVER for i in docs_of) for e, docs_of in where.items()}
-            entry = max(gain, key=lambda e: (gain[e], len(e), e))
+            entry = max(gain, key=lambda e: (gain[e], e[-1] != " ", len(e), e))
             if gain[entry] < least:
                 break
             chosen[entry] = known[entry]
