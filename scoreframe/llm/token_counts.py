@@ -18,6 +18,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +32,21 @@ END, BLOCK, TASK_BYTES = 49407, 1 << 18, 32 << 20
 FOUND = "file string, block_no long, start long, n long, ends array<int>"
 
 
+#: How the names that Hadoop has for a store are written for pyarrow.
+SCHEMES = {r"^file:/+": "/", r"^s3[an]://": "s3://", r"^dbfs:/+": "/dbfs/", r"^wasb(s?)://": r"abfs\1://"}
+
+
 def _opened(path: str):
-    """(file system, path in it) of a path or address."""
+    """(file system, path in it) of a path or address, as Hadoop writes it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+    address = path
+    for name, other in SCHEMES.items():
+        address = re.sub(name, other, address)
+    try:
+        return fs.FileSystem.from_uri(address)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"flat files need a folder that pyarrow can open, not {path}: {e}") from None
 
 
 def write_flat_files(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
@@ -44,6 +55,7 @@ def write_flat_files(docs: DataFrame, folder: str, path: str | None = None, end:
     A file's name is new for each attempt of its task, so a lost task leaves at most a file that no row names.
     """
     path = path or tokenizer_path()
+    _opened(folder)  # fails here rather than in tasks
 
     def run(frames):
         encoder, mark = word_tokenizer(path, special=False), np.array([end], "<u2")
