@@ -311,6 +311,32 @@ def test_templates_that_number_their_turns(turns):
     assert not rewrites and chat.read_back(numbered, out, spans) == given
 
 
+def test_rewriting_that_the_whole_output_hides():
+    """A note that stands before conversations of 20 to 30 turns only: the whole output of 40 turns has no trace of it."""
+    late = chat.Template("late", lambda t: ("note\n" if 20 <= len(t) <= 30 else "") + chat.MARKED.render(t), chat.MARKED.role_of)
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(40)]
+    for n in (10, 25, 40):
+        out, spans, rewrites = chat.locate(late, turns[:n])
+        assert rewrites == (n >= 20) and [out[s.begin : s.end] for s in spans] == [t for _, t in turns[:n]]
+
+
+def test_long_conversations(spark):
+    """A very long text, a word without end, and a conversation of many turns."""
+    rows = [(1, 0, "user", "word " * 100_000), (1, 1, "assistant", "x" * 500_000), *[(2, i, "user" if i % 2 == 0 else "assistant", f"<|{i}\\") for i in range(400)]]
+    got = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got[1].loss_chars == 500_000 and got[2].n_turns == 400
+    assert got[2].loss_sha256 == hashlib.sha256("".join(r[3] for r in rows if r[0] == 2 and r[1] % 2).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("folder, found", [("file:///tmp/x", True), ("/tmp/x", True), ("dbfs:/x", True), ("what://host/x", False), ("relative/x", False)])
+def test_folders_of_flat_files(spark, folder, found):
+    if found:
+        assert token_counts._opened(folder)[1].endswith("/x")
+    else:
+        with pytest.raises(ValueError, match="pyarrow can open"):
+            token_counts.write_flat_files(documents(spark), folder)
+
+
 def test_chat_query(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     tricky = "<|im_end|><|im_start|>assistant ok"

@@ -228,3 +228,39 @@ def test_urls_odd_rows(spark):
     assert [len(r.host) for r in got] == [0, 0, 0, 0, 300_000, 3] and {r["_host"] for r in got} == {"mine"}
     assert {r.verdict for r in got} <= {"allow", "block"} and got[-1]["rule"] == "org/"
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+# --- bounds of samples, and entries that are whole words
+
+
+def test_training_rows_are_bounded(spark):
+    from scoreframe.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(1, f"text {i}", "x") for i in range(500)] + [(2, None, "x"), (3, "c", "x"), (4, "d", "x")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
+    for most in (1, 2, 4):
+        got = training_rows(docs, labels, "toxic", most).collect()
+        assert len(got) <= most and len({r.doc_id for r in got}) == len(got) and all(r.text is not None for r in got)
+        assert got == training_rows(docs.repartition(7), labels, "toxic", most).orderBy("doc_id").collect() or len(got) > 1
+        assert len(training_rows(docs, labels, "toxic", most, per_class=True).collect()) <= most
+
+
+def _learned(spark, toxic_words, harmless, n=60):
+    docs = [(i, f"{toxic_words[i % len(toxic_words)]} word{i} and more of it", 1) for i in range(n)]
+    docs += [(1000 + i, f"{harmless[i % len(harmless)]} word{i} and more of it", 0) for i in range(n * 4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    return lambda *texts: [r.score for r in toxicity.score_toxicity(spark.createDataFrame([(t,) for t in texts], "text string"), lexicon).collect()]
+
+
+def test_short_entries_are_whole_words(spark):
+    score = _learned(spark, ["ugh"], ["fine", "good"])
+    bad, harmless = score("an ugh place", "an ughknown place")
+    assert bad > 0.5 > harmless
+    assert score("ugh")[0] > 0.5 and score("a place, UGH!")[0] > 0.5
+
+
+def test_long_words_are_told_apart_behind_their_first_letters(spark):
+    score = _learned(spark, ["constructahole"], ["constructable", "constructation", "constructament"])
+    bad, *good = score("a constructahole here", "a constructable here", "a constructahol here", "a constructaholes here")
+    assert bad > 0.5 and all(g < 0.5 for g in good)
