@@ -134,28 +134,63 @@ def fetch(requests: DataFrame, provider, partitions: int | None = None) -> DataF
     return requests.select("request_key", "request").repartition(many, "request_key").mapInPandas(run, RESPONSES)
 
 
-def answer_all(requests: DataFrame, provider, table: str, partitions: int | None = None, on_error: str = "raise") -> DataFrame:
-    """Answer the distinct requests that the response table lacks, append them, and read the table.
-
-    Responses are kept also where other requests fail; failed ones are sent again by the next call. With ``on_error="raise"``
-    a failure then fails this call, otherwise its rows have no response. The table is a folder of batches. A call that sends
-    something adds one, so that reads before and after it name different paths: Spark takes two reads of one path for the same
-    data, and would reuse the older one in a plan that holds both. Where a key was answered twice, the lesser text counts.
-    """
+def stored(requests: DataFrame, table: str) -> DataFrame:
+    """(request_key, response) that a response table has of the asked keys. The table is a folder of batches, each parted by
+    the first digit of the key: only the asked parts are read, and of a key that was answered more than once, the first
+    answer counts."""
     spark: SparkSession = requests.sparkSession
-    todo = requests.select("request_key", "request").dropDuplicates(["request_key"])
-    batches, new = f"{table}/batch-*", f"{table}/batch-{uuid.uuid4().hex}"
+    asked = requests.select("request_key").where("request_key IS NOT NULL").distinct()
     try:
-        known = spark.read.schema(RESPONSES).parquet(batches)
+        every = _batches(spark, table)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    else:
-        todo = todo.join(known.where("response IS NOT NULL"), "request_key", "left_anti")
-    fetch(todo, provider, partitions).write.parquet(new)
-    if on_error == "raise":
-        failed = spark.read.schema(RESPONSES).parquet(new).where("error IS NOT NULL").agg(F.count("*"), F.min("error")).first()
-        if failed[0]:
-            raise RuntimeError(f"{failed[0]} requests failed, among them: {failed[1]}")
-    every = spark.read.schema(RESPONSES).parquet(batches).where("response IS NOT NULL")
-    return every.groupBy("request_key").agg(F.min("response").alias("response"))
+        return spark.createDataFrame([], "request_key string, response string")
+    parts = [r[0] for r in asked.select(_part().alias("part")).distinct().collect()]  # one for each hexadecimal digit at most
+    known = every.where(F.col("part").isin(parts) & F.col("response").isNotNull()).join(asked, "request_key", "left_semi")
+    return known.groupBy("request_key").agg(F.min_by("response", F.struct("at", "response")).alias("response"))
+
+
+def _batches(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.schema(f"{RESPONSES}, at long, batch string, part string").option("basePath", table).parquet(f"{table}/batch=*")
+
+
+def _part():
+    return F.concat(F.lit("p"), F.substring("request_key", 1, 1))
+
+
+def _append(rows: DataFrame, table: str) -> str:
+    """Add a batch; each task's answers are there as soon as the task is done, so that a run that is killed keeps them."""
+    new = f"{table}/batch={uuid.uuid4().hex}"
+    parted = rows.withColumn("part", _part())
+    parted.write.partitionBy("part").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(new)
+    return new
+
+
+def compact(spark: SparkSession, table: str, to: str) -> None:
+    """Write a response table anew as one batch of another table: first answers only, one file for each part."""
+    every = _batches(spark, table).where("response IS NOT NULL")
+    first = every.groupBy("request_key").agg(F.min(F.struct("at", "response")).alias("first"))
+    rows = first.select("request_key", "first.response", F.lit(None).cast("string").alias("error"), "first.at")
+    _append(rows.repartition(_part()), to)
+
+
+def answer_all(requests: DataFrame, provider, table: str, partitions: int | None = None, on_error: str = "raise") -> DataFrame:
+    """Answer the distinct requests that the response table lacks, append them, and give the asked keys' responses.
+
+    Responses are kept also where other requests fail; failed ones are sent again by the next call. With ``on_error="raise"``
+    a failure then fails this call, otherwise its rows have no response. A call that has nothing to send writes nothing. One
+    that does adds a batch, so that reads before and after it name different paths: Spark takes two reads of one path for the
+    same data, and would reuse the older one in a plan that holds both.
+    """
+    spark: SparkSession = requests.sparkSession
+    asked = requests.select("request_key", "request").dropDuplicates(["request_key"])
+    todo = asked.join(stored(asked, table), "request_key", "left_anti")
+    if not todo.isEmpty():
+        told = fetch(todo, provider, partitions).withColumn("at", F.lit(time.time_ns()))
+        new = _append(told, table)
+        if on_error == "raise":
+            failed = spark.read.schema(RESPONSES).parquet(new).where("error IS NOT NULL").agg(F.count("*"), F.min("error")).first()
+            if failed[0]:
+                raise RuntimeError(f"{failed[0]} requests failed, among them: {failed[1]}")
+    return stored(asked, table)
