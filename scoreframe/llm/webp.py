@@ -76,13 +76,13 @@ class Code:
             self.entries = np.array([used[0] << 4 if len(used) else 0])
         else:
             n = lengths[used]
-            order = n.argsort(kind="stable")
-            used, n = used[order], n[order]
+            order = n.astype(np.uint8).argsort(kind="stable")
+            n = n[order]
             width = int(n[-1])
-            spread = 1 << (width - n)
-            if int(spread.sum()) != 1 << width:
+            entries = (used[order] << 4 | n).astype(np.int32).repeat(1 << (width - n))
+            if len(entries) != 1 << width:
                 raise ValueError("an incomplete prefix code")
-            self.entries = (used << 4 | n).repeat(spread)[_reversed_bits(width)]
+            self.entries = entries[_reversed_bits(width)]
         self.mask = len(self.entries) - 1
 
     @functools.cached_property
@@ -98,7 +98,8 @@ class Code:
 
     def moved(self, by: int) -> list[int]:
         """The table with symbols further left by some bits."""
-        return (self.entries >> 4 << (4 + by) | self.entries & 15).tolist() if by else self.table
+        entries = self.entries.astype(np.int64)
+        return (entries >> 4 << (4 + by) | entries & 15).tolist() if by else self.table
 
 
 @functools.lru_cache(4096)
@@ -257,7 +258,7 @@ def _together(images: list[Image]) -> list[np.ndarray]:
         for k, by in ((0, 8), (1, 16), (2, 0)):
             entries = [c[k].entries for c in codes]
             sizes = np.array([len(e) for e in entries])
-            joined = np.concatenate(entries)
+            joined = np.concatenate(entries).astype(np.int64)
             tables.append(joined >> 4 << (4 + by) | joined & 15)
             begins.append(np.cumsum(sizes) - sizes)
             masks.append(sizes - 1)
@@ -272,7 +273,7 @@ def _together(images: list[Image]) -> list[np.ndarray]:
         slots = 1 << np.array([image.cache_bits for image in ours])
         cache = np.zeros(int(slots.sum()), np.int64)
         shift = 32 - np.array([image.cache_bits for image in ours])
-        opaque = np.array([c[3].entries[0] >> 4 << 24 for c in codes])
+        opaque = np.array([int(c[3].entries[0]) >> 4 << 24 for c in codes])
         (g, r, b), lane = tables, np.arange(len(ours))
         at, pos = stream_at + np.array([image.bits.at for image in ours]), begin.copy()
         state = [lane, at, pos, end, *begins, *masks, np.cumsum(slots) - slots, shift, opaque]
