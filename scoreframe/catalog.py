@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from scoreframe.functions import jsons, scalar, thread
 from scoreframe.functions.template import render
 from scoreframe.operators.scorers import JUDGES, EmbeddingSimilarity, ExactJSON, ExactMatch, JSONDiff, Levenshtein, ListContains, Moderation, NumericDiff, ValidJSON, judge
-from scoreframe.plans import evaluate, rag
+from scoreframe.plans import evaluate, experiments, rag, summaries
 from scoreframe.plans.jsondiff import difference_table
 from scoreframe.plans.judge import TOOL, judged, with_requests
 from scoreframe.sources import cases
@@ -731,6 +731,45 @@ def evaluate_many(spark, sf_dir):
     return long.select("name", "p_partkey", rounded(F.col("score")).alias("score"))
 
 
+_NAMES_AND_TYPES = """
+SELECT a.p_partkey, a.p_brand, CASE WHEN a.p_partkey % 10 > 0 THEN 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) END AS before,
+  1 - levenshtein(a.p_type, b.p_type) / greatest(length(a.p_type), length(b.p_type)) AS after
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"""
+
+
+@query(f"""
+WITH gaps AS (SELECT p_partkey, p_brand, after - before AS d FROM ({_NAMES_AND_TYPES})),
+drawn AS (SELECT p_brand, d, r, CAST('0x' || substr(md5(p_partkey || chr(31) || (r // 4)), 1 + 8 * (r % 4), 8) AS BIGINT) AS u FROM gaps, range(40) t(r) WHERE d IS NOT NULL),
+weighed AS (SELECT p_brand, d, r, (SELECT count(*) FROM (SELECT sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS c FROM range(12) s(k)) WHERE u >= floor(c * 4294967296)) AS w FROM drawn),
+means AS (SELECT p_brand, r, sum(w * d) / nullif(sum(w), 0) AS m FROM weighed GROUP BY p_brand, r),
+ends AS (SELECT p_brand, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY p_brand)
+SELECT g.p_brand, count(d) AS pairs, count(*) - count(d) AS unpaired, CAST(count(*) FILTER (d > 0) AS BIGINT) AS wins, CAST(count(*) FILTER (d < 0) AS BIGINT) AS losses,
+  round(avg(d), 6) AS mean, round(stddev_samp(d) / sqrt(count(d)), 6) AS error, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high
+FROM gaps g LEFT JOIN ends e ON e.p_brand = g.p_brand GROUP BY g.p_brand""")
+def experiment_compare(spark, sf_dir):
+    """Similarity of neighbouring parts' types against that of their names, which a tenth lacks, with bootstrap intervals."""
+    part = table(spark, sf_dir, "part")
+    names = Levenshtein().transform(neighbours(part, "p_partkey", "p_name", "p_brand")).where("p_partkey % 10 > 0")
+    types = Levenshtein().transform(neighbours(part, "p_partkey", "p_type", "p_brand"))
+    runs = [d.select("p_partkey", "p_brand", F.col("Levenshtein.score").alias("score")) for d in (names, types)]
+    out = experiments.compare(experiments.paired(*runs, ["p_partkey", "p_brand"]), ["p_partkey"], ["p_brand"], 40)
+    return out.select("p_brand", "pairs", "unpaired", "wins", "losses", *[rounded(F.col(c)).alias(c) for c in ("mean", "error", "low", "high")])
+
+
+@query("""
+WITH scored AS (SELECT l_returnflag, l_linestatus, CASE WHEN l_quantity = 0 AND l_discount = 0 THEN 1 ELSE 1 - abs(l_quantity / 50 - l_discount) / nullif(abs(l_quantity / 50) + abs(l_discount), 0) END::DOUBLE AS s FROM lineitem)
+SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS grouping, count(s) AS scored, count(*) - count(s) AS skipped, round(avg(s), 6) AS mean, round(var_pop(s), 6) AS variance,
+  round(min(s), 6) AS least, round(max(s), 6) AS most, list_sort(list(least(255, floor(s * 256)) / 256.0) FILTER (s IS NOT NULL))[CAST(ceil(count(s) / 2.0) AS BIGINT)]::DOUBLE AS median
+FROM scored GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def score_summaries(spark, sf_dir):
+    """Closeness of two shares of every line item: kept by ship month, merged, and told by all grouping sets."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("score", scalar.numeric_score(F.col("l_quantity") / 50, F.col("l_discount")))
+    monthly = summaries.summary(lines.withColumn("month", F.trunc("l_shipdate", "month")), ["month", "l_returnflag", "l_linestatus"])
+    out = summaries.told(monthly, ["l_returnflag", "l_linestatus"])
+    kept = ["l_returnflag", "l_linestatus", F.col("grouping").cast("long").alias("grouping"), "scored", "skipped", "median"]
+    return out.select(*kept, *[rounded(F.col(c)).alias(c) for c in ("mean", "variance", "least", "most")])
+
+
 _WINDOWS = """
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, round(avg(CASE WHEN value = 0 THEN 0 ELSE 1 - abs(50 - value) / (50 + abs(value)) END), 6) AS score, count(*) AS n
 FROM events GROUP BY 1"""

@@ -159,7 +159,7 @@ def _part():
     return F.concat(F.lit("p"), F.substring("request_key", 1, 1))
 
 
-def _append(rows: DataFrame, table: str) -> str:
+def append(rows: DataFrame, table: str) -> str:
     """Add a batch; each task's answers are there as soon as the task is done, so that a run that is killed keeps them."""
     new = f"{table}/batch={uuid.uuid4().hex}"
     parted = rows.withColumn("part", _part())
@@ -172,7 +172,7 @@ def compact(spark: SparkSession, table: str, to: str) -> None:
     every = _batches(spark, table).where("response IS NOT NULL")
     first = every.groupBy("request_key").agg(F.min(F.struct("at", "response")).alias("first"))
     rows = first.select("request_key", "first.response", F.lit(None).cast("string").alias("error"), "first.at")
-    _append(rows.repartition(_part()), to)
+    append(rows.repartition(_part()), to)
 
 
 def answer_all(requests: DataFrame, provider, table: str, partitions: int | None = None, on_error: str = "raise") -> DataFrame:
@@ -188,7 +188,7 @@ def answer_all(requests: DataFrame, provider, table: str, partitions: int | None
     todo = asked.join(stored(asked, table), "request_key", "left_anti")
     if not todo.isEmpty():
         told = fetch(todo, provider, partitions).withColumn("at", F.lit(time.time_ns()))
-        new = _append(told, table)
+        new = append(told, table)
         if on_error == "raise":
             failed = spark.read.schema(RESPONSES).parquet(new).where("error IS NOT NULL").agg(F.count("*"), F.min("error")).first()
             if failed[0]:
