@@ -21,6 +21,7 @@ from scoreframe.plans.judge import TOOL, judged, with_requests
 from scoreframe.sources import cases
 from scoreframe.sources.files import read_json_array, shared_folder, write_json_array
 from scoreframe.streaming import windowed_scores
+from scoreframe.streaming.monitor import drift, once, session_scores, settle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -800,3 +801,64 @@ def score_stream_window(spark, sf_dir):
     done = spark.read.parquet(f"{out}/result")
     return done.select(F.col("start").cast("timestamp_ntz").alias("start"), rounded(F.col("score")).alias("score"), "n")
 
+
+
+def _streamed(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The events' files as a stream with the closeness of each value to 50, and a new shared folder for its run."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a pattern, since a stream takes no file by name
+    return stream.withColumn("s", scalar.numeric_score(F.col("value"), F.lit(50.0))), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _plain_times(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+_SCORED = "SELECT *, CASE WHEN value = 0 THEN 0 ELSE 1 - abs(50 - value) / (50 + abs(value)) END AS s FROM events"
+
+
+@query(f"""
+WITH e AS ({_SCORED}), w AS (SELECT *, unnest(range(0, 4)) AS k FROM e),
+  g AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 6 HOUR AS start, event_type, round(avg(s), 6) AS score, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT * FROM g WHERE start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR""")
+def score_stream_sliding(spark, sf_dir):
+    """Mean closeness by type of event over days that begin every six hours, as a stream tells it once they are over."""
+    stream, folder = _streamed(spark, sf_dir)
+    told = settle(windowed_scores(stream, "s", late="12 hours", by=("event_type",), slide="6 hours"), folder)
+    return _plain_times(told, "start").withColumn("score", rounded(F.col("score")))
+
+
+@query(f"""
+WITH e AS ({_SCORED}), b AS (SELECT *, ts > coalesce(lag(ts) OVER u + INTERVAL 5 HOUR, '-infinity'::TIMESTAMP) AS fresh FROM e WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+  n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM b),
+  g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 5 HOUR AS "end", round(avg(s), 6) AS score, count(s) AS n, count(*) AS rows FROM n GROUP BY user_id, session)
+SELECT * FROM g WHERE "end" <= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR""")
+def score_stream_sessions(spark, sf_dir):
+    """Users' sessions, which end after five hours without an event, as a stream tells them once they are over."""
+    stream, folder = _streamed(spark, sf_dir)
+    told = settle(session_scores(stream, "s", ("user_id",), "5 hours", late="12 hours"), folder)
+    return _plain_times(told, "start", "end").withColumn("score", rounded(F.col("score")))
+
+
+@query("SELECT DISTINCT event_type, props FROM events")
+def judge_requests_once(spark, sf_dir):
+    """Requests that come again in the stream aren't sent again: types and properties of events, each once."""
+    stream, folder = _streamed(spark, sf_dir)
+    return settle(once(stream, ["event_type", "props"], late="90 days").select("event_type", "props"), folder)
+
+
+@query(f"""
+WITH e AS ({_SCORED}), w AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(s) AS n, sum(s) AS total FROM e GROUP BY 1, 2),
+  c AS (SELECT * FROM w WHERE start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR),
+  p AS (SELECT *, total / n AS score, sum(total) OVER earlier / sum(n) OVER earlier AS baseline FROM c
+        WINDOW earlier AS (PARTITION BY event_type ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  s AS (SELECT *, sum(coalesce(score - baseline - 0.01, 0)) OVER t AS up, sum(coalesce(baseline - score - 0.01, 0)) OVER t AS down FROM p WINDOW t AS (PARTITION BY event_type ORDER BY start))
+SELECT event_type, start, false AS silent, n, round(score, 6) AS score, round(baseline, 6) AS baseline,
+  round(up - min(up) OVER t, 6) AS above, round(down - min(down) OVER t, 6) AS below FROM s WINDOW t AS (PARTITION BY event_type ORDER BY start)""")
+def score_stream_drift(spark, sf_dir):
+    """Drift of each type's daily mean closeness; in SQL, sums that start anew at 0 are running sums less their lowest."""
+    stream, folder = _streamed(spark, sf_dir)
+    days = settle(windowed_scores(stream, "s", late="12 hours", by=("event_type",)), f"{folder}/days")
+    kept = spark.readStream.schema(days.schema).parquet(f"{folder}/days/rows")
+    told = settle(drift(kept, "event_type"), f"{folder}/drift")
+    return _plain_times(told, "start").withColumns({c: rounded(F.col(c)) for c in ("score", "baseline", "above", "below")})
