@@ -327,6 +327,24 @@ def list_contains_names(spark, sf_dir):
     return scored.select("p_partkey", rounded(F.col("ListContains.score")).alias("score"))
 
 
+_THREE = [(1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)]
+_SQUARE = f"greatest({', '.join(' + '.join(_LEV.format(o, e + 1) for e, o in enumerate(p)) for p in _THREE)})"
+_WIDE = f"greatest({', '.join(' + '.join(_LEV.format(o, e + 1) for e, o in enumerate(p[:2])) for p in _THREE)})"
+
+
+@query(f"""
+WITH w AS (SELECT p_partkey, list_append(string_split(p_name, ' '), p_type) AS o FROM part), p AS (SELECT a.p_partkey, a.o, b.o AS e FROM w a JOIN w b ON b.p_partkey = a.p_partkey + 1)
+SELECT p_partkey, round({_SQUARE} / 3, 6) AS square, round({_WIDE} / 3, 6) AS wide, round({_WIDE} / 2, 6) AS extra FROM p""")
+def list_contains_unequal(spark, sf_dir):
+    """Lists of three entries against lists of three and of two, with and without leave for the extra entry."""
+    part = table(spark, sf_dir, "part").withColumn("words", F.concat(F.split("p_name", " "), F.array("p_type")))
+    pairs = neighbours(part, "p_partkey", "words").withColumn("two", F.slice("expected", 1, 2))
+    scored = ListContains().transform(pairs).withColumnRenamed("ListContains", "square")
+    scored = ListContains(expected="two").transform(scored).withColumnRenamed("ListContains", "wide")
+    scored = ListContains(expected="two", allow_extra_entities=True).transform(scored).withColumnRenamed("ListContains", "extra")
+    return scored.select("p_partkey", *[rounded(F.col(f"{c}.score")).alias(c) for c in ("square", "wide", "extra")])
+
+
 # --- threads
 
 
