@@ -228,91 +228,6 @@ ROWS = """
 0 literary-prize.org /shortlist/2020
 0 freewheel-cycling.com /tours/summer
 0 lottie-bakes.com /scones
-1 adultzone.net /videos
-1 adult-fun.biz /en/page/4
-1 adultlinks.top /a/12
-1 adult-pics.org /index
-1 xrated.club /en/story/31
-1 xx-clips.net /top
-1 sexchat.biz /start
-1 nudes4you.site /en/8
-1 hotcams.top /live
-1 spam-blast.biz /send/bulk
-1 spamlinks.net /en/item/77
-1 spam-network.top /posts/5
-1 spampages.info /de/4
-1 linkfarm.top /page/2
-1 link-farm-hub.net /fr/item/9
-1 seo-farm.biz /articles/100
-1 contentfarm.info /en/post/3
-1 adservice.top /en/12
-1 ad-click.net /go
-1 ads-serve.biz /fr/88
-1 tracking-pixel.top /t/1
-1 casino7.biz /en/14
-1 bet365day.top /es/3
-1 poker4u.net /de/61
-1 free-spins.biz /item/2
-1 pills4less.net /en/19
-1 cheapviagra.biz /p/7
-1 winbig.top /en/4
-1 loans-now.biz /fr/2
-0 adult-education.org /evening/classes
-0 adultlearning.net /literacy/courses
-0 farm-diary.net /sheep/lambing
-0 hillfarm.org /en/story/12
-0 farmhouse-kitchen.com /recipes/pie
-0 family-farm.info /visit
-0 linkedcities.org /partners
-0 addresses.info /postcodes/map
-0 adriatic-sea.net /islands/ferries
-0 spanish-lessons.org /verbs/12
-0 spa-towns.info /history
-0 sparrow-watch.net /garden/feeders
-0 essex-walks.net /en/page/7
-0 middlesex-history.org /parishes
-0 betweenlines.org /poems/4
-0 penguins.net /antarctic/colony
-0 trackandfield.org /results/400m
-0 nudibranchs.org /species/4
-0 en-notes.net /en/page/7
-0 kurier.org /de/item/61
-0 carnet.net /fr/post/88
-0 diario.info /es/story/3
-0 newsroom.net /en/14
-0 shops.info /item/2
-0 seaside-notes.org /en/page/4
-0 brickwork.info /en/page/12
-0 cathedral-choir.net /page/2
-0 old-mills.org /en/page/31
-0 weavers.net /fr/item/9
-0 river-trust.org /en/item/77
-0 hedgerows.info /posts/5
-0 lighthouse-keepers.net /articles/100
-0 stargazing.net /index
-0 canal-boats.org /top
-1 adult-shows.net /en/page/9
-1 spam-mailer.net /en/12
-1 farm-of-links.biz /add
-1 free-link-farm.top /en/story/8
-1 adult-rooms.top /de/4
-1 spambot.biz /index
-0 m.kiln-and-clay.net /videos
-0 rambling-club.net /top
-0 m.old-harbour.net /en/item/77
-0 village-baker.net /fr/item/9
-0 m.moorland-ponies.net /en/19
-0 chapel-lane.net /en/page/9
-0 m.brass-band.net /en/12
-0 stone-circle.net /de/61
-0 parish-news.biz /en/page/4
-0 saddlers.biz /fr/88
-0 tide-tables.top /posts/5
-0 m.lacemakers.top /en/12
-0 glaziers.biz /item/2
-0 m.cheese-guild.net /en/story/31
-0 waterwheel.biz /fr/2
-0 m.herb-garden.com /es/3
 """
 
 
