@@ -156,15 +156,18 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def compare_rest(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components whose signatures agree, of members (key, band, id, n, component, small, keys) of buckets.
+    """Pairs (a, b) of different components whose signatures agree, of members (key, band, id, n, component, small, keys) of buckets;
+    with m, how many members the bucket has, if that is known.
 
     A bucket is cut into blocks of BLOCK by a hash of the id, and every pair of blocks is one group of at most about
     2 * BLOCK rows; a bucket of up to BLOCK members is sent once. A pair goes on from the first bucket that it shares only:
     there either one of the two was the hub, and the pair is tested, or both are here. Which bucket is the first is told by
     the bucket keys themselves, since bins of a signature can agree where those differ.
     """
-    size = members.groupBy("key").agg(F.count("*").alias("m")).select(F.col("key").alias("k"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(size, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
+    if "m" not in members.columns:
+        members = members.join(members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")), F.col("key") == F.col("k")).drop("k")
+    dealt = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "band", "id", "n", "component", "small", "keys")
     dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "p", "q")
@@ -207,26 +210,24 @@ def components_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool, bo
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "k")
     members = materialize(rows.join(shared, F.col("key") == F.col("k")).select("key", "band", "id", "n", "c"), "members")
     meets = members.groupBy("id").agg(F.sum("c").alias("meets")).withColumnRenamed("id", "m")
-    members = materialize(members.join(meets, F.col("id") == F.col("m")).select("key", "band", "id", "n", "meets"), "members")
     named = classes.select("id", F.col("rep").alias("r"), F.col("text_hash").alias("h")).join(members.select("id").distinct(), "id", "left_semi")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(named, (F.col("doc_id") == F.col("r")) & (F.col("text_hash") == F.col("h"))).select("id", "text")
     texts = materialize(texts.dropDuplicates(["id"]) if repeated else texts, "texts")
 
-    best = members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("minus"), "n")).alias("best"))
+    best = members.join(meets, F.col("id") == F.col("m")).groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("minus"), "n")).alias("best"))
     hubs = materialize(best.select(F.col("key").alias("k"), (-F.col("best.minus")).alias("hub"), F.col("best.n").alias("hub_n")), "hubs")
     near = (F.col("id") != F.col("hub")) & (4 * F.least("n", "hub_n") >= 3 * F.greatest("n", "hub_n"))
     pairs = members.join(hubs, F.col("key") == F.col("k")).where(near).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = materialize(confirm(materialize(pairs, "pairs"), texts), "links")
+    links = materialize(confirm(pairs, texts), "links")
     labels = connected_components(links)
 
     rest = members.join(labels.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
     rest = materialize(rest.join(hubs.select(F.col("k").alias("key"), F.col("hub").alias("id")), ["key", "id"], "left_anti"), "rest")
-    split = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = rest.join(split, "key", "left_semi").join(classes.select(F.col("id").alias("i"), "small", "keys"), F.col("id") == F.col("i")).drop("i")
-    more = materialize(compare_rest(rest), "pairs")
-    more = materialize(confirm(more, texts), "links")
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    split = rest.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low < high").select("k", "m")
+    rest = rest.join(split, F.col("key") == F.col("k")).drop("k").join(classes.select(F.col("id").alias("i"), "small", "keys"), F.col("id") == F.col("i")).drop("i")
+    more = materialize(confirm(compare_rest(rest), texts), "links")
+    if not more.isEmpty():  # stars already, so that few steps are left
+        labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = classes.select("digest", "rep", "text_hash", "id").join(labels.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
     found = named.select("digest", "rep", "text_hash", F.coalesce("component", "id").alias("lead"), (F.coalesce("component", "id") == F.col("id")).alias("leads"))

@@ -14,7 +14,7 @@ from oracle import assert_agrees
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scoreframe.llm import chat, media, mixing, near_dedup, packing, token_counts, toxicity, webp
+from scoreframe.llm import chat, components, media, mixing, near_dedup, packing, token_counts, toxicity, webp
 from scoreframe.llm.components import connected_components
 from scoreframe.llm.tokenize import WordTokenizer, tokenizer_path
 
@@ -459,6 +459,16 @@ def test_components(spark, seed):
     assert got == low
 
 
+@pytest.mark.parametrize(("edges", "steps"), [([(k - k % 10, k) for k in range(40)], 0), ([(99 - k % 10, k) for k in range(60)], 1), ([], 0)])
+def test_components_end_when_all_are_stars(spark, monkeypatch, edges, steps):
+    """A step writes four tables; one more tells that none is left to do."""
+    written, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or write(df, name))
+    got = {x.id: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: 99 - v if v > 89 else v % 10 if steps else v - v % 10 for e in edges for v in e}
+    assert written == ["low", "edges", "low", "edges"] * steps + ["low"]
+
+
 # --- media
 
 
