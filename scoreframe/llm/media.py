@@ -2,7 +2,7 @@
 
 A text's payload is its UTF-8 bytes, padded with bytes 255 to a positive multiple of 576, and becomes a picture of 192
 columns whose pixels are three bytes each (red, green, blue). A payload of more than ``ROWS`` rows becomes several pictures,
-one file after the other: pictures of like sizes are read in step, a long one alone. Null and empty texts have a payload of padding alone. Equal texts give equal bytes. Rows are
+one file after the other. Null and empty texts have a payload of padding alone. Equal texts give equal bytes. Rows are
 stored one by one, whatever their ids.
 """
 
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from scoreframe.llm.common import table
 from scoreframe.llm.webp import decode_all, encode_all, size_of
 
-UNIT, COLUMNS, ROWS = 576, 192, 32
+UNIT, COLUMNS, ROWS = 576, 192, 4096
 #: Documents that are handled together, and bytes of their payloads; of them, rows of pictures that are encoded and pixels
 #: that are decoded together. One document or picture may have more.
-DOCUMENTS, PAYLOADS, TOGETHER, READ_TOGETHER = 2048, 1 << 24, 1024, 1 << 21
+DOCUMENTS, PAYLOADS, TOGETHER, READ_TOGETHER = 4096, 1 << 24, 1024, 1 << 23
 _NINTHS = np.arange(9) * COLUMNS // 9
 
 

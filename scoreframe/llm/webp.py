@@ -28,6 +28,8 @@ CACHE_BITS, WIDEST, SHORTEST_COPY = 7, 11, 3
 BIT, IMAGE_SECTIONS = 1024, 12
 #: Images that are rather read one by one than together.
 FEW = 16
+#: Back-references of one step that are rather read one by one than together.
+FEW_COPIES = 4
 _PLACES = np.array([0, 256, 512])
 
 
@@ -162,6 +164,15 @@ def _extended(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
+_NEAR_PLACES = np.array(_NEAR)
+
+
+def _extended_all(prefix: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bits that they take) of length or distance prefixes, given the bits after each."""
+    extra = np.maximum(prefix - 2, 0) >> 1
+    return np.where(prefix < 4, prefix, (2 + (prefix & 1) << extra) + (now & (1 << extra) - 1)) + 1, extra
+
+
 class Image:
     """An image whose codes were read and whose pixels, ARGB values one row after the other, are still to be read."""
 
@@ -255,7 +266,7 @@ def _together(images: list[Image]) -> list[np.ndarray]:
         ours = [images[k] for k in even]
         codes = [image.codes[0] for image in ours]
         tables, begins, masks = [], [], []
-        for k, by in ((0, 8), (1, 16), (2, 0)):
+        for k, by in ((0, 8), (1, 16), (2, 0), (4, 0)):
             entries = [c[k].entries for c in codes]
             sizes = np.array([len(e) for e in entries])
             joined = np.concatenate(entries).astype(np.int64)
@@ -274,12 +285,12 @@ def _together(images: list[Image]) -> list[np.ndarray]:
         cache = np.zeros(int(slots.sum()), np.int64)
         shift = 32 - np.array([image.cache_bits for image in ours])
         opaque = np.array([int(c[3].entries[0]) >> 4 << 24 for c in codes])
-        (g, r, b), lane = tables, np.arange(len(ours))
+        (g, r, b, d), lane = tables, np.arange(len(ours))
         at, pos = stream_at + np.array([image.bits.at for image in ours]), begin.copy()
-        state = [lane, at, pos, end, *begins, *masks, np.cumsum(slots) - slots, shift, opaque]
+        state = [lane, at, pos, end, *begins, *masks, np.cumsum(slots) - slots, shift, opaque, begin, np.array([image.width for image in ours])]
         last_at, last_pos = at.copy(), pos.copy()
         while len(lane) > FEW:
-            lane, at, pos, until, g_at, r_at, b_at, g_mask, r_mask, b_mask, c_at, shift, opaque = state
+            lane, at, pos, until, g_at, r_at, b_at, d_at, g_mask, r_mask, b_mask, d_mask, c_at, shift, opaque, first, wide = state
             for _ in range(int((until - pos).min())):
                 try:
                     now = words[at >> 3] >> (at & 7)
@@ -301,7 +312,7 @@ def _together(images: list[Image]) -> list[np.ndarray]:
                     pixel[cached] = cache[c_at[cached] + symbol[hit] - 280]
                     n[cached] = entry[cached] & 15
                     copies = other[~hit]
-                    for k in copies.tolist():
+                    for k in copies.tolist() if len(copies) <= FEW_COPIES else ():
                         image, mine, p = ours[lane[k]], int(stream_at[lane[k]]), int(pos[k])
                         image.bits.at = int(at[k]) - mine + int(entry[k] & 15)
                         length, back = image.read_copy(int(entry[k]) >> 12, codes[lane[k]][4])
@@ -312,6 +323,29 @@ def _together(images: list[Image]) -> list[np.ndarray]:
                         cache[c_at[k] + ((_CACHE * added & 0xFFFFFFFF) >> shift[k])] = added  # of one slot the last stays
                         pixel[k], n[k] = added[-1], image.bits.at + mine - at[k]
                         pos[k] += length - 1
+                    if len(copies) > FEW_COPIES:
+                        there, start = at[copies] + (entry[copies] & 15), pos[copies]
+                        try:
+                            length, used = _extended_all((entry[copies] >> 12) - 256, words[there >> 3] >> (there & 7))
+                            there += used
+                            now = words[there >> 3] >> (there & 7)
+                        except IndexError:
+                            raise ValueError("the stream ends early") from None
+                        e4 = d[d_at[copies] + (now & d_mask[copies])]
+                        near, used = _extended_all(e4 >> 4, now >> (e4 & 15))
+                        there += used + (e4 & 15)
+                        place = _NEAR_PLACES[np.minimum(near, len(_NEAR)) - 1]
+                        back = np.where(near > len(_NEAR), near - len(_NEAR), np.maximum(1, place[:, 0] + place[:, 1] * wide[copies]))
+                        if (back > start - first[copies]).any() or (start + length > until[copies]).any():
+                            raise ValueError("a back-reference leaves the image")
+                        end_of = np.cumsum(length)
+                        of = np.repeat(np.arange(len(copies)), length)
+                        step = np.arange(int(end_of[-1])) - (end_of - length)[of]
+                        added = out[(start - back)[of] + step % back[of]]
+                        out[start[of] + step] = added
+                        cache[c_at[copies][of] + ((_CACHE * added & 0xFFFFFFFF) >> shift[copies][of])] = added
+                        pixel[copies], n[copies] = added[end_of - 1], there - at[copies]
+                        pos[copies] += length - 1
                 out[pos] = pixel
                 cache[c_at + ((_CACHE * pixel & 0xFFFFFFFF) >> shift)] = pixel
                 pos += 1
@@ -502,7 +536,7 @@ def wrap(stream: bytes) -> bytes:
 
 
 def _packed(values: np.ndarray, widths: np.ndarray, stream: np.ndarray, streams: int) -> list[bytes]:
-    """The bytes of every stream, whose numbers of at most 25 bits stand one after the other, the streams in order."""
+    """The bytes of every stream, whose numbers of at most 56 bits stand one after the other, the streams in order."""
     size = (np.bincount(stream, widths, streams).astype(np.int64) + 7) >> 3
     end = np.cumsum(size)
     before = np.cumsum(widths) - widths
@@ -815,18 +849,24 @@ def _put_images(out: Streams, section: int, stream: np.ndarray, pixels: np.ndarr
         codes.append(_codes_of(lengths))
     order = np.flatnonzero(kind)
     what, whose = kind[order], image[order]
-    values, bits = np.zeros((len(order), 4), np.int64), np.zeros((len(order), 4), np.int64)
+    values, bits = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+
+    def add(rows, parts):
+        """A pixel's or a copy's numbers, at most 50 bits together, as one."""
+        value, taken = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for v, n in parts:
+            value |= v << taken
+            taken += n
+        values[rows], bits[rows] = value, taken
+
     rows = np.flatnonzero(what == 1)
-    for k in range(4):
-        at = whose[rows], channel[k][order[rows]]
-        values[rows, k], bits[rows, k] = codes[k][0][at], codes[k][1][at]
+    add(rows, ((c[0][at], c[1][at]) for c, at in ((codes[k], (whose[rows], channel[k][order[rows]])) for k in range(4))))
     rows = np.flatnonzero(what == 2)
     at = whose[rows], 280 + slot[order[rows]]
-    values[rows, 0], bits[rows, 0] = codes[0][0][at], codes[0][1][at]
-    rows = np.flatnonzero(what == 3)
-    values[rows] = np.column_stack([codes[0][0][of, 256 + l_prefix], l_extra, codes[4][0][of, d_prefix], d_extra])
-    bits[rows] = np.column_stack([codes[0][1][of, 256 + l_prefix], l_width, codes[4][1][of, d_prefix], d_width])
-    out.put(section + 11, stream[whose], values, bits)
+    add(rows, [(codes[0][0][at], codes[0][1][at])])
+    at, far = (of, 256 + l_prefix), (of, d_prefix)
+    add(np.flatnonzero(what == 3), [(codes[0][0][at], codes[0][1][at]), (l_extra, l_width), (codes[4][0][far], codes[4][1][far]), (d_extra, d_width)])
+    out.put(section + 11, stream[whose], values[:, None], bits[:, None])
 
 
 def _share(of: np.ndarray, by: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -683,6 +683,24 @@ def test_large_payloads():
     assert media.describe(pictures) != media.describe([pictures[0], pictures[1] - 1])
 
 
+def test_long_texts_stay_one_picture():
+    payloads = [bytes(r) * 4096 * 3 for r in ([7] * 192, range(192))] + varied(40)
+    assert [len(x) for x in media.load_all(media.store_all(payloads))] == [1] * len(payloads)
+
+
+def test_copies_read_together_are_as_alone(monkeypatch):
+    """Short and long, overlapping and far back-references of many files, read in step and one by one."""
+    files = [f for payload in varied(60, 11) for f in [media.store(payload)]]
+    found = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(webp, "FEW_COPIES", few)
+        found.append([d.tobytes() for d in webp.decode_all(files)])
+    assert found[0] == found[1]
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(webp, "FEW_COPIES", 0)
+        webp.decode_all([f[:-40] for f in files if len(f) > 200])
+
+
 def test_media_query(spark, odd):
     for docs in (documents(spark), odd):
         got = media.media_columns(docs, keep_media=True).collect()
