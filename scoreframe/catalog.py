@@ -44,7 +44,9 @@ def query(sql: str | None = None):
 
 
 def rounded(value: Column) -> Column:
-    return F.round(value.cast("double"), 6)
+    """Six digits after the point as SQL over binary numbers has them: the product with a million is rounded, so that a half
+    counts as it stands there and not as the number is written (333 / 640, written 0.5203125, becomes 0.520312)."""
+    return F.round(value.cast("double") * 1e6) / 1e6
 
 
 def neighbours(df: DataFrame, key: str, column: str, *kept: str) -> DataFrame:
