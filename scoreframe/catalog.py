@@ -242,7 +242,7 @@ def json_diff_unequal_types(spark, sf_dir):
 @query(f"WITH {_NESTED} SELECT event_id, round((kind + tags + inner_) / 3, 6) AS score FROM s")
 def json_difference_table(spark, sf_dir):
     """The same from JSON text on both sides, as tables of values."""
-    pairs = neighbours(nested(spark, sf_dir), "event_id", "typed").withColumns({"output": F.to_json("output"), "expected": F.to_json("expected")})
+    pairs = neighbours(nested(spark, sf_dir).withColumn("typed", F.to_json("typed")), "event_id", "typed")
     return difference_table(pairs, ["event_id"], "output", "expected").withColumn("score", rounded(F.col("score")))
 
 

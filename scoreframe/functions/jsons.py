@@ -43,8 +43,10 @@ def parsed_or_text(text: str | None) -> object:
 
 def opened(text: object) -> object:
     """The object or array that a text is, else the text."""
-    value = parsed_or_text(text) if isinstance(text, str) else text
-    return value if isinstance(value, dict | list) else text
+    if isinstance(text, str):
+        value = parsed_or_text(text) if text.lstrip(" \t\n\r")[:1] in ("[", "{") else text
+        return value if isinstance(value, dict | list) else text
+    return text
 
 
 def difference(o: object, e: object, string: Leaf, number: Leaf, preserve: bool) -> float | None:

@@ -1,4 +1,8 @@
-"""The difference of free JSON as tables: for documents of any size, since a document is as many rows as it has values.
+"""The difference of free JSON as tables: for documents of any size.
+
+Two texts of together at most ``IN_ROW`` characters are paired within their row: a helper lists the pairs of their values,
+children before what holds them, native expressions score the pairs and take the means, and nothing moves between tasks but
+the rows themselves. Longer ones are as many rows as they have values:
 
 1. Each side becomes one row for each value: its path (names of keys, places in arrays), kind, and text or number.
 2. Both sides are joined full outer on row and path. A pair of objects, or of arrays, is open: its score is the mean over its
@@ -7,7 +11,7 @@
 3. A mean of means is a sum of scores over the products of the numbers of children above them. Each scored pair joins
    the pairs above it for these; one that stands below a pair that isn't open doesn't count.
 
-Only parsing, and writing the values of unlike pairs as text, are left to helpers in Python.
+Only parsing, pairing within a row, and writing the values of unlike pairs as text are left to helpers in Python.
 """
 
 from __future__ import annotations
@@ -15,12 +19,18 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.functions.jsons import parsed_or_text, opened
+from scoreframe.functions.editing import similarity
+from scoreframe.functions.jsons import opened, parsed_or_text
 from scoreframe.functions.scalar import levenshtein_score, numeric_score
 
+#: Most characters of two texts that are paired within their row: 10,000 rows, which a helper gets at once, then take a few
+#: hundred MB even where each character or two is a value.
+IN_ROW = 4096
+_PAIR = "array<struct<depth:int,n:int,score:double,o:string,e:string,x:double,y:double>>"
 _NODE = "array<struct<path:array<string>,kind:string,text:string,number:double>>"
 
 
@@ -56,6 +66,87 @@ def _nodes(text: str | None, preserve: bool) -> list[dict]:
     return out
 
 
+def _writable(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode())
+    except UnicodeEncodeError:  # half of a surrogate pair, as JSON may escape it
+        return False
+
+
+def _pairs(output: str | None, expected: str | None, preserve: bool) -> list[tuple]:
+    """The pairs of values of two JSON texts as (depth, n, score, two texts, two numbers), children before what holds them: an
+    open pair has the number n of its children, another one a score where that is plain, else what is to be compared."""
+    out, waiting = [], [(parsed_or_text(output), parsed_or_text(expected), 0, None)]
+    while waiting:
+        o, e, depth, n = waiting.pop()
+        if n:
+            out.append((depth, n, None, None, None, None, None))
+            continue
+        if not preserve:
+            o, e = opened(o), opened(e)
+        score = a = b = x = y = None
+        if o is None or e is None:
+            score = float(o is e)
+        elif isinstance(o, dict) and isinstance(e, dict):
+            children = [(o.get(k), e.get(k), depth + 1, None) for k in {**o, **e}]
+        elif isinstance(o, list) and isinstance(e, list):
+            both, places = min(len(o), len(e)), max(len(o), len(e))
+            children = [(c, d, depth + 1, None) for c, d in zip(o, e, strict=False)] + [(None, True, depth + 1, None)] * (places - both)
+        elif isinstance(o, str) and isinstance(e, str):
+            a, b = o, e
+        elif isinstance(o, int | float) and isinstance(e, int | float):
+            x, y = _number(o), _number(e)
+            score = 1.0 if o == e else None
+        else:
+            a, b = _dump(o), _dump(e)
+        if type(o) is type(e) and isinstance(o, dict | list):
+            if children:
+                waiting.append((None, None, depth, len(children)))
+                waiting += reversed(children)
+                continue
+            score = 1.0
+        if a is not None and not (_writable(a) and _writable(b)):
+            score, a, b = similarity(a, b), None, None
+        out.append((depth, None, score, a, b, x, y))
+    return out
+
+
+def _paired(output: Column, expected: Column, preserve: bool) -> Column:
+    """The pairs of two columns of JSON text as an array in each row."""
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["depth", "n", "score", "o", "e", "x", "y"]
+
+    @F.arrow_udf(_PAIR)
+    def run(o: pa.Array, e: pa.Array) -> pa.Array:
+        ends, columns = [0], [[] for _ in names]
+        for a, b in zip(o.to_pylist(), e.to_pylist(), strict=True):
+            try:
+                found = _pairs(a, b, preserve)
+            except RecursionError:  # nested too deeply to be written
+                found = [(0, None, None, a or "null", b or "null", None, None)]
+            for column, values in zip(columns, zip(*found, strict=True), strict=True):
+                column.extend(values)
+            ends.append(ends[-1] + len(found))
+        made = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+
+    return run(output, expected)
+
+
+def _mean(pairs: Column) -> Column:
+    """The mean of means over pairs as ``_pairs`` lists them: sums of scores by depth, of which one that is closed goes, divided
+    by its number of children, into the one above."""
+
+    def add(sums: Column, p: Column) -> Column:
+        told = F.coalesce(p["score"], F.when(p["o"].isNotNull(), levenshtein_score(p["o"], p["e"])).otherwise(numeric_score(p["x"], p["y"])))
+        value = F.when(p["n"].isNotNull(), F.element_at(sums, -1) / p["n"]).otherwise(told)
+        own = F.coalesce(F.get(sums, p["depth"]), F.lit(0.0)) + value
+        kept = F.slice(sums, F.lit(1), F.least(p["depth"], F.size(sums)))
+        return F.concat(kept, F.array_repeat(F.lit(0.0), p["depth"] - F.size(kept)), F.array(own))
+
+    return F.get(F.aggregate(pairs, F.array().cast("array<double>"), add), F.lit(0))
+
+
 def _at(value: object, path: list[str], preserve: bool) -> object:
     for step in path:
         value = value if preserve else opened(value)
@@ -88,10 +179,21 @@ def _written(rows: DataFrame, unlike: DataFrame, preserve: bool) -> DataFrame:
     return told.select(F.col("id").alias("w_id"), F.col("w.path").alias("w_path"), F.col("w.o").alias("w_o"), F.col("w.e").alias("w_e"))
 
 
-def difference_table(df: DataFrame, key: list[str], output: str, expected: str, preserve_strings: bool = False) -> DataFrame:
+def difference_table(df: DataFrame, key: list[str], output: str, expected: str, preserve_strings: bool = False, in_row: int = IN_ROW) -> DataFrame:
     """(key, score) for each distinct row of key, output and expected: the structural similarity of two JSON texts, as
-    ``JSONDiff`` gives it. Rows that share a key but not the texts have a score each."""
-    named = df.select(F.struct(*[F.col(k) for k in key]).alias("key"), F.col(output).alias("o"), F.col(expected).alias("e")).distinct()
+    ``JSONDiff`` gives it. Rows that share a key but not the texts have a score each. Texts of together at most ``in_row``
+    characters are paired within their row, longer ones joined as tables of values."""
+    keys = [f"k{i}" for i in range(len(key))]
+    named = df.select(*[F.col(c).alias(k) for c, k in zip(key, keys, strict=True)], F.col(output).alias("o"), F.col(expected).alias("e")).distinct()
+    short = F.coalesce(F.length("o"), F.lit(0)) + F.coalesce(F.length("e"), F.lit(0)) <= in_row
+    near = named.where(short).withColumn("score", _mean(_paired(F.col("o"), F.col("e"), preserve_strings)))
+    far = _joined(named.where(~short).select(F.struct(*[F.col(k) for k in keys]).alias("key"), "o", "e"), preserve_strings)
+    parts = [part.select(*[F.col(at + k).alias(c) for c, k in zip(key, keys, strict=True)], "score") for part, at in ((near, ""), (far, "key."))]
+    return parts[0].union(parts[1])
+
+
+def _joined(named: DataFrame, preserve_strings: bool) -> DataFrame:
+    """(key, score) of distinct rows of key, o and e, joined as tables of values."""
     rows = named.withColumn("id", F.sha2(F.to_json(F.struct("key", "o", "e"), {"ignoreNullFields": "false"}), 256))
     o, e = _flat(rows, "o", preserve_strings), _flat(rows, "e", preserve_strings)
     both = o.join(e, (F.col("o_id") == F.col("e_id")) & (F.col("o_path") == F.col("e_path")), "full")
@@ -121,4 +223,4 @@ def difference_table(df: DataFrame, key: list[str], output: str, expected: str,
     scored = weighed.join(texts, F.col("unlike") & (F.col("id") == F.col("w_id")) & (F.col("path") == F.col("w_path")), "left")
     each = F.when(F.col("unlike"), levenshtein_score(F.col("w_o"), F.col("w_e"))).otherwise(F.col("score"))
     total = scored.groupBy("id").agg(F.sum(each / F.col("share")).alias("score")).withColumnRenamed("id", "i")
-    return rows.join(total, F.col("id") == F.col("i")).select("key.*", "score")
+    return rows.join(total, F.col("id") == F.col("i")).select("key", "score")
