@@ -46,3 +46,10 @@ def test_odd_texts_within_a_row(spark):
     rows = [(1, '"\\ud800a"', '"\\ud801a"'), (2, '{"\\ud800": 1}', '{"\\ud800": 1}'), (3, deep % 1, deep % 3), (4, "[[], {}, [[]]]", "[[], {}, [[1]]]"), (5, "[1, 2, null]", "[1]"), (6, "Infinity", "Infinity"), (7, "true", "1.0")]
     df = spark.createDataFrame(rows, "id long, o string, e string")
     assert scores(df, in_row=10**5) == pytest.approx({1: 0.5, 2: 1.0, 3: 0.5, 4: 2 / 3, 5: 1 / 3, 6: 1.0, 7: 1.0})
+
+
+@pytest.mark.parametrize("in_row", [-1, 4096])
+def test_keys_a_microsecond_apart(spark, in_row):
+    df = spark.sql("SELECT timestamp_micros(i) AS at, '[1, 1]' AS o, '[1, 3]' AS e FROM VALUES (1), (2), (2) AS t(i)")
+    got = difference_table(df, ["at"], "o", "e", in_row=in_row).collect()
+    assert sorted((r["at"].microsecond, r.score) for r in got) == [(1, 0.75), (2, 0.75)]
